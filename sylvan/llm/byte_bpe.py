@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import RecentMap, small_batches, steady_memory
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,6 +54,9 @@ def last_merge(ranks: dict[bytes, int], token: bytes) -> list[bytes]:
     return merged_parts(ranks, token, 2)
 
 
+BYTES = [bytes((b,)) for b in range(256)]
+
+
 class State:
     """Subset of live places: (offset in the held bytes, tokens up to it); the last one is their end."""
 
@@ -121,30 +124,36 @@ class Transducer:
         return got
 
     def determinise(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        data, before = state.data + bytes((byte,)), state.before
+        data, before = state.data + BYTES[byte], state.before
+        ranks, prefixes, pairs = self.ranks, self.prefixes, self.pairs
         whole, alive = None, []
-        for at, path in state.alive:
-            rest = data[at:]
+        for place in state.alive:
+            at, path = place
+            rest = data[at:] if at else data
             if whole is None:
-                token = self.ranks.get(rest)
-                if token is not None and self.follows(path[-1] if path else before, token):
-                    whole = (*path, token)
-            if rest in self.prefixes:  # a vocabulary entry could begin here and go on
-                alive.append((at, path))
+                token = ranks.get(rest)
+                if token is not None:
+                    pair = (path[-1] if path else before, token)
+                    if pairs[pair] if pair in pairs else self.follows(*pair):
+                        whole = (*path, token)
+            if rest in prefixes:  # a vocabulary entry could begin here and go on
+                alive.append(place)
         if whole is None:
             raise ValueError("the vocabulary lacks some byte")
-        alive.append((len(data), whole))
-        shared, first = 0, alive[0][1]
-        while all(len(p) > shared and p[shared] == first[shared] for _, p in alive):
-            shared += 1
-        emitted = first[:shared]
+        end = (len(data), whole)
+        emitted = whole
+        for _, path in alive:  # what all live paths begin with
+            while path[: len(emitted)] != emitted:
+                emitted = emitted[:-1]
+        alive.append(end)
         if emitted:
-            cut = sum(len(self.tokens[t]) for t in emitted)
+            cut, n = sum([len(self.tokens[t]) for t in emitted]), len(emitted)
             data, before = data[cut:], emitted[-1]
-            alive = [(at - cut, p[shared:]) for at, p in alive]
-        to = self.states.get((before, data))
+            alive = [(at - cut, p[n:]) for at, p in alive]
+        key = (before, data)
+        to = self.states.get(key)
         if to is None:
-            to = self.states[before, data] = State(before, data, tuple(alive))
+            to = self.states[key] = State(before, data, tuple(alive))
         return to, emitted
 
     def finish(self, state: State) -> tuple[int, ...]:
@@ -228,21 +237,11 @@ class Codec:
         self.transducer = Transducer(load_ranks(path))
         self.find = regex.compile(pattern).findall
         self.bytes_of = {str(i): t for i, t in self.transducer.tokens.items()}
-        self.entries = entries
-        self.seen: dict[str, str] = {}
+        self.seen = RecentMap(entries, lambda m: " ".join(map(str, self.transducer.encode(m.encode()))))
 
     def encode_text(self, text: str) -> str:
         """The ids in decimal, joined by spaces."""
-        seen = self.seen
-        found = self.find(text)
-        try:
-            return " ".join([seen[m] for m in found])
-        except KeyError:
-            if len(seen) > self.entries:
-                seen.clear()
-            for m in set(found).difference(seen):
-                seen[m] = " ".join(map(str, self.transducer.encode(m.encode())))
-        return " ".join([seen[m] for m in found])
+        return " ".join(map(self.seen.__getitem__, self.find(text)))
 
     def decode_bytes(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
@@ -294,6 +293,7 @@ def codec_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         own = codec(path, pattern)
         for batch in batches:
             counts, shas, decoded = [], [], []

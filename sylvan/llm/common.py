@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +48,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def whole_text(column: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+class RecentMap(dict):
+    """Keeps what was made for at least the last ``limit`` new keys, and at most twice as much."""
+
+    def __init__(self, limit: int, make: Callable):
+        self.limit, self.make, self.older = limit, make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def steady_memory() -> None:
+    """In a worker whose large caches hold no reference cycles: the collector would only walk them again and again."""
+    gc.disable()

@@ -13,7 +13,9 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 450_000
+from .common import steady_memory
+
+CACHE_WORDS = 300_000
 #: ASCII, and Latin-1 letters but for the sharp s: one-to-one lower case, already composed.
 _PLAIN = re.compile(r"[!-~\xC0-\xD6\xD8-\xDE\xE0-\xF6\xF8-\xFE\xDF]*")
 _LETTERS = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFE]+")
@@ -58,6 +60,7 @@ class WordEncoder:
         self.table = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.limit = cache_words
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
 
     def cut(self, word: str) -> tuple[str, ...] | None:
@@ -84,13 +87,18 @@ class WordEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         words = [lowered(t or "").replace("\n", " ").split(" ") for t in texts]
-        known, pieces = self.known, self.pieces
-        if len(known) > self.limit:
-            known.clear()
-        if len(pieces) > self.limit:
-            pieces.clear()
-            pieces[""] = b""
-        cuts = {w: self.cut(w) for w in set().union(*words).difference(known)} if words else {}
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        if len(self.pieces) > self.limit:
+            self.pieces = {"": b""}
+        known, pieces, older = self.known, self.pieces, self.older
+        cuts = {}
+        for w in set().union(*words).difference(known) if words else ():
+            ids = older.get(w)
+            if ids is None:
+                cuts[w] = self.cut(w)
+            else:
+                known[w] = ids
         self.learn(sorted({p for c in cuts.values() if c for p in c}.difference(pieces)))
         for word, cut in cuts.items():
             if cut is None:
@@ -106,6 +114,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per Python worker and vocabulary."""
+    steady_memory()
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
