@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, license_scan, packing, quality_rules, secret_scan, token_records
+from . import byte_bpe, fingerprints, language_id, license_scan, packing, quality_rules, secret_scan, token_records
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.query(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(documents(spark, sf_dir))
 
@@ -42,5 +46,5 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.digest_query(documents(spark, sf_dir), WORD_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op4_license_scans, op5_quality_rules, op6_packing, op7_secret_scans, op8_byte_bpe, op9_token_records)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op4_license_scans, op5_quality_rules, op6_packing, op7_secret_scans, op8_byte_bpe, op9_token_records)}
 ORACLE_SQL: dict[str, str] = {"op4_license_scans": license_scan.oracle_sql(), "op5_quality_rules": quality_rules.ORACLE}
