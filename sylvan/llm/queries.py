@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, license_scan, packing, quality_rules, secret_scan, token_records
+from . import byte_bpe, chunk_dedup, fingerprints, language_id, license_scan, ngram_join, packing, quality_rules, secret_scan, token_records
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.query(documents(spark, sf_dir))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("blocks")
 
@@ -46,5 +50,9 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.digest_query(documents(spark, sf_dir), WORD_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op4_license_scans, op5_quality_rules, op6_packing, op7_secret_scans, op8_byte_bpe, op9_token_records)}
-ORACLE_SQL: dict[str, str] = {"op4_license_scans": license_scan.oracle_sql(), "op5_quality_rules": quality_rules.ORACLE}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.query(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_substring_dedup, op4_license_scans, op5_quality_rules, op6_packing, op7_secret_scans, op8_byte_bpe, op9_token_records, op10_ngram_join)}
+ORACLE_SQL: dict[str, str] = {"op4_license_scans": license_scan.oracle_sql(), "op5_quality_rules": quality_rules.ORACLE, "op10_ngram_join": ngram_join.ORACLE}

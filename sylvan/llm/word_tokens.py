@@ -15,7 +15,7 @@ import numpy as np
 
 from .common import steady_memory
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: ASCII, and Latin-1 letters but for the sharp s: one-to-one lower case, already composed.
 _PLAIN = re.compile(r"[!-~\xC0-\xD6\xD8-\xDE\xE0-\xF6\xF8-\xFE\xDF]*")
 _LETTERS = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFE]+")
