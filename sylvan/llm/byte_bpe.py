@@ -15,6 +15,7 @@ A null text is empty: no ids.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -162,6 +163,7 @@ class Transducer:
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > self.entries:
             self.reset()
+            gc.collect()  # states refer to each other
         out: list[int] = []
         state = self.start
         for byte in data:
@@ -293,15 +295,15 @@ def codec_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steady_memory()
-        own = codec(path, pattern)
-        for batch in batches:
-            counts, shas, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = own.encode_text(text or "")
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                shas.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with steady_memory():
+            own = codec(path, pattern)
+            for batch in batches:
+                counts, shas, decoded = [], [], []
+                for text in batch.column(1).to_pylist():
+                    ids = own.encode_text(text or "")
+                    counts.append(ids.count(" ") + 1 if ids else 0)
+                    shas.append(hashlib.sha256(ids.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

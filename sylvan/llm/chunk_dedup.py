@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, steady_memory
+from .common import small_batches
 
 MASK = 0xF8000000
 LEAST = 100
@@ -43,13 +43,12 @@ def chunk_ends(data: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(k, th, at, size, digest) of every chunk; k: doc_id or the least long, th: hash of the text."""
+    """(k, loc, size, digest) of every chunk; k: doc_id or the least long, loc: offset, then 24 bits of th, the text's hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        steady_memory()
         for batch in batches:
             n, starts, sizes, digests = [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -61,12 +60,13 @@ def chunks(docs: DataFrame) -> DataFrame:
                 sizes.append(ends - start)
                 digests += [digest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist())]
             k, th = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
-            at, size = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int32) for x in (starts, sizes))
+            at, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, sizes))
+            loc, size = at << 24 | th, size.astype(np.int32)
             d = np.array(digests, np.uint64).view(np.int64)
             for lo in range(0, len(d), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in (k, th, at, size, d)], ["k", "th", "at", "size", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in (k, loc, size, d)], ["k", "loc", "size", "digest"])
 
-    return docs.select("k", "th", "t").mapInArrow(cut, "k long, th long, at int, size int, digest long")
+    return docs.select("k", "th", "t").mapInArrow(cut, "k long, loc long, size int, digest long")
 
 
 def cut_runs(text: str, marks: list[tuple[int, int, bool]], least: int) -> tuple[str, int, list[tuple[int, int]]]:
@@ -106,11 +106,12 @@ def dedup(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str =
     """Every row with kept_text, repeated_bytes (in runs that also occur elsewhere), removed_bytes, spans
     (start:end in bytes of what was removed) and n_repeated_chunks; other columns pass through."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF)).alias("th"), F.struct(*docs.columns).alias("row"))
     texts = rows.select("k", "th", F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("t")).where("t <> ''")
     found = chunks(texts)
-    counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "at")).alias("first")).where("n > 1").select("digest", F.col("first.k").alias("fk"), F.col("first.th").alias("fth"), F.col("first.at").alias("fat"))
-    marks = found.join(counted, "digest").select("k", "th", F.struct("at", "size", ((F.col("k") == F.col("fk")) & (F.col("th") == F.col("fth")) & (F.col("at") == F.col("fat"))).alias("first")).alias("m"))
+    counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("k", "loc")).alias("first")).where("n > 1").select("digest", F.col("first.k").alias("fk"), F.col("first.loc").alias("floc"))
+    at, th = F.shiftright("loc", 24).cast("int").alias("at"), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("th")
+    marks = found.join(counted, "digest").select("k", th, F.struct(at, "size", ((F.col("k") == F.col("fk")) & (F.col("loc") == F.col("floc"))).alias("first")).alias("m"))
     # Bounded by a document's own chunks; rows equal in id and text repeat their marks, hence the set.
     per_doc = marks.groupBy("k", "th").agg(F.collect_set("m").alias("marks"))
 

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,13 @@ class RecentMap(dict):
         return value
 
 
-def steady_memory() -> None:
-    """In a worker whose large caches hold no reference cycles: the collector would only walk them again and again."""
-    gc.disable()
+@contextmanager
+def steady_memory():
+    """For workers with large caches: fewer runs of the cycle collector, which would walk them again and again.
+    What it was is put back at the task's end, as pandas functions in the same worker rely on it."""
+    was = gc.get_threshold()
+    gc.set_threshold(100_000, 50, 100)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*was)

@@ -17,8 +17,8 @@ answer gives the same links, a good one fewer candidates.
 Candidates are verified without listing all pairs of a group. First each document meets the smallest
 document of its index entries, the one it shares most entries with; verified links give components.
 Then every pair of an entry whose documents are in different components is tested: those inside one
-component can change nothing. A parity bitmap (512 bits) bounds the overlap from above and drops
-pairs that can't link; the rest is intersected exactly. Pair tests and results refer to doc_id: rows
+component can change nothing. Sizes, the number and places of shared entries, and a parity bitmap (512
+bits) bound the overlap from above and drop pairs that can't link; the rest is intersected exactly. Pair tests and results refer to doc_id: rows
 with one doc_id count as one document (linked if any of its texts is); rows with a null doc_id have
 a null component. Null or wordless texts have no shingles and no links.
 """
@@ -32,17 +32,17 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentMap, small_batches, steady_memory, whole_text, written
+from .common import small_batches, whole_text, written
 from .components import components
 
 WIDTH, PERCENT = 5, 75
 SKETCH_BITS = 20
 BLOOM_BITS = 23
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_words: RecentMap | None = None
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -53,19 +53,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the text's shingles."""
-    global _words
-    if _words is None:
-        import xxhash
-
-        _words = RecentMap(300_000, xxhash.xxh3_64_intdigest)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(width, len(words))
     out = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
-        out += _mix(h[i : len(words) - n + 1 + i] + _MULTIPLY[i % 8] * np.uint64(i // 8 + 1))* _MULTIPLY[i % 8]
+        out += _mix(h[i : len(words) - n + 1 + i] + _MULTIPLY[i % 8] * np.uint64(i // 8 + 1)) * _MULTIPLY[i % 8]
     return np.unique(_mix(out + np.uint64(n)))
 
 
@@ -89,13 +84,14 @@ class Bands:
         return max(1, self.least[band] // 8)
 
 
-def index_entries(tokens: np.ndarray, frequent: np.ndarray, bands: Bands, percent: int = PERCENT) -> np.ndarray:
-    """The 64-bit index entries of one document; frequent: which of its ascending tokens are class 2."""
+def index_entries(tokens: np.ndarray, frequent: np.ndarray, bands: Bands, percent: int = PERCENT) -> tuple[np.ndarray, bool]:
+    """The 64-bit index entries of one document, and whether they are single shingles in order, the k-th being
+    the k-th of all its shingles; frequent: which of its ascending tokens are class 2."""
     n = len(tokens)
     need = missing_allowed(n, percent) + 1
     rare = tokens[~frequent]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], True
     out = [rare]
     common = tokens[frequent]
     for band in (bands.of(n), bands.of(n) + 1):
@@ -112,7 +108,7 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray, bands: Bands, percen
             if not same.any():
                 break
             out.append(_mix(t[:-apart][same] * np.uint64(0x9E3779B97F4A7C15) + _mix(t[apart:][same]) + np.uint64(band)))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), False
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -129,13 +125,10 @@ _FACTS = "doc_id long, n int, digest binary, block int, counts binary, " + ", ".
 
 def document_facts(docs: DataFrame, width: int) -> DataFrame:
     """A row per document (n, digest, bitmap), and per task rows of its sketch (block, counts)."""
-    import xxhash
-
     names = [c.split()[0] for c in _FACTS.split(", ")]
     types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), *[pa.int64()] * 8]
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steady_memory()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         passed: set[bytes] = set()
         for batch in batches:
@@ -183,15 +176,15 @@ def frequent_sketch(facts: DataFrame) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(entry, doc_id, n): the index. Exact copies within a task are entered once."""
+    """(entry, doc_id, n, place): the index; place: the shingle's in the document's order, -1 where entries are
+    not all single. Exact copies within a task are entered once."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steady_memory()
         flags, bands = np.unpackbits(shared.value).astype(bool), Bands(percent)
         passed: set[int] = set()
         for batch in batches:
-            found, ids, sizes = [], [], []
+            found, ids, sizes, places = [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text, width)
                 key = hash(s.tobytes())
@@ -199,15 +192,16 @@ def indexed(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) ->
                     continue
                 if len(passed) < 1_000_000:
                     passed.add(key)
-                e = index_entries(s, flags[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], bands, percent)
+                e, single = index_entries(s, flags[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], bands, percent)
+                places.append(np.arange(len(e), dtype=np.int32) if single else np.full(len(e), -1, np.int32))
                 found.append(e)
                 ids.append(k)
                 sizes.append(len(s))
             lengths = [len(f) for f in found]
             e = _signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["entry", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]))], ["entry", "doc_id", "n", "place"])
 
-    return docs.mapInArrow(entries, "entry long, doc_id long, n int")
+    return docs.mapInArrow(entries, "entry long, doc_id long, n int, place int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -230,18 +224,17 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[n
 
 
 def shared_entries(index: DataFrame) -> DataFrame:
-    """(entry, doc_id, n, pivot): entries of two documents or more; pivot is the smallest doc_id."""
+    """(entry, doc_id, n, place, pivot): entries of two documents or more; pivot is the smallest doc_id."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, ids, sizes = None, None, None
         carry: tuple[int, int] | None = None  # entry and pivot that the last chunk ended with
         tail: tuple | None = None  # its last row, while it is the only one of its entry
         for batch in batches:
-            e, d, n = (batch.column(i).to_numpy() for i in range(3))
+            e, d, n, p = (batch.column(i).to_numpy() for i in range(4))
             if not len(e):
                 continue
             if tail is not None:
-                e, d, n = (np.r_[np.array([t], a.dtype), a] for t, a in zip(tail, (e, d, n)))
+                e, d, n, p = (np.r_[np.array([t], a.dtype), a] for t, a in zip(tail, (e, d, n, p)))
                 carry, tail = None, None
             start = np.r_[True, e[1:] != e[:-1]]
             first = np.flatnonzero(start)
@@ -253,37 +246,49 @@ def shared_entries(index: DataFrame) -> DataFrame:
                 pivot[: size[0]] = carry[1]
                 keep[: size[0]] = True
             if not keep[-1]:
-                tail = (e[-1], d[-1], n[-1])
+                tail = (e[-1], d[-1], n[-1], p[-1])
             carry = (e[-1], pivot[-1]) if keep[-1] else None
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (e, d, n, pivot)], ["entry", "doc_id", "n", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (e, d, n, p, pivot)], ["entry", "doc_id", "n", "place", "pivot"])
+
+    return index.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(mark, "entry long, doc_id long, n int, place int, pivot long")
+
 
-    return index.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(mark, "entry long, doc_id long, n int, pivot long")
+_PAIRS = ("x", "y", "xn", "yn", "xp", "yp")
 
 
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of documents in one entry but different components, with sizes that may link."""
+    """(x, y) of documents in one entry but different components that may link by sizes and places.
+
+    Where both documents' entries are single shingles in order, all c shared ones up to the last are counted;
+    with that one at places i and j, the overlap is at most c + min(n - i, m - j) - 1.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for e, d, n, c in _groups(batches, 4):
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        for e, d, n, p, c in _groups(batches, 5):
             first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-            for a, b in zip(first, np.r_[first[1:], len(e)]):
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(e)]):
+                # Rows of an entry come by size: partners are those up to the largest size that may link.
+                ends = a + np.searchsorted(n[a:b], n[a:b].astype(np.int64) * 100 // percent, "right")
                 for i in range(a, b):
-                    # Rows of an entry come by size: partners are those up to the largest size that may link.
-                    end = a + np.searchsorted(n[a:b], n[i] * 100 // percent, "right")
-                    at = np.arange(i + 1, end)
-                    at = at[c[at] != c[i]]
-                    if not len(at):
-                        continue
-                    x, y = np.minimum(d[i], d[at]), np.maximum(d[i], d[at])
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    new = [p for p in zip(x.tolist(), y.tolist()) if p not in seen]
-                    seen.update(new)
-                    if new:
-                        yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*new)], ["x", "y"])
-
-    return rows.repartition("entry").sortWithinPartitions("entry", "n", "doc_id").mapInArrow(pairs, "x long, y long").distinct()
+                    at = np.flatnonzero(c[i + 1 : ends[i - a]] != c[i]) + i + 1
+                    if len(at):
+                        swap = d[at] < d[i]
+                        (di, dj), (ni, nj), (pi, pj) = ((np.full(len(at), v[i], v.dtype), v[at]) for v in (d, n, p))
+                        out.append(tuple(np.where(swap, u, v) for u, v in ((dj, di), (di, dj), (nj, ni), (ni, nj), (pj, pi), (pi, pj))))
+                        held += len(at)
+                if held > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
+                    out, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
+
+    made = rows.repartition("entry").sortWithinPartitions("entry", "n", "doc_id").mapInArrow(pairs, "x long, y long, xn int, yn int, xp int, yp int")
+    counted = made.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("xn").alias("xn"), F.max("yn").alias("yn"), F.max("xp").alias("xp"), F.max("yp").alias("yp"), F.min(F.least("xp", "yp")).alias("least"))
+    most = F.col("c") + F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) - 1
+    total = (F.col("xn") + F.col("yn")).cast("long")
+    return counted.where((F.col("least") < 0) | (most * (100 + percent) >= percent * total)).select("x", "y")
 
 
 def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -294,9 +299,26 @@ def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one("x"), "x").join(one("y"), "y").where((total - apart) * (100 + percent) >= 2 * percent * total).select("x", "y").distinct()
 
 
+def folded_parity(tokens: np.ndarray) -> bytes:
+    """A parity bitmap of about four bits a shingle; a longer one folds to a shorter one's length by exclusive or."""
+    size = 1 << max(9, (4 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two parity bitmaps, at most the size of the sets' symmetric difference."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, by exact intersection. Sets are made only of documents in pairs: a bit filter of
-    fixed size names them (and a few more); the joins then take exactly the pairs' own."""
+    """The pairs that link. Sets are made only of documents in pairs: a bit filter of fixed size names them (and
+    a few more); the join takes exactly the pairs' own. Pairs first meet on bitmaps that grow with the
+    sets, an eighth of a set's or less; those not ruled out are intersected exactly."""
     spark = docs.sparkSession
     pairs = written(pairs, "pairs")
     bit = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << BLOOM_BITS))
@@ -308,17 +330,22 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     shared = spark.sparkContext.broadcast(filled)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steady_memory()
         bits = shared.value
         for batch in batches:
             places = [batch.column(i).to_numpy() for i in (2, 3, 4)]
             there = np.logical_and.reduce([(bits[p >> 6] >> (p & 63)) & 1 for p in places]).astype(bool)
             chosen = batch.filter(pa.array(there))
-            raw = [shingles(t, width).tobytes() for t in chosen.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(raw, pa.binary())], ["d", "s"])
+            raw = [shingles(t, width) for t in chosen.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array([len(s) for s in raw], pa.int32()), pa.array([folded_parity(s) for s in raw], pa.binary()), pa.array([s.tobytes() for s in raw], pa.binary())], ["d", "n", "b", "s"])
 
     flagged = docs.select("doc_id", "text", *(bit("doc_id", s).alias(f"p{s}") for s in (1, 2, 3)))
-    made = written(flagged.mapInArrow(sets, "d long, s binary").join(ids, "d", "left_semi"), "sets")
+    made = written(flagged.mapInArrow(sets, "d long, n int, b binary, s binary").join(ids, "d", "left_semi"), "sets")
+
+    @F.pandas_udf("boolean")
+    def may_link(n, m, a, b):
+        import pandas as pd
+
+        return pd.Series([(i + j - bits_apart(x, y)) * (100 + percent) >= 2 * percent * (i + j) for i, j, x, y in zip(n.tolist(), m.tolist(), a, b)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def links(a, b):
@@ -331,7 +358,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
-    return pairs.join(made.select(F.col("d").alias("x"), F.col("s").alias("xs")), "x").join(made.select(F.col("d").alias("y"), F.col("s").alias("ys")), "y").where(links("xs", "ys")).select("x", "y").distinct()
+    of = lambda p, *columns: made.select(F.col("d").alias(p), *(F.col(c).alias(f"{p}{c}") for c in columns))
+    near = written(pairs.join(of("x", "n", "b"), "x").join(of("y", "n", "b"), "y").where(may_link("xn", "yn", "xb", "yb")).select("x", "y").distinct(), "near")
+    return near.join(of("x", "s"), "x").join(of("y", "s"), "y").where(links("xs", "ys")).select("x", "y").distinct()
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -349,16 +378,16 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     first = named.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = named.join(first, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
-    # A document's best pivot: the one it shares most entries with.
-    counted = shared.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("times"))
+    # A document's best pivot: the one it shares most entries with, if likely a near copy; the rest comes below.
+    counted = shared.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("times"), F.max("n").alias("n")).where("20 * times >= n")
     best = counted.groupBy("doc_id").agg(F.max(F.struct("times", -F.col("pivot"))).alias("b")).select(F.col("doc_id").alias("y"), (-F.col("b.col2")).alias("x"))
     found = verified(possible(best, named, percent), entered, width, percent)
     links = written(copies.unionByName(found.select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
     so_far = written(components(links), "components")
 
-    placed = shared.select("entry", "doc_id", "n").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    placed = shared.select("entry", "doc_id", "n", "place").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("entry")
-    rest = cross_pairs(placed.join(mixed, "entry").select("entry", "doc_id", "n", "c"), percent)
+    rest = cross_pairs(placed.join(mixed, "entry").select("entry", "doc_id", "n", "place", "c"), percent)
     more = verified(possible(rest, named, percent), entered, width, percent)
     every = links.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return own, components(every).select(F.col("node").alias("doc_id"), "component")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, written
+from .common import small_batches, steady_memory, written
 from .word_tokens import word_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, local long"
@@ -86,19 +86,20 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int | None) -> D
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = word_encoder(vocabulary), TaskContext.get().partitionId()
-        seen: dict[int, int] = defaultdict(int)
-        for batch in batches:
-            rows = []
-            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist())):
-                ids += tail
-                total = len(ids) // 4
-                for start in range(0, total, size):
-                    raw = ids[4 * start : 4 * (start + size)]
-                    rows.append((k, start, len(raw) // 4, zlib.crc32(raw), total, part, seen[len(raw)]))
-                    seen[len(raw)] += 1
-            columns = zip(*rows) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in PIECES.split(", ")])
+        with steady_memory():
+            encoder, part = word_encoder(vocabulary), TaskContext.get().partitionId()
+            seen: dict[int, int] = defaultdict(int)
+            for batch in batches:
+                rows = []
+                for k, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1).to_pylist())):
+                    ids += tail
+                    total = len(ids) // 4
+                    for start in range(0, total, size):
+                        raw = ids[4 * start : 4 * (start + size)]
+                        rows.append((k, start, len(raw) // 4, zlib.crc32(raw), total, part, seen[len(raw)]))
+                        seen[len(raw)] += 1
+                columns = zip(*rows) if rows else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)
 

@@ -13,8 +13,6 @@ import re
 
 import numpy as np
 
-from .common import steady_memory
-
 CACHE_WORDS = 200_000
 #: ASCII, and Latin-1 letters but for the sharp s: one-to-one lower case, already composed.
 _PLAIN = re.compile(r"[!-~\xC0-\xD6\xD8-\xDE\xE0-\xF6\xF8-\xFE\xDF]*")
@@ -114,7 +112,6 @@ _encoders: dict[str, WordEncoder] = {}
 
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per Python worker and vocabulary."""
-    steady_memory()
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
