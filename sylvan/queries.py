@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import text
+from .operators import bindings, closure, compdb, ddl, dictionary, graph, jobs, lockstep, relational, text, textir, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (text,):
+for module in (lockstep, tree, text, dictionary, textir, bindings, graph, closure, ddl, compdb, jobs, relational):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
-FLAGSHIP = QUERIES["word_scan_lines"]
+FLAGSHIP = QUERIES["lockstep_diff"]
