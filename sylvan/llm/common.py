@@ -18,12 +18,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_own_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one per application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='sylvan-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = f"file://{tempfile.mkdtemp(prefix='sylvan-')}"
+        root = _own_roots[app]
     return root.rstrip("/")
 
 

@@ -176,8 +176,9 @@ def frequent_sketch(facts: DataFrame) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(entry, doc_id, n, place): the index; place: the shingle's in the document's order, -1 where entries are
-    not all single. Exact copies within a task are entered once."""
+    """(entry, doc_id, n, place): the index; n also holds, above 32 bits, the first 16 bits of the document's last
+    entry; place: the shingle's in the document's order, -1 where entries are not all single. Exact
+    copies within a task are entered once."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +197,12 @@ def indexed(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) ->
                 places.append(np.arange(len(e), dtype=np.int32) if single else np.full(len(e), -1, np.int32))
                 found.append(e)
                 ids.append(k)
-                sizes.append(len(s))
+                sizes.append(len(s) | int(e[-1] >> np.uint64(48)) << 32)
             lengths = [len(f) for f in found]
             e = _signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]))], ["entry", "doc_id", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]))], ["entry", "doc_id", "n", "place"])
 
-    return docs.mapInArrow(entries, "entry long, doc_id long, n int, place int")
+    return docs.mapInArrow(entries, "entry long, doc_id long, n long, place int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -223,50 +224,76 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[n
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
+PIVOTS = 3
+
+
 def shared_entries(index: DataFrame) -> DataFrame:
-    """(entry, doc_id, n, place, pivot): entries of two documents or more; pivot is the smallest doc_id."""
+    """(entry, doc_id, n, place, p0, p1, p2): entries of two documents or more; the pivots are the entry's smallest
+    doc_ids (null where there are fewer). Rows come sorted, so an entry's pivots are known before its other rows
+    and no entry is held in memory."""
+    names = ["entry", "doc_id", "n", "place", *(f"p{k}" for k in range(PIVOTS))]
+
+    def marked(e, d, n, p, given) -> pa.RecordBatch:
+        start = np.r_[True, e[1:] != e[:-1]]
+        first, group = np.flatnonzero(start), np.cumsum(start) - 1
+        size = np.diff(np.r_[first, len(e)])
+        keep = size[group] > 1
+        out = []
+        for k in range(PIVOTS):
+            at = d[np.minimum(first + k, len(d) - 1)]
+            none = size <= k
+            if given is not None:
+                at[0], none[0], keep[: size[0]] = given[k], False, True
+            out.append(pa.array(at[group][keep], mask=none[group][keep]))
+        return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in (e, d, n, p)), *out], names)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: tuple[int, int] | None = None  # entry and pivot that the last chunk ended with
-        tail: tuple | None = None  # its last row, while it is the only one of its entry
+        given: tuple[int, np.ndarray] | None = None  # the entry that goes on, and its pivots
+        held: list[np.ndarray] | None = None  # or its rows, while they are no more than the pivots
         for batch in batches:
-            e, d, n, p = (batch.column(i).to_numpy() for i in range(4))
-            if not len(e):
+            now = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(now[0]):
                 continue
-            if tail is not None:
-                e, d, n, p = (np.r_[np.array([t], a.dtype), a] for t, a in zip(tail, (e, d, n, p)))
-                carry, tail = None, None
-            start = np.r_[True, e[1:] != e[:-1]]
-            first = np.flatnonzero(start)
-            group = np.cumsum(start) - 1
-            size = np.diff(np.r_[first, len(e)])
-            pivot = d[first][group]
-            keep = size[group] > 1
-            if carry is not None and e[0] == carry[0]:
-                pivot[: size[0]] = carry[1]
-                keep[: size[0]] = True
-            if not keep[-1]:
-                tail = (e[-1], d[-1], n[-1], p[-1])
-            carry = (e[-1], pivot[-1]) if keep[-1] else None
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (e, d, n, p, pivot)], ["entry", "doc_id", "n", "place", "pivot"])
-
-    return index.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(mark, "entry long, doc_id long, n int, place int, pivot long")
-
-
-_PAIRS = ("x", "y", "xn", "yn", "xp", "yp")
-
-
-def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+            if held is not None:
+                now = [np.concatenate(c) for c in zip(held, now)]
+            e, d = now[:2]
+            pivots = given[1] if given is not None and given[0] == e[0] else None
+            cut = int(np.flatnonzero(np.r_[True, e[1:] != e[:-1]])[-1])
+            held = None
+            if cut == 0 and pivots is not None:
+                yield marked(*now, pivots)
+                continue
+            if len(e) - cut <= PIVOTS:
+                held, given = [c[cut:] for c in now], None
+                now = [c[:cut] for c in now]
+            else:
+                given = (e[-1], d[cut : cut + PIVOTS].copy())
+            if len(now[0]):
+                yield marked(*now, pivots)
+        if held is not None:
+            yield marked(*held, None)
+
+    return index.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(mark, "entry long, doc_id long, n long, place int, p0 long, p1 long, p2 long")
+
+
+_UNKNOWN = -2
+_PAIRS = ("x", "y", "xn", "yn", "xp", "yp", "xe", "ye")
+
+
+def cross_pairs(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """(x, y) of documents in one entry but different components that may link by sizes and places.
 
-    Where both documents' entries are single shingles in order, all c shared ones up to the last are counted;
-    with that one at places i and j, the overlap is at most c + min(n - i, m - j) - 1.
+    Where both documents' entries are single shingles in order, all c shared ones are counted. With the last of
+    them at places i and j, the overlap is at most c + min(n - i, m - j) - 1; and if one prefix surely ends
+    first, no other shingle of it is shared: at most c + n less that prefix. Documents with entries of two
+    shingles bring their parity bitmaps along and are tested before a pair is made.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
-        for e, d, n, p, c in _groups(batches, 5):
+        for e, d, n, p, c, w, *maps in _groups(batches, 14):
+            maps = np.stack(maps, 1)
             first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(e)]):
                 # Rows of an entry come by size: partners are those up to the largest size that may link.
@@ -275,8 +302,8 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     at = np.flatnonzero(c[i + 1 : ends[i - a]] != c[i]) + i + 1
                     if len(at):
                         swap = d[at] < d[i]
-                        (di, dj), (ni, nj), (pi, pj) = ((np.full(len(at), v[i], v.dtype), v[at]) for v in (d, n, p))
-                        out.append(tuple(np.where(swap, u, v) for u, v in ((dj, di), (di, dj), (nj, ni), (ni, nj), (pj, pi), (pi, pj))))
+                        both = [(np.full(len(at), v[i], v.dtype), v[at]) for v in (d, n, p, w)]
+                        out.append(tuple(np.where(swap, u, v) for one, two in both for u, v in ((two, one), (one, two))))
                         held += len(at)
                 if held > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
@@ -284,9 +311,17 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
 
-    made = rows.repartition("entry").sortWithinPartitions("entry", "n", "doc_id").mapInArrow(pairs, "x long, y long, xn int, yn int, xp int, yp int")
-    counted = made.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("xn").alias("xn"), F.max("yn").alias("yn"), F.max("xp").alias("xp"), F.max("yp").alias("yp"), F.min(F.least("xp", "yp")).alias("least"))
-    most = F.col("c") + F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) - 1
+    bits = [f"b{i}" for i in range(8)]
+    known = facts.groupBy("doc_id").agg(*(F.max(b).alias(b) for b in bits), F.count("*").alias("same")).where("same = 1").drop("same")
+    paired = rows.where("place < 0").join(known, "doc_id", "left")
+    # A doc_id of several rows has no bitmap of its own: its place says that nothing is known, its bits agree with none.
+    rows = rows.where("place >= 0").select("*", *(F.lit(0).cast("long").alias(b) for b in bits)).unionByName(paired.withColumn("place", F.when(F.col("b0").isNull(), _UNKNOWN).otherwise(F.col("place")))).select("entry", "doc_id", "n", "place", "c", "w", *(F.coalesce(b, F.lit(0)).alias(b) for b in bits))
+    made = rows.repartition("entry").sortWithinPartitions("entry", "n", "doc_id").mapInArrow(pairs, "x long, y long, xn int, yn int, xp int, yp int, xe int, ye int")
+    counted = made.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("xn").alias("xn"), F.max("yn").alias("yn"), F.max("xp").alias("xp"), F.max("yp").alias("yp"), F.max("xe").alias("xe"), F.max("ye").alias("ye"), F.min(F.least("xp", "yp")).alias("least"))
+    beyond = lambda p: F.col(f"{p}n") - F.floor(F.col(f"{p}n") * (100 - percent) / 100) - 1  # noqa: E731  shingles after its prefix
+    most = F.col("c") + F.least(
+        F.col("xn") - F.col("xp") - 1, F.col("yn") - F.col("yp") - 1, F.when(F.col("xe") < F.col("ye"), beyond("x")), F.when(F.col("ye") < F.col("xe"), beyond("y"))
+    )
     total = (F.col("xn") + F.col("yn")).cast("long")
     return counted.where((F.col("least") < 0) | (most * (100 + percent) >= percent * total)).select("x", "y")
 
@@ -378,16 +413,21 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     first = named.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = named.join(first, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
-    # A document's best pivot: the one it shares most entries with, if likely a near copy; the rest comes below.
-    counted = shared.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("times"), F.max("n").alias("n")).where("20 * times >= n")
-    best = counted.groupBy("doc_id").agg(F.max(F.struct("times", -F.col("pivot"))).alias("b")).select(F.col("doc_id").alias("y"), (-F.col("b.col2")).alias("x"))
-    found = verified(possible(best, named, percent), entered, width, percent)
+    # A document's best pivots, one of each rank: those it shares most entries with, if likely near copies; the rest
+    # comes below. Three tries leave few near copies apart.
+    size = F.col("n").bitwiseAND(F.lit(0xFFFFFFFF))
+    best = None
+    for k in range(PIVOTS):
+        counted = shared.where(f"doc_id <> p{k}").groupBy("doc_id", F.col(f"p{k}").alias("p")).agg(F.count("*").alias("times"), F.max(size).alias("n")).where("20 * times >= n")
+        one = counted.groupBy("doc_id").agg(F.max(F.struct(F.col("times"), (-F.col("p")).alias("q"))).alias("b")).select(F.greatest("doc_id", -F.col("b.q")).alias("y"), F.least("doc_id", -F.col("b.q")).alias("x"))
+        best = one if best is None else best.unionByName(one)
+    found = verified(possible(best.distinct(), named, percent), entered, width, percent)
     links = written(copies.unionByName(found.select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
     so_far = written(components(links), "components")
 
-    placed = shared.select("entry", "doc_id", "n", "place").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c"))
+    placed = shared.select("entry", "doc_id", "n", "place").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", size.cast("int").alias("n"), "place", F.coalesce("component", "doc_id").alias("c"), F.shiftright("n", 32).cast("int").alias("w"))
     mixed = placed.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("entry")
-    rest = cross_pairs(placed.join(mixed, "entry").select("entry", "doc_id", "n", "place", "c"), percent)
+    rest = cross_pairs(placed.join(mixed, "entry").select("entry", "doc_id", "n", "place", "c", "w"), named, percent)
     more = verified(possible(rest, named, percent), entered, width, percent)
     every = links.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return own, components(every).select(F.col("node").alias("doc_id"), "component")
