@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import RecentMap, small_batches, steady_memory
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
