@@ -30,10 +30,10 @@ def split_arguments(args: Column) -> Column:
     """Cuts at commas outside any brackets (P16); no arguments, no parts."""
     step = lambda a, c: F.struct(
         (a["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)).alias("depth"),
-        F.concat(a["out"], F.when((c == ",") & (a["depth"] == 0), F.lit("\x00")).otherwise(c)).alias("out"),
+        F.concat(a["out"], F.when((c == ",") & (a["depth"] == 0), F.lit("\u0001")).otherwise(c)).alias("out"),
     )
     marked = F.aggregate(F.split(args, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step)["out"]
-    return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(marked, "\x00"), F.trim))
+    return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(marked, "\u0001"), lambda a: F.trim(a)))
 
 
 def normal_type(arg: Column, nesting: int = 6) -> Column:
@@ -70,7 +70,7 @@ def functions(files: DataFrame) -> DataFrame:
     rest = F.regexp_replace(sig, _DEFINE, "")
     found = counted.where("ends > 0").select(
         "path", "fn", F.regexp_replace(F.regexp_extract(sig, _DEFINE, 2), '"', "").alias("name"), F.regexp_extract(sig, _DEFINE, 1).alias("return_type"),
-        F.transform(split_arguments(argument_text(rest)), normal_type).alias("arg_types"), "n_basic_blocks", "n_instructions", "raw_signature",
+        F.transform(split_arguments(argument_text(rest)), lambda a: normal_type(a)).alias("arg_types"), "n_basic_blocks", "n_instructions", "raw_signature",
     )
     last = found.groupBy("path", "name").agg(F.max("fn").alias("fn"))
     return found.join(last, ["path", "name", "fn"], "left_semi").drop("fn")
