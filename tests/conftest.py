@@ -24,6 +24,7 @@ def oracle():
     import glob
 
     import duckdb
+    import pandas as pd
 
     def compare(df, sql, sf="sf0.001"):
         con = duckdb.connect()
@@ -35,7 +36,7 @@ def oracle():
 
         def rows(d):
             def plain(v):
-                if v is None or v != v:
+                if v is None or v is pd.NA or v != v:
                     return None
                 return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
