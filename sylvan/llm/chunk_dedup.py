@@ -5,8 +5,8 @@ of the byte, in 32 bits, so it depends on the last 32 bytes. A chunk ends where
 are all zero. Chunk ends follow content alone, so an insertion moves the chunks around it and no others.
 Chunks are deduplicated by digest (64-bit xxh3 of their bytes): the first occurrence by (doc_id,
 offset) stays. Short chunks repeat by chance, so only runs of neighbouring repeated chunks of
-``least`` bytes or more count; what a run covers is cut from the text, at whole characters, but for
-what occurs there first. A digest that collides would have to do so for all chunks of a run.
+``least`` bytes or more count; stretches as long of a run's chunks that occurred before are cut from the
+text, at whole characters. A digest that collides would have to do so for all chunks of a run.
 
 Counts per digest are combined in the map tasks; the join back to occurrences is a plain one whose
 skewed partitions Spark splits. Null and empty texts have no chunks and stay as they are. Rows with
@@ -90,6 +90,8 @@ def cut_runs(text: str, marks: list[tuple[int, int, bool]], least: int) -> tuple
                     removed.append((at, at + size))
     whole, at, out = [], 0, []
     for a, b in removed:
+        if b - a < least:  # a short chunk inside a passage's first occurrence that stood elsewhere before
+            continue
         while inside(a):
             a += 1
         while inside(b):
