@@ -293,13 +293,17 @@ def cross_pairs(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
         for e, d, n, p, c, w, *maps in _groups(batches, 14):
-            maps = np.stack(maps, 1)
+            maps = np.stack(maps, 1).view(np.uint64)
             first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(e)]):
                 # Rows of an entry come by size: partners are those up to the largest size that may link.
                 ends = a + np.searchsorted(n[a:b], n[a:b].astype(np.int64) * 100 // percent, "right")
                 for i in range(a, b):
                     at = np.flatnonzero(c[i + 1 : ends[i - a]] != c[i]) + i + 1
+                    if p[i] == -1 and len(at):
+                        apart = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
+                        total = n[at].astype(np.int64) + n[i]
+                        at = at[(p[at] != -1) | ((total - apart) * (100 + percent) >= 2 * percent * total)]
                     if len(at):
                         swap = d[at] < d[i]
                         both = [(np.full(len(at), v[i], v.dtype), v[at]) for v in (d, n, p, w)]
