@@ -75,11 +75,12 @@ class RecentMap(dict):
 
 @contextmanager
 def steady_memory():
-    """For workers with large caches: fewer runs of the cycle collector, which would walk them again and again.
-    What it was is put back at the task's end, as pandas functions in the same worker rely on it."""
-    was = gc.get_threshold()
-    gc.set_threshold(100_000, 50, 100)
+    """For tasks with large caches and no pandas: the cycle collector, which would walk the caches again and again,
+    rests until the task ends. What makes cycles there collects by itself."""
+    was = gc.isenabled()
+    gc.disable()
     try:
         yield
     finally:
-        gc.set_threshold(*was)
+        if was:
+            gc.enable()
