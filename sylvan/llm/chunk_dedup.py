@@ -2,11 +2,15 @@
 
 A gear hash rolls over the UTF-8 bytes of a text: shifted left by one for each byte, plus a random value
 of the byte, in 32 bits, so it depends on the last 32 bytes. A chunk ends where the bits under ``MASK``
-are all zero. Chunk ends follow content alone, so an insertion moves the chunks around it and no others.
-Chunks are deduplicated by digest (64-bit xxh3 of their bytes): the first occurrence by (doc_id,
-offset) stays. Short chunks repeat by chance, so only runs of neighbouring repeated chunks of
-``least`` bytes or more count; stretches as long of a run's chunks that occurred before are cut from the
-text, at whole characters. A digest that collides would have to do so for all chunks of a run.
+are all zero; a stretch of over ``GREATEST`` bytes is cut again where its hash is smallest. Chunk ends follow
+content, so an insertion moves the chunks around it and no others. Chunks are matched by digest (64-bit
+xxh3 of their bytes): the first occurrence by (doc_id, offset) stays.
+
+The ends of a passage never fall on chunk ends, so chunks are anchors only. Every run of neighbouring
+repeated chunks is compared byte by byte, at both sides, with the first and the last occurrence of its
+chunks. Short chunks repeat by chance, so only stretches of ``least`` bytes or more after that count;
+stretches as long that occurred before are cut from the text, at whole characters. A digest that collides
+would have to do so for all chunks of a run.
 
 Counts per digest are combined in the map tasks; the join back to occurrences is a plain one whose
 skewed partitions Spark splits. Null and empty texts have no chunks and stay as they are. Rows with
@@ -27,23 +31,42 @@ from .common import small_batches
 
 MASK = 0xF8000000
 LEAST = 100
+GREATEST = 128
+#: Bytes compared on either side of a run. A longer match would hold a chunk end of its own at each side.
+REACH = 2 * GREATEST + 32
 _GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
 _NULL_ID = -(1 << 63)
 
 
-def chunk_ends(data: bytes) -> np.ndarray:
-    """Ascending ends of the chunks of data; the last is its length."""
-    if not data:
-        return np.zeros(0, np.int64)
+def hashes(data: bytes) -> np.ndarray:
+    """The gear hash at every byte. Its low n bits depend on the last n bytes alone."""
     h = _GEAR[np.frombuffer(data, np.uint8)]
     for step in (1, 2, 4, 8, 16):  # windows of 2, 4, ... 32 bytes: five passes in place of a loop over bytes
         h[step:] += h[:-step] << np.uint32(step)
+    return h
+
+
+def chunk_ends(data: bytes, h: np.ndarray | None = None) -> np.ndarray:
+    """Ascending ends of the chunks of data; the last is its length."""
+    if not data:
+        return np.zeros(0, np.int64)
+    h = hashes(data) if h is None else h
     ends = np.flatnonzero((h & np.uint32(MASK)) == 0) + 1
-    return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
+    ends = ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
+    starts, more = np.r_[0, ends[:-1]], []
+    long = ends - starts > GREATEST
+    todo = list(zip(starts[long].tolist(), ends[long].tolist()))
+    while todo:
+        a, b = todo.pop()
+        at = a + 16 + int(h[a + 15 : b - 16].argmin())
+        more.append(at)
+        todo += [x for x in ((a, at), (at, b)) if x[1] - x[0] > GREATEST]
+    return np.sort(np.append(ends, more).astype(np.int64)) if more else ends
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(k, loc, size, digest) of every chunk; k: doc_id or the least long, loc: offset, then 24 bits of th, the text's hash."""
+    """(k, loc, size, digest) of every chunk; k: doc_id or the least long, loc: offset, then 24 bits of th, the text's hash;
+    size: 8 bits of it, then 8 bits of the hash of the 8 bytes before and of those after the chunk."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -53,11 +76,13 @@ def chunks(docs: DataFrame) -> DataFrame:
             n, starts, sizes, digests = [], [], [], []
             for text in batch.column(2).to_pylist():
                 data = text.encode("utf-8", "surrogatepass")
-                ends = chunk_ends(data)
+                h = hashes(data)
+                ends = chunk_ends(data, h)
                 start = np.r_[0, ends[:-1]] if len(ends) else ends
+                sides = (h[start - 1] & 0xFF).astype(np.int64) << 8 | (h[np.minimum(ends + 7, len(h) - 1)] & 0xFF).astype(np.int64) << 16
                 n.append(len(ends))
                 starts.append(start)
-                sizes.append(ends - start)
+                sizes.append(ends - start | sides)
                 digests += [digest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist())]
             k, th = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
             at, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, sizes))
@@ -69,25 +94,24 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("k", "th", "t").mapInArrow(cut, "k long, loc long, size int, digest long")
 
 
-def cut_runs(text: str, marks: list[tuple[int, int, bool]], least: int) -> tuple[str, int, list[tuple[int, int]]]:
-    """(what stays, repeated bytes, removed byte spans) of a text with repeated chunks (start, size, first occurrence)."""
-    data = text.encode("utf-8", "surrogatepass")
-    runs: list[list[tuple[int, int, bool]]] = []
-    for mark in sorted(marks):
-        if runs and runs[-1][-1][0] + runs[-1][-1][1] == mark[0]:
-            runs[-1].append(mark)
+def joined_spans(spans) -> list[tuple[int, int]]:
+    """The union of (start, end, ...): ascending, apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(x[:2] for x in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            runs.append([mark])
-    kept_runs = [r for r in runs if sum(m[1] for m in r) >= least]
+            out.append((a, b))
+    return out
+
+
+def cut_runs(text: str, marks: list[tuple[int, int, bool]], least: int, matched: list[tuple[int, int, bool]] = ()) -> tuple[str, int, list[tuple[int, int]]]:
+    """(what stays, repeated bytes, removed byte spans) of a text with repeated chunks (start, size, first occurrence)
+    and matched spans beside them (start, end, whether the other place comes before)."""
+    data = text.encode("utf-8", "surrogatepass")
+    kept_runs = [x for x in joined_spans([*((at, at + size) for at, size, _ in marks), *matched]) if x[1] - x[0] >= least]
     inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
-    removed: list[tuple[int, int]] = []
-    for run in kept_runs:
-        for at, size, first in run:
-            if not first:
-                if removed and removed[-1][1] == at:
-                    removed[-1] = (removed[-1][0], at + size)
-                else:
-                    removed.append((at, at + size))
+    removed = joined_spans([*((at, at + size) for at, size, first in marks if not first), *(x for x in matched if x[2])])
     whole, at, out = [], 0, []
     for a, b in removed:
         if b - a < least:  # a short chunk inside a passage's first occurrence that stood elsewhere before
@@ -101,36 +125,113 @@ def cut_runs(text: str, marks: list[tuple[int, int, bool]], least: int) -> tuple
             out.append(data[at:a])
             at = b
     out.append(data[at:])
-    return b"".join(out).decode("utf-8", "surrogatepass"), sum(m[1] for r in kept_runs for m in r), whole
+    return b"".join(out).decode("utf-8", "surrogatepass"), sum(b - a for a, b in kept_runs), whole
+
+
+def same_end(a: bytes, b: bytes) -> int:
+    """Length of the longest common suffix."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    differ = int.from_bytes(a[-n:], "big") ^ int.from_bytes(b[-n:], "big")
+    return n if not differ else ((differ & -differ).bit_length() - 1) // 8
+
+
+def places(per_doc: DataFrame, least: int) -> DataFrame:
+    """Where else to look around every run: (k, th, lo, hi, pk, pth, plo), one row for each other place of the
+    chunks within least bytes of a run's edges (short ones may be elsewhere by chance); those at one distance share a row.
+    A place where no 8 bytes beside the chunk can be equal (first_near, last_near) gives under 8 bytes at either side; it is
+    asked only where these may decide whether a run is long enough."""
+    names = ("k", "th", "lo", "hi", "pk", "pth", "plo")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column(2)
+            flat = marks.flatten()
+            at, size, *other = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(8))
+            doc = np.repeat(np.arange(len(batch)), np.diff(marks.offsets.to_numpy()))
+            by = np.lexsort((at, doc))
+            at, size, doc, other = at[by].astype(np.int64), size[by].astype(np.int64), doc[by], [x[by] for x in other]
+            if not len(at):
+                continue
+            k, th = (batch.column(i).to_numpy()[doc].astype(np.int64) for i in (0, 1))
+            starts = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + size[:-1])]
+            run = np.cumsum(starts) - 1
+            first, last = np.flatnonzero(starts), np.flatnonzero(np.r_[starts[1:], True])
+            wanted = (at - at[first][run] < least) | ((at + size)[last][run] - at - size < least)
+            total = (at + size)[last][run] - at[first][run]
+            close, found = (total < least) & (total + 14 >= least), []
+            for pk, ploc, near in (other[:3], other[3:]):
+                use = wanted & (close | near) & ((pk != k) | (ploc != (at << 24 | th)))
+                found.append(np.stack([run[use], pk[use], ploc[use] & 0xFFFFFF, (ploc[use] >> 24) - at[use], at[use], at[use] + size[use], doc[use]]))
+            x = np.concatenate(found, 1)
+            x = x[:, np.lexsort(x[3::-1])]
+            if not x.shape[1]:
+                continue
+            new = np.flatnonzero(np.r_[True, (x[:4, 1:] != x[:4, :-1]).any(0)])
+            lo, hi = np.minimum.reduceat(x[4], new), np.maximum.reduceat(x[5], new)
+            x = x[:, new]
+            cols = [batch.column(0).to_numpy()[x[6]], batch.column(1).to_numpy()[x[6]], lo, hi, x[1], x[2], x[3] + lo]
+            for i in range(0, len(lo), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000].astype(np.int64)) for c in cols], list(names))
+
+    return per_doc.select("k", "th", "marks").mapInArrow(find, ", ".join(f"{c} long" for c in names))
 
 
 def dedup(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Every row with kept_text, repeated_bytes (in runs that also occur elsewhere), removed_bytes, spans
+    """Every row with kept_text, repeated_bytes (in stretches that also occur elsewhere), removed_bytes, spans
     (start:end in bytes of what was removed) and n_repeated_chunks; other columns pass through."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF)).alias("th"), F.struct(*docs.columns).alias("row"))
     texts = rows.select("k", "th", F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("t")).where("t <> ''")
     found = chunks(texts)
-    counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("k", "loc")).alias("first")).where("n > 1").select("digest", F.col("first.k").alias("fk"), F.col("first.loc").alias("floc"))
+    place = F.struct("k", "loc", "size")
+    counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1").select("digest", "first", "last")
+    near = lambda c: (F.col("size").bitwiseXOR(F.col(f"{c}.size")).bitwiseAND(F.lit(0xFF00)) == 0) | (F.col("size").bitwiseXOR(F.col(f"{c}.size")).bitwiseAND(F.lit(0xFF0000)) == 0)
     at, th = F.shiftright("loc", 24).cast("int").alias("at"), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("th")
-    marks = found.join(counted, "digest").select("k", th, F.struct(at, "size", ((F.col("k") == F.col("fk")) & (F.col("loc") == F.col("floc"))).alias("first")).alias("m"))
+    other = [x for c, s in (("first", "f"), ("last", "l")) for x in (F.col(f"{c}.k").alias(f"{s}k"), F.col(f"{c}.loc").alias(f"{s}loc"), near(c).alias(f"{c}_near"))]
+    # The filter is what the join below would infer: so both uses of the marks are one plan, made once.
+    marks = found.where(F.col("k").isNotNull() & F.col("loc").isNotNull() & F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).isNotNull()).join(counted, "digest").select("k", th, F.struct(at, F.col("size").bitwiseAND(F.lit(0xFF)).alias("size"), *other).alias("m"))
     # Bounded by a document's own chunks; rows equal in id and text repeat their marks, hence the set.
     per_doc = marks.groupBy("k", "th").agg(F.collect_set("m").alias("marks"))
 
+    @F.pandas_udf("left binary, right binary")
+    def around(texts, los, his, _):
+        import pandas as pd
+
+        out, last, data = [], None, b""
+        for t, lo, hi in zip(texts, los, his):
+            if t is not last:
+                last, data = t, t.encode("utf-8", "surrogatepass")
+            out.append((data[max(0, lo - REACH) : lo], data[hi : hi + REACH]))
+        return pd.DataFrame(out, columns=["left", "right"])
+
+    # All columns of rows are read, so that one exchange of them serves both joins.
+    asked = places(per_doc, least)
+    seen = asked.join(rows.withColumnsRenamed({"k": "pk", "th": "pth"}), ["pk", "pth"]).withColumn("c", around(F.col(f"row.{text}"), "plo", F.col("plo") + F.col("hi") - F.col("lo"), F.xxhash64("row")))
+    before = F.struct("pk", "plo", "pth") < F.struct(F.col("k").alias("pk"), F.col("lo").alias("plo"), F.col("th").alias("pth"))
+    matches = seen.select("k", "th", F.struct("lo", "hi", before.alias("before"), "c.left", "c.right").alias("m")).groupBy("k", "th").agg(F.collect_set("m").alias("near"))
+
     @F.pandas_udf("kept string, repeated_bytes long, spans array<struct<start:long,end:long>>, n_repeated_chunks long")
-    def cut(texts, marks):
+    def cut(texts, marks, near):
         import pandas as pd
 
         out = []
-        for t, ms in zip(texts, marks):
+        for t, ms, xs in zip(texts, marks, near):
             if t is None or ms is None or not len(ms):
                 out.append((t, 0, [], 0))
                 continue
-            kept, repeated, spans = cut_runs(t, [(m["at"], m["size"], m["first"]) for m in ms], least)
+            data, matched = t.encode("utf-8", "surrogatepass"), []
+            for x in xs if xs is not None else ():
+                lo, hi = x["lo"], x["hi"]
+                left, right = same_end(data[max(0, lo - REACH) : lo], x["left"]), same_end(data[hi : hi + REACH][::-1], x["right"][::-1])
+                matched += [(lo - left, lo, x["before"]), (hi, hi + right, x["before"])]
+            kept, repeated, spans = cut_runs(t, [(m["at"], m["size"], m["first"]) for m in ms], least, matched)
             out.append((kept, repeated, [{"start": a, "end": b} for a, b in spans], len(ms)))
         return pd.DataFrame(out, columns=["kept", "repeated_bytes", "spans", "n_repeated_chunks"])
 
-    joined = rows.join(per_doc, ["k", "th"], "left").withColumn("c", cut(F.col(f"row.{text}"), "marks"))
+    own = F.transform("marks", lambda m: F.struct(m["at"].alias("at"), m["size"].alias("size"), ((m["fk"] == F.col("k")) & (m["floc"] == F.shiftleft(m["at"].cast("long"), 24).bitwiseOR(F.col("th")))).alias("first")))
+    joined = rows.join(per_doc, ["k", "th"], "left").join(matches, ["k", "th"], "left").withColumn("c", cut(F.col(f"row.{text}"), own, "near"))
     removed = F.aggregate("c.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     spans = F.array_join(F.transform("c.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return joined.select("row.*", F.col("c.kept").alias("kept_text"), F.col("c.repeated_bytes").alias("repeated_bytes"), removed.alias("removed_bytes"), spans.alias("spans"), F.col("c.n_repeated_chunks").alias("n_repeated_chunks"))

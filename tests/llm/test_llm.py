@@ -125,6 +125,23 @@ def test_repeated_passages_are_cut_and_clean_ones_stay(spark):
     assert sum(got[i]["removed_bytes"] > 100 for i in range(25, 50)) >= 24
 
 
+def test_every_passage_of_51_words_is_found_in_all_its_documents(spark):
+    r = random.Random(11)
+    words = prose(30000, 12).split()
+    short = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(30000)]
+    passages = [" ".join(r.sample(kind, 51)) for kind in (words, short) for _ in range(150)]
+    rows = [(i, f"{prose(40, 9000 + i)} {passages[i % 300]} {prose(40, 12000 + i)}") for i in range(600)]
+    got = by_id(chunk_dedup.query(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [i for i in range(600) if got[i]["repeated_bytes"] < len(passages[i % 300])] == []
+    assert all(passages[i % 300] not in got[i]["text"] for i in range(300, 600)) and all(got[i]["text"] == rows[i][1] for i in range(300))
+
+
+def test_chunks_have_a_greatest_size():
+    for data in (b"a" * 5000, prose(3000, 5).encode(), b"ab" * 700):
+        ends = chunk_dedup.chunk_ends(data)
+        assert np.diff(np.r_[0, ends]).min() > 0 and np.diff(np.r_[0, ends]).max() <= chunk_dedup.GREATEST and ends[-1] == len(data)
+
+
 def test_cuts_keep_whole_characters():
     text = "é" * 200
     kept, repeated, spans = chunk_dedup.cut_runs(text, [(1, 201, False)], 100)
