@@ -4,7 +4,9 @@ Every language has a codeword of +1 and -1; one binary classifier per bit, logis
 hashed character n-grams (1 to 3 letters, case-folded, other characters as one space), predicts that bit. Loss-weighted
 decoding sums the exponential loss of each language's codeword over the bits, weighted by how well each
 bit's classifier does for that language on the training rows, and takes the smallest. The score is the
-share of exp(-loss) of the best language; a row is ambiguous if the second is within ``margin`` of it.
+share of exp(-loss) of the best language; a row is ambiguous if the second is within ``margin`` of it. It is
+unlike the languages learned if its least loss is over ``slack`` times the greatest of the training rows
+that are predicted right; one learned language alone has the same loss for all texts, so none is unlike it.
 
 Classifiers are fitted on the driver on a bounded sample (at most ``per_language`` rows a language, those of
 smallest hash of id and text, whole texts but no more than ``chars_per_language`` characters in all); prediction
@@ -81,11 +83,16 @@ class Model:
     weights: np.ndarray  # (features + 1, bits)
     trust: np.ndarray  # (languages, bits), rows sum to 1
     dimensions: int = DIMENSIONS
+    learned: float = np.inf  # greatest loss of a training row predicted right
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best language's index and its score, and the second one's score, for each row."""
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """Every language's loss, for each row."""
         margins = np.clip(x @ self.weights[:-1] + self.weights[-1], -6, 6)
-        loss = (self.trust[None] * np.exp(-self.code[None] * margins[:, None, :])).sum(2)
+        return (self.trust[None] * np.exp(-self.code[None] * margins[:, None, :])).sum(2)
+
+    @staticmethod
+    def shares(loss: np.ndarray) -> np.ndarray:
+        """Every language's score, for each row."""
         share = np.exp(-loss + loss.min(1, keepdims=True))
         return share / share.sum(1, keepdims=True)
 
@@ -110,7 +117,11 @@ def fit(texts: list[str], langs: list[str], dimensions: int = DIMENSIONS, rounds
         trust = np.array([right[of == i].mean(0) for i in range(len(languages))]) + 1e-6
     else:
         trust = np.ones(code.shape)
-    return Model(languages, code, weights, trust / trust.sum(1, keepdims=True), dimensions)
+    model = Model(languages, code, weights, trust / trust.sum(1, keepdims=True), dimensions)
+    if len(languages) > 1:
+        loss = np.concatenate([model.losses(x[lo : lo + 256]) for lo in range(0, len(x), 256)])
+        model.learned = float(loss.min(1)[loss.argmin(1) == of].max(initial=0.0))
+    return model
 
 
 def training_rows(labelled: DataFrame, per_language: int, chars_per_language: int, text: str = "text", lang: str = "lang", doc_id: str = "doc_id"):
@@ -138,27 +149,27 @@ def train(labelled: DataFrame, per_language: int = 500, chars_per_language: int
     return fit([t for t, _ in found], [lang for _, lang in found])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", margin: float = 0.1) -> DataFrame:
-    """Adds lang_pred, score, lang_second and ambiguous to every row; other columns pass through."""
+def predict(docs: DataFrame, model: Model, text: str = "text", margin: float = 0.1, slack: float = 1.5) -> DataFrame:
+    """Adds lang_pred, score, lang_second, ambiguous and unlike to every row; other columns pass through."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages, bits and dimensions
-    out = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_second", pa.string()), ("ambiguous", pa.bool_())])
+    out = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_second", pa.string()), ("ambiguous", pa.bool_()), ("unlike", pa.bool_())])
 
-    @F.pandas_udf("lang_pred string, score double, lang_second string, ambiguous boolean")
+    @F.pandas_udf("lang_pred string, score double, lang_second string, ambiguous boolean, unlike boolean")
     def judged(texts):
         import pandas as pd
 
         m = shared.value
-        rows = [(UNDETERMINED, 0.0, None, False)] * len(texts)
+        rows = [(UNDETERMINED, 0.0, None, False, False)] * len(texts)
         for lo in range(0, len(texts), 256):
             found = [features(t, m.dimensions) for t in texts.iloc[lo : lo + 256]]
             at = [i for i, f in enumerate(found) if f is not None]
             if at and m.languages:
-                share = m.decode(np.array([found[i] for i in at]))
-                for i, s in zip(at, share):
+                loss = m.losses(np.array([found[i] for i in at]))
+                for i, s, unlike in zip(at, m.shares(loss), loss.min(1) > slack * m.learned):
                     order = np.argsort(-s, kind="stable")
                     second = float(s[order[1]]) if len(order) > 1 else 0.0
-                    rows[lo + i] = (m.languages[order[0]], float(s[order[0]]), m.languages[order[1]] if len(order) > 1 else None, float(s[order[0]]) - second < margin)
+                    rows[lo + i] = (m.languages[order[0]], float(s[order[0]]), m.languages[order[1]] if len(order) > 1 else None, float(s[order[0]]) - second < margin, bool(unlike))
         return pd.DataFrame(rows, columns=[f.name for f in out])
 
     return docs.withColumn("judged", judged(F.col(text))).select(*docs.columns, "judged.*")
@@ -171,10 +182,10 @@ def held_out(doc_id: str = "doc_id"):
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, lang_second, ambiguous of every document."""
     model = train(docs.where(~held_out()))
-    return predict(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text"), model).drop("text")
+    return predict(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text"), model).drop("text", "unlike")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """Drops the documents whose language is undetermined, or ambiguous with a score under least."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Drops the documents whose language is undetermined or ambiguous, or that are unlike the languages learned."""
     found = predict(docs, train(docs.where(~held_out())))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & ~(F.col("ambiguous") & (F.col("score") < least))).select(*docs.columns)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous") & ~F.col("unlike")).select(*docs.columns)

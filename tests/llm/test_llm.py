@@ -103,6 +103,23 @@ def test_undetermined_and_learned_only(spark, odd):
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in rows.items())
 
 
+def test_ambiguous_and_unlearned_documents_are_dropped(spark, docs):
+    clean = docs.where("length(text) > 400").select("doc_id", "text", "lang")
+    r = random.Random(5)
+    model = language_id.train(clean.where(~language_id.held_out()))
+    by = {x["lang"]: x["text"].split() for x in clean.collect()}
+    a, b = list(by)[:2]
+    blends = [" ".join(by[a][: 200 - i] + by[b][:i]) for i in range(0, 201, 2)]
+    mixed = [i for i, m in enumerate(language_id.predict(spark.createDataFrame(list(enumerate(blends)), "i long, text string"), model).orderBy("i").collect()) if m["ambiguous"]]
+    assert mixed
+    other = ["".join(chr(r.randint(0x430, 0x44F)) if r.random() < 0.85 else " " for _ in range(400)), "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(200))]
+    # Ids in the held-out fifth, so the model is the same.
+    ids = [i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 5 == 0]
+    more = spark.createDataFrame(list(zip(ids, [blends[mixed[len(mixed) // 2]], *other], ["x"] * 3)), clean.schema)
+    kept = set(by_id(language_id.keep_identified(clean.unionByName(more))))
+    assert not kept & set(ids) and kept == set(by_id(clean))
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 9):
         code = language_id.codewords(n)
