@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -190,21 +191,24 @@ def _utf8_table() -> list[list[int]]:
 
 
 _UTF8 = _utf8_table()
+_not_ascii = re.compile(rb"[\x80-\xff]").search
 
 
 class StreamDecoder:
     """Ids in, text out as soon as its characters are whole; bytes that can't be UTF-8 become U+FFFD."""
 
-    def __init__(self, tokens: dict[int, bytes]):
+    def __init__(self, tokens: dict):
         self.tokens, self.state, self.held = tokens, 0, b""
 
     def feed(self, ids: Iterable[int]) -> str:
         data = self.held + b"".join([self.tokens[i] for i in ids])
         state, whole, at = self.state, 0, len(self.held)
         while at < len(data):
-            if state == 0 and data[at:].isascii():
-                at = whole = len(data)
-                break
+            if state == 0:  # ASCII leaves the state as it is
+                found = _not_ascii(data, at)
+                at = whole = found.start() if found else len(data)
+                if not found:
+                    break
             state = _UTF8[state][data[at]]
             if state == 8:
                 # The bytes since the last whole character are wrong; a byte that may begin one is read again.
@@ -248,6 +252,15 @@ class Codec:
     def decode_bytes(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
 
+    def decoded_sha256(self, ids: str, block: int = 4096) -> str:
+        """Of the text in UTF-8 that the streaming decoder gives, block ids at a time."""
+        stream, sha = StreamDecoder(self.bytes_of), hashlib.sha256()
+        row = ids.split(" ") if ids else []
+        for i in range(0, len(row), block):
+            sha.update(stream.feed(row[i : i + block]).encode())
+        sha.update(stream.finish().encode())
+        return sha.hexdigest()
+
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -291,7 +304,7 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids",
 
 
 def codec_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, its ids decoded again."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, its ids decoded again by the streaming decoder."""
     small_batches(docs.sparkSession)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +316,7 @@ def codec_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ids = own.encode_text(text or "")
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     shas.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+                    decoded.append(own.decoded_sha256(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -273,6 +273,22 @@ def test_transducer_equals_the_library():
         assert "".join(stream.feed([b]) for b in bad) + stream.finish() == bad.decode("utf-8", "replace")
 
 
+def test_digests_are_of_the_streaming_decoder(spark, odd, monkeypatch):
+    own = byte_bpe.Codec(queries.BYTE_BPE, P.PATTERN, 2000)
+    ids = {t: i for i, t in own.bytes_of.items()}
+    assert own.decoded_sha256(f"{ids[b'a']} {ids[b'\xc3']}") == hashlib.sha256("a�".encode()).hexdigest()
+    text, fed = "naïve 日本 😀 " * 50, []
+    feed = byte_bpe.StreamDecoder.feed
+    monkeypatch.setattr(byte_bpe.StreamDecoder, "feed", lambda self, row: fed.append(len(row)) or feed(self, row))
+    for block in (1, 7, 4096):
+        assert own.decoded_sha256(own.encode_text(text), block) == hashlib.sha256(text.encode()).hexdigest()
+    assert fed and max(fed) <= 4096
+    monkeypatch.undo()
+    digests = byte_bpe.codec_digests(odd.where("doc_id is not null"), queries.BYTE_BPE, P.PATTERN)
+    want = sorted(hashlib.sha256((x["text"] or "").encode()).hexdigest() for x in odd.where("doc_id is not null").collect())
+    assert sorted(x["decoded_sha256"] for x in digests.collect()) == want
+
+
 def test_codec_columns_round_trip(spark, odd):
     both = byte_bpe.decode_documents(byte_bpe.encode_documents(odd, queries.BYTE_BPE, P.PATTERN), queries.BYTE_BPE, P.PATTERN)
     assert all(r["decoded"] == (r["text"] or "") for r in both.collect())
