@@ -9,8 +9,8 @@ unlike the languages learned if its least loss is over ``slack`` times the great
 that are predicted right; one learned language alone has the same loss for all texts, so none is unlike it.
 
 Classifiers are fitted on the driver on a bounded sample (at most ``per_language`` rows a language, those of
-smallest hash of id and text, whole texts but no more than ``chars_per_language`` characters in all); prediction
-reads every whole text. A text that is null or without a letter is ``und`` with score 0.
+smallest hash of id and text, whole texts but no more than ``chars_per_language`` characters in all) of at most
+``languages`` languages; more are an error, none is left out. Prediction reads every whole text. A text that is null or without a letter is ``und`` with score 0.
 """
 
 from __future__ import annotations
@@ -124,10 +124,13 @@ def fit(texts: list[str], langs: list[str], dimensions: int = DIMENSIONS, rounds
     return model
 
 
-def training_rows(labelled: DataFrame, per_language: int, chars_per_language: int, text: str = "text", lang: str = "lang", doc_id: str = "doc_id"):
-    """The bounded sample, brought to the driver: a hash threshold per language, then exact bounds."""
+def training_rows(labelled: DataFrame, per_language: int, chars_per_language: int, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", languages: int = 1000):
+    """The bounded sample, brought to the driver: a hash threshold per language, then exact bounds.
+    ValueError if the rows have more than so many languages."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: (r[1], r[2] or 0) for r in rows.groupBy(lang).agg(F.count("*"), F.sum(F.length(text))).orderBy(F.desc("count(1)"), lang).limit(1000).collect()}
+    counts = {r[0]: (r[1], r[2] or 0) for r in rows.groupBy(lang).agg(F.count("*"), F.sum(F.length(text))).orderBy(F.desc("count(1)"), lang).limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"over {languages} languages in column {lang}; raise the parameter languages")
     h = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30))
     near = [(k, min(1.0, per_language / n, chars_per_language / max(1, c))) for k, (n, c) in counts.items()]
     if not near:
@@ -144,8 +147,8 @@ def training_rows(labelled: DataFrame, per_language: int, chars_per_language: in
     return out
 
 
-def train(labelled: DataFrame, per_language: int = 500, chars_per_language: int = 3_000_000) -> Model:
-    found = training_rows(labelled, per_language, chars_per_language)
+def train(labelled: DataFrame, per_language: int = 500, chars_per_language: int = 3_000_000, languages: int = 1000) -> Model:
+    found = training_rows(labelled, per_language, chars_per_language, languages=languages)
     return fit([t for t, _ in found], [lang for _, lang in found])
 
 

@@ -103,6 +103,15 @@ def test_undetermined_and_learned_only(spark, odd):
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in rows.items())
 
 
+def test_too_many_languages_are_an_error(spark):
+    rows = spark.range(1001).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError, match="1000 languages"):
+        language_id.training_rows(rows, 500, 1000)
+    assert len(language_id.training_rows(rows.limit(3), 500, 1000, languages=3)) == 3
+    with pytest.raises(ValueError):
+        language_id.train(rows.limit(3), languages=2)
+
+
 def test_ambiguous_and_unlearned_documents_are_dropped(spark, docs):
     clean = docs.where("length(text) > 400").select("doc_id", "text", "lang")
     r = random.Random(5)
