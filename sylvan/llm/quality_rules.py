@@ -9,6 +9,9 @@ the 10th too), plus a slack that keeps a group without spread from rejecting eve
 
 The base rule on few words or many repeated ones stays and comes first. Nulls: a null text has no
 words and fails; a null language or source is a group like any other. Repeated rows are each judged.
+Windows are compared by 64-bit hash, within one text only; a very long text is an array of as many
+hashes as it has words, in one row. An empty table gives no rows. Only doc_id, text and the two group
+columns are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import whole_text, written
 
 SPACE = r"[\x20\x09-\x0D]"
+SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 SKETCH_K = 4096
 #: rate -> slack above the fence
@@ -26,11 +30,10 @@ RATES = {"word_length": 2.0, "symbol_rate": 1.0, "line_rate": 0.35, "repeat_rate
 SCHEMA = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _repeated(windows: Column) -> Column:
-    """Words covered by windows whose hash occurs twice or more: sort (hash, place), keep equal neighbours, join the stretches."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    beside = F.transform(placed, lambda s, i: F.when((s["h"] == F.get(placed, i - 1)["h"]) | (s["h"] == F.get(placed, i + 1)["h"]), s["i"]))
-    starts = F.sort_array(F.filter(beside, lambda i: i.isNotNull()))
+def _covered(placed: Column) -> Column:
+    """Words covered by windows whose hash occurs twice or more; placed: (hash, place) in order, a column of its own."""
+    beside = F.filter(placed, lambda s, i: (s["h"] == F.get(placed, i - 1)["h"]) | (s["h"] == F.get(placed, i + 1)["h"]))
+    starts = F.sort_array(F.transform(beside, lambda s: s["i"]))
     return F.aggregate(
         starts,
         F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")),
@@ -40,10 +43,13 @@ def _repeated(windows: Column) -> Column:
 
 
 def counts(docs: DataFrame, keep: tuple[str, ...] = ("lang", "source"), text: str = "text") -> DataFrame:
-    """doc_id, the base counts, n_lines (those with a word) and the columns to keep."""
+    """doc_id, the base counts, n_lines (those with a word) and the columns to keep.
+
+    Arrays that a later expression looks into by place are columns of their own, so each is made once a row.
+    """
     t = F.col("t")
-    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM t)")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    trimmed = F.trim(t, F.lit(SPACES))
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, whole_text(text).alias("t"))
     two = one.select(
         "doc_id",
@@ -64,11 +70,14 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ("lang", "source"), text: st
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     h = F.col("h")
-    whole = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW))))
-    four = three.withColumn("windows", whole).drop("h")
-    w = F.col("windows")
-    repeated = F.when(F.size(F.array_distinct(w)) < F.size(w), _repeated(w)).otherwise(F.lit(0))
-    return four.select(*SCHEMA[:5], repeated.cast("long").alias("n_repeat_words"), "n_lines", *keep)
+    windows = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW))))
+    four = three.withColumn("w", windows).drop("h")
+    # Only texts with some window twice are sorted at all.
+    w = F.col("w")
+    placed = F.when(F.size(F.array_distinct(w)) < F.size(w), F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    five = four.withColumn("placed", placed).drop("w")
+    repeated = F.when(F.col("placed").isNotNull(), _covered(F.col("placed"))).otherwise(F.lit(0))
+    return five.select(*SCHEMA[:5], repeated.cast("long").alias("n_repeat_words"), "n_lines", *keep)
 
 
 def with_rates(rows: DataFrame) -> DataFrame:

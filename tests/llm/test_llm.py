@@ -190,6 +190,42 @@ def test_quality_counts(spark):
     assert (got[2]["n_dup_lines"], got[2]["n_symbols"], got[2]["word_chars"]) == (1, 2, 7) and got[3]["base_failed"] and not got[3]["kept"]
 
 
+def quality_by_definition(text):
+    import re
+    from collections import Counter
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    often = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 8)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_against_definitions(spark):
+    r = random.Random(1)
+    texts = ["f a b", "f", "\x0ca b", "\x0b\x0c\r\n\t a f", " ".join(f"fw{i}" for i in range(8)) + " " + " ".join(f"fw{i}" for i in range(8)), "a\x1cb \x85 c\xa0d", "", None, " \n "]
+    texts += [f"{e}w x{e}" for e in "fntrux \t\n\x0b\x0c\r0"] + [e + " ".join("fab"[i % 3] for i in range(20)) + e for e in "f \t\n\x0c"]
+    long = " ".join("".join(r.choice("fabc") for _ in range(4)) for _ in range(20_000))
+    texts += [f"{long}\n{long[:50_000]}"] + ["".join(r.choice(["f", "a", "b", " ", "  ", "\n", "\x0c", "#", "ab ", "fa b "]) for _ in range(r.randint(0, 200))) for _ in range(200)]
+    rows = spark.createDataFrame([(i, t, "en", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for k, x in by_id(quality_rules.judge(rows)).items():
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == quality_by_definition(texts[k]), texts[k]
+        assert x["base_failed"] == (x["n_words"] < 20 or 100 * x["n_repeat_words"] > 30 * x["n_words"])
+
+
+def test_quality_fences_of_small_and_large_groups(spark):
+    def text(i, n):
+        return " ".join(f"{'x' * n}{(i * 31 + j) % 97}" for j in range(30))
+
+    rows = [(i, text(i, 3), "en", "big") for i in range(120)] + [(1000, text(1, 40), "en", "big"), (1001, text(2, 40), "en", "small"), (1002, text(3, 3), "en", "small"), (1003, text(4, 40), "fr", None)]
+    got = by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert all(got[i]["kept"] for i in [*range(120), 1002]) and not any(got[i]["kept"] for i in (1000, 1001, 1003))
+    fences = {(r["lang"], r["source"]): r["word_length_high"] for r in quality_rules.thresholds(quality_rules.with_rates(quality_rules.counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))).collect()}
+    assert len(fences) == 3 and max(fences.values()) < 20
+
+
 def test_histogram_packing_is_exact_and_tight():
     r = random.Random(5)
     for _ in range(100):
