@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """For Python operators: the package on the executors, and Arrow batches of few rows, as one text may have many megabytes."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """For Python operators: the package on the executors, and Arrow batches that end at so many rows or bytes, as
+    one text may have many megabytes. It sets two settings of the session that only Arrow functions read."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def whole_text(column: str = "text"):
@@ -76,7 +80,8 @@ class RecentMap(dict):
 @contextmanager
 def steady_memory():
     """For tasks with large caches and no pandas: the cycle collector, which would walk the caches again and again,
-    rests until the task ends. What makes cycles there collects by itself."""
+    rests until the task ends. What makes cycles there collects by itself. Then freed memory goes back to the
+    system, as the worker lives on and its neighbours need it."""
     was = gc.isenabled()
     gc.disable()
     try:
@@ -84,3 +89,10 @@ def steady_memory():
     finally:
         if was:
             gc.enable()
+        give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, steady_memory, written
+from .common import small_batches, written
 from .word_tokens import word_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, local long"
@@ -86,8 +86,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int | None) -> D
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with steady_memory():
-            encoder, part = word_encoder(vocabulary), TaskContext.get().partitionId()
+        with word_encoder(vocabulary) as encoder:
+            part = TaskContext.get().partitionId()
             seen: dict[int, int] = defaultdict(int)
             for batch in batches:
                 rows = []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, steady_memory, work_path
+from .common import small_batches, work_path
 from .word_tokens import word_encoder
 
 _HEAD = struct.Struct("<QI")
@@ -74,9 +74,8 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with steady_memory():
-            encoder = word_encoder(vocabulary)
-            width = 2 if max(len(encoder.last), end_id or 0) <= 1 << 16 else 4
+        with word_encoder(vocabulary) as encoder:
+            width = 2 if max(encoder.ids, end_id or 0) <= 1 << 16 else 4
             for batch in batches:
                 ids = encoder.encode_batch(batch.column(1).to_pylist())
                 out = [frame(k, x + tail, width) for k, x in zip(batch.column(0).to_pylist(), ids)]

@@ -1,26 +1,33 @@
 """Exact and fast encoding with a word-level BPE of the ``tokenizers`` library.
 
 The library's pre-tokenizer never lets a token cross white space and its normaliser works within a
-word, so a text may be encoded word by word. Each worker keeps two bounded caches to the bytes of
-ids (unsigned 32-bit, little-endian): of words as they stand, and of lower-case letter runs. A word
-of letters that lower-case one by one and need no normalisation is cut here and its pre-tokens go to
-the library's BPE model, many in a call; every other word goes through the library's whole pipeline.
+word. So words whose letters lower-case one by one and need no normalisation are cut into pre-tokens
+here, by one expression over a whole text; every other word is one piece. Arrow numbers the distinct
+pieces of a batch: a pre-token goes to the library's BPE model, a whole word through its whole
+pipeline, each once, and the texts' ids are gathered by number. A worker keeps the ids (unsigned
+32-bit, little-endian) of recent pieces up to a bound, until its task ends.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_WORDS = 200_000
-#: ASCII, and Latin-1 letters but for the sharp s: one-to-one lower case, already composed.
-_PLAIN = re.compile(r"[!-~\xC0-\xD6\xD8-\xDE\xE0-\xF6\xF8-\xFE\xDF]*")
-_LETTERS = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFE]+")
-#: One pre-token if they stand together; no apostrophe, and no "<", which may open a special token.
-_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
-_LATIN = re.compile(r"[\x00-\xFF]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFE]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFE]+")
+from .common import steady_memory
+
+CACHE_PIECES = 200_000
+#: ASCII, and Latin-1 letters: one-to-one lower case, already composed.
+_PLAIN = re.compile(r"[!-~\xC0-\xD6\xD8-\xF6\xF8-\xFE]*")
+_PLAIN_TEXT = re.compile(r"[\t\n\r -~\xC0-\xD6\xD8-\xF6\xF8-\xFE]*")
+#: The pre-tokens of a plain lower-case text.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFE]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFE\t\n\r ]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -35,83 +42,84 @@ def byte_alphabet() -> list[str]:
     return table
 
 
-def lowered(text: str) -> str:
-    """Lower case where that is sure to change no id (fewer words to know): Latin-1, no special token."""
-    if text.isascii() or _LATIN.fullmatch(text):
-        return text if "<|" in text else text.lower()
-    return text
-
-
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        vocab = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.model = self.tokenizer.model
+        self.ids = max(self.tokenizer.get_vocab().values()) + 1
+        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(specials) or "(?!)").search
         self.table = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
-        self.limit = cache_words
+        self.limit = cache_pieces
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
 
-    def cut(self, word: str) -> tuple[str, ...] | None:
-        """The word's pre-tokens in lower case; None if only the whole pipeline can tell."""
-        head = word.rstrip(_SIGNS)
-        if head.isalpha() and (head.isascii() or _LETTERS.fullmatch(head)):
-            return head.lower(), word[len(head) :]
-        if _PLAIN.fullmatch(word) and not any(s in word for s in self.specials):
-            return tuple(_PIECES.findall(word.lower()))
-        return None
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens, and whole words where only the library's pipeline can tell."""
+        if _PLAIN_TEXT.fullmatch(text) and not self.special(text):
+            return _PIECES.findall(text.lower())
+        out = []
+        for word in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+            if _PLAIN.fullmatch(word) and not self.special(word):
+                out += _PIECES.findall(word.lower())
+            else:
+                out.append(word)
+        return out
 
     def learn(self, pieces: list[str]) -> None:
-        """One call of the BPE model for many pre-tokens; the last id of each one carries the word end."""
-        for lo in range(0, len(pieces), 50_000):
-            part = pieces[lo : lo + 50_000]
-            shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.table) for p in part]
-            ids = np.array(self.bare.encode_batch_fast(["\n".join(shown)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            assert len(ends) == len(part), "a pre-token without one word end"
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(part, ends):
-                self.pieces[piece] = raw[start:end]
-                start = end
+        plain = [p for p in pieces if _PLAIN.fullmatch(p) and not self.special(p)]
+        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.table) for p in plain]
+        found = [[t.id for t in tokens] for tokens in map(self.model.tokenize, shown)]
+        if len(plain) < len(pieces):
+            odd = list(set(pieces).difference(plain))
+            plain += odd
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        ends = (4 * np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))).tolist()
+        raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        words = [lowered(t or "").replace("\n", " ").split(" ") for t in texts]
+        pieces, counts = [], []
+        for t in texts:
+            found = self.cut(t or "")
+            pieces += found
+            counts.append(len(found))
+        if not pieces:
+            return [b""] * len(counts)
+        joined = pa.array([" ".join(pieces)], pa.large_string())
+        del pieces
+        coded = pc.split_pattern(joined, " ").flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
-        if len(self.pieces) > self.limit:
-            self.pieces = {"": b""}
-        known, pieces, older = self.known, self.pieces, self.older
-        cuts = {}
-        for w in set().union(*words).difference(known) if words else ():
-            ids = older.get(w)
-            if ids is None:
-                cuts[w] = self.cut(w)
-            else:
-                known[w] = ids
-        self.learn(sorted({p for c in cuts.values() if c for p in c}.difference(pieces)))
-        for word, cut in cuts.items():
-            if cut is None:
-                known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                known[word] = b"".join([pieces[p] for p in cut])
-        get = known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        new = [p for p in distinct if p not in self.known]
+        again = [p for p in new if p in self.older]
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self.learn(list(set(new).difference(again)))
+        ids = pa.array(map(self.known.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+        ends, raw = np.frombuffer(ids.buffers()[1], np.int64), ids.buffers()[2].to_pybytes()
+        bounds = ends[np.cumsum(counts)].tolist()
+        return [raw[a:b] for a, b in zip([0, *bounds], bounds)]
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker and vocabulary."""
+@contextmanager
+def word_encoder(path: str) -> Iterator[WordEncoder]:
+    """One encoder per Python worker and vocabulary, for the length of a task: what it has learned goes at the end."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    with steady_memory():
+        try:
+            yield _encoders[path]
+        finally:
+            _encoders[path].forget()

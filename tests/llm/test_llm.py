@@ -272,7 +272,7 @@ def test_word_encoder_equals_the_library():
     r = random.Random(2)
     bits = ["a", "The", " ", "  ", "\n", "é", "日", "x9", "!!", "'S", "'s", "0", "12", "\x1c", "\x85", "ing", "Ω", "ß", "İ", "̈", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "Ａ", "ſ", "½", "_", "😀"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    own = WordEncoder(queries.WORD_BPE, cache_words=500)
+    own = WordEncoder(queries.WORD_BPE, cache_pieces=500)
     got = [i for lo in range(0, len(texts), 100) for i in own.encode_batch(texts[lo : lo + 100])]
     assert got == [np.array(i, "<u4").tobytes() for i in encoded(texts)]
 
@@ -320,7 +320,7 @@ def test_transducer_equals_the_library():
 
 def test_digests_are_of_the_streaming_decoder(spark, odd, monkeypatch):
     own = byte_bpe.Codec(queries.BYTE_BPE, P.PATTERN, 2000)
-    ids = {t: i for i, t in own.bytes_of.items()}
+    ids = own.transducer.ranks
     assert own.decoded_sha256(f"{ids[b'a']} {ids[b'\xc3']}") == hashlib.sha256("a�".encode()).hexdigest()
     text, fed = "naïve 日本 😀 " * 50, []
     feed = byte_bpe.StreamDecoder.feed
