@@ -6,7 +6,6 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -60,23 +59,6 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-class RecentMap(dict):
-    """Keeps what was made for at least the last ``limit`` new keys, and at most twice as much."""
-
-    def __init__(self, limit: int, make: Callable):
-        self.limit, self.make, self.older = limit, make, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 @contextmanager
 def steady_memory():
     """For tasks with large caches and no pandas: the cycle collector, which would walk the caches again and again,
