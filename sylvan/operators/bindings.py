@@ -12,9 +12,13 @@ PRIMITIVES = {
 }
 
 
+#: Fixed value: what a type's name is freed of. A name that ends in const or volatile loses it.
+DECORATION = r"\s*(?:\*|const\b|volatile\b|\[\d*\])\s*"
+
+
 def base_type(t: Column) -> Column:
     """A type without pointer, const, volatile and array marks."""
-    return F.trim(F.regexp_replace(t, r"\s*(?:\*|\bconst\b|\bvolatile\b|\[\d*\])\s*", " "))
+    return F.trim(F.regexp_replace(t, DECORATION, " "))
 
 
 def pascal_name(t: Column) -> Column:
@@ -102,39 +106,17 @@ def naming_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", base_type(c_type).alias("base"), type_name(c_type).alias("type_name"), ident_rule(ident).alias("rule"), ident_name(ident).alias("ident_name"))
 
 
-def override_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    ovr = customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 14 == 0, F.lit("")).otherwise(F.concat(F.lit("o_"), F.col("c_name"))).alias("n"))
-    return customer.join(ovr, F.col("c_custkey") == F.col("k"), "left").select("c_custkey", F.coalesce(F.nullif(F.col("n"), F.lit("")), F.upper("c_name")).alias("ident"), F.coalesce("n", F.upper("c_name")).alias("type"))
-
-
 def conflict_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.sha2("text", 256).alias("k"), F.col("source").alias("v")))
 
 
-def self_binding_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    k, v = F.col("o_orderstatus"), F.when(F.col("o_totalprice") > 200000, F.lit("F")).otherwise(F.lit("O"))
-    return orders.select("o_orderkey", k.alias("k"), v.alias("v")).where("k <> v")
-
-
-def pair_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
-    bought = orders.select(F.col("o_custkey").alias("c_custkey")).distinct()
-    yes = customer.join(bought, "c_custkey", "left_semi").select("c_custkey", F.lit(True).alias("accepted"))
-    return yes.unionByName(customer.join(bought, "c_custkey", "left_anti").select("c_custkey", F.lit(False).alias("accepted")))
-
 
 _PG = "replace(p_name, ' ', '_')"
-QUERIES = {f.__name__: f for f in (naming_policy, override_precedence, conflict_keys, self_binding_drop, pair_validation)}
+QUERIES = {f.__name__: f for f in (naming_policy, conflict_keys)}
 ORACLE_SQL = {
     "naming_policy": f"""WITH x AS (SELECT p_partkey, 'pg_' || {_PG} AS base, CASE p_partkey % 3 WHEN 0 THEN {_PG} WHEN 1 THEN 'PG_' || upper({_PG}) ELSE p_type END AS i,
           list_filter(string_split({_PG}, '_'), lambda p: p <> '') AS parts FROM part),
         r AS (SELECT *, CASE WHEN i LIKE 'PG\\_%' ESCAPE '\\' AND i = upper(i) THEN 'macro' WHEN i LIKE 'pg\\_%' ESCAPE '\\' AND i = lower(i) THEN 'function' WHEN i = lower(i) AND contains(i, '_') THEN 'constant' ELSE 'none' END AS rule FROM x)
         SELECT p_partkey, base, array_to_string(list_transform(parts, lambda p: upper(p[1:1]) || lower(p[2:])), '') AS type_name, rule, CASE WHEN rule = 'constant' THEN upper(i) ELSE i END AS ident_name FROM r""",
-    "override_precedence": """SELECT c.c_custkey, coalesce(nullif(n, ''), upper(c_name)) AS ident, coalesce(n, upper(c_name)) AS type FROM customer c
-        LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 14 = 0 THEN '' ELSE 'o_' || c_name END AS n FROM customer WHERE c_custkey % 7 = 0) ON k = c.c_custkey""",
     "conflict_keys": "SELECT sha256(text) AS k, count(DISTINCT source) AS n_values FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1",
-    "self_binding_drop": "SELECT * FROM (SELECT o_orderkey, o_orderstatus AS k, CASE WHEN o_totalprice > 200000 THEN 'F' ELSE 'O' END AS v FROM orders) WHERE k <> v",
-    "pair_validation": "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS accepted FROM customer",
 }

@@ -5,32 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..work import written
 
-def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """All (src, dst) with a path of one edge or more; cycles are fine.
-
-    Paths double in length each round, so a graph of depth d takes about log2 d rounds; a round's pairs
-    are made distinct, and the loop ends when none is new. Long loops are cut by checkpoints where
-    the session has a folder for them.
-    """
-    spark = edges.sparkSession
-    known = edges.select("src", "dst").distinct()
-    n = known.count()
-    for i in range(rounds):
-        step = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        known = known.unionByName(step).distinct()
-        if spark.conf.get("spark.checkpoint.dir", None) and i % 3 == 2:
-            known = known.checkpoint()
-        now = known.count()
-        if now == n:
+
+def _followed(start: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    """start (src, dst) and all that edges lead to from there. Each round follows only the pairs found in the one before,
+    and writes what is new to the shared folder."""
+    edges = written(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")).distinct(), "edges")
+    known = new = written(start.select("src", "dst").distinct(), "pairs")
+    for _ in range(rounds):
+        if new.isEmpty():
             return known
-        n = now
+        step = new.join(edges, "dst").select("src", F.col("to").alias("dst")).distinct()
+        new = written(step.join(known, ["src", "dst"], "left_anti"), "pairs")
+        known = known.unionByName(new)
     raise RuntimeError("the closure did not settle")
 
 
-def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each root with itself and all it depends on, once each."""
-    return roots.select("src").join(closure(edges), "src").unionByName(roots.select("src", F.col("src").alias("dst"))).distinct()
+def closure(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """All (src, dst) with a path of one edge or more; cycles are fine (R6). As many rounds as the longest way has edges."""
+    return _followed(edges, edges, rounds)
+
+
+def reachable(roots: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Each root (src) with itself and all it depends on, once each (T1): only what roots lead to is ever made."""
+    return _followed(roots.select("src", F.col("src").alias("dst")), edges, rounds)
 
 
 def closure_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def closure_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(t("customer").select(key("nation", "c_nationkey").alias("src"), key("customer", "c_custkey").alias("dst")))
         .unionByName(t("supplier").select(key("nation", "s_nationkey").alias("src"), key("supplier", "s_suppkey").alias("dst")))
     )
-    return closure(edges).where("src LIKE 'region:%'").groupBy("src", F.substring_index("dst", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
+    return reachable(t("region").select(key("region", "r_regionkey").alias("src")), edges).where("src <> dst").groupBy("src", F.substring_index("dst", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def turn_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

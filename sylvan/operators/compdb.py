@@ -7,13 +7,14 @@ import posixpath
 import re
 import shlex
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .text import lines_of, whole_word
 
-ENTRY = "file string, directory string, arguments array<string>, command string"
+ENTRIES = "array<struct<file:string,directory:string,arguments:array<string>,command:string>>"
 #: Flags kept as they are, prefixes of flags kept whole, flags kept with the next token.
 KEEP_BARE = ("-fno-asynchronous-unwind-tables", "-fno-builtin", "-fno-omit-frame-pointer", "-fno-stack-protector", "-fno-strict-aliasing", "-fwrapv", "-m32", "-m64", "-pthread")
 KEEP_PREFIX = ("-D", "-I", "-U", "-fno-", "-iquote=", "-isysroot=", "-isystem=", "-march=", "-mcpu=", "-mtune=", "-std=", "-target")
@@ -21,16 +22,19 @@ KEEP_TWO = ("-include", "-iquote", "-isysroot", "-isystem", "-target")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(ENTRY).json(path)
+    """The entries of a database file (S2); one that is no array is an error."""
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    rows = F.when(F.ltrim("v").startswith("["), F.from_json("v", ENTRIES)).otherwise(F.raise_error(F.lit("the database is no array")).cast(ENTRIES))
+    return text.select(F.inline(rows))
 
 
 def argv(entries: DataFrame) -> DataFrame:
     """Adds argv: the list if there is one, else the command split as a shell would; an entry with neither is an error (P5)."""
     ship(entries.sparkSession)
 
-    @F.pandas_udf("array<string>")
-    def split(commands):
-        return commands.map(lambda c: None if c is None else shlex.split(c))
+    @F.arrow_udf("array<string>")
+    def split(commands: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else shlex.split(c) for c in commands.to_pylist()], pa.list_(pa.string()))
 
     given = F.when(F.col("arguments").isNotNull(), F.col("arguments")).when(F.col("command").isNotNull(), split("command"))
     return entries.withColumn("argv", F.coalesce(given, F.raise_error(F.concat(F.lit("no arguments and no command: "), F.coalesce("file", F.lit("?")))).cast("array<string>")))
@@ -68,9 +72,9 @@ def matches_any(path: Column, globs: list[str]) -> Column:
 def resolved(file: Column, directory: Column) -> Column:
     """An absolute path as it is, else joined to its directory and normalised."""
 
-    @F.pandas_udf("string")
-    def normal(paths):
-        return paths.map(lambda p: None if p is None else posixpath.normpath(p))
+    @F.arrow_udf("string")
+    def normal(paths: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else posixpath.normpath(p) for p in paths.to_pylist()], pa.string())
 
     return F.when(file.startswith("/"), file).otherwise(normal(F.concat_ws("/", F.coalesce(directory, F.lit(".")), file)))
 
@@ -116,15 +120,23 @@ def run_manifest(results: DataFrame, mode: str, database: str, root: str) -> Dat
     ).select(F.to_json(F.struct(F.lit(mode).alias("mode"), F.lit(database).alias("compileCommands"), F.lit(root).alias("sourceRoot"), "ok", "failed", "stats")).alias("manifest"))
 
 
-def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").where(matches_any(F.col("url"), ["http://t*/fr/*", "*page=[12]&*"])).select("page_id", "url")
+def with_sources(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds error to commands (F11): null where files (path) has the source, else that it is not found."""
+    there = files.select(F.col("path").alias("source")).distinct().withColumn("_there", F.lit(True))
+    return rows.join(there, "source", "left").withColumn("error", F.when(F.col("_there").isNull(), F.concat(F.lit("source file not found: "), "source"))).drop("_there")
+
 
+def macro_files(results: DataFrame, files: DataFrame, macros: list[str]) -> DataFrame:
+    """source, out, value: the macro sidecar of every source (K5), those that failed or that files (source, text) lacks too."""
+    hits = macro_hits(files, macros)
+    every = results.select("source").distinct().join(hits, "source", "left")
+    empty = F.create_map().cast("map<string,array<struct<line:int>>>")
+    body = F.to_json(F.struct("source", F.lit(macros).alias("scanned_macros"), F.coalesce("hits", empty).alias("hits")))
+    return every.select("source", F.concat(F.ltrim("source", F.lit("/")), F.lit(".macros.json")).alias("out"), body.alias("value"))
 
-def flag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that end in a comma bring the next one along: two-token lookahead by position."""
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "w"))
-    before = F.lag("w").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return words.withColumn("b", before).where(F.col("w").endswith(",") | F.col("b").endswith(",")).groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.min("pos").cast("long").alias("first_pos"))
+
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").where(matches_any(F.col("url"), ["http://t*/fr/*", "*page=[12]&*"])).select("page_id", "url")
 
 
 def macro_hits_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +145,9 @@ def macro_hits_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("source", F.explode("hits").alias("macro", "lines")).select("source", "macro", F.size("lines").cast("long").alias("n_lines"), F.col("lines")[0]["line"].cast("long").alias("first_line"))
 
 
-QUERIES = {f.__name__: f for f in (glob_filter, flag_filter, macro_hits_map)}
+QUERIES = {f.__name__: f for f in (glob_filter, macro_hits_map)}
 ORACLE_SQL = {
     "glob_filter": "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^http://t.*/fr/.*$') OR regexp_matches(url, '^.*page=[12]&.*$')",
-    "flag_filter": r"""WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS ws FROM documents)),
-        b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w)
-        SELECT doc_id, count(*) AS n_kept, min(pos)::BIGINT AS first_pos FROM b WHERE suffix(w, ',') OR suffix(b, ',') GROUP BY doc_id""",
     "macro_hits_map": r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), h AS ("""
     + " UNION ALL ".join(rf"SELECT doc_id, '{m}' AS macro, n FROM l WHERE regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_]){m}($|[^\p{{L}}\p{{N}}_])')" for m in ("the", "der", "les", "que"))
     + ") SELECT doc_id::VARCHAR AS source, macro, count(*) AS n_lines, min(n)::BIGINT AS first_line FROM h GROUP BY 1, 2",

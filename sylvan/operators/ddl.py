@@ -28,12 +28,19 @@ def one_dialect(sources: DataFrame) -> DataFrame:
     return found.select(F.when(F.size("d") > 1, F.raise_error(F.concat(F.lit("mixed dialects: "), F.array_join("d", ","))).cast("string")).otherwise(F.coalesce(F.get("d", F.lit(0)), F.lit("postgres"))).alias("dialect"))
 
 
+#: A dollar quote, a literal, a quoted name, a comment, a semicolon, or anything else; in that order.
+_TOKEN = r"(?s)\$([A-Za-z_0-9]*)\$.*?\$\1\$|'(?:[^']++|'')*+'|\"[^\"]*+\"|--[^\n]*+|/\*.*?\*/|;|[^;'\"$/-]++|."
+_BREAK = "\ufdd0"  # a code point that no text is to hold
+
+
 def statements(sources: DataFrame) -> DataFrame:
-    """path, seq, statement: split at semicolons outside quotes, dollar quotes and comments."""
-    token = r"(?s)(?:\$([A-Za-z_]*)\$.*?\$\1\$|'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/|[^;])+"
-    bare = F.transform(F.regexp_extract_all("sql", F.lit(token), F.lit(0)), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")))
-    bare = F.filter(F.transform(bare, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    return sources.dropDuplicates(["path"]).select("path", "dialect", F.posexplode(bare).alias("seq", "statement"))
+    """path, dialect, seq, statement: split at semicolons outside quotes, dollar quotes and comments (S13). Comments become
+    a space, and only they: literals stay as they are. A path given more than once counts once (its least text)."""
+    once = sources.groupBy("path").agg(F.min(F.struct("sql", "dialect")).alias("s")).select("path", "s.*")
+    plain = lambda t: F.when(t == ";", F.lit(_BREAK)).when(t.startswith("--") | t.startswith("/*"), F.lit(" ")).otherwise(t)
+    parts = F.split(F.array_join(F.transform(F.regexp_extract_all("sql", F.lit(_TOKEN), F.lit(0)), plain), ""), _BREAK)
+    bare = F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(" \t\n\r\x0b\x0c"))), lambda s: s != "")
+    return once.select("path", "dialect", F.posexplode(bare).alias("seq", "statement"))
 
 
 def parsed(stmts: DataFrame) -> DataFrame:
@@ -52,9 +59,12 @@ def catalog(stmts: DataFrame) -> DataFrame:
 
 
 def snapshot(objects: DataFrame, output_format: str = "json") -> DataFrame:
-    """One line an object (K9), in name order when written by a sorted sink."""
+    """One line an object (K9), in name order when written by a sorted sink: JSON, Turtle, or a row of a Lean list of triples."""
     if output_format == "json":
         return objects.select("kind", "name", F.to_json(F.struct("kind", "name", "definition")).alias("value"))
+    if output_format == "lean":
+        text = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+        return objects.select("kind", "name", F.concat(F.lit("  ("), text(F.col("kind")), F.lit(", "), text(F.col("name")), F.lit(", "), text(F.col("definition")), F.lit("),")).alias("value"))
     if output_format == "ttl":
         from .graph import escaped
 
@@ -66,18 +76,29 @@ def ast_suffix(parser_format: Column) -> Column:
     return F.when(parser_format == "pg_query", ".pgpb").otherwise(".ast")
 
 
+def toolchain(dialect: Column, known: dict[str, str], strict: bool = False) -> Column:
+    """The tool of a dialect or language (J13). One that isn't known passes through as it is, or with strict is an error."""
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.create_map().cast("map<string,string>")
+    return F.coalesce(table[dialect], F.raise_error(F.concat(F.lit("no toolchain for "), dialect)).cast("string") if strict else dialect)
+
+
+def aspect(deps: DataFrame, owned: DataFrame, toolchains: dict[str, str]) -> DataFrame:
+    """src, path, dialect, seq, statement, toolchain of every target (S14, U5): statements of the files (target, path, sql,
+    dialect) that it and all it depends on (deps: src, dst) own, each file once a target; a dialect without a toolchain gives none."""
+    from .closure import reachable
+
+    roots = deps.select("src").unionByName(deps.select(F.col("dst").alias("src"))).unionByName(owned.select(F.col("target").alias("src"))).distinct()
+    files = reachable(roots, deps).join(owned.select(F.col("target").alias("dst"), "path"), "dst").select("src", "path").distinct()
+    parsed_once = statements(owned.where(F.col("dialect").isin(*toolchains)) if toolchains else owned.where(F.lit(False)))
+    return files.join(parsed_once, "path").withColumn("toolchain", toolchain(F.col("dialect"), toolchains))
+
+
 def path_ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
 
 
-def dialect_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count_distinct("lang").alias("n_langs")).select("source", "n_langs", (F.col("n_langs") <= 1).alias("consistent"))
-
-
-QUERIES = {f.__name__: f for f in (path_ordered_fold, dialect_check)}
+QUERIES = {f.__name__: f for f in (path_ordered_fold,)}
 ORACLE_SQL = {
     "path_ordered_fold": "SELECT user_id, arg_max(event_type, row(ts, event_id)) AS last_type, arg_max(value, row(ts, event_id)) AS last_value FROM events GROUP BY 1",
-    "dialect_check": "SELECT source, count(DISTINCT lang) AS n_langs, count(DISTINCT lang) <= 1 AS consistent FROM documents GROUP BY 1",
 }

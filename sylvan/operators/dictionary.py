@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..work import written
+
 
 def vocabulary(rows: DataFrame, value: str, *order: str) -> DataFrame:
     """Distinct values numbered from 1 by where each is first seen; 0 stands for the empty value (A1).
@@ -16,17 +18,25 @@ def vocabulary(rows: DataFrame, value: str, *order: str) -> DataFrame:
     return numbered(first, "first").select("value", (F.col("n") + 1).alias("index"))
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Adds n, the row's rank by key from 0 (keys differ). Ranges of the key are ranked apart and shifted by the
-    totals of those before; the window over totals has a row per range."""
+def _ranged(rows: DataFrame, key: str) -> DataFrame:
+    """rows with range (ascending with the key) and within (the place in it from 0); written once, as bounds are drawn anew
+    each time that ranges are made."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # An explicit number, as ranges must stay one partition each; the id is read off the partition.
     ranged = rows.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
-    split = ranged.withColumn("range", F.shiftright("at", 33)).withColumn("within", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    totals = split.groupBy("range").agg(F.count("*").alias("total"))
+    return written(ranged.withColumn("range", F.shiftright("at", 33)).withColumn("within", F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at"), "ranges")
+
+
+def _shifted(ranged: DataFrame, total) -> DataFrame:
+    """ranged with shift, the totals of the ranges before; the window has a row per range."""
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select("range", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("shift"))
-    return split.join(shift, "range").withColumn("n", F.col("shift") + F.col("within")).drop("at", "range", "within", "shift")
+    totals = ranged.groupBy("range").agg(total.alias("total"))
+    return ranged.join(totals.select("range", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("shift")), "range")
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Adds n, the row's rank by key from 0 (keys differ). Ranges of the key are ranked apart and shifted by those before."""
+    return _shifted(_ranged(rows, key), F.count("*")).withColumn("n", F.col("shift") + F.col("within")).drop("range", "within", "shift")
 
 
 def encode(rows: DataFrame, value: str, vocab: DataFrame, to: str) -> DataFrame:
@@ -41,8 +51,10 @@ def corpus_counts(nodes: DataFrame, doc: str, bytes_per_node: int = 37) -> DataF
 
 
 def cumulative(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """Rows of each group and the total up to it, by order (A3): one row per group reaches the window."""
-    return rows.groupBy(group).agg(F.count("*").alias("added")).select(F.col(group), "added", F.sum("added").over(Window.orderBy(order)).alias("total"))
+    """Rows of each group and the total up to it, by order (A3): summed within ranges of the order, shifted by those before."""
+    counted = rows.groupBy(group).agg(F.count("*").alias("added"))
+    by = Window.partitionBy("range").orderBy("within").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _shifted(_ranged(counted, order), F.sum("added")).select(F.col(group), "added", (F.col("shift") + F.sum("added").over(by)).alias("total"))
 
 
 def vocab_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:

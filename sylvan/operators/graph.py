@@ -67,21 +67,21 @@ def nearest(nodes: DataFrame, among: DataFrame, name: str) -> DataFrame:
 
 
 def references(nodes: DataFrame) -> DataFrame:
-    """refs and calls (R3, J16): doc_id, node_id, pred, ref_id. A reference inside a callee place is no ref; a call's target is
+    """refs and calls (R3, J16): doc_id, node_id, pred, ref_id, rk, rn (what it refers to: id, kind, name). A reference inside a callee place is no ref; a call's target is
     found down the callee's first children."""
     calls = nodes.where("kind = 'CallExpr'").select("doc_id", F.col("node_id").alias("call"), F.col("path").alias("call_path"))
-    decl_refs = nodes.where("kind = 'DeclRefExpr'")
+    decl_refs = nodes.where("kind = 'DeclRefExpr'").select("doc_id", "node_id", "path", "ref_id", F.col("ref_kind").alias("rk"), F.col("ref_name").alias("rn"))
     # A callee's nodes have the call's path and then ordinal 0; its target, zeros only.
     cut = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
-    under = decl_refs.where(F.size("path") > 1).select("doc_id", "node_id", "path", "ref_id", F.explode(cut).alias("call_path")).where(F.get("path", F.size("call_path")) == 0).join(calls, ["doc_id", "call_path"])
+    under = decl_refs.where(F.size("path") > 1).select("*", F.explode(cut).alias("call_path")).where(F.get("path", F.size("call_path")) == 0).join(calls, ["doc_id", "call_path"])
     zeros = ~F.exists(F.slice("path", F.size("call_path") + 1, F.size("path")), lambda o: o != 0)
     # A call that is itself inside another call's callee is not looked at again.
     inner = calls.where(F.size("call_path") > 1).select("doc_id", "call", F.explode(F.transform(F.sequence(F.lit(1), F.size("call_path") - 1), lambda n: F.struct(F.slice("call_path", F.lit(1), n).alias("p"), F.get("call_path", n).alias("o")))).alias("u"))
     hidden = inner.where("u.o = 0").select("doc_id", "call", F.col("u.p").alias("call_path")).join(calls.select("doc_id", "call_path"), ["doc_id", "call_path"], "left_semi").select("doc_id", "call").distinct()
     # The chain stops at the first reference: targets at more depth under another reference don't count.
-    targets = under.where(zeros & F.col("ref_id").isNotNull()).join(hidden, ["doc_id", "call"], "left_anti").groupBy("doc_id", "call").agg(F.min_by("ref_id", "node_id").alias("ref_id"))
+    targets = under.where(zeros & F.col("ref_id").isNotNull()).join(hidden, ["doc_id", "call"], "left_anti").groupBy("doc_id", "call").agg(F.min_by(F.struct("ref_id", "rk", "rn"), "node_id").alias("to"))
     plain = decl_refs.where("ref_id IS NOT NULL").join(under.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
-    return targets.select("doc_id", F.col("call").alias("node_id"), F.lit("calls").alias("pred"), "ref_id").unionByName(plain.select("doc_id", "node_id", F.lit("refs").alias("pred"), "ref_id"))
+    return targets.select("doc_id", F.col("call").alias("node_id"), F.lit("calls").alias("pred"), "to.*").unionByName(plain.select("doc_id", "node_id", F.lit("refs").alias("pred"), "ref_id", "rk", "rn"))
 
 
 def edges(nodes: DataFrame, strict: bool = True) -> DataFrame:
@@ -90,7 +90,7 @@ def edges(nodes: DataFrame, strict: bool = True) -> DataFrame:
     functions = top.where("kind = 'FunctionDecl'")
     decls = top.select("doc_id", F.col("id").alias("ref_id"), "iri", "node_id").unionByName(parameters(nodes, functions).select("doc_id", F.col("id").alias("ref_id"), "iri", "node_id")).where("ref_id IS NOT NULL")
     statements = nodes.where(F.col("kind").isin(*STATEMENTS))
-    refs = references(nodes).join(nodes.select("doc_id", "node_id", "path", F.col("ref_kind").alias("rk"), F.col("ref_name").alias("rn")), ["doc_id", "node_id"])
+    refs = references(nodes).join(nodes.select("doc_id", "node_id", "path"), ["doc_id", "node_id"])
     owned = nearest(refs, statements, "stmt").where("stmt IS NOT NULL")
     body = nodes.where("kind = 'CompoundStmt'").join(functions.select("doc_id", F.col("node_id").alias("parent")), ["doc_id", "parent"], "left_semi").select("doc_id", F.col("node_id").alias("stmt"))
     inside = nearest(statements.select("doc_id", "node_id", "path"), functions, "fn").where("fn IS NOT NULL").select("doc_id", F.col("node_id").alias("stmt"))
@@ -108,6 +108,13 @@ def edges(nodes: DataFrame, strict: bool = True) -> DataFrame:
     return last.groupBy("doc_id", "stmt", "pred", "iri").agg(F.min("at").alias("at"))
 
 
+def across_units(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that a unit couldn't resolve but by a bare name, with every declaration of that kind and name in other units
+    (J3): doc_id, stmt, pred, iri, to_doc, to_iri. found are edges with strict=False."""
+    declared = top_level(nodes).select(F.col("doc_id").alias("to_doc"), F.col("iri").alias("to_iri"), F.concat(F.lit("urn:c:"), F.element_at(F.split("iri", ":"), 3), F.lit(":"), "ident").alias("iri"))
+    return found.where(~F.col("iri").contains("#")).join(declared, "iri").where("doc_id <> to_doc").select("doc_id", "stmt", "pred", "iri", "to_doc", "to_iri")
+
+
 def statement_iri(statements: DataFrame) -> DataFrame:
     """Adds iri: span, or a count of statements without one in pre-order."""
     missing = F.col("start_line").isNull() | F.col("start_col").isNull()
@@ -119,7 +126,8 @@ def statement_iri(statements: DataFrame) -> DataFrame:
 
 
 def triples(nodes: DataFrame, strict: bool = True) -> DataFrame:
-    """Every emitter's triples (R5, R2, T5); o_kind is iri, class, string or integer."""
+    """Every emitter's triples (R5, R2, T5); o_kind is iri, class, string or integer. nodes is read several times: hand in
+    a table that is written, not one that walks the documents each time."""
     top = top_level(nodes)
     functions = top.where("kind = 'FunctionDecl'")
     params = parameters(nodes, functions)
@@ -129,16 +137,19 @@ def triples(nodes: DataFrame, strict: bool = True) -> DataFrame:
     owner = functions.select("doc_id", F.col("node_id").alias("fn"), F.col("iri").alias("fn_iri"))
     placed = statements.join(parent, ["doc_id", "up"], "left").join(owner, ["doc_id", "fn"]).withColumn("parent_iri", F.coalesce("up_iri", "fn_iri"))
 
-    def make(rows: DataFrame, p: str, o: Column, kind: str, s: str = "iri") -> DataFrame:
-        return rows.select("doc_id", F.col(s).alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.col("node_id").alias("at")).where("o IS NOT NULL")
+    def make(rows: DataFrame, *facts: tuple[str, Column, str]) -> DataFrame:
+        """One pass over rows: each of its facts (predicate, object, kind of object) and its place, as far as known."""
+        place = [("line", F.col("start_line"), "integer"), ("column", F.col("start_col"), "integer"), ("offset", F.col("start_offset"), "integer"), ("endLine", F.col("end_line"), "integer"), ("endColumn", F.col("end_col"), "integer"), ("clangNodeId", F.col("id"), "string")]
+        listed = F.array(*(F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind")) for s, p, o, kind in [*facts, *((F.col("iri"), *x) for x in place)]))
+        return rows.select("doc_id", F.explode(listed).alias("t"), F.col("node_id").alias("at")).select("doc_id", "t.*", "at").where("o IS NOT NULL")
 
+    iri, name, type = F.col("iri"), F.nullif(F.col("ident"), F.lit("")), F.nullif(F.col("type"), F.lit(""))
     record = F.when(F.col("kind") == "RecordDecl", F.when(F.col("tag") == "union", F.lit("UnionDecl")).otherwise(F.lit("StructDecl"))).otherwise(F.col("kind"))
-    out = [make(top, "a", record, "class"), make(top, "name", F.col("ident"), "string"), make(top, "qualType", F.nullif(F.col("type"), F.lit("")), "string")]
-    out += [make(params, "a", F.lit("ParmVarDecl"), "class"), make(params, "hasParam", F.col("iri"), "iri", "fn_iri"), make(params, "paramIndex", F.col("index"), "integer"), make(params, "name", F.nullif(F.col("ident"), F.lit("")), "string"), make(params, "qualType", F.nullif(F.col("type"), F.lit("")), "string")]
-    out += [make(placed, "a", F.col("kind"), "class"), make(placed, "hasChild", F.col("iri"), "iri", "parent_iri")]
-    for rows in (top, params, placed):
-        for p, c, kind in (("line", "start_line", "integer"), ("column", "start_col", "integer"), ("offset", "start_offset", "integer"), ("endLine", "end_line", "integer"), ("endColumn", "end_col", "integer"), ("clangNodeId", "id", "string")):
-            out.append(make(rows, p, F.col(c), kind))
+    out = [
+        make(top, (iri, "a", record, "class"), (iri, "name", F.col("ident"), "string"), (iri, "qualType", type, "string")),
+        make(params, (iri, "a", F.lit("ParmVarDecl"), "class"), (F.col("fn_iri"), "hasParam", iri, "iri"), (iri, "paramIndex", F.col("index"), "integer"), (iri, "name", name, "string"), (iri, "qualType", type, "string")),
+        make(placed, (iri, "a", F.col("kind"), "class"), (F.col("parent_iri"), "hasChild", iri, "iri")),
+    ]
     linked = edges(nodes, strict).join(statements.select("doc_id", F.col("node_id").alias("stmt"), F.col("iri").alias("s")), ["doc_id", "stmt"])
     out.append(linked.select("doc_id", "s", F.col("pred").alias("p"), F.col("iri").alias("o"), F.lit("iri").alias("o_kind"), "at"))
     return reduce(DataFrame.unionByName, out)
@@ -162,27 +173,8 @@ def top_level_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("o IS NOT NULL")
 
 
-def ref_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    known = customer.where("c_custkey % 10 <> 3").select("c_custkey", "c_name")
-    return orders.join(known, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce(F.concat(F.lit("urn:c:"), "c_name"), F.concat(F.lit("urn:c:unknown#"), F.col("o_custkey").cast("string"))).alias("iri"))
-
-
-def edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("first_pos"), F.count("*").alias("n"))
-
-
-def whitelist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.where(F.col("event_type").isin("click", "view", "error")).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
-
-
-QUERIES = {f.__name__: f for f in (top_level_triples, ref_resolution, edge_dedup, whitelist_semi)}
+QUERIES = {f.__name__: f for f in (top_level_triples,)}
 ORACLE_SQL = {
     "top_level_triples": """SELECT 'urn:nation:' || n_nationkey AS s, 'name' AS p, n_name AS o FROM nation UNION ALL SELECT 'urn:customer:' || c_custkey, 'name', c_name FROM customer
         UNION ALL SELECT 'urn:customer:' || c_custkey, 'memberOf', 'urn:nation:' || c_nationkey FROM customer""",
-    "ref_resolution": "SELECT o_orderkey, coalesce('urn:c:' || c_name, 'urn:c:unknown#' || o_custkey) AS iri FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 10 <> 3",
-    "edge_dedup": "SELECT l_partkey, l_suppkey, min(l_orderkey * 10 + l_linenumber)::BIGINT AS first_pos, count(*) AS n FROM lineitem GROUP BY 1, 2",
-    "whitelist_semi": "SELECT event_type, count(*) AS n, min(event_id) AS first_event FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1",
 }

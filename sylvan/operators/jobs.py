@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 #: Language -> number.
 LANGUAGES = {"UNSPECIFIED": 0, "TYPESCRIPT": 1, "PYTHON": 2, "RUST": 3, "LEAN": 4, "SQL": 5, "JAVA": 6}
-QUEUE = "cluster string, canonical_fn string, canonical_rs string, out_dir string, seq int, fn string, sibling_rs string, overrides_toml string, n int"
+QUEUE = "cluster string, canonical_fn string, canonical_rs string, out_dir string, seq int, fn string, sibling_rs string, overrides_toml string, n int, defaults map<string,string>"
+#: Tools that a queue's defaults may leave out.
+DEFAULT_TOOLS = {"c_cluster_diff": "translated/pipeline/target/release/c_cluster_diff", "c_to_rust_bindings": "translated/pipeline/target/release/c_to_rust_bindings"}
 
 
-def load_queue(spark: SparkSession, toml: str) -> DataFrame:
-    """A row per cluster and member, in order (S9, J15). The file is configuration, read on the driver."""
+def load_queue(spark: SparkSession, toml: str, root: str | None = None) -> DataFrame:
+    """A row per cluster and member, in order, with the queue's defaults (S9, J15). With a root, relative paths are below
+    it. The file is configuration, read on the driver."""
+    found = tomllib.loads(toml)
+    at = lambda p: p if root is None or p.startswith("/") else f"{root.rstrip('/')}/{p}"
+    defaults = {k: at(v) for k, v in (DEFAULT_TOOLS | {"tensor": "", "engine": ""} | found.get("defaults", {})).items()}
     rows = []
-    for seq, c in enumerate(tomllib.loads(toml).get("cluster", [])):
+    for seq, c in enumerate(found.get("cluster", [])):
         for n, m in enumerate(c.get("member", [])):
-            rows.append((c["name"], c["canonical_fn"], c["canonical_rs"], c["out_dir"], seq, m["fn"], m["sibling_rs"], m["overrides_toml"], n))
+            rows.append((c["name"], c["canonical_fn"], at(c["canonical_rs"]), at(c["out_dir"]), seq, m["fn"], at(m["sibling_rs"]), at(m["overrides_toml"]), n, defaults))
     return spark.createDataFrame(rows, QUEUE)
 
 
@@ -52,8 +58,14 @@ def until_first_failure(results: DataFrame, by: list[str], order: list[str]) ->
     return results.join(first, by, "left").where(F.col("stop").isNull() | (F.struct(*order) <= F.col("stop"))).drop("stop")
 
 
+def dry_run(queue: DataFrame) -> DataFrame:
+    """The planned jobs, none run."""
+    return queue.withColumn("status", F.lit("DRY"))
+
+
 def rollup(results: DataFrame) -> DataFrame:
-    return results.groupBy("status").agg(F.count("*").alias("n"))
+    """Totals by status, in its order (A5, O3)."""
+    return results.groupBy("status").agg(F.count("*").alias("n")).orderBy("status")
 
 
 def verdict(results: DataFrame) -> DataFrame:
@@ -71,6 +83,11 @@ def tail_lines(text: Column, n: int = 8) -> Column:
     return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n)), "\n")
 
 
+def tail_chars(text: Column, n: int = 800) -> Column:
+    """The last so many characters."""
+    return F.substring(text, -n, n)
+
+
 def render_spec(spec: Column) -> Column:
     """LANG:OUT_PATH:FILE cut at the first two colons."""
     parts = F.split(spec, ":", 3)
@@ -93,13 +110,51 @@ def manifests(renders: DataFrame, package: str = "package") -> DataFrame:
     return rows.groupBy(package).agg(F.transform(F.sort_array(F.collect_list(unit)), lambda u: u["render"]).alias("units"))
 
 
+def rendered(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds source to specs (with file) from files (path, text) (S16); no file or more than one of a path is an error (F16)."""
+    found = files.groupBy(F.col("path").alias("file")).agg(F.count("*").alias("_n"), F.min("text").alias("_text"))
+    met = specs.join(found, "file", "left")
+    source = F.when(F.col("_n") == 1, F.coalesce("_text", F.lit(""))).otherwise(F.raise_error(F.concat(F.lit("not exactly one file: "), "file")).cast("string"))
+    return met.withColumn("source", source).drop("_n", "_text")
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _varint(n: Column) -> Column:
+    """A protobuf varint of a number below 2^35."""
+    size = F.when(n < 1 << 7, 1).when(n < 1 << 14, 2).when(n < 1 << 21, 3).when(n < 1 << 28, 4).otherwise(5)
+    byte = lambda i: F.floor(n / F.pow(F.lit(128.0), i)).cast("long").bitwiseAND(F.lit(127)) + F.when(i < size - 1, 128).otherwise(0)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+
+def _field(number: int, value: Column) -> Column:
+    """A length-delimited field."""
+    tag = F.unhex(F.lit(f"{number << 3 | 2:02X}"))
+    return _once(value.cast("binary"), lambda data: F.concat(tag, _varint(F.octet_length(data).cast("long")), data))
+
+
+def manifest_bytes(packed: DataFrame, name: Column, version: str = "0.0.0", revision: str = "", deps: tuple[str, ...] = ()) -> DataFrame:
+    """Adds manifest, the protobuf bytes of each package's units (K8): identity, units with one render each, dependencies."""
+    text = lambda number, c: F.when(F.coalesce(c, F.lit("")) == "", F.unhex(F.lit(""))).otherwise(_field(number, c))
+    identity = F.concat(text(1, name), text(2, F.lit(version)), text(3, F.lit(revision)))
+    language = lambda u: F.when(u["language"] == 0, F.unhex(F.lit(""))).otherwise(F.concat(F.unhex(F.lit("08")), _varint(u["language"].cast("long"))))
+    unit = lambda u: _field(2, _field(2, F.concat(language(u), text(2, u["out_path"]), text(3, u["source"]))))
+    units = F.aggregate(F.transform("units", unit), F.unhex(F.lit("")), lambda a, u: F.concat(a, u))
+    return packed.withColumn("manifest", F.concat(_field(1, identity), units, *(_field(3, F.lit(d)) for d in deps)))
+
+
 def main_program(specs: DataFrame) -> DataFrame:
     """The one-line program that prints a rendered spec (K10). specs: module, symbol, render_fn."""
     return specs.select("*", F.format_string("import %s\ndef main : IO Unit := IO.print (%s %s.%s)\n", "module", "render_fn", "module", "symbol").alias("program"))
 
 
-def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+def emitted(specs: DataFrame, renderers: dict[str, str]) -> DataFrame:
+    """The program of each spec (module, symbol, target) by its target's render function (U3, U4); a target without one is an error."""
+    known = F.create_map(*[F.lit(x) for pair in renderers.items() for x in pair])[F.col("target")]
+    return main_program(specs.withColumn("render_fn", F.coalesce(known, F.raise_error(F.concat(F.lit("no render function for "), "target")).cast("string"))))
 
 
 def stop_on_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +162,6 @@ def stop_on_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return until_first_failure(events, ["user_id"], ["ts", "event_id"]).groupBy("user_id").agg(F.count("*").alias("n_run"), F.max((F.col("status") == "FAIL").cast("int")).cast("long").alias("failed"))
 
 
-def render_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    units = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    return turns.groupBy("conv_id").agg(units.alias("u")).select("conv_id", F.array_join(F.transform("u", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"])), ",").alias("units"))
-
-
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.select("event_id", F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint"), F.lit(-1)).alias("k"), F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.name", "string"), F.lit("")).alias("name"))
@@ -126,12 +175,10 @@ def progress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.where("rn % 50 = 0 OR rn = n").select("user_id", "event_id", F.col("rn").cast("long").alias("rn"))
 
 
-QUERIES = {f.__name__: f for f in (status_rollup, stop_on_first, render_manifest, json_props, progress_rows)}
+QUERIES = {f.__name__: f for f in (stop_on_first, json_props, progress_rows)}
 ORACLE_SQL = {
-    "status_rollup": "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1",
     "stop_on_first": """WITH e AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
         SELECT user_id, count(*) AS n_run, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS failed FROM e WHERE before = 0 GROUP BY 1""",
-    "render_manifest": "SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS units FROM conversations GROUP BY 1",
     "json_props": "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.name'), '') AS name FROM events",
     "progress_rows": "SELECT user_id, event_id, rn::BIGINT AS rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn % 50 = 0 OR rn = n",
 }

@@ -51,6 +51,11 @@ def holes(reached: DataFrame, left_nodes: DataFrame, right_nodes: DataFrame, doc
     return out
 
 
+def same_structure(reached: DataFrame) -> DataFrame:
+    """pair, same of every pair walked: whether its trees have one structure, that is no hole."""
+    return reached.groupBy("pair").agg(F.bool_and(F.col("status") == "aligned").alias("same"))
+
+
 def loose_symbols(reached: DataFrame, nodes: DataFrame, prefix: str, field: str = "ident") -> DataFrame:
     """Distinct values under one side's holes, first seen first."""
     roots = reached.where("status <> 'aligned'").select("pair", F.col(f"{prefix}_node_id").alias("node_id"), F.col(f"{prefix}_size").alias("size")).distinct()
@@ -58,11 +63,10 @@ def loose_symbols(reached: DataFrame, nodes: DataFrame, prefix: str, field: str
 
 
 def page_pairs(spark: SparkSession, sf_dir: str, apart: int) -> DataFrame:
-    """Pages with an even id against the page so many ids on."""
+    """Every page against the page so many ids on."""
     nodes = page_nodes(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     roots = nodes.where("node_id = 0").select("page_id", "node_id", F.lit(1 << 40).alias("size"), F.array().cast("array<int>").alias("path"))
-    left = roots.where("page_id % 2 = 0").withColumn("pair", F.col("page_id"))
-    right = roots.where(F.col("page_id") % 2 == apart % 2).withColumn("pair", F.col("page_id") - apart)
+    left, right = roots.withColumn("pair", F.col("page_id")), roots.withColumn("pair", F.col("page_id") - apart)
     return diff(side(nodes, left, "l", "page_id"), side(nodes, right, "r", "page_id"))
 
 
@@ -71,23 +75,23 @@ def lockstep_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lockstep_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree against itself: nothing but aligned pairs."""
+    """Every tree against itself: nothing but aligned pairs."""
     return page_pairs(spark, sf_dir, 0).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def _sql(apart: int, tail: str) -> str:
+def _walked(apart: int) -> str:
     from .tree import _NODES
 
     return f"""WITH RECURSIVE {_NODES},
 c AS (SELECT n.*, (SELECT count(*) FROM n1 x WHERE x.page_id = n.page_id AND x.parent = n.node_id) AS kids FROM n),
-w AS (SELECT a.page_id AS pair, a.node_id AS l, b.node_id AS r, a.kind AS lk, b.kind AS rk, a.kids AS lc, b.kids AS rc
-      FROM c a JOIN c b ON b.page_id = a.page_id + {apart} AND b.ord = a.ord WHERE a.parent IS NULL AND b.parent IS NULL AND a.page_id % 2 = 0
+w AS (SELECT a.page_id AS pair, a.node_id AS l, b.node_id AS r, a.kind AS lk, b.kind AS rk, a.kids AS lc, b.kids AS rc, a.size AS ls, b.size AS rs
+      FROM c a JOIN c b ON b.page_id = a.page_id + {apart} AND b.ord = a.ord WHERE a.parent IS NULL AND b.parent IS NULL
       UNION ALL
-      SELECT w.pair, a.node_id, b.node_id, a.kind, b.kind, a.kids, b.kids FROM w JOIN c a ON a.page_id = w.pair AND a.parent = w.l
+      SELECT w.pair, a.node_id, b.node_id, a.kind, b.kind, a.kids, b.kids, a.size, b.size FROM w JOIN c a ON a.page_id = w.pair AND a.parent = w.l
       JOIN c b ON b.page_id = w.pair + {apart} AND b.parent = w.r AND b.ord = a.ord WHERE w.lk = w.rk AND w.lc = w.rc),
-z AS (SELECT pair, l::BIGINT AS l_node_id, r::BIGINT AS r_node_id, lk AS l_kind, rk AS r_kind, CASE WHEN lk <> rk THEN 'kind' WHEN lc <> rc THEN 'children' ELSE 'aligned' END AS status FROM w)
-{tail}"""
+z AS (SELECT pair, l::BIGINT AS l_node_id, r::BIGINT AS r_node_id, lk AS l_kind, rk AS r_kind, ls, rs, CASE WHEN lk <> rk THEN 'kind' WHEN lc <> rc THEN 'children' ELSE 'aligned' END AS status FROM w)
+"""
 
 
 QUERIES = {"lockstep_diff": lockstep_diff, "lockstep_self": lockstep_self}
-ORACLE_SQL = {"lockstep_diff": _sql(1, "SELECT * FROM z"), "lockstep_self": _sql(0, "SELECT status, count(*) AS n FROM z GROUP BY status")}
+ORACLE_SQL = {"lockstep_diff": _walked(1) + "SELECT pair, l_node_id, r_node_id, l_kind, r_kind, status FROM z", "lockstep_self": _walked(0) + "SELECT status, count(*) AS n FROM z GROUP BY status"}

@@ -36,13 +36,17 @@ def split_arguments(args: Column) -> Column:
     return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(marked, "\u0001"), lambda a: F.trim(a)))
 
 
-def normal_type(arg: Column, nesting: int = 6) -> Column:
-    """An argument's type without attributes and value name (P15); attributes nested deeper are an error."""
-    for _ in range(nesting):
-        arg = F.regexp_replace(arg, r"\b\w+\([^()]*\)", "")
-    arg = F.when(arg.rlike(r"\w\("), F.raise_error(F.lit("attributes nested too deeply")).cast("string")).otherwise(arg)
-    arg = F.regexp_replace(F.regexp_replace(arg, r"%[A-Za-z0-9_.]+", ""), r"\balign\s+\d+\b", "")
-    return F.array_join(F.filter(F.split(F.trim(arg), r"\s+"), lambda w: (w != "") & ~w.isin(*BARE_ATTRIBUTES)), " ")
+#: An innermost attribute with parentheses, a value name, an alignment.
+_ATTRIBUTE, _VALUE, _ALIGN = r"\b\w+\([^()]*\)", r"%[A-Za-z0-9_.]+", r"\balign\s+\d+\b"
+
+
+def normal_type(arg: Column, nesting: int = 64) -> Column:
+    """An argument's type without attributes and value name (P15). Innermost attributes go first, again and again until
+    none is left; more than so many nested in one another are an error."""
+    stripped = F.aggregate(F.sequence(F.lit(1), F.lit(nesting)), arg, lambda a, _: F.when(a.rlike(_ATTRIBUTE), F.regexp_replace(a, _ATTRIBUTE, "")).otherwise(a))
+    stripped = F.when(stripped.rlike(_ATTRIBUTE), F.raise_error(F.lit("attributes nested too deeply")).cast("string")).otherwise(stripped)
+    named = F.regexp_replace(F.regexp_replace(stripped, _VALUE, ""), _ALIGN, "")
+    return F.array_join(F.filter(F.split(F.trim(named), r"\s+"), lambda w: (w != "") & ~w.isin(*BARE_ATTRIBUTES)), " ")
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -112,12 +116,13 @@ def compare(wanted: DataFrame, left: DataFrame, right: DataFrame, instructions:
     return both.select("name", issues.alias("issues")).withColumn("passed", F.size("issues") == 0)
 
 
-def fn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's lines as functions: one with a colon-free capital start opens the next."""
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    fn = F.sum(F.col("line").rlike("^[A-M]").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos"))
-    inside = lines.withColumn("fn", fn).where("fn > 0")
-    return inside.groupBy("doc_id", F.col("fn").cast("long").alias("fn")).agg(F.count_if(F.trim("line") != "").alias("n_lines"), F.count_if(F.col("line").endswith(".")).alias("n_ends"))
+def report(compared: DataFrame, verbose: bool = False) -> DataFrame:
+    """One row (K12, A11): width of the widest symbol, symbols and failures, exit code, the closing line; with verbose
+    also how many issues there are."""
+    n, failed = F.count("*"), F.count_if(~F.col("passed"))
+    rows = compared.agg(F.coalesce(F.max(F.length("name")), F.lit(0)).cast("long").alias("width"), n.alias("n_symbols"), failed.alias("n_failed"), F.coalesce(F.sum(F.size("issues")), F.lit(0)).alias("n_issues"))
+    line = F.when(F.col("n_failed") > 0, F.format_string("%d/%d symbols failed", "n_failed", "n_symbols")).otherwise(F.format_string("all %d symbols passed", "n_symbols"))
+    return rows.select("width", "n_symbols", "n_failed", (F.col("n_failed") > 0).cast("long").alias("exit_code"), line.alias("line"), *(["n_issues"] if verbose else []))
 
 
 def equivalence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,22 +133,9 @@ def equivalence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("l_suppkey", a.alias("a"), r.alias("r"), within(a, r, 1.25).alias("passed"))
 
 
-def signature_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector against the next one, place by place: where they differ by more than one half."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    far = F.filter(F.zip_with("embedding", "other", lambda a, b: F.abs(a.cast("double") - b.cast("double")) > 0.5), lambda x: x)
-    return v.join(nxt, "vec_id").select("vec_id", F.size("embedding").cast("long").alias("n"), F.size(far).cast("long").alias("n_far"))
-
-
-QUERIES = {f.__name__: f for f in (fn_counts, equivalence_gate, signature_zip)}
+QUERIES = {f.__name__: f for f in (equivalence_gate,)}
 ORACLE_SQL = {
-    "fn_counts": """WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-        f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-M]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS fn FROM l)
-        SELECT doc_id, fn::BIGINT AS fn, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*) FILTER (WHERE suffix(line, '.')) AS n_ends FROM f WHERE fn > 0 GROUP BY 1, 2""",
     "equivalence_gate": """WITH a AS (SELECT l_suppkey, count(*) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), r AS (SELECT l_suppkey, count(*) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
         b AS (SELECT l_suppkey, coalesce(a, 0) AS a, coalesce(r, 0) AS r FROM a FULL JOIN r USING (l_suppkey))
         SELECT *, CASE WHEN a = 0 AND r = 0 THEN true WHEN a = 0 OR r = 0 THEN false ELSE greatest(a, r) / least(a, r) <= 1.25 END AS passed FROM b""",
-    "signature_zip": """SELECT a.vec_id, len(a.embedding)::BIGINT AS n, len(list_filter(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE) > 0.5))::BIGINT AS n_far
-        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 }

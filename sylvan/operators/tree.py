@@ -26,7 +26,7 @@ NODES = (
 _NAMES = [c.split()[0] for c in NODES.split(", ")]
 _ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 _SCHEMA = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in NODES.split(", ")])
-#: Elements without an end tag; elements left out, as pages don't close them.
+#: Elements without an end tag; elements that pages often leave open.
 LEAF_TAGS = ("br", "hr", "img", "input", "link", "meta")
 LOOSE_TAGS = ("b", "p")
 _SKIPPED = re.compile(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<![dD][^>]*>")
@@ -37,17 +37,19 @@ class _Rows:
     """Rows of one document in pre-order; close() fills in what is known when a node ends."""
 
     def __init__(self, doc_id: str):
-        self.doc_id, self.rows, self.open = doc_id, [], []
+        self.doc_id, self.rows, self.open, self.tops = doc_id, [], [], 0
 
     def node(self, **values) -> dict:
         up = self.open[-1] if self.open else None
         row = dict.fromkeys(_NAMES) | {
-            "doc_id": self.doc_id, "node_id": len(self.rows), "parent": up["node_id"] if up else None, "ord": up["n_children"] if up else sum(r["parent"] is None for r in self.rows) if self.rows else 0,
+            "doc_id": self.doc_id, "node_id": len(self.rows), "parent": up["node_id"] if up else None, "ord": up["n_children"] if up else self.tops,
             "depth": len(self.open), "n_children": 0, "size": 1, "implicit": False,
         } | values
         row["path"] = [*(up["path"] if up else []), row["ord"]]
         if up:
             up["n_children"] += 1
+        else:
+            self.tops += 1
         self.rows.append(row)
         return row
 
@@ -60,19 +62,37 @@ class _Rows:
 
 
 def page_rows(doc_id: str, html: str | None) -> list[dict]:
-    """Elements of a page, loose ones left out; an end tag ends the innermost open element, whichever it names."""
+    """Elements of a page. An end tag ends the innermost open element that isn't loose, whichever it names, and the loose
+    ones in it. Among the loose ones right at the end, an end tag ends those up to its own, if there is one, and a
+    paragraph's start ends an open paragraph."""
     out = _Rows(doc_id)
+
+    def leave_loose(name: str | None) -> None:
+        run = 0
+        while run < len(out.open) and out.open[-1 - run]["kind"] in LOOSE_TAGS:
+            run += 1
+            if out.open[-run]["kind"] == name:
+                break
+        if name is None or run and out.open[-run]["kind"] == name:
+            for _ in range(run):
+                out.leave()
+
     for tag in _TAG.findall(_SKIPPED.sub("", html or "")):
         name = tag.lower().lstrip("/")
         if name in LOOSE_TAGS:
-            continue
-        if name in LEAF_TAGS:
+            if tag[0] == "/" or name == "p":
+                leave_loose(name)
+            if tag[0] != "/":
+                out.enter(kind=name, ident="", type="")
+        elif name in LEAF_TAGS:
             if tag[0] != "/":
                 out.node(kind=name, ident="", type="")
         elif tag[0] != "/":
             out.enter(kind=name, ident="", type="")
-        elif out.open:
-            out.leave()
+        else:
+            leave_loose(None)
+            if out.open:
+                out.leave()
     while out.open:
         out.leave()
     return out.rows
@@ -122,13 +142,14 @@ def ast_rows(doc_id: str, source: str | None, prune: bool = True) -> list[dict]
 
 
 def walk(docs: DataFrame, rows_of: Callable[[str, str | None], list[dict] | None]) -> DataFrame:
-    """NODES of docs (doc_id, source): one walk a document; a document that can't be read gives no rows."""
+    """NODES of docs (doc_id, source): one walk a document; a document that can't be read gives no rows. One document at a
+    time is held as rows; Arrow batches end at a number of bytes, which Spark sets, and come out in column form."""
     ship(docs.sparkSession)
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = rows_of(doc_id, source) or []
+            for i in range(batch.num_rows):
+                rows = rows_of(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) or []
                 for lo in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_pylist(rows[lo : lo + 20_000], schema=_SCHEMA)
 
@@ -204,13 +225,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deepest running depth and end depth of each page's tags, by built-in functions only."""
-    clean = F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<![dD][^>]*>", "")
-    tags = F.transform(F.regexp_extract_all(clean, F.lit(r"<(/?[a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)
-    name = lambda t: F.ltrim(t, F.lit("/"))
-    step = lambda t: F.when(name(t).isin(*LEAF_TAGS, *LOOSE_TAGS), 0).when(t.startswith("/"), -1).otherwise(1)
-    run = F.aggregate("steps", F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["top"], a["now"] + s).alias("top")))
-    return _pages(spark, sf_dir).select("page_id", F.transform(tags, step).alias("steps")).select("page_id", run.alias("r")).select("page_id", F.col("r.top").cast("long").alias("max_depth"), F.col("r.now").cast("long").alias("end_depth"))
+    """How deep each page's elements are, and how many there are of each depth at most."""
+    nodes = page_nodes(_pages(spark, sf_dir))
+    return nodes.groupBy("page_id").agg(F.max("depth").alias("max_depth"), F.sum("depth").alias("depths"), F.count("*").alias("n_nodes"), F.sum("n_children").alias("n_children"))
 
 
 def tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,41 +245,29 @@ def summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtree_summary(nodes, nodes.where("depth <= 1"), "page_id")
 
 
-def children_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
-    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    kids = nation.withColumn("ord", F.row_number().over(order) - 1)
-    return region.join(kids, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", F.col("ord").cast("long").alias("ord"), "n_name")
-
-
-def saturating_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    price = F.floor("l_extendedprice")
-    return rows.select("l_orderkey", "l_linenumber", F.least(F.floor("l_quantity"), F.lit(25)).cast("long").alias("depth"), F.least(price, F.lit(65535)).cast("long").alias("col"), F.coalesce(F.nullif(price, F.lit(0)), F.lit(1)).cast("long").alias("line"))
-
-
-_TOKENS = r"""
+# Elements as intervals of tag places: structural ones by a running depth, paragraphs and bold text by what ends them.
+_NODES = r"""
 t AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<![dD][^>]*>', '', 'g'), '<(/?[a-zA-Z][a-zA-Z0-9]*)', 1) AS ts FROM pages),
 u AS (SELECT page_id, lower(unnest(ts)) AS t, generate_subscripts(ts, 1) AS pos FROM t),
-k AS (SELECT *, ltrim(t, '/') AS kind, CASE WHEN ltrim(t, '/') IN ('br','hr','img','input','link','meta') THEN 0 WHEN t LIKE '/%' THEN -1 ELSE 1 END AS step FROM u WHERE ltrim(t, '/') NOT IN ('b', 'p')),
-s AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY pos) AS after FROM k)"""
-_NODES = (
-    _TOKENS
-    + r""",
-n0 AS (SELECT page_id, pos, kind, CASE WHEN step = 1 THEN after - 1 ELSE after END AS depth, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS node_id FROM s WHERE t NOT LIKE '/%'),
-n1 AS (SELECT a.*, (SELECT max(b.node_id) FROM n0 b WHERE b.page_id = a.page_id AND b.node_id < a.node_id AND b.depth = a.depth - 1) AS parent,
-         coalesce((SELECT min(c.node_id) FROM n0 c WHERE c.page_id = a.page_id AND c.node_id > a.node_id AND c.depth <= a.depth), (SELECT count(*) FROM n0 d WHERE d.page_id = a.page_id)) - a.node_id AS size FROM n0 a),
+k AS (SELECT *, ltrim(t, '/') AS kind, CASE WHEN ltrim(t, '/') IN ('br','hr','img','input','link','meta') THEN 0 WHEN t LIKE '/%' THEN -1 ELSE 1 END AS step FROM u),
+s AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY pos) AS after FROM k WHERE kind NOT IN ('b', 'p')),
+iv AS (SELECT page_id, pos, kind, coalesce((SELECT min(x.pos) FROM s x WHERE x.page_id = a.page_id AND x.pos > a.pos AND x.after < a.after), 1000000000) AS e FROM s a WHERE step = 1),
+l0 AS (SELECT *, coalesce((SELECT max(x.pos) FROM iv x WHERE x.page_id = l.page_id AND x.pos < l.pos AND x.e > l.pos), -1) AS encl FROM k l WHERE kind IN ('b', 'p')),
+l1 AS (SELECT l0.*, coalesce(iv.e, 1000000000) AS outer_e FROM l0 LEFT JOIN iv ON iv.page_id = l0.page_id AND iv.pos = encl),
+p AS (SELECT page_id, pos, kind, encl, least(outer_e, coalesce((SELECT min(x.pos) FROM l0 x WHERE x.page_id = l.page_id AND x.encl = l.encl AND x.pos > l.pos AND x.kind = 'p'), 1000000000)) AS e FROM l1 l WHERE t = 'p'),
+b AS (SELECT page_id, pos, kind, least(outer_e, coalesce((SELECT min(x.pos) FROM l0 x WHERE x.page_id = l.page_id AND x.encl = l.encl AND x.pos > l.pos AND x.t = '/b'), 1000000000),
+        coalesce((SELECT max(p.e) FROM p WHERE p.page_id = l.page_id AND p.encl = l.encl AND p.pos < l.pos AND p.e > l.pos), 1000000000)) AS e FROM l1 l WHERE t = 'b'),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS node_id FROM (SELECT page_id, pos, kind, e FROM iv UNION ALL SELECT page_id, pos, kind, e FROM p UNION ALL SELECT page_id, pos, kind, e FROM b
+        UNION ALL SELECT page_id, pos, kind, pos FROM k WHERE step = 0 AND t NOT LIKE '/%')),
+n1 AS (SELECT a.*, (SELECT max(x.node_id) FROM n0 x WHERE x.page_id = a.page_id AND x.pos < a.pos AND x.e > a.pos) AS parent, (SELECT count(*) FROM n0 x WHERE x.page_id = a.page_id AND x.pos < a.pos AND x.e > a.pos) AS depth,
+        1 + (SELECT count(*) FROM n0 x WHERE x.page_id = a.page_id AND x.pos > a.pos AND x.pos < a.e) AS size FROM n0 a),
 n AS (SELECT *, row_number() OVER (PARTITION BY page_id, parent ORDER BY node_id) - 1 AS ord, count(*) FILTER (WHERE parent IS NOT NULL) OVER (PARTITION BY page_id, parent) AS siblings FROM n1)"""
-)
-QUERIES = {"tag_depth": tag_depth, "tree_links": tree_links, "subtree_leaves": leaves_query, "subtree_summary": summary_query, "children_by_parent": children_by_parent, "saturating_cast": saturating_cast}
+QUERIES = {"tag_depth": tag_depth, "tree_links": tree_links, "subtree_leaves": leaves_query, "subtree_summary": summary_query}
 ORACLE_SQL = {
-    "tag_depth": f"WITH {_TOKENS} SELECT page_id, greatest(0, max(after))::BIGINT AS max_depth, last(after ORDER BY pos)::BIGINT AS end_depth FROM s GROUP BY page_id",
+    "tag_depth": f"WITH {_NODES} SELECT page_id, max(depth)::BIGINT AS max_depth, sum(depth)::BIGINT AS depths, count(*) AS n_nodes, count(parent) AS n_children FROM n GROUP BY page_id",
     "tree_links": f"""WITH {_NODES} SELECT page_id, node_id::BIGINT AS node_id, kind, depth::BIGINT AS depth, coalesce(parent, -1)::BIGINT AS parent,
         coalesce(CASE WHEN parent IS NOT NULL THEN lead(node_id) OVER (PARTITION BY page_id, parent ORDER BY node_id) END, -1)::BIGINT AS next_sibling FROM n""",
     "subtree_leaves": f"WITH {_NODES} SELECT a.page_id, a.node_id::BIGINT AS root, b.kind, min(b.node_id)::BIGINT AS first_node FROM n a JOIN n b ON a.page_id = b.page_id AND b.node_id >= a.node_id AND b.node_id < a.node_id + a.size WHERE a.depth = 1 GROUP BY 1, 2, 3",
     "subtree_summary": f"""WITH {_NODES} SELECT a.page_id, a.node_id::BIGINT AS root, string_agg(b.kind, ' > ' ORDER BY b.node_id) || CASE WHEN any_value(a.size) > 16 THEN ' > ...' ELSE '' END AS summary
         FROM n a JOIN n b ON a.page_id = b.page_id AND b.node_id >= a.node_id AND b.node_id < a.node_id + least(a.size, 16) WHERE a.depth <= 1 GROUP BY 1, 2""",
-    "children_by_parent": "SELECT r_name, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::BIGINT AS ord, n_name FROM region JOIN nation ON r_regionkey = n_regionkey",
-    "saturating_cast": """SELECT l_orderkey, l_linenumber, least(floor(l_quantity), 25)::BIGINT AS depth, least(floor(l_extendedprice), 65535)::BIGINT AS col,
-        coalesce(nullif(floor(l_extendedprice), 0), 1)::BIGINT AS line FROM lineitem""",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +33,24 @@ def manifest_sources(spark: SparkSession, manifest: str) -> DataFrame:
     return rows.select(F.explode("ok").alias("o")).select("o.source", F.coalesce("o.ast_json", "o.llvm_ir").alias("file"))
 
 
+def plain_path(uri):
+    """A file's path without scheme, host and percent signs."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+
+
 def manifest_documents(spark: SparkSession, manifest: str, root: str) -> tuple[DataFrame, DataFrame]:
-    """(readable, skipped): (doc_id, source) of documents that are JSON, and the files that aren't or are missing."""
+    """(readable, skipped): (doc_id, source) of documents that are JSON, and the files that aren't or are missing.
+
+    A file below root belongs to the manifest's file whose path ends in its path from there; the longest such path wins, so
+    files of one name in different folders are different, and a run's folder may have moved.
+    """
     listed = manifest_sources(spark, manifest).select(F.col("source").alias("doc_id"), "file")
-    files = text_files(spark, root, "*.json").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("base"), "text")
-    met = listed.withColumn("base", F.regexp_extract("file", r"([^/]+)$", 1)).join(files, "base", "left")
+    parts = F.filter(F.split("file", "/"), lambda p: ~p.isin("", "."))
+    ends = listed.select("doc_id", "file", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))).alias("at"))
+    top = F.regexp_replace(plain_path(F.lit(root)), "/+$", "")
+    files = text_files(spark, root, "*.json").select(F.substring(plain_path(F.col("path")), F.length(top) + 2, F.lit(1 << 30)).alias("at"), "text")
+    best = ends.join(files, "at").groupBy("doc_id", "file").agg(F.max_by("text", F.length("at")).alias("text"))
+    met = listed.join(best, ["doc_id", "file"], "left")
     ok = F.try_parse_json("text").isNotNull()
     return met.where(ok).select("doc_id", F.col("text").alias("source")), met.where(~F.coalesce(ok, F.lit(False))).select("doc_id", "file")
 
@@ -81,6 +93,14 @@ def spec(srcs: list[str], module: str, symbol: str, spark: SparkSession) -> Data
     return spark.createDataFrame([(srcs, module, symbol)], "srcs array<string>, module string, symbol string")
 
 
-def capabilities() -> str:
-    """What a codec service can be asked, as JSON."""
-    return json.dumps({"operations": ["parse", "deparse", "health", "capabilities"], "raw_fallback": True})
+#: What a codec service can be asked.
+OPERATIONS = ("Capabilities", "Deparse", "Health", "Parse")
+
+
+def capabilities(spark: SparkSession, languages: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(language, operation) of a codec service (S19, U8): those asked for a language, and Health and Capabilities for each.
+    An operation it doesn't have is an error."""
+    unknown = {o for ops in languages.values() for o in ops} - set(OPERATIONS)
+    if unknown:
+        raise ValueError(f"no such operation: {', '.join(sorted(unknown))}")
+    return spark.createDataFrame([(name, o) for name, ops in languages.items() for o in sorted({*ops, "Capabilities", "Health"})], "language string, operation string")

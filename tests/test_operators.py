@@ -26,11 +26,11 @@ def test_flags(spark):
 
 
 def test_argv_and_commands(spark):
-    rows = spark.createDataFrame([("a.c", "src", None, "cc -DA='b c' -I x a.c"), ("/abs/b.c", None, ["cc", "-m32"], None)], compdb.ENTRY)
+    rows = spark.createDataFrame([("a.c", "src", None, "cc -DA='b c' -I x a.c"), ("/abs/b.c", None, ["cc", "-m32"], None)], "file string, directory string, arguments array<string>, command string")
     got = {r["source"]: (r["flags"], r["cmd"][-1], r["out"]) for r in compdb.commands(rows, "ast").collect()}
     assert got == {"src/a.c": (["-DA=b c", "-I"], "src/a.c", "src/a.c.ast.json"), "/abs/b.c": (["-m32"], "/abs/b.c", "abs/b.c.ast.json")}
     with pytest.raises((PySparkException, Py4JJavaError)):
-        compdb.argv(spark.createDataFrame([("a.c", None, None, None)], compdb.ENTRY)).collect()
+        compdb.argv(spark.createDataFrame([("a.c", None, None, None)], "file string, directory string, arguments array<string>, command string")).collect()
     assert [r["source"] for r in compdb.commands(rows, "llvm", ["*.c"]).collect()] and compdb.commands(rows, "ast", ["a?c"]).count() == 1
     assert one(spark, compdb.substituted(F.array(F.lit("-I@R/x"), F.lit("-I@N")), {"@R": "/r", "@N": None})) == ["-I/r/x"]
     assert one(spark, compdb.quoted(F.array(F.lit("a"), F.lit("b 'c")))) == "a 'b '\"'\"'c'"
@@ -209,3 +209,60 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.read.schema("start timestamp_ntz, event_type string, n long").parquet(f"{tmp_path}/out").collect()}
     want = {(r["start"], r["event_type"]): r["n"] for r in batch.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n").collect()}
     assert got.items() <= want.items()
+
+
+def test_manifest_files_of_one_name(spark, tmp_path):
+    for d in "ab":
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "u.c.json").write_text(f'{{"kind": "{d}"}}')
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "run.json").write_text('{"ok": [{"source": "a/u.c", "ast_json": "out/a/u.c.json"}, {"source": "b/u.c", "ast_json": "b/u.c.json"}, {"source": "c/u.c", "ast_json": "c/u.c.json"}]}')
+    good, bad = readers.manifest_documents(spark, f"file://{tmp_path}/m/run.json", f"file://{tmp_path}")
+    assert {tuple(r) for r in good.collect()} == {("a/u.c", '{"kind": "a"}'), ("b/u.c", '{"kind": "b"}')} and [r["doc_id"] for r in bad.collect()] == ["c/u.c"]
+
+
+def test_statements_keep_literals(spark):
+    sql = "CREATE TABLE t (a text DEFAULT 'x--y', b int); -- gone; \ncreate function f() as $a$ -- kept; /* $a$; /* ; */ DROP TABLE \"u;v\"; select 'it''s; /*'"
+    got = [r["statement"] for r in ddl.statements(spark.createDataFrame([("p", sql, "postgres"), ("p", sql, "postgres")], "path string, sql string, dialect string")).orderBy("seq").collect()]
+    assert got == ["CREATE TABLE t (a text DEFAULT 'x--y', b int)", "create function f() as $a$ -- kept; /* $a$", 'DROP TABLE "u;v"', "select 'it''s; /*'"]
+
+
+def test_database_must_be_an_array(spark, tmp_path):
+    (tmp_path / "ok.json").write_text('[{"file": "a.c", "arguments": ["cc", "-m64"]}, {"file": "b.c", "command": "cc b.c"}]')
+    (tmp_path / "bad.json").write_text('{"file": "a.c"}')
+    assert [r["file"] for r in compdb.read_entries(spark, f"file://{tmp_path}/ok.json").collect()] == ["a.c", "b.c"]
+    with pytest.raises(Exception, match="no array"):
+        compdb.read_entries(spark, f"file://{tmp_path}/bad.json").collect()
+
+
+def test_renders_need_exactly_one_file(spark):
+    specs = spark.createDataFrame([("PYTHON", "o", "f")], "language string, out_path string, file string")
+    one = spark.createDataFrame([("f", "text")], "path string, text string")
+    assert jobs.rendered(specs, one).head()["source"] == "text"
+    for files in (one.unionByName(one), one.where("path <> 'f'")):
+        with pytest.raises(Exception, match="exactly one file"):
+            jobs.rendered(specs, files).collect()
+
+
+def test_manifest_bytes_of_long_sources(spark):
+    row = jobs.manifests(spark.createDataFrame([("p", ["python", "sql"], ["a", "b"], ["x" * 300, ""])], "package string, languages array<string>, out_paths array<string>, sources array<string>"))
+    got = bytes(jobs.manifest_bytes(row, F.lit("pkg"), deps=("d",)).head()["manifest"])
+    first = b"\x08\x02\x12\x01a\x1a\xac\x02" + b"x" * 300
+    assert got == b"\x0a\x0c\x0a\x03pkg\x12\x050.0.0" + b"\x12\xb7\x02\x12\xb4\x02" + first + b"\x12\x07\x12\x05\x08\x05\x12\x01b" + b"\x1a\x01d"
+
+
+def test_capabilities_and_toolchains(spark):
+    rows = {tuple(r) for r in readers.capabilities(spark, {"sql": ("Parse",)}).collect()}
+    assert rows == {("sql", "Parse"), ("sql", "Health"), ("sql", "Capabilities")}
+    frame = spark.createDataFrame([("sql",), ("x",)], "d string")
+    assert [r[0] for r in frame.select(ddl.toolchain(F.col("d"), {"sql": "t"})).collect()] == ["t", "x"]
+    with pytest.raises(Exception, match="no toolchain"):
+        frame.select(ddl.toolchain(F.col("d"), {"sql": "t"}, strict=True)).collect()
+
+
+def test_loose_elements_of_a_page():
+    from sylvan.operators.tree import page_rows
+
+    got = [(r["kind"], r["depth"], r["size"]) for r in page_rows("1", "<div><p><b>x<br><p>y</p></b></div><b><p></b><p><div></p><p></div>")]
+    assert got == [("div", 0, 5), ("p", 1, 3), ("b", 2, 2), ("br", 3, 1), ("p", 1, 1), ("b", 0, 2), ("p", 1, 1), ("p", 0, 3), ("div", 1, 2), ("p", 2, 1)]
+    assert len(page_rows("1", "<br>" * 50_000)) == 50_000
