@@ -3,19 +3,19 @@
 A gear hash rolls over the UTF-8 bytes of a text: shifted left by one for each byte, plus a random value
 of the byte, in 32 bits, so it depends on the last 32 bytes. A chunk ends where the bits under ``MASK``
 are all zero; a stretch of over ``GREATEST`` bytes is cut again where its hash is smallest. Chunk ends follow
-content, so an insertion moves the chunks around it and no others. Chunks are matched by digest (64-bit
-xxh3 of their bytes): the first occurrence by (doc_id, offset) stays.
+content, so an insertion moves the chunks around it and no others. Chunks are matched by digest (78 bits
+of the xxh3 of their bytes): the first occurrence by (doc_id, offset) stays.
 
 The ends of a passage never fall on chunk ends, so chunks are anchors only. Every run of neighbouring
-repeated chunks is compared byte by byte, at both sides, with the first and the last occurrence of its
-chunks. Short chunks repeat by chance, so only stretches of ``least`` bytes or more after that count;
-stretches as long that occurred before are cut from the text, at whole characters. A digest that collides
-would have to do so for all chunks of a run.
-
-Counts per digest are combined in the map tasks; the join back to occurrences is a plain one whose
-skewed partitions Spark splits. Null and empty texts have no chunks and stay as they are. Rows with
-equal doc_ids are told apart by a hash of their text; rows equal in both are one document with each
-row cut alike. Null doc_ids come first.
+repeated chunks is compared byte by byte, at both sides, with another occurrence of its chunks: the first
+or the last, whichever is alike on more sides. Short chunks repeat by chance, so only stretches of
+``least`` bytes or more after that count (with least=0 all do); stretches as long that occurred before are
+cut from the text, at whole characters. A digest that collides would have to do so for all chunks of a run.
+
+Chunks meet by digest in one shuffle, but for those of very frequent digests, see ``placed``. Null and empty
+texts have no chunks and stay as they are. Rows with equal doc_ids are told apart by a hash of their text;
+rows equal in both are one document with each row cut alike. Null doc_ids come first. A very long text
+is cut in one task, as is a text whose chunks all repeat. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import small_batches, steady_memory, written
 
 MASK = 0xF8000000
 LEAST = 100
 GREATEST = 128
 #: Bytes compared on either side of a run. A longer match would hold a chunk end of its own at each side.
 REACH = 2 * GREATEST + 32
+#: Bytes of neighbouring chunks that a comparison steps over, and bytes compared on either side where that will do, see far.
+SHORT, LEFT, RIGHT = 48, 160, 128
+#: Chunks of at most SMALL bytes bring a hash of 32 bytes on either side, others of 16: so many of these at most are
+#: equal to those of another place whose hash differs.
+SMALL, WIDE, BESIDE = 36, 31, 15
+#: Digests that go by the way for very frequent ones, at most.
+HOT = 1024
+CUT = "kept string, repeated_bytes long, spans array<struct<start:long,end:long>>, n_repeated_chunks long"
 _GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
 _NULL_ID = -(1 << 63)
 
@@ -51,6 +61,7 @@ def chunk_ends(data: bytes, h: np.ndarray | None = None) -> np.ndarray:
     if not data:
         return np.zeros(0, np.int64)
     h = hashes(data) if h is None else h
+    h = hashes(data) if h is None else h
     ends = np.flatnonzero((h & np.uint32(MASK)) == 0) + 1
     ends = ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
     starts, more = np.r_[0, ends[:-1]], []
@@ -64,34 +75,138 @@ def chunk_ends(data: bytes, h: np.ndarray | None = None) -> np.ndarray:
     return np.sort(np.append(ends, more).astype(np.int64)) if more else ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(k, loc, size, digest) of every chunk; k: doc_id or the least long, loc: offset, then 24 bits of th, the text's hash;
-    size: 8 bits of it, then 8 bits of the hash of the 8 bytes before and of those after the chunk."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            n, starts, sizes, digests = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                data = text.encode("utf-8", "surrogatepass")
-                h = hashes(data)
-                ends = chunk_ends(data, h)
-                start = np.r_[0, ends[:-1]] if len(ends) else ends
-                sides = (h[start - 1] & 0xFF).astype(np.int64) << 8 | (h[np.minimum(ends + 7, len(h) - 1)] & 0xFF).astype(np.int64) << 16
-                n.append(len(ends))
-                starts.append(start)
-                sizes.append(ends - start | sides)
-                digests += [digest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist())]
-            k, th = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
-            at, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, sizes))
-            loc, size = at << 24 | th, size.astype(np.int32)
-            d = np.array(digests, np.uint64).view(np.int64)
-            for lo in range(0, len(d), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in (k, loc, size, d)], ["k", "loc", "size", "digest"])
-
-    return docs.select("k", "th", "t").mapInArrow(cut, "k long, loc long, size int, digest long")
+def far(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether to compare further than LEFT and RIGHT bytes before and after each chunk: as far as REACH.
+
+    A chunk end common to two texts whose last 32 bytes are common is an end in both. So a match that goes on to the
+    left holds the chunks before but for its first 32 bytes, and one that goes on to the right those after it; these have
+    matches of their own. As short chunks' other places may be elsewhere by chance, at least SHORT bytes of them
+    are stepped over. Ends that no hash gave follow from the whole stretch: there the reach is full.
+    """
+    starts, n = np.r_[0, ends[:-1]], len(ends)
+    given = np.r_[True, (h[ends[:-1] - 1] & np.uint32(MASK)) == 0, True]  # of the places 0, and each end
+    places = np.r_[0, ends]
+    i = np.arange(n)
+    to_left = np.maximum(np.searchsorted(places, starts - SHORT, "right") - 1, 0)
+    to_right = np.minimum(np.searchsorted(places, np.maximum(ends, starts + 32) + SHORT), n)
+    return (starts - places[to_left] + 32 > LEFT) | ~given[i] | ~given[to_left], (places[to_right] - ends > RIGHT) | ~given[i + 1] | ~given[to_right]
+
+
+def beside(h: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """8 bits of the last 32 bytes (short) or 16 bytes before a place. Mixed, as the high bits are the same at all chunk ends."""
+    return (np.where(short, h, h & np.uint32(0xFFFF)) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.int64)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(k, loc, digest, size) of the chunks of each batch of (k, th, t), see chunks."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        n, starts, sizes, digests = [], [], [], []
+        for text in batch.column(2).to_pylist():
+            data = text.encode("utf-8", "surrogatepass")
+            h = hashes(data)
+            ends = chunk_ends(data, h)
+            start = np.r_[0, ends[:-1]]
+            left, right = far(h, ends)
+            short = ends - start <= SMALL
+            before = beside(h[start - 1], short)
+            after = beside(h[np.minimum(np.where(short, ends + 31, ends + 15), len(h) - 1)], short)
+            sides = before << 8 | after << 16
+            n.append(len(ends))
+            starts.append(start)
+            sizes.append(ends - start | sides | left.astype(np.int64) << 24 | right.astype(np.int64) << 25)
+            digests += [digest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist())]
+        k, th = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
+        at, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, sizes))
+        d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        yield k, at << 24 | th, d[:, 0], size | (d[:, 1] & 0x3FFF) << 26
+
+
+CHUNK = "k long, loc long, digest long, size long"
+
+
+def chunks(docs: DataFrame, without: list[int] = ()) -> DataFrame:
+    """(k, loc, digest, size) of every chunk but those of some digests; k: doc_id or the least long, loc: offset, then 24
+    bits of th, the text's hash; size: 8 bits of it, then 8 bits of the hash of the bytes before and of those after the
+    chunk (see SMALL), whether to compare far to the left and right, and 14 more of the digest. As every byte of these
+    rows is shuffled, the bits left over are zeros at the end."""
+    hot = np.sort(np.array(without, np.int64))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with steady_memory():
+            for columns in _cut(batches):
+                if len(hot):
+                    stay = ~np.isin(columns[2], hot)
+                    columns = [c[stay] for c in columns]
+                for lo in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], ["k", "loc", "digest", "size"])
+
+    return docs.select("k", "th", "t").mapInArrow(rows, CHUNK)
+
+
+def hot_digests(docs: DataFrame, most: int = HOT) -> list[int]:
+    """At most so many digests, among them all that more than 2 / most of all chunks have: a summary of the counts in
+    each task that drops the least ones, then their sums. It only tells which chunks take which way."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with steady_memory():
+            kept, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            total = 0
+            for _, _, digest, _ in _cut(batches):
+                total += len(digest)
+                kept, at = np.unique(np.concatenate([kept, digest]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, np.ones(len(digest), np.int64)]), len(kept)).astype(np.int64)
+                if len(kept) > most:  # the counts beyond the greatest ones, taken from all
+                    counts -= np.partition(counts, -most - 1)[-most - 1]
+                    kept, counts = kept[counts > 0], counts[counts > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(counts), pa.array(np.full(len(kept), total))], ["digest", "n", "total"])
+
+    found = docs.select("k", "th", "t").mapInArrow(counted, "digest long, n long, total long").withColumn("part", F.spark_partition_id())
+    summed = written(found, "hot")
+    total = summed.groupBy("part").agg(F.max("total").alias("t")).agg(F.sum("t")).head()[0] or 0
+    best = summed.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") > max(1000, total // most)).orderBy(F.desc("n")).limit(most)
+    return [r["digest"] for r in best.collect()]
+
+
+_ENDS = ["digest", "more", "fk", "floc", "fsize", "lk", "lloc", "lsize"]
+
+
+def hot_marks(docs: DataFrame, hot: list[int]) -> DataFrame:
+    """placed, of the chunks of so many digests: each task finds their first and last place in its rows, an aggregate those
+    over all, and these few rows go to every task that marks its own chunks, which are never brought together."""
+    chosen = np.sort(np.array(hot, np.int64))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with steady_memory():
+            best: dict[tuple[int, int], tuple] = {}
+            for k, loc, digest, size in _cut(batches):
+                at = np.flatnonzero(np.isin(digest, chosen))
+                for row in zip(digest[at].tolist(), (size[at] >> 26).tolist(), k[at].tolist(), loc[at].tolist(), size[at].tolist()):
+                    key, place = row[:2], row[2:]
+                    first, last = best.get(key, (place, place))
+                    best[key] = min(first, place), max(last, place)
+            columns = list(zip(*((*key, *first, *last) for key, (first, last) in best.items()))) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _ENDS)
+
+    texts = docs.select("k", "th", "t")
+    each = texts.mapInArrow(ends, ", ".join(f"{c} long" for c in _ENDS))
+    over = each.groupBy("digest", "more").agg(F.min(F.struct("fk", "floc", "fsize")).alias("f"), F.max(F.struct("lk", "lloc", "lsize")).alias("l")).select("digest", "more", "f.*", "l.*")
+    # As many rows as hot digests but for collisions of 64 bits.
+    table = {tuple(r[:2]): tuple(r[2:]) for r in over.collect() if tuple(r[2:4]) != tuple(r[5:7])}
+    names = ["k", "loc", "size", *_ENDS[2:]]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with steady_memory():
+            for k, loc, digest, size in _cut(batches):
+                at = np.flatnonzero(np.isin(digest, chosen))
+                found = [table.get(key) for key in zip(digest[at].tolist(), (size[at] >> 26).tolist())]
+                at = at[[x is not None for x in found]] if found else at
+                more = np.array([x for x in found if x is not None], np.int64).reshape(-1, 6)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[at], loc[at], size[at], *more.T)], names)
+
+    return texts.mapInArrow(mark, ", ".join(f"{c} long" for c in names)).select("k", "loc", "size", *(F.struct(*(F.col(f"{e}{c}").alias(c) for c in ("k", "loc", "size"))).alias(name) for name, e in (("first", "f"), ("last", "l"))))
 
 
 def joined_spans(spans) -> list[tuple[int, int]]:
@@ -137,104 +252,148 @@ def same_end(a: bytes, b: bytes) -> int:
     return n if not differ else ((differ & -differ).bit_length() - 1) // 8
 
 
+def unpacked(marks: pa.ListArray) -> dict[str, np.ndarray]:
+    """The marks of all rows of a batch, by row and place: doc (row), at, size, near and first (bool), left and right (bytes
+    to compare), pk and ploc (another place)."""
+    flat = marks.flatten()
+    packed, *other = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    doc = np.repeat(np.arange(len(marks)), pc.list_value_length(marks).fill_null(0).to_numpy(zero_copy_only=False))
+    by = np.lexsort((packed, doc))
+    packed = packed[by]
+    bit = lambda n: packed >> n & 1 > 0
+    found = {"doc": doc[by], "at": packed >> 32, "size": packed & 0xFF, "near": bit(8), "first": bit(9), "left": np.where(bit(10), REACH, LEFT), "right": np.where(bit(11), REACH, RIGHT)}
+    return found | {name: x[by] for name, x in zip(("pk", "ploc"), other)}
+
+
 def places(per_doc: DataFrame, least: int) -> DataFrame:
-    """Where else to look around every run: (k, th, lo, hi, pk, pth, plo), one row for each other place of the
-    chunks within least bytes of a run's edges (short ones may be elsewhere by chance); those at one distance share a row.
-    A place where no 8 bytes beside the chunk can be equal (first_near, last_near) gives under 8 bytes at either side; it is
-    asked only where these may decide whether a run is long enough."""
-    names = ("k", "th", "lo", "hi", "pk", "pth", "plo")
+    """Where else to look around every run: (k, th, span, reach, pk, pth, plo), span being lo, then 31 bits of hi, reach
+    left, then 16 bits of right: one row for each place of the chunks within least bytes of a run's edges (short ones may be elsewhere by chance); those at one distance share a row.
+    A place whose hashes beside the chunk differ gives few bytes at either side; it is asked only where these may decide
+    whether a run is long enough."""
+    names = ("k", "th", "span", "reach", "pk", "pth", "plo")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(2)
-            flat = marks.flatten()
-            at, size, *other = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(8))
-            doc = np.repeat(np.arange(len(batch)), np.diff(marks.offsets.to_numpy()))
-            by = np.lexsort((at, doc))
-            at, size, doc, other = at[by].astype(np.int64), size[by].astype(np.int64), doc[by], [x[by] for x in other]
+            m = unpacked(batch.column(2))
+            at, doc, end = m["at"], m["doc"], m["at"] + m["size"]
             if not len(at):
                 continue
-            k, th = (batch.column(i).to_numpy()[doc].astype(np.int64) for i in (0, 1))
-            starts = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + size[:-1])]
+            starts = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != end[:-1])]
             run = np.cumsum(starts) - 1
             first, last = np.flatnonzero(starts), np.flatnonzero(np.r_[starts[1:], True])
-            wanted = (at - at[first][run] < least) | ((at + size)[last][run] - at - size < least)
-            total = (at + size)[last][run] - at[first][run]
-            close, found = (total < least) & (total + 14 >= least), []
-            for pk, ploc, near in (other[:3], other[3:]):
-                use = wanted & (close | near) & ((pk != k) | (ploc != (at << 24 | th)))
-                found.append(np.stack([run[use], pk[use], ploc[use] & 0xFFFFFF, (ploc[use] >> 24) - at[use], at[use], at[use] + size[use], doc[use]]))
-            x = np.concatenate(found, 1)
+            wanted = (at - at[first][run] < least) | (end[last][run] - end < least)
+            total = end[last][run] - at[first][run]
+            close = (total < least) & (total + 2 * np.where(m["size"] <= SMALL, WIDE, BESIDE) >= least)
+            use = wanted & (close | m["near"])
+            x = np.stack([run, m["pk"], m["ploc"] & 0xFFFFFF, (m["ploc"] >> 24) - at, at, end, doc, m["left"], m["right"]])[:, use]
             x = x[:, np.lexsort(x[3::-1])]
             if not x.shape[1]:
                 continue
             new = np.flatnonzero(np.r_[True, (x[:4, 1:] != x[:4, :-1]).any(0)])
             lo, hi = np.minimum.reduceat(x[4], new), np.maximum.reduceat(x[5], new)
+            left, right = (np.maximum.reduceat(x[i], new) for i in (7, 8))
             x = x[:, new]
-            cols = [batch.column(0).to_numpy()[x[6]], batch.column(1).to_numpy()[x[6]], lo, hi, x[1], x[2], x[3] + lo]
+            cols = [batch.column(0).to_numpy()[x[6]], batch.column(1).to_numpy()[x[6]], lo << 31 | hi, left << 16 | right, x[1], x[2], x[3] + lo]
             for i in range(0, len(lo), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000].astype(np.int64)) for c in cols], list(names))
 
     return per_doc.select("k", "th", "marks").mapInArrow(find, ", ".join(f"{c} long" for c in names))
 
 
-def dedup(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Every row with kept_text, repeated_bytes (in stretches that also occur elsewhere), removed_bytes, spans
-    (start:end in bytes of what was removed) and n_repeated_chunks; other columns pass through."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF)).alias("th"), F.struct(*docs.columns).alias("row"))
-    texts = rows.select("k", "th", F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("t")).where("t <> ''")
-    found = chunks(texts)
+def placed(texts: DataFrame) -> DataFrame:
+    """(k, loc, size, first, last) of every chunk that occurs twice or more: its first and last place.
+
+    Chunks meet by digest, once; the window over a digest spills. Those of the few digests that a large share of all
+    chunks may have don't meet, see hot_marks.
+    """
+    hot = hot_digests(texts)
+    by = Window.partitionBy("digest", F.shiftright("size", 26))
     place = F.struct("k", "loc", "size")
-    counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1").select("digest", "first", "last")
-    near = lambda c: (F.col("size").bitwiseXOR(F.col(f"{c}.size")).bitwiseAND(F.lit(0xFF00)) == 0) | (F.col("size").bitwiseXOR(F.col(f"{c}.size")).bitwiseAND(F.lit(0xFF0000)) == 0)
-    at, th = F.shiftright("loc", 24).cast("int").alias("at"), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("th")
-    other = [x for c, s in (("first", "f"), ("last", "l")) for x in (F.col(f"{c}.k").alias(f"{s}k"), F.col(f"{c}.loc").alias(f"{s}loc"), near(c).alias(f"{c}_near"))]
+    own = chunks(texts, hot).select("k", "loc", "size", F.min(place).over(by).alias("first"), F.max(place).over(by).alias("last")).where(F.struct("first.k", "first.loc") != F.struct("last.k", "last.loc"))
+    return own.unionByName(hot_marks(texts, hot)) if hot else own
+
+
+def _found(docs: DataFrame, least: int, text: str, doc_id: str) -> DataFrame:
+    """row (all columns of docs) and c (kept, repeated_bytes, spans, n_repeated_chunks) of every row."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF)).alias("th"), F.struct("*").alias("row"))
+    texts = rows.select("k", "th", F.coalesce(F.col("row")[text], F.lit("")).alias("t")).where("t <> ''")
+    size = F.col("size").bitwiseAND(F.lit(0xFF))
+    own_first = (F.col("first.k") == F.col("k")) & (F.col("first.loc") == F.col("loc"))
+    own_last = (F.col("last.k") == F.col("k")) & (F.col("last.loc") == F.col("loc"))
+    same = lambda c, bits: (F.col("size").bitwiseXOR(F.col(f"{c}.size")).bitwiseAND(F.lit(bits)) == 0).cast("int")
+    sides = lambda c: same(c, 0xFF00) + same(c, 0xFF0000)
+    # Of the first and the last place the one that is alike on more sides, the first if both are.
+    other_last = own_first | (~own_last & (sides("last") > sides("first")))
+    near = F.when(other_last, sides("last")).otherwise(sides("first")) > 0
+    # A chunk whose neighbouring bytes differ from those there, and that would be too short with the few bytes a side that
+    # may be equal, is elsewhere by chance.
+    found = placed(texts).select("*", near.alias("near"), own_first.alias("own_first"), F.when(other_last, F.col("last")).otherwise(F.col("first")).alias("other")).where(F.col("near") | (size + F.when(size <= SMALL, 2 * WIDE).otherwise(2 * BESIDE) >= least))
+    bits = size + F.when(F.col("near"), 1 << 8).otherwise(0) + F.when(F.col("own_first"), 1 << 9).otherwise(0) + F.shiftleft(F.shiftright("size", 24).bitwiseAND(F.lit(3)), 10)
+    packed = F.shiftleft(F.shiftright("loc", 24), 32) + bits
+    mark, th = F.struct(packed.alias("packed"), F.col("other.k").alias("pk"), F.col("other.loc").alias("ploc")), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("th")
     # The filter is what the join below would infer: so both uses of the marks are one plan, made once.
-    marks = found.where(F.col("k").isNotNull() & F.col("loc").isNotNull() & F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).isNotNull()).join(counted, "digest").select("k", th, F.struct(at, F.col("size").bitwiseAND(F.lit(0xFF)).alias("size"), *other).alias("m"))
+    marks = found.where(F.col("k").isNotNull() & F.col("loc").isNotNull() & F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).isNotNull()).select("k", th, mark.alias("m"))
     # Bounded by a document's own chunks; rows equal in id and text repeat their marks, hence the set.
     per_doc = marks.groupBy("k", "th").agg(F.collect_set("m").alias("marks"))
 
-    @F.pandas_udf("left binary, right binary")
-    def around(texts, los, his, _):
-        import pandas as pd
-
-        out, last, data = [], None, b""
-        for t, lo, hi in zip(texts, los, his):
-            if t is not last:
-                last, data = t, t.encode("utf-8", "surrogatepass")
-            out.append((data[max(0, lo - REACH) : lo], data[hi : hi + REACH]))
-        return pd.DataFrame(out, columns=["left", "right"])
+    @F.arrow_udf("before binary, after binary")
+    def around(texts: pa.Array, plos: pa.Array, spans: pa.Array, reach: pa.Array, _: pa.Array) -> pa.Array:
+        before, after, last, data = [], [], None, b""
+        plo, span, far = plos.to_numpy(), spans.to_numpy(), reach.to_numpy()
+        his = plo + (span & 0x7FFFFFFF) - (span >> 31)
+        for i, (lo, hi, left, right) in enumerate(zip(plo.tolist(), his.tolist(), (far >> 16).tolist(), (far & 0xFFFF).tolist())):
+            t = texts[i].as_buffer()
+            if last is None or not t.equals(last):
+                last, data = t, t.to_pybytes()
+            before.append(data[max(0, lo - left) : lo])
+            after.append(data[hi : hi + right])
+        return pa.StructArray.from_arrays([pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["before", "after"])
 
     # All columns of rows are read, so that one exchange of them serves both joins.
     asked = places(per_doc, least)
-    seen = asked.join(rows.withColumnsRenamed({"k": "pk", "th": "pth"}), ["pk", "pth"]).withColumn("c", around(F.col(f"row.{text}"), "plo", F.col("plo") + F.col("hi") - F.col("lo"), F.xxhash64("row")))
-    before = F.struct("pk", "plo", "pth") < F.struct(F.col("k").alias("pk"), F.col("lo").alias("plo"), F.col("th").alias("pth"))
-    matches = seen.select("k", "th", F.struct("lo", "hi", before.alias("before"), "c.left", "c.right").alias("m")).groupBy("k", "th").agg(F.collect_set("m").alias("near"))
-
-    @F.pandas_udf("kept string, repeated_bytes long, spans array<struct<start:long,end:long>>, n_repeated_chunks long")
-    def cut(texts, marks, near):
-        import pandas as pd
-
+    seen = asked.join(rows.withColumnsRenamed({"k": "pk", "th": "pth"}), ["pk", "pth"]).withColumn("c", around(F.col("row")[text], "plo", "span", "reach", F.xxhash64("row")))
+    earlier = F.struct("pk", "plo", "pth") < F.struct(F.col("k").alias("pk"), F.shiftright("span", 31).alias("plo"), F.col("th").alias("pth"))
+    span = F.shiftleft("span", 1) + earlier.cast("long")
+    matches = seen.select("k", "th", F.struct(span.alias("span"), "c.before", "c.after").alias("m")).groupBy("k", "th").agg(F.collect_set("m").alias("near"))
+
+    @F.arrow_udf(CUT)
+    def cut(texts: pa.Array, marks: pa.Array, near: pa.Array) -> pa.Array:
+        m = unpacked(marks)
+        chunk = list(zip(m["at"].tolist(), m["size"].tolist(), m["first"].tolist()))
+        of_doc = np.searchsorted(m["doc"], np.arange(len(texts) + 1)).tolist()
+        sides = near.flatten()
+        span = sides.field(0).to_numpy(zero_copy_only=False)
+        side = list(zip((span >> 32).tolist(), (span >> 1 & 0x7FFFFFFF).tolist(), (span & 1 > 0).tolist(), sides.field(1).to_pylist(), sides.field(2).to_pylist()))
+        of_side = np.r_[0, np.cumsum(pc.list_value_length(near).fill_null(0).to_numpy(zero_copy_only=False))].tolist()
         out = []
-        for t, ms, xs in zip(texts, marks, near):
-            if t is None or ms is None or not len(ms):
+        for i in range(len(texts)):
+            t, mine = texts[i].as_py(), chunk[of_doc[i] : of_doc[i + 1]]
+            if t is None or not mine:
                 out.append((t, 0, [], 0))
                 continue
             data, matched = t.encode("utf-8", "surrogatepass"), []
-            for x in xs if xs is not None else ():
-                lo, hi = x["lo"], x["hi"]
-                left, right = same_end(data[max(0, lo - REACH) : lo], x["left"]), same_end(data[hi : hi + REACH][::-1], x["right"][::-1])
-                matched += [(lo - left, lo, x["before"]), (hi, hi + right, x["before"])]
-            kept, repeated, spans = cut_runs(t, [(m["at"], m["size"], m["first"]) for m in ms], least, matched)
-            out.append((kept, repeated, [{"start": a, "end": b} for a, b in spans], len(ms)))
-        return pd.DataFrame(out, columns=["kept", "repeated_bytes", "spans", "n_repeated_chunks"])
-
-    own = F.transform("marks", lambda m: F.struct(m["at"].alias("at"), m["size"].alias("size"), ((m["fk"] == F.col("k")) & (m["floc"] == F.shiftleft(m["at"].cast("long"), 24).bitwiseOR(F.col("th")))).alias("first")))
-    joined = rows.join(per_doc, ["k", "th"], "left").join(matches, ["k", "th"], "left").withColumn("c", cut(F.col(f"row.{text}"), own, "near"))
+            for lo, hi, early, before, after in side[of_side[i] : of_side[i + 1]]:
+                left, right = same_end(data[max(0, lo - REACH) : lo], before), same_end(data[hi : hi + len(after)][::-1], after[: len(data) - hi][::-1])
+                matched += [(lo - left, lo, early), (hi, hi + right, early)]
+            kept, repeated, spans = cut_runs(t, mine, least, matched)
+            out.append((kept, repeated, [{"start": a, "end": b} for a, b in spans], len(mine)))
+        removed = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kinds = [pa.string(), pa.int64(), removed, pa.int64()]
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 4, kinds)], ["kept", "repeated_bytes", "spans", "n_repeated_chunks"])
+
+    return rows.join(per_doc, ["k", "th"], "left").join(matches, ["k", "th"], "left").select("row", cut(F.col("row")[text], "marks", "near").alias("c"))
+
+
+def dedup(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Every row with kept_text, repeated_bytes (in stretches that also occur elsewhere), removed_bytes, spans
+    (start:end in bytes of what was removed) and n_repeated_chunks; other columns pass through, those of these
+    names are replaced."""
+    found = _found(docs, least, text, doc_id)
     removed = F.aggregate("c.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     spans = F.array_join(F.transform("c.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return joined.select("row.*", F.col("c.kept").alias("kept_text"), F.col("c.repeated_bytes").alias("repeated_bytes"), removed.alias("removed_bytes"), spans.alias("spans"), F.col("c.n_repeated_chunks").alias("n_repeated_chunks"))
+    made = {"kept_text": F.col("c.kept"), "repeated_bytes": F.col("c.repeated_bytes"), "removed_bytes": removed, "spans": spans, "n_repeated_chunks": F.col("c.n_repeated_chunks")}
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in made), *(v.alias(c) for c, v in made.items()))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -243,9 +402,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated passages cut; n_chars follows where a text changed, other columns stay."""
-    found = dedup(docs)
-    changed = {"text": F.col("kept_text")}
+    """The documents with repeated passages cut; n_chars follows where a text changed, all other columns stay, whatever
+    their names."""
+    changed = {"text": F.col("c.kept")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("removed_bytes") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return found.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+        changed["n_chars"] = F.when(F.size("c.spans") > 0, F.length("c.kept").cast("long")).otherwise(F.col("row")["n_chars"])
+    return _found(docs, LEAST, "text", "doc_id").select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
