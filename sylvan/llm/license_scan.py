@@ -2,15 +2,18 @@
 
 Base: places where a phrase's words stand one after the other. The method adds labels: a text block
 (``block`` words, a new one every ``block // 2`` words, so that any ``block // 2`` words stand together
-in some block) gets a template's label if it holds at least ``threshold`` of the template's distinct
-words. Tokens are put in one global order, rarest first, by counts over all documents. A template of
+in some block; at least twice the words of the longest template) gets a template's label if it holds at
+least ``threshold`` of the template's distinct words. The templates' tokens are put in one global order,
+rarest first, by counts over all documents; a block is the list of its tokens in that order. A template of
 n words that needs k of them in a block has a prefix of n - k + 1 rarest words; a block with none of
-these can't reach k (prefix filter), nor can one with fewer than k distinct words (length filter), nor
-one that first meets the template's ordered words at place i with n - i < k (positional filter). What
-is left is verified by intersection, so every block at the threshold is found and no other.
-
-Templates and phrases are parameters; their number bounds all that is broadcast. A null text is empty:
-no words, null places, score 0. Repeated rows each keep their own row.
+these can't reach k (prefix filter), nor can one with fewer than k tokens (length filter), nor one whose
+first token in common stands at place i of n and j of m with 1 + min(n - i, m - j) < k (positional
+filter). What is left is verified by intersection, so every block at the threshold is found and no other.
+
+Templates and phrases are parameters; their number bounds all that is broadcast, and either may be empty. A
+null text is empty: no words, null places, score 0. Repeated rows each keep their own row, ties and an
+empty table need no care. A very long text is an array of its words in one row. Only doc_id and text are
+read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -78,10 +81,18 @@ def template_plan(templates: dict[str, str], counts: dict[str, int], threshold:
     return out
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def block_words(templates: dict[str, str], block: int | None) -> int:
+    """The block that is given, or BLOCK; twice the longest template if that is more."""
+    return max(block or BLOCK, 2 * max((len(t.split()) for t in templates.values()), default=0))
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks (label, first word, share)."""
+    block = block_words(templates, block)
     lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(whole_text()).alias("t"))
-    plan = template_plan(templates, token_counts(lowered, sorted({w for t in templates.values() for w in t.split()})), threshold)
+    counts = token_counts(lowered, sorted({w for t in templates.values() for w in t.split()}))
+    plan = template_plan(templates, counts, threshold)
+    order = sorted({w for _, words, _ in plan for w in words}, key=lambda w: (counts.get(w, 0), w))
     prefix = sorted({w for _, words, need in plan for w in words[: len(words) - need + 1]})
     heads = sorted({p.split()[0] for p in phrases})
     words = lowered.select("doc_id", words_of(F.col("t")).alias("ws"))
@@ -90,28 +101,30 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     strings = F.array().cast("array<string>")
     held = F.array_intersect(w, F.array(*map(F.lit, sorted({*prefix, *heads})))) if prefix or heads else strings
     filtered = words.select("doc_id", "ws", F.size("ws").alias("n"), held.alias("held"))
-    hits = F.array(*(F.when(F.array_contains("held", p.split()[0]), F.struct(F.lit(label).alias("label"), phrase_starts(w, p).alias("at"), F.lit(len(p.split())).alias("len"))) for p, label in phrases.items()))
-    hits = F.filter(hits, lambda h: F.size(h["at"]) > 0)
+    listed = [F.when(F.array_contains("held", p.split()[0]), F.struct(F.lit(label).alias("label"), phrase_starts(w, p).alias("at"), F.lit(len(p.split())).alias("len"))) for p, label in phrases.items()]
+    hits = F.filter(F.array(*listed), lambda h: F.size(h["at"]) > 0) if listed else F.array().cast("array<struct<label:string,at:array<int>,len:int>>")
 
-    # Blocks only of documents with some template's prefix word.
+    # Blocks only of documents with some template's prefix word; of a block, its tokens in the global order.
     half = max(1, block // 2)
     starts = F.transform(F.sequence(F.lit(0), F.greatest((F.col("n") - 1 - half) / half, F.lit(0)).cast("int")), lambda i: i * half)
-    blocks = F.when(F.arrays_overlap("held", F.array(*map(F.lit, prefix))), F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_distinct(F.slice(w, s + 1, block)).alias("ws")))) if prefix else F.lit(None)
+    tokens = lambda s: F.array_intersect(F.array(*map(F.lit, order)), F.slice(w, s + 1, block))
+    blocks = F.when(F.arrays_overlap("held", F.array(*map(F.lit, prefix))), F.transform(starts, lambda s: F.struct(s.alias("at"), tokens(s).alias("ws")))) if prefix else F.lit(None)
     two = filtered.select("doc_id", F.col("n").cast("long").alias("n_words"), hits.alias("hits"), F.coalesce(blocks, F.array().cast("array<struct<at:int,ws:array<string>>>")).alias("blocks"))
 
-    def matches(b: Column) -> Column:
-        found = []
-        for label, tokens, need in plan:
-            ordered = F.array(*map(F.lit, tokens))
-            # Prefix and length filter first; the intersection is read only behind them.
-            passes = F.arrays_overlap(b["ws"], F.array(*map(F.lit, tokens[: len(tokens) - need + 1]))) & (F.size(b["ws"]) >= need)
-            inside = F.array_intersect(ordered, b["ws"])
-            reach = F.size(ordered) - F.array_position(ordered, F.get(inside, F.lit(0))) + 1 >= need  # positional filter
-            share = F.size(inside) / F.lit(float(len(tokens)))
-            found.append(F.when(passes, F.when(reach & (F.size(inside) >= need), F.struct(F.lit(label).alias("label"), b["at"].alias("at"), share.alias("share")))))
-        return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-    added = F.flatten(F.transform("blocks", matches)) if plan else F.array().cast("array<struct<label:string,at:int,share:double>>")
+    # The templates are one constant, so the plan doesn't grow with them.
+    words_in = lambda ws: F.array(*map(F.lit, ws)).cast("array<string>")
+    table = F.array(*(F.struct(F.lit(label).alias("label"), words_in(ws).alias("ws"), words_in(ws[: len(ws) - need + 1]).alias("prefix"), F.lit(need).alias("need")) for label, ws, need in plan))
+
+    def match(b: Column, t: Column) -> Column:
+        n, m = F.size(t["ws"]), F.size(b["ws"])
+        first = F.get(F.array_intersect(t["prefix"], b["ws"]), F.lit(0))  # null: prefix filter
+        behind = F.least(n - F.array_position(t["ws"], first), m - F.array_position(b["ws"], first))
+        inside = F.size(F.array_intersect(t["ws"], b["ws"]))
+        found = F.when(inside >= t["need"], F.struct(t["label"].alias("label"), b["at"].alias("at"), (inside / n.cast("double")).alias("share")))
+        # Length and positional filter first; the intersection is read only behind them.
+        return F.when((m >= t["need"]) & (behind + 1 >= t["need"]), found)
+
+    added = F.filter(F.flatten(F.transform("blocks", lambda b: F.transform(table, lambda t: match(b, t)))), lambda x: x.isNotNull()) if plan else F.array().cast("array<struct<label:string,at:int,share:double>>")
     three = two.select("doc_id", "n_words", "hits", added.alias("blocks"))
     starts = F.flatten(F.transform("hits", lambda h: h["at"]))
     base = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["label"])))
@@ -129,10 +142,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     )
 
 
-def oracle_sql(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK) -> str:
+def oracle_sql(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, block: int | None = None) -> str:
     """The same rows without blocks, every block compared with every template."""
     ph = ", ".join(f"('{label}', ['{"', '".join(p.split())}'])" for p, label in phrases.items())
     tp = ", ".join(f"('{label}', ['{"', '".join(sorted(set(t.split())))}'], {ceil(round(threshold * len(set(t.split())), 9))})" for label, t in templates.items())
+    block = block_words(templates, block)
     half = max(1, block // 2)
     return rf"""
 WITH p(label, ws) AS (VALUES {ph}), tp(label, ws, need) AS (VALUES {tp}),

@@ -182,6 +182,28 @@ def test_license_phrases_overlap_and_blocks(spark):
     assert got[3]["base_labels"] == "" and got[3]["n_words"] == 3
 
 
+def test_long_templates_and_no_phrases(spark):
+    words = [f"w{i}" for i in range(90)]
+    long = " ".join(words)
+    rows = spark.createDataFrame([(1, "a b c " * 30 + long), (2, long), (3, " ".join(words[:71])), (4, " ".join(words[:72])), (5, None)], "doc_id long, text string")
+    got = by_id(license_scan.scan(rows, {}, {"long": long}))
+    assert {k: r["labels"] for k, r in got.items()} == {1: "long", 2: "long", 3: "", 4: "long", 5: ""} and got[2]["score"] == 1.0 and got[3]["base_labels"] == ""
+    assert all(r["labels"] == "" for r in license_scan.scan(rows, {}, {}).collect())
+
+
+def test_blocks_against_brute_force(spark):
+    r = random.Random(4)
+    vocabulary = [f"t{i}" for i in range(14)]
+    templates = {f"l{i}": " ".join(r.sample(vocabulary, r.randint(1, 9))) for i in range(12)}
+    texts = [" ".join(r.choice(vocabulary + ["x", "y", "z"]) for _ in range(r.randint(0, 50))) for _ in range(150)]
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}, templates, 0.7, 18))
+    for k, t in enumerate(texts):
+        ws = t.split()
+        blocks = [set(ws[s : s + 18]) for s in range(0, max(1, len(ws)), 9) if s == 0 or s + 9 < len(ws)]
+        want = {label for label, x in templates.items() if any(10 * len(set(x.split()) & b) >= 7 * len(set(x.split())) for b in blocks)}
+        assert set(filter(None, got[k]["labels"].split(","))) == want, t
+
+
 def test_quality_counts(spark):
     rep = " ".join(f"w{i}" for i in range(10))
     rows = spark.createDataFrame([(1, f"{rep} {rep}"), (2, "a # b\na # b\n \n \nc"), (3, None)], "doc_id long, text string").selectExpr("*", "'en' lang", "cast(null as string) source")
