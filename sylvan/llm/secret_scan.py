@@ -7,7 +7,9 @@ are joined back to every path (document, version) of the blob.
 
 Base kinds, leftmost and non-overlapping within a kind, in code points with an exclusive end:
 assign, access, hex. Kinds that the method adds: jwt, private_key, forge (tokens of code forges).
-A null text is the empty blob: no findings. Rows with equal ids each keep their own row.
+A null text is the empty blob: no findings. Rows with equal ids each keep their own row, and rows with equal
+texts share one scan. A very long text is scanned whole, in one call each kind. An empty table leaves
+the ledger as it is. Two runs that append at once may both write a blob: its findings are equal and count once.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, work_path
+from .common import small_batches, steady_memory, work_path
 
 RULE_VERSION = "2"
 BASE_KINDS = ("assign", "access", "hex")
@@ -81,32 +83,34 @@ def scan_unseen(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSI
         blobs = blobs.join(seen, "blob", "left_anti")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for blob in batch.column(0).to_pylist():
-                keep.append(blob not in passed)
-                if len(passed) < 1_000_000:  # only a filter: what gets by is collapsed after the shuffle
-                    passed.add(blob)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        with steady_memory():
+            passed: set[bytes] = set()
+            for batch in batches:
+                keep = []
+                for blob in batch.column(0).to_pylist():
+                    keep.append(blob not in passed)
+                    if len(passed) < 200_000:  # only a filter: what gets by is collapsed after the shuffle
+                        passed.add(blob)
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            ids, found = [], []
-            for blob, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if blob != last:
-                    ids.append(blob)
-                    found.append([{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.as_py())])
-                last = blob
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([rule_version] * len(ids), pa.string()), pa.array(found, _FINDINGS)], ["blob", "rule_version", "findings"])
+        with steady_memory():
+            last = None
+            for batch in batches:
+                ids, found = [], []
+                for blob, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if blob != last:
+                        ids.append(blob)
+                        found.append([{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.as_py())])
+                    last = blob
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([rule_version] * len(ids), pa.string()), pa.array(found, _FINDINGS)], ["blob", "rule_version", "findings"])
 
     (blobs.mapInArrow(once, "blob binary, t string").repartition("blob").sortWithinPartitions("blob").mapInArrow(scan, LEDGER).write.mode("append").parquet(ledger))
 
 
 def joined(paths: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
     """paths (with a column blob) and the findings of each one's blob."""
-    found = read_ledger(paths.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
+    found = read_ledger(paths.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob").agg(F.first("findings").alias("findings"))
     return paths.join(found, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
 
 
@@ -132,31 +136,34 @@ def digest_query(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     )
 
 
+def without_spans(text: str, spans: list[dict], mark: str) -> str:
+    """The text with every span replaced by mark, overlapping ones as one."""
+    out, at, end = [], 0, -1
+    for s in sorted(spans, key=lambda s: s["start"]):
+        if s["start"] >= end:
+            out += [text[at : s["start"]], mark]
+        end = at = max(end, s["end"])
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]") -> DataFrame:
-    """The documents with every span (overlapping ones as one) replaced by mark; n_chars follows, columns stay."""
+    """The documents with every span (overlapping ones as one) replaced by mark; n_chars follows, all other columns stay,
+    whatever their names."""
     ledger = ledger or work_path(docs.sparkSession, "ledger")
     scan_unseen(docs, ledger)
-    found = joined(docs.withColumn("blob", blob_id()), ledger)
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        def one(text, found):
-            if text is None or not len(found):
-                return text
-            out, at, end = [], 0, -1
-            for s in sorted(found, key=lambda s: s["start"]):
-                if s["start"] >= end:
-                    out += [text[at : s["start"]], mark]
-                end = at = max(end, s["end"])
-            return "".join([*out, text[at:]])
-
-        return texts.combine(spans, one)
-
-    text = F.when(F.size("findings") > 0, cut("text", "findings")).otherwise(F.col("text"))
-    changed = found.withColumn("text", text)
+    found = joined(docs.select(F.struct("*").alias("row"), blob_id().alias("blob")), ledger)
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else without_spans(t, s, mark) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
+    # Only texts with findings are sent to Python.
+    hit = F.size("findings") > 0
+    changed = found.select("row", hit.alias("hit"), cut(F.when(hit, F.col("row")["text"]), F.when(hit, F.col("findings"))).alias("made"))
+    new = {"text": F.when(F.col("hit"), F.col("made")).otherwise(F.col("row")["text"])}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("hit"), F.length("made").cast("long")).otherwise(F.col("row")["n_chars"])
+    return changed.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def brute_force(text: str | None) -> tuple[int, int, int, str]:
