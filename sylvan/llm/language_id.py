@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, steady_memory
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 13
@@ -31,14 +31,13 @@ _FOLD: np.ndarray | None = None
 
 
 def fold_table() -> np.ndarray:
-    """Code point to lower-case letter; other characters to a space."""
+    """Code point to lower-case letter; other characters, emoji among them, to a space."""
     global _FOLD
     if _FOLD is None:
-        table = np.full(0x10000, 32, np.uint32)
-        for c in range(0x10000):
-            if chr(c).isalpha():
-                low = chr(c).lower()
-                table[c] = ord(low) if len(low) == 1 else c
+        table = np.full(0x110000, 32, np.uint32)
+        for c in filter(str.isalpha, map(chr, range(0x110000))):
+            low = c.lower()
+            table[ord(c)] = ord(low) if len(low) == 1 else ord(c)
         _FOLD = table
     return _FOLD
 
@@ -46,8 +45,7 @@ def fold_table() -> np.ndarray:
 def features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray | None:
     """Square-root frequencies of hashed n-grams, of length one; None without a letter."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = fold_table()[np.minimum(points, 0xFFFF)]
-    low = np.where(points > 0xFFFF, points, low)
+    low = fold_table()[points]
     letters = low != 32
     if not letters.any():
         return None
@@ -152,30 +150,41 @@ def train(labelled: DataFrame, per_language: int = 500, chars_per_language: int
     return fit([t for t, _ in found], [lang for _, lang in found])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", margin: float = 0.1, slack: float = 1.5) -> DataFrame:
-    """Adds lang_pred, score, lang_second, ambiguous and unlike to every row; other columns pass through."""
+PREDICTED = "lang_pred string, score double, lang_second string, ambiguous boolean, unlike boolean"
+
+
+def judged(docs: DataFrame, model: Model, text: str = "text", margin: float = 0.1, slack: float = 1.5) -> DataFrame:
+    """row (all columns of docs) and judged (lang_pred, score, lang_second, ambiguous, unlike)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages, bits and dimensions
-    out = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lang_second", pa.string()), ("ambiguous", pa.bool_()), ("unlike", pa.bool_())])
 
-    @F.pandas_udf("lang_pred string, score double, lang_second string, ambiguous boolean, unlike boolean")
-    def judged(texts):
-        import pandas as pd
+    @F.arrow_udf(PREDICTED)
+    def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with steady_memory():
+            m = shared.value
+            types = [pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.bool_()]
+            for batch in batches:
+                texts = batch.to_pylist()
+                rows = [(UNDETERMINED, 0.0, None, False, False)] * len(texts)
+                for lo in range(0, len(texts), 256):
+                    found = [features(t, m.dimensions) for t in texts[lo : lo + 256]]
+                    at = [i for i, f in enumerate(found) if f is not None]
+                    if at and m.languages:
+                        loss = m.losses(np.array([found[i] for i in at]))
+                        for i, s, unlike in zip(at, m.shares(loss), loss.min(1) > slack * m.learned):
+                            order = np.argsort(-s, kind="stable")
+                            second = float(s[order[1]]) if len(order) > 1 else 0.0
+                            rows[lo + i] = (m.languages[order[0]], float(s[order[0]]), m.languages[order[1]] if len(order) > 1 else None, float(s[order[0]]) - second < margin, bool(unlike))
+                yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], [c.split()[0] for c in PREDICTED.split(", ")])
+
+    return docs.select(F.struct("*").alias("row"), verdicts(F.col(text)).alias("judged"))
 
-        m = shared.value
-        rows = [(UNDETERMINED, 0.0, None, False, False)] * len(texts)
-        for lo in range(0, len(texts), 256):
-            found = [features(t, m.dimensions) for t in texts.iloc[lo : lo + 256]]
-            at = [i for i, f in enumerate(found) if f is not None]
-            if at and m.languages:
-                loss = m.losses(np.array([found[i] for i in at]))
-                for i, s, unlike in zip(at, m.shares(loss), loss.min(1) > slack * m.learned):
-                    order = np.argsort(-s, kind="stable")
-                    second = float(s[order[1]]) if len(order) > 1 else 0.0
-                    rows[lo + i] = (m.languages[order[0]], float(s[order[0]]), m.languages[order[1]] if len(order) > 1 else None, float(s[order[0]]) - second < margin, bool(unlike))
-        return pd.DataFrame(rows, columns=[f.name for f in out])
 
-    return docs.withColumn("judged", judged(F.col(text))).select(*docs.columns, "judged.*")
+def predict(docs: DataFrame, model: Model, text: str = "text", margin: float = 0.1, slack: float = 1.5) -> DataFrame:
+    """Adds lang_pred, score, lang_second, ambiguous and unlike to every row; other columns pass through, those of
+    these names are replaced."""
+    made = [c.split()[0] for c in PREDICTED.split(", ")]
+    return judged(docs, model, text, margin, slack).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in made), "judged.*")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -189,6 +198,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Drops the documents whose language is undetermined or ambiguous, or that are unlike the languages learned."""
-    found = predict(docs, train(docs.where(~held_out())))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous") & ~F.col("unlike")).select(*docs.columns)
+    """Drops the documents whose language is undetermined or ambiguous, or that are unlike the languages learned.
+    All columns stay, whatever their names."""
+    found = judged(docs, train(docs.where(~held_out())))
+    return found.where((F.col("judged.lang_pred") != UNDETERMINED) & ~F.col("judged.ambiguous") & ~F.col("judged.unlike")).select("row.*")
