@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -13,39 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..work import work_path, written
+
+__all__ = ["documents", "give_back", "small_batches", "steady_memory", "whole_text", "work_path", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_own_roots: dict[str, str] = {}
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one per application."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own_roots:
-            _own_roots[app] = f"file://{tempfile.mkdtemp(prefix='sylvan-')}"
-        root = _own_roots[app]
-    return root.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; every call gives another one."""
-    return f"{checkpoint_root(spark)}/sylvan/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes the frame to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """For Python operators: the package on the executors, and Arrow batches that end at so many rows or bytes, as
     one text may have many megabytes. It sets two settings of the session that only Arrow functions read."""

@@ -20,7 +20,8 @@ Then every pair of an entry whose documents are in different components is teste
 component can change nothing. Sizes, the number and places of shared entries, and a parity bitmap (512
 bits) bound the overlap from above and drop pairs that can't link; the rest is intersected exactly. Pair tests and results refer to doc_id: rows
 with one doc_id count as one document (linked if any of its texts is); rows with a null doc_id have
-a null component. Null or wordless texts have no shingles and no links.
+a null component. Null or wordless texts have no shingles and no links. A very long text is one set in its
+task. An empty table gives no rows. Only doc_id and text are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text, written
+from .common import small_batches, steady_memory, whole_text, written
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -129,28 +130,29 @@ def document_facts(docs: DataFrame, width: int) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), *[pa.int64()] * 8]
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        passed: set[bytes] = set()
-        for batch in batches:
-            n, digests, maps, counted = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, width)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                n.append(len(s))
-                digests.append(digest)
-                maps.append(parity(s))
-                if digest not in passed:  # copies within a task count once
-                    counted.append(s)
-                    if len(passed) < 1_000_000:
-                        passed.add(digest)
-            if counted:
-                sketch += np.bincount((np.concatenate(counted) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            m = np.array(maps, np.int64).reshape(-1, 8)
-            nothing = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip([n, digests, nothing, nothing, *m.T], types[1:]))], names)
-        if sketch.any():
-            parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(sketch, 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None] * 16, [None] * 16, [None] * 16, range(16), parts, *[[None] * 16] * 8], types)], names)
+        with steady_memory():
+            sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+            passed: set[bytes] = set()
+            for batch in batches:
+                n, digests, maps, counted = [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    s = shingles(text, width)
+                    digest = xxhash.xxh3_128_digest(s.tobytes())
+                    n.append(len(s))
+                    digests.append(digest)
+                    maps.append(parity(s))
+                    if digest not in passed:  # copies within a task count once
+                        counted.append(s)
+                        if len(passed) < 200_000:  # only saves work: copies that get by are as good
+                            passed.add(digest)
+                if counted:
+                    sketch += np.bincount((np.concatenate(counted) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                m = np.array(maps, np.int64).reshape(-1, 8)
+                nothing = [None] * len(n)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip([n, digests, nothing, nothing, *m.T], types[1:]))], names)
+            if sketch.any():
+                parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(sketch, 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None] * 16, [None] * 16, [None] * 16, range(16), parts, *[[None] * 16] * 8], types)], names)
 
     return docs.mapInArrow(facts, _FACTS)
 
@@ -159,12 +161,13 @@ def frequent_sketch(facts: DataFrame) -> np.ndarray:
     """Which of the sketch's counters are frequent: a bit array of fixed size."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
-                sums[block] = sums[block] + part if block in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
+        with steady_memory():
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    part = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
+                    sums[block] = sums[block] + part if block in sums else part
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
 
     rows = facts.where("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(total, "block int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -180,27 +183,29 @@ def indexed(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) ->
     entry; place: the shingle's in the document's order, -1 where entries are not all single. Exact
     copies within a task are entered once."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+    least = 2 if percent > 50 else 1  # above one half a single shingle links with its copies only, which meet by digest
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, bands = np.unpackbits(shared.value).astype(bool), Bands(percent)
-        passed: set[int] = set()
-        for batch in batches:
-            found, ids, sizes, places = [], [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(text, width)
-                key = hash(s.tobytes())
-                if len(s) < 2 or key in passed:
-                    continue
-                if len(passed) < 1_000_000:
-                    passed.add(key)
-                e, single = index_entries(s, flags[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], bands, percent)
-                places.append(np.arange(len(e), dtype=np.int32) if single else np.full(len(e), -1, np.int32))
-                found.append(e)
-                ids.append(k)
-                sizes.append(len(s) | int(e[-1] >> np.uint64(48)) << 32)
-            lengths = [len(f) for f in found]
-            e = _signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]))], ["entry", "doc_id", "n", "place"])
+        with steady_memory():
+            flags, bands = np.unpackbits(shared.value).astype(bool), Bands(percent)
+            passed: set[bytes] = set()
+            for batch in batches:
+                found, ids, sizes, places = [], [], [], []
+                for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    s = shingles(text, width)
+                    key = xxhash.xxh3_128_digest(s.tobytes())
+                    if len(s) < least or key in passed:
+                        continue
+                    if len(passed) < 200_000:  # only saves work: copies that get by are as good
+                        passed.add(key)
+                    e, single = index_entries(s, flags[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], bands, percent)
+                    places.append(np.arange(len(e), dtype=np.int32) if single else np.full(len(e), -1, np.int32))
+                    found.append(e)
+                    ids.append(k)
+                    sizes.append(len(s) | int(e[-1] >> np.uint64(48)) << 32)
+                lengths = [len(f) for f in found]
+                e = _signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate([*places, np.zeros(0, np.int32)]))], ["entry", "doc_id", "n", "place"])
 
     return docs.mapInArrow(entries, "entry long, doc_id long, n long, place int")
 
@@ -248,30 +253,31 @@ def shared_entries(index: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in (e, d, n, p)), *out], names)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: tuple[int, np.ndarray] | None = None  # the entry that goes on, and its pivots
-        held: list[np.ndarray] | None = None  # or its rows, while they are no more than the pivots
-        for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(4)]
-            if not len(now[0]):
-                continue
+        with steady_memory():
+            given: tuple[int, np.ndarray] | None = None  # the entry that goes on, and its pivots
+            held: list[np.ndarray] | None = None  # or its rows, while they are no more than the pivots
+            for batch in batches:
+                now = [batch.column(i).to_numpy() for i in range(4)]
+                if not len(now[0]):
+                    continue
+                if held is not None:
+                    now = [np.concatenate(c) for c in zip(held, now)]
+                e, d = now[:2]
+                pivots = given[1] if given is not None and given[0] == e[0] else None
+                cut = int(np.flatnonzero(np.r_[True, e[1:] != e[:-1]])[-1])
+                held = None
+                if cut == 0 and pivots is not None:
+                    yield marked(*now, pivots)
+                    continue
+                if len(e) - cut <= PIVOTS:
+                    held, given = [c[cut:] for c in now], None
+                    now = [c[:cut] for c in now]
+                else:
+                    given = (e[-1], d[cut : cut + PIVOTS].copy())
+                if len(now[0]):
+                    yield marked(*now, pivots)
             if held is not None:
-                now = [np.concatenate(c) for c in zip(held, now)]
-            e, d = now[:2]
-            pivots = given[1] if given is not None and given[0] == e[0] else None
-            cut = int(np.flatnonzero(np.r_[True, e[1:] != e[:-1]])[-1])
-            held = None
-            if cut == 0 and pivots is not None:
-                yield marked(*now, pivots)
-                continue
-            if len(e) - cut <= PIVOTS:
-                held, given = [c[cut:] for c in now], None
-                now = [c[:cut] for c in now]
-            else:
-                given = (e[-1], d[cut : cut + PIVOTS].copy())
-            if len(now[0]):
-                yield marked(*now, pivots)
-        if held is not None:
-            yield marked(*held, None)
+                yield marked(*held, None)
 
     return index.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(mark, "entry long, doc_id long, n long, place int, p0 long, p1 long, p2 long")
 
@@ -290,30 +296,31 @@ def cross_pairs(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, ...]] = []
-        held = 0
-        for e, d, n, p, c, w, *maps in _groups(batches, 14):
-            maps = np.stack(maps, 1).view(np.uint64)
-            first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(e)]):
-                # Rows of an entry come by size: partners are those up to the largest size that may link.
-                ends = a + np.searchsorted(n[a:b], n[a:b].astype(np.int64) * 100 // percent, "right")
-                for i in range(a, b):
-                    at = np.flatnonzero(c[i + 1 : ends[i - a]] != c[i]) + i + 1
-                    if p[i] == -1 and len(at):
-                        apart = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
-                        total = n[at].astype(np.int64) + n[i]
-                        at = at[(p[at] != -1) | ((total - apart) * (100 + percent) >= 2 * percent * total)]
-                    if len(at):
-                        swap = d[at] < d[i]
-                        both = [(np.full(len(at), v[i], v.dtype), v[at]) for v in (d, n, p, w)]
-                        out.append(tuple(np.where(swap, u, v) for one, two in both for u, v in ((two, one), (one, two))))
-                        held += len(at)
-                if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
-                    out, held = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
+        with steady_memory():
+            out: list[tuple[np.ndarray, ...]] = []
+            held = 0
+            for e, d, n, p, c, w, *maps in _groups(batches, 14):
+                maps = np.stack(maps, 1).view(np.uint64)
+                first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(e)]):
+                    # Rows of an entry come by size: partners are those up to the largest size that may link.
+                    ends = a + np.searchsorted(n[a:b], n[a:b].astype(np.int64) * 100 // percent, "right")
+                    for i in range(a, b):
+                        at = np.flatnonzero(c[i + 1 : ends[i - a]] != c[i]) + i + 1
+                        if p[i] == -1 and len(at):
+                            apart = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
+                            total = n[at].astype(np.int64) + n[i]
+                            at = at[(p[at] != -1) | ((total - apart) * (100 + percent) >= 2 * percent * total)]
+                        if len(at):
+                            swap = d[at] < d[i]
+                            both = [(np.full(len(at), v[i], v.dtype), v[at]) for v in (d, n, p, w)]
+                            out.append(tuple(np.where(swap, u, v) for one, two in both for u, v in ((two, one), (one, two))))
+                            held += len(at)
+                    if held > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
+                        out, held = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
 
     bits = [f"b{i}" for i in range(8)]
     known = facts.groupBy("doc_id").agg(*(F.max(b).alias(b) for b in bits), F.count("*").alias("same")).where("same = 1").drop("same")
@@ -369,33 +376,31 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     shared = spark.sparkContext.broadcast(filled)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            places = [batch.column(i).to_numpy() for i in (2, 3, 4)]
-            there = np.logical_and.reduce([(bits[p >> 6] >> (p & 63)) & 1 for p in places]).astype(bool)
-            chosen = batch.filter(pa.array(there))
-            raw = [shingles(t, width) for t in chosen.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array([len(s) for s in raw], pa.int32()), pa.array([folded_parity(s) for s in raw], pa.binary()), pa.array([s.tobytes() for s in raw], pa.binary())], ["d", "n", "b", "s"])
+        with steady_memory():
+            bits = shared.value
+            for batch in batches:
+                places = [batch.column(i).to_numpy() for i in (2, 3, 4)]
+                there = np.logical_and.reduce([(bits[p >> 6] >> (p & 63)) & 1 for p in places]).astype(bool)
+                chosen = batch.filter(pa.array(there))
+                raw = [shingles(t, width) for t in chosen.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array([len(s) for s in raw], pa.int32()), pa.array([folded_parity(s) for s in raw], pa.binary()), pa.array([s.tobytes() for s in raw], pa.binary())], ["d", "n", "b", "s"])
 
     flagged = docs.select("doc_id", "text", *(bit("doc_id", s).alias(f"p{s}") for s in (1, 2, 3)))
     made = written(flagged.mapInArrow(sets, "d long, n int, b binary, s binary").join(ids, "d", "left_semi"), "sets")
 
-    @F.pandas_udf("boolean")
-    def may_link(n, m, a, b):
-        import pandas as pd
-
-        return pd.Series([(i + j - bits_apart(x, y)) * (100 + percent) >= 2 * percent * (i + j) for i, j, x, y in zip(n.tolist(), m.tolist(), a, b)], dtype=bool)
-
-    @F.pandas_udf("boolean")
-    def links(a, b):
-        import pandas as pd
+    @F.arrow_udf("boolean")
+    def may_link(n: pa.Array, m: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = zip(n.to_pylist(), m.to_pylist(), a.to_pylist(), b.to_pylist())
+        return pa.array([(i + j - bits_apart(x, y)) * (100 + percent) >= 2 * percent * (i + j) for i, j, x, y in rows], pa.bool_())
 
-        def one(x, y):
+    @F.arrow_udf("boolean")
+    def links(a: pa.Array, b: pa.Array) -> pa.Array:
+        def one(x: bytes, y: bytes) -> bool:
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             return 100 * both >= percent * (len(x) + len(y) - both)
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+        return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
     of = lambda p, *columns: made.select(F.col("d").alias(p), *(F.col(c).alias(f"{p}{c}") for c in columns))
     near = written(pairs.join(of("x", "n", "b"), "x").join(of("y", "n", "b"), "y").where(may_link("xn", "yn", "xb", "yb")).select("x", "y").distinct(), "near")
