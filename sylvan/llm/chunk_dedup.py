@@ -7,8 +7,8 @@ content, so an insertion moves the chunks around it and no others. Chunks are ma
 of the xxh3 of their bytes): the first occurrence by (doc_id, offset) stays.
 
 The ends of a passage never fall on chunk ends, so chunks are anchors only. Every run of neighbouring
-repeated chunks is compared byte by byte, at both sides, with another occurrence of its chunks: the first
-or the last, whichever is alike on more sides. Short chunks repeat by chance, so only stretches of
+repeated chunks is compared byte by byte, at both sides, with another occurrence of its chunks: the first,
+or the last where that is itself or alike on neither side. Short chunks repeat by chance, so only stretches of
 ``least`` bytes or more after that count (with least=0 all do); stretches as long that occurred before are
 cut from the text, at whole characters. A digest that collides would have to do so for all chunks of a run.
 
@@ -97,31 +97,37 @@ def beside(h: np.ndarray, short: np.ndarray) -> np.ndarray:
     return (np.where(short, h, h & np.uint32(0xFFFF)) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.int64)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(k, loc, digest, size) of the chunks of each batch of (k, th, t), see chunks."""
+def _digests(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash at every byte of a text, its chunks' ends and their digests (two numbers each)."""
     import xxhash
 
-    digest = xxhash.xxh3_128_digest
+    data = text.encode("utf-8", "surrogatepass")
+    h = hashes(data)
+    ends = chunk_ends(data, h)
+    digest, at = xxhash.xxh3_128_digest, ends.tolist()
+    return h, ends, np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip([0, *at], at)]), np.int64).reshape(-1, 2)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(k, loc, digest, size) of the chunks of each batch of (k, th, t), see chunks; of chosen digests only, if given."""
     for batch in batches:
-        n, starts, sizes, digests = [], [], [], []
+        n, parts = [], []
         for text in batch.column(2).to_pylist():
-            data = text.encode("utf-8", "surrogatepass")
-            h = hashes(data)
-            ends = chunk_ends(data, h)
+            h, ends, d = _digests(text)
+            use = slice(None) if chosen is None else np.flatnonzero(np.isin(d[:, 0], chosen))
+            n.append(len(d[use]))
+            if not n[-1]:
+                continue
             start = np.r_[0, ends[:-1]]
             left, right = far(h, ends)
             short = ends - start <= SMALL
             before = beside(h[start - 1], short)
             after = beside(h[np.minimum(np.where(short, ends + 31, ends + 15), len(h) - 1)], short)
-            sides = before << 8 | after << 16
-            n.append(len(ends))
-            starts.append(start)
-            sizes.append(ends - start | sides | left.astype(np.int64) << 24 | right.astype(np.int64) << 25)
-            digests += [digest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist())]
+            size = ends - start | before << 8 | after << 16 | left.astype(np.int64) << 24 | right.astype(np.int64) << 25 | (d[:, 1] & 0x3FFF) << 26
+            parts.append((start[use], d[use, 0], size[use]))
         k, th = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
-        at, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, sizes))
-        d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield k, at << 24 | th, d[:, 0], size | (d[:, 1] & 0x3FFF) << 26
+        at, digest, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*parts) if parts else ((), (), ())))
+        yield k, at << 24 | th, digest, size
 
 
 CHUNK = "k long, loc long, digest long, size long"
@@ -154,7 +160,8 @@ def hot_digests(docs: DataFrame, most: int = HOT) -> list[int]:
         with steady_memory():
             kept, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
             total = 0
-            for _, _, digest, _ in _cut(batches):
+            for batch in batches:
+                digest = np.concatenate([*(_digests(t)[2][:, 0] for t in batch.column(2).to_pylist()), np.zeros(0, np.int64)])
                 total += len(digest)
                 kept, at = np.unique(np.concatenate([kept, digest]), return_inverse=True)
                 counts = np.bincount(at, np.concatenate([counts, np.ones(len(digest), np.int64)]), len(kept)).astype(np.int64)
@@ -181,9 +188,8 @@ def hot_marks(docs: DataFrame, hot: list[int]) -> DataFrame:
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with steady_memory():
             best: dict[tuple[int, int], tuple] = {}
-            for k, loc, digest, size in _cut(batches):
-                at = np.flatnonzero(np.isin(digest, chosen))
-                for row in zip(digest[at].tolist(), (size[at] >> 26).tolist(), k[at].tolist(), loc[at].tolist(), size[at].tolist()):
+            for k, loc, digest, size in _cut(batches, chosen):
+                for row in zip(digest.tolist(), (size >> 26).tolist(), k.tolist(), loc.tolist(), size.tolist()):
                     key, place = row[:2], row[2:]
                     first, last = best.get(key, (place, place))
                     best[key] = min(first, place), max(last, place)
@@ -199,10 +205,9 @@ def hot_marks(docs: DataFrame, hot: list[int]) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with steady_memory():
-            for k, loc, digest, size in _cut(batches):
-                at = np.flatnonzero(np.isin(digest, chosen))
-                found = [table.get(key) for key in zip(digest[at].tolist(), (size[at] >> 26).tolist())]
-                at = at[[x is not None for x in found]] if found else at
+            for k, loc, digest, size in _cut(batches, chosen):
+                found = [table.get(key) for key in zip(digest.tolist(), (size >> 26).tolist())]
+                at = np.flatnonzero(np.array([x is not None for x in found], bool))
                 more = np.array([x for x in found if x is not None], np.int64).reshape(-1, 6)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[at], loc[at], size[at], *more.T)], names)
 
@@ -278,7 +283,8 @@ def places(per_doc: DataFrame, least: int) -> DataFrame:
             at, doc, end = m["at"], m["doc"], m["at"] + m["size"]
             if not len(at):
                 continue
-            starts = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != end[:-1])]
+            # What stood before and what comes again later are runs of their own: only the former is cut.
+            starts = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != end[:-1]) | (m["first"][1:] != m["first"][:-1])]
             run = np.cumsum(starts) - 1
             first, last = np.flatnonzero(starts), np.flatnonzero(np.r_[starts[1:], True])
             wanted = (at - at[first][run] < least) | (end[last][run] - end < least)
@@ -323,8 +329,8 @@ def _found(docs: DataFrame, least: int, text: str, doc_id: str) -> DataFrame:
     own_last = (F.col("last.k") == F.col("k")) & (F.col("last.loc") == F.col("loc"))
     same = lambda c, bits: (F.col("size").bitwiseXOR(F.col(f"{c}.size")).bitwiseAND(F.lit(bits)) == 0).cast("int")
     sides = lambda c: same(c, 0xFF00) + same(c, 0xFF0000)
-    # Of the first and the last place the one that is alike on more sides, the first if both are.
-    other_last = own_first | (~own_last & (sides("last") > sides("first")))
+    # The first place, as it decides what is cut; the last one if the first is the chunk itself or alike on neither side.
+    other_last = own_first | (~own_last & (sides("first") == 0) & (sides("last") > 0))
     near = F.when(other_last, sides("last")).otherwise(sides("first")) > 0
     # A chunk whose neighbouring bytes differ from those there, and that would be too short with the few bytes a side that
     # may be equal, is elsewhere by chance.

@@ -455,3 +455,129 @@ def test_pipeline_against_stage_by_stage(spark, tmp_path):
     out = corpus_pipeline.run(spark, f"{tmp_path}/t")
     texts = {k: r["text"] for k, r in by_id(kept).items()}
     assert {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {k: len(i) + 1 for k, i in zip(texts, encoded(texts.values()))}
+
+
+def windows_elsewhere(texts, n=100):
+    """Per text (in order of place), the bytes in windows of n bytes that occur at another place, and those that did so before."""
+    seen, first = {}, {}
+    data = [t.encode() for t in texts]
+    for d, x in enumerate(data):
+        for i in range(len(x) - n + 1):
+            w = x[i : i + n]
+            seen[w] = seen.get(w, 0) + 1
+            first.setdefault(w, (d, i))
+    out = []
+    for d, x in enumerate(data):
+        anywhere, before = set(), set()
+        for i in range(len(x) - n + 1):
+            w = x[i : i + n]
+            if seen[w] > 1:
+                anywhere.update(range(i, i + n))
+                if first[w] != (d, i):
+                    before.update(range(i, i + n))
+        out.append((anywhere, before))
+    return out
+
+
+def without_bytes(text, cut):
+    return bytes(b for i, b in enumerate(text.encode()) if i not in cut).decode()
+
+
+def repeating_texts(seed, n=60):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(20_000)]
+    some = lambda k: " ".join(r.choice(words) for _ in range(k))
+    passages = [some(r.choice([25, 40, 60, 120])) for _ in range(12)]
+    texts = [" ".join([some(r.randint(5, 60)), *(x for _ in range(r.choice([0, 1, 1, 2])) for x in (r.choice(passages), some(r.randint(5, 40))))]) for _ in range(n)]
+    return [*texts, texts[3], texts[5], texts[7] + " " + texts[7]]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dedup_equals_brute_force(spark, seed):
+    texts = repeating_texts(seed)
+    got = by_id(chunk_dedup.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    for k, (anywhere, before) in enumerate(windows_elsewhere(texts)):
+        # Brute force asks every other place, the operator one for each run: a few bytes at the ends of a stretch may be
+        # alike by chance with some other place only.
+        ends = 3 * sum(i - 1 not in anywhere for i in anywhere)
+        removed = {i for span in got[k]["spans"].split(",") if span for i in range(*map(int, span.split(":")))}
+        assert len(anywhere) - 2 * ends <= got[k]["repeated_bytes"] <= len(anywhere) and removed <= before and len(before - removed) <= 2 * ends, k
+
+
+def test_very_frequent_chunks_go_the_same_way(spark, monkeypatch):
+    rows = spark.createDataFrame(list(enumerate(repeating_texts(4))), "doc_id long, text string")
+    plain = {k: tuple(r) for k, r in by_id(chunk_dedup.query(rows)).items()}
+    some = [r["digest"] for r in chunk_dedup.chunks(rows.selectExpr("doc_id k", "xxhash64(text) & 16777215 th", "text t")).groupBy("digest").count().where("count > 1 and digest % 2 = 0").collect()]
+    assert some
+    monkeypatch.setattr(chunk_dedup, "hot_digests", lambda texts: some)
+    assert {k: tuple(r) for k, r in by_id(chunk_dedup.query(rows)).items()} == plain
+    monkeypatch.undo()
+    line = spark.range(4000).selectExpr("id k", "0L th", "'the same line in every one of these documents, long enough for a few chunks' t")
+    assert chunk_dedup.hot_digests(line)
+
+
+CLASHES = ("blob", "findings", "hit", "made", "row", "c", "k", "th", "t", "kept_text", "spans", "repeated_bytes", "near", "marks", "lang_pred", "score", "judged", "ambiguous", "component", "n", "digest", "place")
+
+
+@pytest.mark.parametrize("name", ["language_id", "ngram_jaccard_join", "substring_dedup", "secret_scans"])
+def test_stages_leave_columns_of_any_name(spark, name):
+    import corpus_pipeline
+
+    texts = [prose(60, 1), prose(60, 2), prose(60, 2), prose(60, 3) + " token=abcdefgh12345 " + prose(60, 1)]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t), *(f"{c}{i}" for c in CLASHES)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    kept = dict(corpus_pipeline.STAGES)[name](spark, rows, "")
+    assert kept.columns == rows.columns
+    got = by_id(kept)
+    assert got and all(r[c] == f"{c}{k}" for k, r in got.items() for c in CLASHES)
+
+
+def test_encoding_query_equals_the_library(spark, docs, odd):
+    import tiktoken
+
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(queries.BYTE_BPE), special_tokens={})
+    rows = docs.select("doc_id", "text").unionByName(odd.selectExpr("doc_id + 100000 doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]))
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    for k, r in by_id(byte_bpe.codec_digests(rows, queries.BYTE_BPE, P.PATTERN)).items():
+        ids = lib.encode_ordinary(texts[k])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[k].encode()).hexdigest())
+
+
+def test_undetermined_without_letters(spark):
+    rows = [(i, t, "en" if i % 2 else "fr") for i, t in enumerate(["abc def", "le la les", "x y"] * 8)] + [(100, "😀😀 ⠿ 12"), (101, "𝒜𝓑")]
+    got = by_id(language_id.query(spark.createDataFrame([(*r, None)[:3] for r in rows], "doc_id long, text string, lang string")))
+    assert (got[100]["lang_pred"], got[100]["score"]) == ("und", 0.0) and got[101]["lang_pred"] != "und"
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    texts = dict(enumerate(repeating_texts(9, 40)))
+    texts |= {100: texts[0], 101: texts[1] + " end", 102: "12 34", 103: None, 104: "key token=abcdefgh123 and " + "f" * 40 + " " + texts[2][:50], 105: ""}
+    rows = spark.createDataFrame([(k, t, "en", r.choice("ab"), None if t is None else len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    (tmp_path / "t").mkdir()
+    rows.write.parquet(f"{tmp_path}/t/documents.parquet")
+    want = {k: t for k, t in texts.items() if t and any(map(str.isalpha, t))}  # one language: nothing is ambiguous
+    sets = {k: set(zip(*(t.lower().split()[i:] for i in range(5)))) or {tuple(t.lower().split())} for k, t in want.items()}
+    top = {k: k for k in want}
+    for _ in want:  # least label of all linked, again and again
+        for a in want:
+            for b in want:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    top[a] = top[b] = min(top[a], top[b])
+        if all(top[top[a]] == top[a] for a in want):
+            break
+    want = {k: t for k, t in want.items() if top[k] == k}
+    order = sorted(want)
+    want = {k: without_bytes(want[k], before) for k, (_, before) in zip(order, windows_elsewhere([want[k] for k in order]))}
+    for k, t in want.items():
+        spans = [{"start": a, "end": b} for _, a, b in secret_scan.find_secrets(t)]
+        want[k] = secret_scan.without_spans(t, spans, "[secret]")
+    assert "[secret]" in want[104]
+    ids = {k: [*i, 2] for k, i in zip(want, encoded(want.values()))}
+    seen: dict[int, int] = {}
+    for x in corpus_pipeline.run(spark, f"{tmp_path}/t").collect():
+        part = ids[x["doc_id"]][x["start"] : x["start"] + x["length"]]
+        assert len(part) == x["length"] and zlib.crc32(np.array(part, "<u4").tobytes()) == x["ids_crc32"]
+        seen[x["doc_id"]] = seen.get(x["doc_id"], 0) + x["length"]
+    assert seen == {k: len(i) for k, i in ids.items()}
