@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .corpora import pages, programs, units
 from .operators import bindings, closure, compdb, ddl, dictionary, graph, jobs, lockstep, relational, text, textir, tree
+from .streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (lockstep, tree, text, dictionary, textir, bindings, graph, closure, ddl, compdb, jobs, relational, units, programs, pages):
+for module in (lockstep, tree, text, dictionary, textir, bindings, graph, closure, ddl, compdb, jobs, relational, units, programs, pages, events):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
 FLAGSHIP = QUERIES["lockstep_diff"]

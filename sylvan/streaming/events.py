@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import work_path
+
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -26,3 +28,18 @@ def distinct_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Reads all there is in bounded batches and ends; a restart goes on from the checkpoint."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream, each id once, counted in windows of six hours; those that the watermark has closed."""
+    source, path, state = (work_path(spark, name) for name in ("events", "stream", "stream-state"))
+    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(source)  # a stream reads folders
+    run_once(windowed_counts(distinct_events(event_stream(spark, source, 1000)), late=None), path, state)
+    return spark.read.schema("start timestamp_ntz, event_type string, n long").parquet(path)
+
+
+QUERIES = {"stream_windows": stream_windows}
+ORACLE_SQL = {
+    "stream_windows": """WITH e AS (SELECT *, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start FROM events)
+        SELECT start, event_type, count(*) AS n FROM e WHERE start + INTERVAL '6 hours' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY 1, 2""",
+}
