@@ -10,7 +10,9 @@ differ but for chance, so the least a stands for its sample and a plain minimum
 
 The fingerprint is four hexadecimal digits of each draw's hash; likeness is the share of equal draws.
 A text without a word has the fingerprint of no terms. Nulls are empty texts. Rows are ordered by
-doc_id, null first, rows with equal ids by text; the row after the last is the first.
+doc_id, null first, rows with equal ids by a hash of the text (equal rows in any order: they give equal results);
+the row after the last is the first. A very long text is exploded to its distinct words, a row each. An empty table
+gives no rows. Only doc_id and text are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations

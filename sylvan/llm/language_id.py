@@ -11,6 +11,9 @@ that are predicted right; one learned language alone has the same loss for all t
 Classifiers are fitted on the driver on a bounded sample (at most ``per_language`` rows a language, those of
 smallest hash of id and text, whole texts but no more than ``chars_per_language`` characters in all) of at most
 ``languages`` languages; more are an error, none is left out. Prediction reads every whole text. A text that is null or without a letter is ``und`` with score 0.
+Each row is judged by itself, repeated ones alike; of equal scores the language first in order wins. With no labelled
+row (an empty table, or none with a language) nothing is learned and every text is ``und``. A very long text is one
+vector of its n-gram counts.
 """
 
 from __future__ import annotations

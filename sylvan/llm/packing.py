@@ -6,7 +6,9 @@ the pattern with most room, whole counts of a pattern at a time, so the work and
 depend on ``size`` and not on the number of documents. Patterns give each length a list of rank
 ranges; a piece's rank among its length's pieces then names its sequence and offset. Ranks are counted
 per input task and shifted by the counts of the tasks before, so a length that a third of all pieces
-share is never gathered. Nulls are empty texts: one end token. No rows give no rows.
+share is never gathered. Nulls are empty texts: one end token. No rows give no rows. Each row is a document of its
+own, so repeated rows are packed again and ties need no rule. A very long text is cut into as many pieces as it takes.
+Only doc_id and text are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations

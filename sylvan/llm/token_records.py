@@ -9,7 +9,10 @@ Files are written by Spark's own text writer (the record's last byte is its line
 protocol drops what lost executors left, and any store that Spark writes to will do. Documents are
 range-partitioned and sorted by doc_id (null first; rows with equal ids by text): file k holds the
 documents before those of file k+1. The index has a row per record: part, record, doc_id, offset,
-length, n_tokens. A null text is empty and still gets its end token; no rows give no files.
+length, n_tokens; it is made from the files that were committed, so it can't name records that a lost executor left.
+A null text is empty and still gets its end token; no rows give no files. Repeated rows are records of their own. A very
+long text is one record; a file is read whole and must stay under 2 GB, which the number of ranges sees to. Only doc_id
+and text are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .word_tokens import word_encoder
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<BBHIq")
 _CRC = struct.Struct("<I")
+#: Bytes of text in a range of doc_ids, about: a file has no more of them.
+RANGE_BYTES = 128 << 20
 INDEX_SCHEMA = "part long, record long, doc_id long, offset long, length long, n_tokens long"
 
 
@@ -81,10 +86,13 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
                 out = [frame(k, x + tail, width) for k, x in zip(batch.column(0).to_pylist(), ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
+    rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t"))).head()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    # A hash of the text splits rows of one id, or of none, as well.
     (
-        docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t"))
-        .repartitionByRange(F.col("k"))
-        .sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+        rows.repartitionByRange(ranges, F.col("k").asc_nulls_first(), F.xxhash64("t"))
+        .sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"), "t")
         .mapInArrow(frames, "value binary")
         .select(F.col("value").cast("string"))
         .write.option("lineSep", "\n")
