@@ -3,15 +3,40 @@
 Every stage but the last returns the columns of documents. ``run`` writes each stage as Parquet to the
 shared folder and rereads it for the next. Language ID, secret spans, chunk boundaries and packing can't
 be put in SQL, so there is no ORACLE_SQL; tests compare with a brute-force version.
+
+Tables that a stage makes for its own use are deleted when a later stage begins on documents that don't read them,
+as they are of no use once the stage's result is written. Nulls, empty and very long texts, ties, repeated rows
+and columns of any name: as in the operators. Null and empty texts go in the first stage, as they are in no
+language; rows with one doc_id count as one document in the second; an empty table stays empty throughout.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.llm import chunk_dedup, language_id, ngram_join, packing, secret_scan
 from sylvan.llm.common import documents, written
+from sylvan.work import cleared, recorded
+
+_left: dict[str, list[str]] = {}  # application -> tables of stages
+
+
+def clearing(run, keep: bool = False):
+    """A stage that begins by deleting what earlier ones left. With keep its own tables stay: its result reads them."""
+
+    @wraps(run)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        kept = cleared(spark, _left.get(app, []), docs)
+        with recorded() as made:
+            out = run(spark, docs, sf_dir)
+        _left[app] = kept if keep else [*kept, *made]
+        return out
+
+    return begun
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("language_id", language), ("ngram_jaccard_join", near_duplicates), ("substring_dedup", repeated_passages), ("secret_scans", secrets), ("packing", packed)]
+STAGES = [(name, clearing(run, keep=run is packed)) for name, run in (("language_id", language), ("ngram_jaccard_join", near_duplicates), ("substring_dedup", repeated_passages), ("secret_scans", secrets), ("packing", packed))]
 ORACLE_SQL = None
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +27,40 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; every call gives another one."""
-    return f"{checkpoint_root(spark)}/sylvan/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_root(spark)}/sylvan/{name}-{uuid.uuid4().hex[:12]}"
+    if (paths := _recorded.get()) is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that work_path gives inside."""
+    token = _recorded.set([])
+    try:
+        yield _recorded.get()
+    finally:
+        _recorded.reset(token)
+
+
+def cleared(spark: SparkSession, paths: list[str], read: DataFrame) -> list[str]:
+    """Deletes the tables at paths but those that a frame still reads; gives the latter."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = read.inputFiles()
+    kept = []
+    for path in paths:
+        at = hadoop(path)
+        below = at.toUri().getRawPath() + "/"
+        if any(below in f for f in files):
+            kept.append(path)
+        else:
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return kept
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
