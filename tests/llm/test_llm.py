@@ -581,3 +581,21 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert len(part) == x["length"] and zlib.crc32(np.array(part, "<u4").tobytes()) == x["ids_crc32"]
         seen[x["doc_id"]] = seen.get(x["doc_id"], 0) + x["length"]
     assert seen == {k: len(i) for k, i in ids.items()}
+
+
+def test_tables_of_a_stage_go_when_the_next_begins(spark, tmp_path):
+    import corpus_pipeline
+    from sylvan.work import checkpoint_root, recorded, work_path, written
+
+    with recorded() as made:
+        work_path(spark, "x")
+    assert made and made[0].startswith(checkpoint_root(spark))
+    rows = spark.createDataFrame([(i, prose(60, i // 2), "en", "s", 1) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["ngram_jaccard_join"](spark, rows, "")
+    left = list(corpus_pipeline._left[spark.sparkContext.applicationId])
+    there = lambda p: spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(p), spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    assert left and all(map(there, left))
+    assert stages["secret_scans"](spark, once, "").count() == 4  # not written: what it reads stays
+    stages["secret_scans"](spark, written(once, "stage"), "")
+    assert not any(map(there, left))
