@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, conversation_trie, fingerprints, importance, language_id, license_scan, ngram_join, packing, quality_rules, secret_scan, token_records
+from . import byte_bpe, chunk_dedup, conversation_trie, fingerprints, importance, language_id, license_scan, log_bilinear, ngram_join, packing, quality_rules, secret_scan, token_records
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,5 +62,9 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.query(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_substring_dedup, op4_license_scans, op5_quality_rules, op6_packing, op7_secret_scans, op8_byte_bpe, op9_token_records, op10_ngram_join, op11_conversation_trie, op12_importance_resampling)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_language_id, op3_substring_dedup, op4_license_scans, op5_quality_rules, op6_packing, op7_secret_scans, op8_byte_bpe, op9_token_records, op10_ngram_join, op11_conversation_trie, op12_importance_resampling, op13_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {"op4_license_scans": license_scan.oracle_sql(), "op5_quality_rules": quality_rules.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op11_conversation_trie": conversation_trie.ORACLE, "op12_importance_resampling": importance.ORACLE}
