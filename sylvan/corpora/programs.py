@@ -115,7 +115,8 @@ def sql_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     table = _text("CREATE TABLE IF NOT EXISTS s.\"T", k % 97, "\" (a text DEFAULT 'x--y;/*', b int", k, "); -- c; d\n")
     function = _text("/* ; */ create or replace function f", k % 31, "() returns int as $q$ select ", k, "; $q$;\n")
-    drop = F.when(k % 4 == 0, _text("drop table if exists s.T", k % 97, " ;")).otherwise("select 1;")
+    quoted = F.when(k % 8 == 0, '"').otherwise("")  # without quotes it is another object
+    drop = F.when(k % 4 == 0, _text("drop table if exists s.", quoted, "T", k % 97, quoted, " ;")).otherwise("select 1;")
     rows = _tables(spark, sf_dir, "part")[0].withColumn("file", F.floor(k / 10))
     files = rows.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), F.concat(table, function, drop).alias("t")))), lambda x: x["t"]), "\n").alias("sql"))
     once = files.select(F.concat(F.lit("m/"), F.lpad(F.col("file").cast("string"), 8, "0"), F.lit(".sql")).alias("path"), "sql", F.lit("postgres").alias("dialect"))
@@ -148,9 +149,9 @@ def schema_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_ROWS = """p AS (SELECT p_partkey AS k, 'm/' || lpad((p_partkey // 10)::VARCHAR, 8, '0') || '.sql' AS path, 3 * (row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) - 1) AS pos FROM part),
-st AS (SELECT path, pos AS seq, 'create' AS action, 'table' AS kind, 's.t' || k % 97 AS name, 'CREATE TABLE IF NOT EXISTS s."T' || k % 97 || '" (a text DEFAULT ''x--y;/*'', b int' || k || ')' AS statement FROM p
+st AS (SELECT path, pos AS seq, 'create' AS action, 'table' AS kind, 's."T' || k % 97 || '"' AS name, 'CREATE TABLE IF NOT EXISTS s."T' || k % 97 || '" (a text DEFAULT ''x--y;/*'', b int' || k || ')' AS statement FROM p
   UNION ALL SELECT path, pos + 1, 'create', 'function', 'f' || k % 31, 'create or replace function f' || k % 31 || '() returns int as $q$ select ' || k || '; $q$' FROM p
-  UNION ALL SELECT path, pos + 2, CASE WHEN k % 4 = 0 THEN 'drop' END, CASE WHEN k % 4 = 0 THEN 'table' END, CASE WHEN k % 4 = 0 THEN 's.t' || k % 97 END, CASE WHEN k % 4 = 0 THEN 'drop table if exists s.T' || k % 97 ELSE 'select 1' END FROM p)"""
+  UNION ALL SELECT path, pos + 2, CASE WHEN k % 4 = 0 THEN 'drop' END, CASE WHEN k % 4 = 0 THEN 'table' END, CASE WHEN k % 8 = 0 THEN 's."T' || k % 97 || '"' WHEN k % 4 = 0 THEN 's.t' || k % 97 END, CASE WHEN k % 8 = 0 THEN 'drop table if exists s."T' || k % 97 || '"' WHEN k % 4 = 0 THEN 'drop table if exists s.T' || k % 97 ELSE 'select 1' END FROM p)"""
 _SQL_CATALOG = f"""{_SQL_ROWS}, c AS (SELECT * FROM st WHERE action IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY path DESC, seq DESC) = 1)"""
 
 
@@ -266,9 +267,9 @@ ORACLE_SQL = {
     "run_outcome": f"""WITH {_ENTRIES} SELECT count(*) AS total, count(*) FILTER (WHERE k % 6 <> 1) AS succeeded, count(*) FILTER (WHERE k % 6 = 1) AS failed, count(*) FILTER (WHERE k % 6 <> 1) AS n_ok, min(source) FILTER (WHERE k % 6 = 1) AS first_failed,
         'source file not found: ' || min(source) FILTER (WHERE k % 6 = 1) AS error, ltrim(min(source) FILTER (WHERE k % 6 <> 1), '/') || '.ast.json' AS first_out, count(*) AS n_files, count(*) FILTER (WHERE k % 6 <> 1 AND k % 2 = 0) AS n_hits, count(*) FILTER (WHERE k % 6 = 1 OR k % 2 = 1) AS n_without FROM e""",
     "sql_statements": f"WITH {_SQL_ROWS} SELECT path, seq::BIGINT AS seq, action, kind, name, statement FROM st",
-    "sql_catalog": f"""WITH {_SQL_CATALOG}, q AS (SELECT kind, name, replace(statement, '"', '\\"') AS d FROM c WHERE action = 'create')
-        SELECT 'json' AS format, kind, name, '{{"kind":"' || kind || '","name":"' || name || '","definition":"' || d || '"}}' AS value FROM q
-        UNION ALL SELECT 'ttl', kind, name, '<urn:sql:' || kind || ':' || name || '> c:definition "' || d || '" .' FROM q UNION ALL SELECT 'lean', kind, name, '  ("' || kind || '", "' || name || '", "' || d || '"),' FROM q""",
+    "sql_catalog": f"""WITH {_SQL_CATALOG}, q AS (SELECT kind, name, replace(statement, '"', '\\"') AS d, replace(name, '"', '\\"') AS e FROM c WHERE action = 'create')
+        SELECT 'json' AS format, kind, name, '{{"kind":"' || kind || '","name":"' || e || '","definition":"' || d || '"}}' AS value FROM q
+        UNION ALL SELECT 'ttl', kind, name, '<urn:sql:' || kind || ':' || replace(name, '"', '%22') || '> c:definition "' || d || '" .' FROM q UNION ALL SELECT 'lean', kind, name, '  ("' || kind || '", "' || e || '", "' || d || '"),' FROM q""",
     "schema_aspect": """WITH f AS (SELECT p_partkey // 10 AS f, 'n' || (p_partkey // 10) % 25 AS t, 3 * count(*) AS n FROM part GROUP BY ALL),
         r AS (SELECT 'n' || n_nationkey AS src, 'n' || n_nationkey AS t FROM nation UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation)
         SELECT src, sum(n)::BIGINT AS n_statements, count(*) AS n_files, sum(n)::BIGINT AS n_parsed FROM r JOIN f USING (t) GROUP BY src""",

@@ -1,18 +1,32 @@
-"""SQL sources, statements and the ordered catalog fold.
-
-Statements come in path order, then place in the file. The fold keeps each object's last definition and is
-a grouped max_by, not a sequential pass. A file reached twice is folded once.
+"""SQL sources, statements and the ordered catalog fold.
+
+Statements come in path order, then place in the file. The fold follows every object through its names: a definition
+opens a name, a drop closes it, a rename or a move to another schema closes one and opens another. What a statement
+finds under a name is the last event on that name before it, by a window over the events of the name; what a renamed
+object was first is found by following its renames, twice as far each round. Views depend on what they name, indexes on
+their table: a drop takes a table's indexes with it, and with CASCADE all that depends on it, or all in a schema. A file
+reached twice is folded once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DIALECTS = ("postgres", "sqlite")
-KINDS = ("schema", "domain", "type", "table", "function")
-_CREATE = r"(?is)^create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(schema|domain|type|table|function)\s+(?:if\s+not\s+exists\s+)?([A-Za-z0-9_.\"]+)"
-_DROP = r"(?is)^drop\s+(schema|domain|type|table|function)\s+(?:if\s+exists\s+)?([A-Za-z0-9_.\"]+)"
+from ..work import written
+from .closure import reachable
+from .sqltext import DIALECTS, sql_nodes
+
+KINDS = ("schema", "domain", "type", "table", "function", "view", "index", "sequence")
+_KIND = "(" + "|".join(KINDS) + ")"
+_PART = r'(?:[a-z_][a-z0-9_$]*|"(?:[^"]|"")+")'
+_NAME = rf"(?!(?:on|if|only) ){_PART}(?:\.{_PART})*"
+_CREATE = rf"^create (?:or replace )?(?:(?:global|local|temp|temporary|unlogged|materialized|recursive|unique|virtual|foreign) )*{_KIND} (?:concurrently )?(?:if not exists )?({_NAME})"
+_DROP = rf"^drop (?:(?:materialized|foreign) )?{_KIND} (?:concurrently )?(?:if exists )?({_NAME}(?: \(\))?(?: , {_NAME}(?: \(\))?)*)(?: (cascade|restrict))?$"
+_ALTER = rf"^alter (?:(?:materialized|foreign) )?{_KIND} (?:if exists )?(?:only )?({_NAME})(?: \(\))?"
+_RENAME, _MOVE = rf"{_ALTER} rename to ({_PART})$", rf"{_ALTER} set schema ({_PART})$"
 
 
 def sql_sources(spark: SparkSession, path: str, dialect: str = "postgres") -> DataFrame:
@@ -28,34 +42,89 @@ def one_dialect(sources: DataFrame) -> DataFrame:
     return found.select(F.when(F.size("d") > 1, F.raise_error(F.concat(F.lit("mixed dialects: "), F.array_join("d", ","))).cast("string")).otherwise(F.coalesce(F.get("d", F.lit(0)), F.lit("postgres"))).alias("dialect"))
 
 
-#: A dollar quote, a literal, a quoted name, a comment, a semicolon, or anything else; in that order.
-_TOKEN = r"(?s)\$([A-Za-z_0-9]*)\$.*?\$\1\$|'(?:[^']++|'')*+'|\"[^\"]*+\"|--[^\n]*+|/\*.*?\*/|;|[^;'\"$/-]++|."
-_BREAK = "\ufdd0"  # a code point that no text is to hold
-
-
 def statements(sources: DataFrame) -> DataFrame:
-    """path, dialect, seq, statement: split at semicolons outside quotes, dollar quotes and comments (S13). Comments become
-    a space, and only they: literals stay as they are. A path given more than once counts once (its least text)."""
+    """path, dialect, seq, statement, head, refs: split at semicolons outside quotes, dollar quotes and comments (S13). Comments
+    become a space, and only they: literals stay as they are. head: the tokens outside brackets, names in one form; refs: names
+    after from, join, references and on. A path given more than once counts once (its least text)."""
     once = sources.groupBy("path").agg(F.min(F.struct("sql", "dialect")).alias("s")).select("path", "s.*")
-    plain = lambda t: F.when(t == ";", F.lit(_BREAK)).when(t.startswith("--") | t.startswith("/*"), F.lit(" ")).otherwise(t)
-    parts = F.split(F.array_join(F.transform(F.regexp_extract_all("sql", F.lit(_TOKEN), F.lit(0)), plain), ""), _BREAK)
-    bare = F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(" \t\n\r\x0b\x0c"))), lambda s: s != "")
-    return once.select("path", "dialect", F.posexplode(bare).alias("seq", "statement"))
+    found = sql_nodes(once).where("kind = 'statement' AND ident <> ''")
+    return found.select(F.col("doc_id").alias("path"), "dialect", F.col("ord").alias("seq"), F.col("ident").alias("statement"), F.col("type").alias("head"), F.from_json("ref_name", "array<string>").alias("refs"))
 
 
-def parsed(stmts: DataFrame) -> DataFrame:
-    """Adds action, kind and name; what is no CREATE or DROP of a known kind has a null action and keeps its text."""
-    s = F.col("statement")
-    made, dropped = F.regexp_extract(s, _CREATE, 1) != "", F.regexp_extract(s, _DROP, 1) != ""
-    pick = lambda i: F.when(made, F.regexp_extract(s, _CREATE, i)).when(dropped, F.regexp_extract(s, _DROP, i))
-    return stmts.withColumn("action", F.when(made, "create").when(dropped, "drop")).withColumn("kind", F.lower(pick(1))).withColumn("name", F.lower(F.replace(pick(2), F.lit('"'), F.lit(""))))
+def _renamed(name: Column, part: Column, schema: bool) -> Column:
+    """A name with another last part, or another schema."""
+    last = F.regexp_extract(name, rf"({_PART})$", 1)
+    return F.concat(part, F.lit("."), last) if schema else F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(last)), part)
 
 
-def catalog(stmts: DataFrame) -> DataFrame:
-    """kind, name, definition of each object that stands at the end (A12): the last statement by path and place wins."""
-    known = parsed(stmts).where("action IS NOT NULL")
-    last = known.groupBy("kind", "name").agg(F.max_by(F.struct("action", "statement", "path", "seq"), F.struct("path", "seq")).alias("last"))
-    return last.where("last.action = 'create'").select("kind", "name", F.col("last.statement").alias("definition"), F.col("last.path").alias("path"), F.col("last.seq").alias("seq"))
+def parsed(stmts: DataFrame) -> DataFrame:
+    """Adds action (create, drop, rename, move), kind, name (the first), names, new_name and cascade. What is none of these has
+    a null action and keeps its text (U9), as does a statement with an error in it."""
+    h = F.col("head")
+    forms = {"create": _CREATE, "drop": _DROP, "rename": _RENAME, "move": _MOVE}
+    is_ = {k: (F.regexp_extract(h, p, 1) != "") & ~h.contains("<error>") for k, p in forms.items()}
+    pick = lambda i: F.coalesce(*(F.when(is_[k], F.regexp_extract(h, p, i)) for k, p in forms.items()))
+    action = F.coalesce(*(F.when(c, F.lit(k)) for k, c in is_.items()))
+    names = F.when(action.isNotNull(), F.transform(F.regexp_extract_all(pick(2), F.lit(rf"({_PART}(?:\.{_PART})*)"), F.lit(1)), lambda x: x))
+    new = F.when(is_["rename"], _renamed(names[0], F.regexp_extract(h, _RENAME, 3), False)).when(is_["move"], _renamed(names[0], F.regexp_extract(h, _MOVE, 3), True))
+    return stmts.withColumn("action", action).withColumn("kind", pick(1)).withColumn("names", names).withColumn("name", F.get("names", F.lit(0))).withColumn("new_name", new).withColumn("cascade", is_["drop"] & (F.regexp_extract(h, _DROP, 3) == "cascade"))
+
+
+def timeline(stmts: DataFrame) -> DataFrame:
+    """kind, name, at (path, seq, n), op (open, close, use), action, cascade, by: the events on every name in its order, with
+    last: the event before (use events aside), null for none. A name's events meet in one window, which spills."""
+    rows = parsed(stmts).where("action IS NOT NULL").select("*", F.posexplode("names").alias("n", "object"))
+    at = F.struct("path", "seq", F.col("n").alias("n")).alias("at")
+    event = lambda kind, name, op: F.struct(kind.alias("kind"), name.alias("name"), F.lit(op).alias("op"))
+    kind, name = F.col("kind"), F.col("object")
+    owned = F.when((F.col("action") == "create") & F.col("kind").isin("view", "index"), F.col("refs")).otherwise(F.array().cast("array<string>"))
+    uses = F.flatten(F.transform(owned, lambda r: F.array(*(event(F.lit(k), r, "use") for k in ("table", "view")))))
+    listed = F.when(F.col("action") == "create", F.concat(F.array(event(kind, name, "open")), uses)).when(F.col("action") == "drop", F.array(event(kind, name, "close"))).otherwise(F.array(event(kind, name, "close"), event(kind, F.col("new_name"), "open")))
+    events = rows.select(at, "action", "cascade", kind.alias("of"), F.explode(listed).alias("e")).select("e.*", "at", "action", "cascade", "of")
+    # A schema dropped with all in it closes every name in it.
+    gone = events.where("op = 'close' AND kind = 'schema' AND cascade").select(F.col("name").alias("schema"), "at", "action", "cascade", "of")
+    inside = events.where("op = 'open' AND kind <> 'schema'").select("kind", "name", F.regexp_extract("name", rf"^({_PART})\.", 1).alias("schema")).where("schema <> ''").distinct()
+    events = events.unionByName(inside.join(gone, "schema").select("kind", "name", F.lit("close").alias("op"), "at", "action", "cascade", "of"))
+    before = Window.partitionBy("kind", "name").orderBy("at", "op").rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("last", F.last(F.when(F.col("op") != "use", F.struct("op", "at", "action")), ignorenulls=True).over(before))
+
+
+def origins(events: DataFrame, rounds: int = 64) -> DataFrame:
+    """at, root: every event that opens a name, with the definition that its object began as; no row for a rename of nothing."""
+    opened = events.where("op = 'open'").select("at", "action")
+    # A rename is one event on the old name, where what it found stands, and one on the new.
+    moved = events.where("op = 'close' AND action IN ('rename', 'move') AND last.op = 'open'").select("at", F.col("last.at").alias("to"))
+    steps = written(opened.where("action = 'create'").select("at", F.col("at").alias("to"), F.lit(True).alias("done")).unionByName(moved.withColumn("done", F.lit(False))), "renames")
+    for _ in range(rounds):
+        if steps.where("NOT done").isEmpty():
+            return steps.select("at", F.col("to").alias("root"))
+        further = steps.select(F.col("at").alias("to"), F.col("to").alias("next"), F.col("done").alias("end"))
+        steps = written(steps.where("done").unionByName(steps.where("NOT done").join(further, "to").select("at", F.col("next").alias("to"), F.col("end").alias("done"))), "renames")
+    raise RuntimeError("the renames did not settle")
+
+
+def catalog(stmts: DataFrame, fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """kind, name, definition, path, seq of each object that stands at the end (A12), under its last name, with the statement that
+    defined it. fold takes the place of this one (U2): it is given the statements and returns these columns."""
+    if fold is not None:
+        return fold(stmts)
+    events = written(timeline(stmts), "events")
+    roots = origins(events)
+    last = events.where("op <> 'use'").groupBy("kind", "name").agg(F.max_by(F.struct("op", "at"), F.struct("at", "op")).alias("last"))
+    standing = last.where("last.op = 'open'").select("kind", "name", F.col("last.at").alias("at")).join(roots, "at").select("kind", "name", "root")
+    # Who depends on whom, by what they began as; index to table goes with every drop, the rest with CASCADE.
+    needs = events.where("op = 'use' AND last.op = 'open'").select(F.col("at").alias("dependent"), F.col("of"), F.col("last.at").alias("at")).join(roots, "at").select(F.col("root").alias("src"), F.col("dependent").alias("dst"), "of")
+    dropped = events.where("op = 'close' AND action = 'drop' AND last.op = 'open'").select(F.col("last.at").alias("at"), "cascade").join(roots, "at").select(F.col("root").alias("src"), "cascade")
+    follows = needs.join(dropped.where("NOT cascade").select("src").distinct(), "src", "left_semi").where("of = 'index'").select("dst")
+    lost = follows.unionByName(reachable(dropped.where("cascade").select("src"), needs.select("src", "dst").distinct()).select("dst")).distinct()
+    found = standing.join(lost.withColumnRenamed("dst", "root"), "root", "left_anti")
+    defined = stmts.select(F.col("path").alias("p"), F.col("seq").alias("s"), F.col("statement").alias("definition"))
+    return found.join(defined, (F.col("root.path") == F.col("p")) & (F.col("root.seq") == F.col("s"))).select("kind", "name", "definition", F.col("p").alias("path"), F.col("s").alias("seq"))
+
+
+def missed(stmts: DataFrame) -> DataFrame:
+    """path, seq, action, kind, name of drops and renames that found nothing under their name."""
+    return timeline(stmts).where("op = 'close' AND of = kind AND (last IS NULL OR last.op <> 'open')").select("at.path", "at.seq", "action", "kind", "name")
 
 
 def snapshot(objects: DataFrame, output_format: str = "json") -> DataFrame:
@@ -68,7 +137,10 @@ def snapshot(objects: DataFrame, output_format: str = "json") -> DataFrame:
     if output_format == "ttl":
         from .graph import escaped
 
-        return objects.select("kind", "name", F.concat(F.lit("<urn:sql:"), "kind", F.lit(":"), "name", F.lit('> c:definition "'), escaped(F.col("definition")), F.lit('" .')).alias("value"))
+        iri = F.col("name")
+        for mark in ("%", '"', " ", "<", ">"):
+            iri = F.replace(iri, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+        return objects.select("kind", "name", F.concat(F.lit("<urn:sql:"), "kind", F.lit(":"), iri, F.lit('> c:definition "'), escaped(F.col("definition")), F.lit('" .')).alias("value"))
     raise ValueError(f"unknown format {output_format}")
 
 
@@ -85,8 +157,6 @@ def toolchain(dialect: Column, known: dict[str, str], strict: bool = False) -> C
 def aspect(deps: DataFrame, owned: DataFrame, toolchains: dict[str, str]) -> DataFrame:
     """src, path, dialect, seq, statement, toolchain of every target (S14, U5): statements of the files (target, path, sql,
     dialect) that it and all it depends on (deps: src, dst) own, each file once a target; a dialect without a toolchain gives none."""
-    from .closure import reachable
-
     roots = deps.select("src").unionByName(deps.select(F.col("dst").alias("src"))).unionByName(owned.select(F.col("target").alias("src"))).distinct()
     files = reachable(roots, deps).join(owned.select(F.col("target").alias("dst"), "path"), "dst").select("src", "path").distinct()
     parsed_once = statements(owned.where(F.col("dialect").isin(*toolchains)) if toolchains else owned.where(F.lit(False)))

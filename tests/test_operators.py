@@ -266,3 +266,55 @@ def test_loose_elements_of_a_page():
     got = [(r["kind"], r["depth"], r["size"]) for r in page_rows("1", "<div><p><b>x<br><p>y</p></b></div><b><p></b><p><div></p><p></div>")]
     assert got == [("div", 0, 5), ("p", 1, 3), ("b", 2, 2), ("br", 3, 1), ("p", 1, 1), ("b", 0, 2), ("p", 1, 1), ("p", 0, 3), ("div", 1, 2), ("p", 2, 1)]
     assert len(page_rows("1", "<br>" * 50_000)) == 50_000
+
+
+def _sql(spark, *files, dialect="postgres"):
+    return spark.createDataFrame([(p, t, dialect) for p, t in files], "path string, sql string, dialect string")
+
+
+def test_names_and_quotes_of_sql(spark):
+    sql = """CREATE TABLE "my table" (a int DEFAULT E'it\\'s; z'); CREATE TABLE "my other" (b int);
+    CREATE TABLE "A" (x int); create table a (y int); /* a /* b */ ; c */ create unlogged table u (z int);
+    create view V as select * from "my table" m join "my other" o on m.a = o.b; create unique index I on a (y);
+    create table "if" (q int); create table "a.b" (q int); create materialized view s.m as select 1"""
+    got = {(r["kind"], r["name"]) for r in ddl.catalog(ddl.statements(_sql(spark, ("p", sql)))).collect()}
+    assert got == {("table", '"my table"'), ("table", '"my other"'), ("table", '"A"'), ("table", "a"), ("table", "u"), ("view", "v"), ("index", "i"), ("table", '"if"'), ("table", '"a.b"'), ("view", "s.m")}
+
+
+def test_a_broken_statement_keeps_its_text_and_the_rest_goes_on(spark):
+    from sylvan.operators import sqltext
+
+    src = _sql(spark, ("p", "create table a (x int;\ncreate table b (x int); )\n; select 'open"))
+    assert [(r["action"], r["statement"]) for r in ddl.parsed(ddl.statements(src)).orderBy("seq").collect()] == [(None, "create table a (x int"), ("create", "create table b (x int)"), (None, ")"), (None, "select 'open")]
+    assert [(r["line"], r["col"], r["message"]) for r in sqltext.diagnostics(sqltext.sql_nodes(src)).orderBy("line", "col").collect()] == [(1, 22, "a bracket is open"), (2, 25, "a bracket is closed that is not open"), (3, 10, "a quote is open")]
+
+
+def test_sqlite_tokens(spark):
+    src = _sql(spark, ("p", "create table `a``b` (x); create table [c d] (y); /* no /* nesting */ create table e (z text default 'x''y')"), dialect="sqlite")
+    assert {r["name"] for r in ddl.catalog(ddl.statements(src)).collect()} == {'"a`b"', '"c d"', "e"}
+    assert ddl.statements(_sql(spark, ("p", "select 1"), dialect="unknown")).count() == 0
+
+
+def test_renames_moves_and_drops_with_dependents(spark):
+    files = (
+        ("1.sql", "create schema s; create schema t; create table s.a (x int); create table s.b (y int); create index ia on s.a (x); create view v as select * from s.a; create view w as select * from v"),
+        ("2.sql", "alter table s.a rename to c; alter table s.c set schema t; alter table t.c rename to d; create table s.a (new int)"),
+        ("3.sql", "create view only_b as select * from s.b; drop table s.b cascade; create table s.e (z int); create table f (z int); create index fi on f (z); drop table f"),
+        ("4.sql", "alter table nothing rename to something; drop table if exists s.gone; create function t.g(int) returns int as $$ select 1 $$; alter function t.g(int) rename to h"),
+    )
+    stmts = ddl.statements(_sql(spark, *files))
+    got = {(r["kind"], r["name"]): (r["path"], r["seq"]) for r in ddl.catalog(stmts).collect()}
+    assert got == {("schema", "s"): ("1.sql", 0), ("schema", "t"): ("1.sql", 1), ("table", "t.d"): ("1.sql", 2), ("index", "ia"): ("1.sql", 4), ("view", "v"): ("1.sql", 5), ("view", "w"): ("1.sql", 6), ("table", "s.a"): ("2.sql", 3), ("table", "s.e"): ("3.sql", 2), ("function", "t.h"): ("4.sql", 2)}
+    assert {(r["action"], r["name"]) for r in ddl.missed(stmts).collect()} == {("rename", "nothing"), ("drop", "s.gone")}
+    # The table that the views name goes under its new name, and they with it; so does a schema's content.
+    more = ddl.statements(_sql(spark, *files, ("5.sql", "drop table t.d cascade; drop schema s cascade; create table s.z (k int)")))
+    assert {(r["kind"], r["name"]) for r in ddl.catalog(more).collect()} == {("schema", "t"), ("table", "s.z"), ("function", "t.h")}
+    assert ddl.catalog(more, fold=lambda s: ddl.parsed(s).where("kind = 'schema' AND action = 'create'").select("kind", "name", F.col("statement").alias("definition"), "path", "seq")).count() == 2
+
+
+def test_a_long_chain_of_renames(spark):
+    sql = "create table n0 (x int);" + "".join(f"alter table n{k} rename to n{k + 1};" for k in range(100))
+    got = ddl.catalog(ddl.statements(_sql(spark, ("p", sql)))).collect()
+    assert [(r["name"], r["definition"]) for r in got] == [("n100", "create table n0 (x int)")]
+    back = ddl.catalog(ddl.statements(_sql(spark, ("p", "create table a (x int); alter table a rename to b; alter table b rename to a; alter table a rename to b; drop table b")))).count()
+    assert back == 0
