@@ -12,6 +12,9 @@ language; rows with one doc_id count as one document in the second; an empty tab
 
 from __future__ import annotations
 
+import threading
+import uuid
+from contextvars import ContextVar
 from functools import wraps
 
 import public_tokenizers
@@ -21,7 +24,10 @@ from sylvan.llm import chunk_dedup, language_id, ngram_join, packing, secret_sca
 from sylvan.llm.common import documents, written
 from sylvan.work import cleared, recorded
 
-_left: dict[str, list[str]] = {}  # application -> tables of stages
+#: Tables of stages, by run. Each call of run() is one; stages that are called by themselves belong together if they are called in
+#: one thread for one sf_dir.
+_left: dict[tuple, list[str]] = {}
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def clearing(run, keep: bool = False):
@@ -29,11 +35,12 @@ def clearing(run, keep: bool = False):
 
     @wraps(run)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        kept = cleared(spark, _left.get(app, []), docs)
+        key = (spark.sparkContext.applicationId, _run.get() or (threading.get_ident(), sf_dir))
+        kept = cleared(spark, _left.pop(key, []), docs)
         with recorded() as made:
             out = run(spark, docs, sf_dir)
-        _left[app] = kept if keep else [*kept, *made]
+        if not keep:
+            _left[key] = [*kept, *made]
         return out
 
     return begun
@@ -64,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    token = _run.set(uuid.uuid4().hex)
+    try:
+        docs = documents(spark, sf_dir)
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _run.reset(token)
