@@ -1,7 +1,8 @@
 """Triples from AST node tables.
 
-With pre-order ids and subtree sizes the walks become joins: the statement a node belongs to is its nearest
-listed ancestor, the last one in pre-order whose range holds it. Input nodes are not pruned (walk with
+The walk that makes the nodes knows the scopes around each: its statement, its declaration, whether it is in a callee. So
+who owns a reference is a column, and joins are left where two nodes meet: references with declarations, statements
+with the statement above. Input nodes are not pruned (walk with
 prune=False): here the header test is for top-level declarations only.
 
 strict=True keeps three known limits of the recorded behaviour: calls right under a function's own block
@@ -16,11 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Statement kinds with a node of their own; top-level kinds with their IRI part.
-STATEMENTS = (
-    "BreakStmt", "CaseStmt", "CompoundStmt", "ContinueStmt", "DeclStmt", "DefaultStmt", "DoStmt", "ForStmt",
-    "GotoStmt", "IfStmt", "LabelStmt", "NullStmt", "ReturnStmt", "SwitchStmt", "WhileStmt",
-)
+from .tree import STATEMENTS
+
+#: Top-level kinds with their IRI part.
 DECLARATIONS = {"EnumDecl": "enum", "FunctionDecl": "fn", "RecordDecl": "struct", "TypedefDecl": "typedef", "VarDecl": "var"}
 PREFIXES = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
 TRIPLE = ("doc_id", "s", "p", "o", "o_kind", "at")
@@ -54,34 +53,15 @@ def parameters(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     return p.withColumn("index", index).withColumn("iri", F.concat("fn_iri", F.lit("/"), F.when(F.col("ident") != "", F.col("ident")).otherwise(F.concat(F.lit("arg"), F.col("index").cast("string")))))
 
 
-def nearest(nodes: DataFrame, among: DataFrame, name: str) -> DataFrame:
-    """Adds name: the node_id of the closest proper ancestor that is in among (doc_id, node_id).
-
-    Ancestors are the nodes at the path's proper prefixes, so this is an equi-join on the path, and the longest wins.
-    """
-    key = among.select("doc_id", F.col("path").alias("above"), F.col("node_id").alias(name))
-    above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
-    up = nodes.where(F.size("path") > 1).select("doc_id", "node_id", F.explode(above).alias("above")).join(key, ["doc_id", "above"])
-    found = up.groupBy("doc_id", "node_id").agg(F.max_by(name, F.size("above")).alias(name))
-    return nodes.join(found, ["doc_id", "node_id"], "left")
-
-
 def references(nodes: DataFrame) -> DataFrame:
-    """refs and calls (R3, J16): doc_id, node_id, pred, ref_id, rk, rn (what it refers to: id, kind, name). A reference inside a callee place is no ref; a call's target is
-    found down the callee's first children."""
-    calls = nodes.where("kind = 'CallExpr'").select("doc_id", F.col("node_id").alias("call"), F.col("path").alias("call_path"))
-    decl_refs = nodes.where("kind = 'DeclRefExpr'").select("doc_id", "node_id", "path", "ref_id", F.col("ref_kind").alias("rk"), F.col("ref_name").alias("rn"))
-    # A callee's nodes have the call's path and then ordinal 0; its target, zeros only.
-    cut = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
-    under = decl_refs.where(F.size("path") > 1).select("*", F.explode(cut).alias("call_path")).where(F.get("path", F.size("call_path")) == 0).join(calls, ["doc_id", "call_path"])
-    zeros = ~F.exists(F.slice("path", F.size("call_path") + 1, F.size("path")), lambda o: o != 0)
-    # A call that is itself inside another call's callee is not looked at again.
-    inner = calls.where(F.size("call_path") > 1).select("doc_id", "call", F.explode(F.transform(F.sequence(F.lit(1), F.size("call_path") - 1), lambda n: F.struct(F.slice("call_path", F.lit(1), n).alias("p"), F.get("call_path", n).alias("o")))).alias("u"))
-    hidden = inner.where("u.o = 0").select("doc_id", "call", F.col("u.p").alias("call_path")).join(calls.select("doc_id", "call_path"), ["doc_id", "call_path"], "left_semi").select("doc_id", "call").distinct()
-    # The chain stops at the first reference: targets at more depth under another reference don't count.
-    targets = under.where(zeros & F.col("ref_id").isNotNull()).join(hidden, ["doc_id", "call"], "left_anti").groupBy("doc_id", "call").agg(F.min_by(F.struct("ref_id", "rk", "rn"), "node_id").alias("to"))
-    plain = decl_refs.where("ref_id IS NOT NULL").join(under.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
-    return targets.select("doc_id", F.col("call").alias("node_id"), F.lit("calls").alias("pred"), "to.*").unionByName(plain.select("doc_id", "node_id", F.lit("refs").alias("pred"), "ref_id", "rk", "rn"))
+    """doc_id, node_id, stmt, top, in_body, pred (refs or calls), ref_id, rk, rn (what is referred to: id, kind, name) (R3, J16). A
+    reference inside a callee is no ref; a call's target is found down the callee's first children, and a call that is itself
+    in another's callee is not looked at again."""
+    own = ("doc_id", "node_id", "stmt", "top", "in_body")
+    calls, refs = F.col("kind") == "CallExpr", F.col("kind") == "DeclRefExpr"
+    to = lambda a, b: F.when(calls, F.col(a)).otherwise(F.col(b))
+    found = nodes.where((calls & F.col("to_id").isNotNull()) | (refs & F.col("ref_id").isNotNull() & ~F.coalesce("in_callee", F.lit(False))))
+    return found.select(*own, F.when(calls, "calls").otherwise("refs").alias("pred"), to("to_id", "ref_id").alias("ref_id"), to("to_kind", "ref_kind").alias("rk"), to("to_name", "ref_name").alias("rn"))
 
 
 def edges(nodes: DataFrame, strict: bool = True) -> DataFrame:
@@ -89,14 +69,9 @@ def edges(nodes: DataFrame, strict: bool = True) -> DataFrame:
     top = top_level(nodes)
     functions = top.where("kind = 'FunctionDecl'")
     decls = top.select("doc_id", F.col("id").alias("ref_id"), "iri", "node_id").unionByName(parameters(nodes, functions).select("doc_id", F.col("id").alias("ref_id"), "iri", "node_id")).where("ref_id IS NOT NULL")
-    statements = nodes.where(F.col("kind").isin(*STATEMENTS))
-    refs = references(nodes).join(nodes.select("doc_id", "node_id", "path"), ["doc_id", "node_id"])
-    owned = nearest(refs, statements, "stmt").where("stmt IS NOT NULL")
-    body = nodes.where("kind = 'CompoundStmt'").join(functions.select("doc_id", F.col("node_id").alias("parent")), ["doc_id", "parent"], "left_semi").select("doc_id", F.col("node_id").alias("stmt"))
-    inside = nearest(statements.select("doc_id", "node_id", "path"), functions, "fn").where("fn IS NOT NULL").select("doc_id", F.col("node_id").alias("stmt"))
-    owned = owned.join(inside, ["doc_id", "stmt"], "left_semi")
+    owned = references(nodes).where("stmt IS NOT NULL").join(functions.select("doc_id", F.col("node_id").alias("top")), ["doc_id", "top"], "left_semi")
     if strict:
-        owned = owned.join(body, ["doc_id", "stmt"], "left_anti")
+        owned = owned.where("NOT in_body")
     before = (F.col("d.node_id") <= F.col("r.node_id")) if strict else F.lit(True)
     joined = owned.alias("r").join(decls.alias("d"), (F.col("r.doc_id") == F.col("d.doc_id")) & (F.col("r.ref_id") == F.col("d.ref_id")) & before, "left")
     bare = F.lit(None).cast("string")
@@ -131,11 +106,10 @@ def triples(nodes: DataFrame, strict: bool = True) -> DataFrame:
     top = top_level(nodes)
     functions = top.where("kind = 'FunctionDecl'")
     params = parameters(nodes, functions)
-    inside = nearest(nodes.where(F.col("kind").isin(*STATEMENTS)), functions, "fn").where("fn IS NOT NULL")
-    statements = statement_iri(nearest(inside, inside, "up"))
-    parent = statements.select("doc_id", F.col("node_id").alias("up"), F.col("iri").alias("up_iri"))
-    owner = functions.select("doc_id", F.col("node_id").alias("fn"), F.col("iri").alias("fn_iri"))
-    placed = statements.join(parent, ["doc_id", "up"], "left").join(owner, ["doc_id", "fn"]).withColumn("parent_iri", F.coalesce("up_iri", "fn_iri"))
+    owner = functions.select("doc_id", F.col("node_id").alias("top"), F.col("iri").alias("fn_iri"))
+    statements = statement_iri(nodes.where(F.col("kind").isin(*STATEMENTS)).join(owner, ["doc_id", "top"]))
+    parent = statements.select("doc_id", F.col("node_id").alias("stmt"), F.col("iri").alias("up_iri"))
+    placed = statements.join(parent, ["doc_id", "stmt"], "left").withColumn("parent_iri", F.coalesce("up_iri", "fn_iri"))
 
     def make(rows: DataFrame, *facts: tuple[str, Column, str]) -> DataFrame:
         """One pass over rows: each of its facts (predicate, object, kind of object) and its place, as far as known."""

@@ -18,9 +18,9 @@ SIDE = ("node_id", "kind", "ident", "type", "n_children", "size")
 
 def side(nodes: DataFrame, roots: DataFrame, prefix: str, doc: str = "doc_id") -> DataFrame:
     """One side: every node under each pair's root with its path from there. roots: pair, doc, node_id, size."""
-    r = roots.select(F.col("pair").alias("_pair"), F.col(doc).alias("d"), F.col("node_id").alias("root"), F.col("size").alias("reach"), F.col("path").alias("top"))
+    r = roots.select(F.col("pair").alias("_pair"), F.col(doc).alias("d"), F.col("node_id").alias("root"), F.col("size").alias("reach"), F.col("path").alias("_top"))
     below = nodes.join(r, (F.col(doc) == F.col("d")) & (F.col("node_id") >= F.col("root")) & (F.col("node_id") < F.col("root") + F.col("reach")))
-    rel = F.slice("path", F.size("top") + 1, F.size("path"))
+    rel = F.slice("path", F.size("_top") + 1, F.size("path"))
     return below.select(F.col("_pair").alias("pair"), rel.alias("path"), *(F.col(c).alias(f"{prefix}_{c}") for c in SIDE))
 
 

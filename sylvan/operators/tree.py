@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,14 +19,23 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: ref_id, ref_kind and ref_name: what a reference node refers to; id: the source's own node id.
+#: ref_id, ref_kind and ref_name: what a reference node refers to; id: the source's own node id. shape: 64 bits of the kinds and the
+#: order of all nodes from here down, equal for subtrees of one structure. Compiler trees also have the scopes around a
+#: node: stmt, the statement it is in (in_body: a block right in a declaration of the file), top, the file's declaration,
+#: and whether it is in the callee of a call; a call that is not has what it refers to first, down its first children, as to_*.
 NODES = (
     "doc_id string, node_id long, parent long, ord long, depth long, size long, n_children long, path array<int>, kind string, ident string, type string, "
-    "start_line long, start_col long, end_line long, end_col long, start_offset long, id string, ref_id string, ref_kind string, ref_name string, tag string, implicit boolean"
+    "start_line long, start_col long, end_line long, end_col long, start_offset long, id string, ref_id string, ref_kind string, ref_name string, tag string, implicit boolean, "
+    "shape long, stmt long, top long, in_body boolean, in_callee boolean, to_id string, to_kind string, to_name string"
 )
 _NAMES = [c.split()[0] for c in NODES.split(", ")]
 _ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 _SCHEMA = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in NODES.split(", ")])
+#: Statement kinds with a node of their own.
+STATEMENTS = (
+    "BreakStmt", "CaseStmt", "CompoundStmt", "ContinueStmt", "DeclStmt", "DefaultStmt", "DoStmt", "ForStmt",
+    "GotoStmt", "IfStmt", "LabelStmt", "NullStmt", "ReturnStmt", "SwitchStmt", "WhileStmt",
+)
 #: Elements without an end tag; elements that pages often leave open.
 LEAF_TAGS = ("br", "hr", "img", "input", "link", "meta")
 LOOSE_TAGS = ("b", "p")
@@ -37,7 +47,7 @@ class _Rows:
     """Rows of one document in pre-order; close() fills in what is known when a node ends."""
 
     def __init__(self, doc_id: str):
-        self.doc_id, self.rows, self.open, self.tops = doc_id, [], [], 0
+        self.doc_id, self.rows, self.open, self.tops, self.shapes = doc_id, [], [], 0, [b""]
 
     def node(self, **values) -> dict:
         up = self.open[-1] if self.open else None
@@ -46,19 +56,30 @@ class _Rows:
             "depth": len(self.open), "n_children": 0, "size": 1, "implicit": False,
         } | values
         row["path"] = [*(up["path"] if up else []), row["ord"]]
+        row["shape"] = self._shape(row["kind"], b"")
         if up:
             up["n_children"] += 1
         else:
             self.tops += 1
         self.rows.append(row)
+        self.shapes[-1] += row["shape"].to_bytes(8, "little", signed=True)
         return row
 
-    def enter(self, **values) -> None:
+    @staticmethod
+    def _shape(kind: str, below: bytes) -> int:
+        return int.from_bytes(blake2b(kind.encode("utf-8", "surrogatepass") + b"\0" + below, digest_size=8).digest(), "little", signed=True)
+
+    def enter(self, **values) -> dict:
         self.open.append(self.node(**values))
+        self.shapes.append(b"")
+        return self.open[-1]
 
     def leave(self) -> None:
-        row = self.open.pop()
+        row, below = self.open.pop(), self.shapes.pop()
         row["size"] = len(self.rows) - row["node_id"]
+        if below:
+            row["shape"] = self._shape(row["kind"], below)
+            self.shapes[-1] = self.shapes[-1][:-8] + row["shape"].to_bytes(8, "little", signed=True)
 
 
 def page_rows(doc_id: str, html: str | None) -> list[dict]:
@@ -111,6 +132,26 @@ def _text(value) -> str | None:
     return None if value is None else value if isinstance(value, str) else json.dumps(value)
 
 
+def _scopes(rows: list[dict], row: dict, up: dict) -> None:
+    """The scopes of a node from those of the one above."""
+    statement = up["kind"] in STATEMENTS
+    row["stmt"] = up["node_id"] if statement else up["stmt"]
+    row["in_body"] = (up["depth"] == 2 and up["kind"] == "CompoundStmt") if statement else up["in_body"]
+    row["top"] = up["top"] if up["depth"] else row["node_id"]
+    row["in_callee"] = bool(up["in_callee"]) or (up["kind"] == "CallExpr" and row["ord"] == 0)
+
+
+def _first_call(row: dict, up: dict | None, call: dict | None) -> dict | None:
+    """The call whose target may be at or below a node: one whose first children alone lead there. The target is noted in its row."""
+    if up is None or row["ord"]:
+        call = None
+    elif up["kind"] == "CallExpr" and not up["in_callee"]:
+        call = up
+    if call is not None and call["to_id"] is None and row["kind"] == "DeclRefExpr" and row["ref_id"] is not None:
+        call.update(to_id=row["ref_id"], to_kind=row["ref_kind"], to_name=row["ref_name"])
+    return call
+
+
 def ast_rows(doc_id: str, source: str | None, prune: bool = True) -> list[dict] | None:
     """Nodes of a compiler's JSON document; None if it can't be read. With prune a node from a header or made
     by the compiler goes with its whole subtree, and ordinals count what stays."""
@@ -121,20 +162,26 @@ def ast_rows(doc_id: str, source: str | None, prune: bool = True) -> list[dict]
     if not isinstance(root, dict):
         return None
     out = _Rows(doc_id)
+    calls: list[dict | None] = [None]  # for each open node the call whose target its first children lead to
     steps: list[tuple[bool, dict | None]] = [(True, root)]
     while steps:  # an explicit stack: documents may be deeper than Python's own
         entering, node = steps.pop()
         if not entering:
             out.leave()
+            calls.pop()
             continue
         if prune and (included(node) or node.get("isImplicit")):
             continue
         begin, end, ref = _map(_map(node.get("range")).get("begin")), _map(_map(node.get("range")).get("end")), _map(node.get("referencedDecl"))
-        out.enter(
+        up = out.open[-1] if out.open else None
+        row = out.enter(
             kind=_text(node.get("kind")) or "<unknown>", ident=_text(node.get("name")) or _text(ref.get("name")) or "", type=_text(_map(node.get("type")).get("qualType")) or "",
             start_line=begin.get("line"), start_col=begin.get("col"), end_line=end.get("line"), end_col=end.get("col"), start_offset=begin.get("offset"),
             id=_text(node.get("id")), ref_id=_text(ref.get("id")), ref_kind=_text(ref.get("kind")), ref_name=_text(ref.get("name")), tag=_text(node.get("tagUsed")), implicit=included(node) or bool(node.get("isImplicit")),
         )
+        if up:
+            _scopes(out.rows, row, up)
+        calls.append(_first_call(row, up, calls[-1]))
         steps.append((False, None))
         inner = node.get("inner")
         steps += [(True, child) for child in reversed(inner if isinstance(inner, list) else []) if isinstance(child, dict)]
