@@ -2,7 +2,7 @@
 the bodies; suppliers are variables of every tenth unit. Queries over them and their SQL.
 
 Every unit has what the walk and the emitters treat apart: generated functions (every 11th), variables from
-headers (every 7th), parameters without a name, statements without a place or an end line, nested
+headers (every 7th), up to three parameters, with and without a name, statements without a place or an end line, nested
 statements, calls right in a body, columns beyond the cap, references to later functions, to other units
 and to nothing, and a type whose text needs escapes.
 """
@@ -47,9 +47,11 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     direct = F.when(k % 4 == 0, _text('{"id":"d', k, '","kind":"CallExpr","inner":[', callee(_text("d", k), k), "]}", F.when(F.col("stmts") != "", ",").otherwise(""))).otherwise("")
     body = _text('{"id":"b', k, '","kind":"CompoundStmt","range":{"begin":{"line":', k, ',"col":20},"end":{"line":', k + 5, ',"col":1}},"inner":[', direct, F.col("stmts"), "]}")
-    param = _text('{"id":"p', k, '","kind":"ParmVarDecl"', F.when(k % 3 == 0, "").otherwise(',"name":"x"'), ',"type":{"qualType":"int"}}')
+    one = lambda id, name: _text(f'{{"id":"{id}', k, '","kind":"ParmVarDecl"', name, ',"type":{"qualType":"int"}}')
+    n_params = F.when(k % 13 == 5, 0).otherwise(1 + k % 3)
+    params = F.slice(F.array(one("p", F.when(k % 3 == 0, "").otherwise(',"name":"x"')), one("pb", F.lit(',"name":"y"')), one("pc", F.lit(""))), F.lit(1), n_params)
     implicit = F.when(k % 11 == 0, ',"isImplicit":true').otherwise("")
-    fn = _text('{"id":"c', k, '","kind":"FunctionDecl","name":"f', k, '"', implicit, ',"type":{"qualType":"int (int)"},"range":{"begin":{"line":', k, ',"col":1,"offset":', k * 10, '},"end":{"line":', k + 5, ',"col":2}},"inner":[', param, ",", body, "]}")
+    fn = _text('{"id":"c', k, '","kind":"FunctionDecl","name":"f', k, '"', implicit, ',"type":{"qualType":"int (int)"},"range":{"begin":{"line":', k, ',"col":1,"offset":', k * 10, '},"end":{"line":', k + 5, ',"col":2}},"inner":[', F.array_join(F.concat(params, F.array(body)), ","), "]}")
     written = customer.join(bodies, F.col("o_custkey") == k, "left").withColumn("stmts", F.coalesce("stmts", F.lit(""))).withColumn("unit", F.floor(k / UNIT))
     functions = _listed(written, "unit", "c_custkey", fn, "fns")
 
@@ -112,17 +114,18 @@ def unit_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return below.groupBy("doc_id", "root").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("kind") == "ParmVarDecl").alias("n_params"))
 
 
-_BASE = f"""c AS (SELECT c_custkey AS k, c_custkey // {UNIT} AS u, c_custkey % 11 = 0 AS made FROM customer),
+_BASE = f"""c AS (SELECT c_custkey AS k, c_custkey // {UNIT} AS u, c_custkey % 11 = 0 AS made, CASE WHEN c_custkey % 13 = 5 THEN 0 ELSE 1 + c_custkey % 3 END AS np FROM customer),
 o AS (SELECT o_orderkey AS o, c.*, CASE o_orderstatus WHEN 'F' THEN 'ReturnStmt' WHEN 'O' THEN 'IfStmt' ELSE 'DeclStmt' END AS kind,
         o_orderkey % 100 + 1 + CASE WHEN o_orderkey % 13 = 0 THEN 70000 ELSE 0 END AS col, k + o_orderkey % 5 - 2 AS target, o_orderkey % 25 + 1 AS var FROM orders JOIN c ON o_custkey = k),
 v AS (SELECT s_suppkey AS s, u FROM supplier, (SELECT DISTINCT u FROM c) WHERE s_suppkey % 10 = u % 10 AND s_suppkey % 7 <> 0),
 fn AS (SELECT *, 'urn:c:fn:d' || u || '#f' || k AS iri FROM c WHERE NOT made),
-pa AS (SELECT *, iri || '/' || CASE WHEN k % 3 = 0 THEN 'arg0' ELSE 'x' END AS piri FROM fn),
+pa AS (SELECT *, iri || '/' || coalesce(pname, 'arg' || i) AS piri FROM (SELECT fn.*, i, CASE WHEN i = 0 AND k % 3 <> 0 THEN 'x' WHEN i = 1 THEN 'y' END AS pname, ['p', 'pb', 'pc'][i + 1] || k AS pid FROM fn, range(3) r(i) WHERE i < np)),
 st AS (SELECT o.*, fn.iri AS firi, 'urn:c:stmt:d' || o.u || '#' || CASE WHEN o % 9 = 0 THEN 'node-' || row_number() OVER (PARTITION BY o.u, o % 9 = 0 ORDER BY o.k, o)
           ELSE 'L' || o || 'C' || col || '-L' || (o + CASE WHEN o % 5 = 0 THEN 0 ELSE 1 END) || 'C' || (col + 3) END || ':' || kind AS iri FROM o JOIN fn ON o.k = fn.k),
 bo AS (SELECT *, 'urn:c:stmt:d' || u || '#L' || k || 'C20-L' || (k + 5) || 'C1:CompoundStmt' AS biri FROM fn)"""
 #: Depth of each node below the pruned root, a row a node.
-_DEPTHS = """n AS (SELECT u, unnest([1, 2, 2]) AS d, 'f' AS t, k, 0 AS o, unnest([1, 1, 20]) AS col, unnest([k + 5, 0, k + 5]) AS line, unnest([2, 0, 1]) AS ecol, unnest(['', '', 'Stmt']) AS kind, unnest([1, 0, 1]) AS placed FROM fn
+_DEPTHS = """n AS (SELECT u, unnest([1, 2]) AS d, 'f' AS t, k, 0 AS o, unnest([1, 20]) AS col, unnest([k + 5, k + 5]) AS line, unnest([2, 1]) AS ecol, unnest(['', 'Stmt']) AS kind, 1 AS placed FROM fn
+  UNION ALL SELECT u, 2, 'p', k, 0, 1, 0, 0, '', 0 FROM pa
   UNION ALL SELECT u, unnest([3, 4, 5]), 'd', k, 0, 0, 0, 0, '', 0 FROM fn WHERE k % 4 = 0
   UNION ALL SELECT u, 3, 's', k, o, col, CASE WHEN o % 9 = 0 THEN 0 WHEN o % 5 = 0 THEN o ELSE o + 1 END, CASE WHEN o % 9 = 0 THEN 0 ELSE col + 3 END, 'Stmt', CASE WHEN o % 9 = 0 THEN 0 ELSE 1 END FROM st
   UNION ALL SELECT u, 4, 'z', k, o, col, o, col + 51, 'Stmt', 1 FROM st WHERE kind = 'IfStmt'
@@ -138,8 +141,9 @@ def _place(line: str, col: str, end_line: str, end_col: str, id: str) -> str:
 
 _QUALTYPE = "'say \"x\\y\"' || chr(10)"
 _FACTS = f"""x AS (SELECT u, iri AS s, unnest([{{'p': 'a', 'o': 'FunctionDecl', 'k': 'class'}}, {{'p': 'name', 'o': 'f' || k, 'k': 'string'}}, {{'p': 'qualType', 'o': 'int (int)', 'k': 'string'}}, {{'p': 'offset', 'o': (k * 10)::VARCHAR, 'k': 'integer'}},
-    {{'p': 'hasParam', 'o': piri, 'k': 'iri'}}, {{'p': 'hasChild', 'o': 'urn:c:stmt:d' || u || '#L' || k || 'C20-L' || (k + 5) || 'C1:CompoundStmt', 'k': 'iri'}}, {_place("k", "1", "k + 5", "2", "'c' || k")}]) AS t FROM pa
-  UNION ALL SELECT u, piri, unnest([{{'p': 'a', 'o': 'ParmVarDecl', 'k': 'class'}}, {{'p': 'paramIndex', 'o': '0', 'k': 'integer'}}, {{'p': 'name', 'o': CASE WHEN k % 3 <> 0 THEN 'x' END, 'k': 'string'}}, {{'p': 'qualType', 'o': 'int', 'k': 'string'}}, {{'p': 'clangNodeId', 'o': 'p' || k, 'k': 'string'}}]) FROM pa
+    {{'p': 'hasChild', 'o': 'urn:c:stmt:d' || u || '#L' || k || 'C20-L' || (k + 5) || 'C1:CompoundStmt', 'k': 'iri'}}, {_place("k", "1", "k + 5", "2", "'c' || k")}]) AS t FROM fn
+  UNION ALL SELECT u, iri, {{'p': 'hasParam', 'o': piri, 'k': 'iri'}} FROM pa
+  UNION ALL SELECT u, piri, unnest([{{'p': 'a', 'o': 'ParmVarDecl', 'k': 'class'}}, {{'p': 'paramIndex', 'o': i::VARCHAR, 'k': 'integer'}}, {{'p': 'name', 'o': pname, 'k': 'string'}}, {{'p': 'qualType', 'o': 'int', 'k': 'string'}}, {{'p': 'clangNodeId', 'o': pid, 'k': 'string'}}]) FROM pa
   UNION ALL SELECT u, 'urn:c:var:d' || u || '#v' || s, unnest([{{'p': 'a', 'o': 'VarDecl', 'k': 'class'}}, {{'p': 'name', 'o': 'v' || s, 'k': 'string'}}, {{'p': 'qualType', 'o': {_QUALTYPE}, 'k': 'string'}}, {_place("s", "2", "s", "9", "'s' || s")}]) FROM v
   UNION ALL SELECT u, biri, unnest([{{'p': 'a', 'o': 'CompoundStmt', 'k': 'class'}}, {_place("k", "20", "k + 5", "1", "'b' || k")}]) FROM bo
   UNION ALL SELECT st.u, st.iri, unnest([{{'p': 'a', 'o': kind, 'k': 'class'}}, {{'p': 'offset', 'o': CASE WHEN o % 9 <> 0 THEN (o * 7)::VARCHAR END, 'k': 'integer'}}, {_place("CASE WHEN o % 9 <> 0 THEN o END", "CASE WHEN o % 9 <> 0 THEN col END", "CASE WHEN o % 9 <> 0 AND o % 5 <> 0 THEN o + 1 END", "CASE WHEN o % 9 <> 0 THEN col + 3 END", "'o' || o")},
@@ -150,7 +154,7 @@ _FACTS = f"""x AS (SELECT u, iri AS s, unnest([{{'p': 'a', 'o': 'FunctionDecl',
 _EDGES = """e AS (SELECT st.u, st.iri AS s, 'calls' AS pred, true AS strict, coalesce(f.iri, 'urn:c:unknown#c' || target) AS iri FROM st LEFT JOIN fn f ON f.k = target AND f.u = st.u AND f.k <= st.k
   UNION ALL SELECT st.u, st.iri, 'calls', false, coalesce(f.iri, 'urn:c:fn:f' || target) FROM st LEFT JOIN fn f ON f.k = target AND f.u = st.u
   UNION ALL SELECT st.u, st.iri, 'refs', b, coalesce('urn:c:var:d' || v.u || '#v' || v.s, CASE WHEN b THEN 'urn:c:unknown#s' || var ELSE 'urn:c:var:v' || var END) FROM st CROSS JOIN (VALUES (true), (false)) t(b) LEFT JOIN v ON v.s = var AND v.u = st.u
-  UNION ALL SELECT st.u, st.iri, 'refs', b, piri FROM st CROSS JOIN (VALUES (true), (false)) t(b) JOIN pa ON pa.k = st.k
+  UNION ALL SELECT st.u, st.iri, 'refs', b, coalesce(piri, 'urn:c:unknown#p' || st.k) FROM st CROSS JOIN (VALUES (true), (false)) t(b) LEFT JOIN pa ON pa.k = st.k AND pa.i = 0
   UNION ALL SELECT u, biri, 'calls', false, iri FROM bo WHERE k % 4 = 0)"""
 _TRIPLES = lambda strict: f"SELECT 'd' || u AS doc_id, s, t.p AS p, t.o AS o, t.k AS o_kind FROM x WHERE t.o IS NOT NULL UNION ALL SELECT 'd' || u, s, pred, iri, 'iri' FROM e WHERE {'strict' if strict else 'NOT strict'}"
 _ESCAPED = r"""replace(replace(replace(o, '\', '\\'), '"', '\"'), chr(10), '\n')"""
@@ -164,7 +168,7 @@ ORACLE_SQL = {
           UNION ALL SELECT u FROM st UNION ALL SELECT u FROM st UNION ALL SELECT u FROM st
           UNION ALL SELECT unnest([u, u]) FROM fn WHERE k % 4 = 0) GROUP BY u)
         SELECT 'd' || n.u AS doc_id, count(*) AS n_nodes, sum(d)::BIGINT AS depths, sum(d + 1)::BIGINT AS sizes, max(d)::BIGINT AS deepest,
-          count(*) FILTER (WHERE t = 'v' OR t = 'z' OR (t = 'd' AND d = 5) OR (t = 'f' AND d = 2 AND kind = '') OR (t = 'k' AND d = 6)) + 2 * count(*) FILTER (WHERE t = 's')
+          count(*) FILTER (WHERE t = 'v' OR t = 'z' OR (t = 'd' AND d = 5) OR t = 'p' OR (t = 'k' AND d = 6)) + 2 * count(*) FILTER (WHERE t = 's')
             + count(*) FILTER (WHERE t = 'f' AND kind = 'Stmt' AND k % 4 <> 0 AND k NOT IN (SELECT k FROM st)) + count(*) FILTER (WHERE t = 'r' AND n.u NOT IN (SELECT u FROM fn) AND n.u NOT IN (SELECT u FROM v)) AS n_leaves,
           any_value(last.n) AS n_last, count(*) FILTER (WHERE placed = 0) AS n_placeless, (sum(CASE WHEN kind = 'Stmt' THEN line END))::BIGINT AS end_lines, max(least(ecol, 65535))::BIGINT AS widest
         FROM n JOIN last ON n.u = last.u GROUP BY n.u""",
@@ -174,6 +178,6 @@ ORACLE_SQL = {
     "unit_edges": f"WITH {_BASE}, {_EDGES} SELECT 'd' || u AS doc_id, pred, strict, count(*) AS n, count(*) FILTER (WHERE iri LIKE 'urn:c:unknown#%') AS n_unknown, count(*) FILTER (WHERE NOT contains(iri, '#')) AS n_bare FROM e GROUP BY ALL",
     "unit_links": f"""WITH {_BASE}, {_EDGES}, d AS (SELECT u, 'urn:c:fn:f' || k AS bare FROM fn UNION ALL SELECT u, 'urn:c:var:v' || s FROM v)
         SELECT 'd' || e.u AS doc_id, 'd' || d.u AS to_doc, pred, count(*) AS n FROM e JOIN d ON e.iri = d.bare AND e.u <> d.u WHERE NOT strict GROUP BY ALL""",
-    "unit_function": f"""WITH {_BASE}, {_DEPTHS} SELECT 'd1' AS doc_id, (1 + count(*) FILTER (WHERE t = 'v' OR (t <> 'r' AND k < 27)))::BIGINT AS root, count(*) FILTER (WHERE k = 27) AS n_nodes, count(*) FILTER (WHERE k = 27 AND t = 'f' AND d = 2 AND kind = '') AS n_params
+    "unit_function": f"""WITH {_BASE}, {_DEPTHS} SELECT 'd1' AS doc_id, (1 + count(*) FILTER (WHERE t = 'v' OR (t <> 'r' AND k < 27)))::BIGINT AS root, count(*) FILTER (WHERE k = 27) AS n_nodes, count(*) FILTER (WHERE k = 27 AND t = 'p') AS n_params
         FROM n WHERE u = 1 HAVING count(*) FILTER (WHERE k = 27) > 0""",
 }

@@ -1,8 +1,7 @@
 """Triples from AST node tables.
 
 The walk that makes the nodes knows the scopes around each: its statement, its declaration, whether it is in a callee. So
-who owns a reference is a column, and joins are left where two nodes meet: references with declarations, statements
-with the statement above. Input nodes are not pruned (walk with
+who owns a reference is a column, and the one join left is that of references with declarations. Input nodes are not pruned (walk with
 prune=False): here the header test is for top-level declarations only.
 
 strict=True keeps three known limits of the recorded behaviour: calls right under a function's own block
@@ -14,11 +13,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tree import STATEMENTS
-
 #: Top-level kinds with their IRI part.
 DECLARATIONS = {"EnumDecl": "enum", "FunctionDecl": "fn", "RecordDecl": "struct", "TypedefDecl": "typedef", "VarDecl": "var"}
 PREFIXES = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
@@ -46,18 +43,26 @@ def top_level(nodes: DataFrame) -> DataFrame:
     return checked.where(ok).where(F.col("kind").isin(*DECLARATIONS)).withColumn("iri", decl_iri(F.col("kind"), F.col("tag"), F.col("ident"), F.col("doc_id"))).where("iri IS NOT NULL").drop("root_kind")
 
 
-def parameters(nodes: DataFrame, functions: DataFrame) -> DataFrame:
-    """Parameters of each function with index and IRI; one without a name is named by its index."""
-    p = nodes.where("kind = 'ParmVarDecl'").join(functions.select("doc_id", F.col("node_id").alias("parent"), F.col("iri").alias("fn_iri")), ["doc_id", "parent"])
-    index = F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("ord")) - 1
-    return p.withColumn("index", index).withColumn("iri", F.concat("fn_iri", F.lit("/"), F.when(F.col("ident") != "", F.col("ident")).otherwise(F.concat(F.lit("arg"), F.col("index").cast("string")))))
+def function_iri() -> Column:
+    """IRI of the function that a node is in."""
+    return F.concat(F.lit("urn:c:fn:"), "doc_id", F.lit("#"), "top_fn")
+
+
+def parameters(nodes: DataFrame) -> DataFrame:
+    """Parameters of each function with its IRI and their own; one without a name is named by its index."""
+    name = F.when(F.col("ident") != "", F.col("ident")).otherwise(F.concat(F.lit("arg"), F.col("param").cast("string")))
+    return nodes.where("param IS NOT NULL").withColumn("fn_iri", function_iri()).withColumn("iri", F.concat("fn_iri", F.lit("/"), name))
+
+
+def statement_iri(doc: str, place: str) -> Column:
+    return F.concat(F.lit("urn:c:stmt:"), doc, F.lit("#"), place)
 
 
 def references(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id, stmt, top, in_body, pred (refs or calls), ref_id, rk, rn (what is referred to: id, kind, name) (R3, J16). A
+    """doc_id, node_id, stmt, stmt_place, top_fn, in_body, pred (refs or calls), ref_id, rk, rn (what is referred to: id, kind, name) (R3, J16). A
     reference inside a callee is no ref; a call's target is found down the callee's first children, and a call that is itself
     in another's callee is not looked at again."""
-    own = ("doc_id", "node_id", "stmt", "top", "in_body")
+    own = ("doc_id", "node_id", "stmt", "stmt_place", "top_fn", "in_body")
     calls, refs = F.col("kind") == "CallExpr", F.col("kind") == "DeclRefExpr"
     to = lambda a, b: F.when(calls, F.col(a)).otherwise(F.col(b))
     found = nodes.where((calls & F.col("to_id").isNotNull()) | (refs & F.col("ref_id").isNotNull() & ~F.coalesce("in_callee", F.lit(False))))
@@ -65,11 +70,10 @@ def references(nodes: DataFrame) -> DataFrame:
 
 
 def edges(nodes: DataFrame, strict: bool = True) -> DataFrame:
-    """doc_id, stmt, pred, iri, at: deduplicated per statement, first place kept."""
-    top = top_level(nodes)
-    functions = top.where("kind = 'FunctionDecl'")
-    decls = top.select("doc_id", F.col("id").alias("ref_id"), "iri", "node_id").unionByName(parameters(nodes, functions).select("doc_id", F.col("id").alias("ref_id"), "iri", "node_id")).where("ref_id IS NOT NULL")
-    owned = references(nodes).where("stmt IS NOT NULL").join(functions.select("doc_id", F.col("node_id").alias("top")), ["doc_id", "top"], "left_semi")
+    """doc_id, stmt, stmt_place, pred, iri, at: deduplicated per statement, first place kept."""
+    declared = lambda rows: rows.select("doc_id", F.col("id").alias("ref_id"), "iri", "node_id").where("ref_id IS NOT NULL")
+    decls = declared(top_level(nodes)).unionByName(declared(parameters(nodes)))
+    owned = references(nodes).where("stmt_place IS NOT NULL")
     if strict:
         owned = owned.where("NOT in_body")
     before = (F.col("d.node_id") <= F.col("r.node_id")) if strict else F.lit(True)
@@ -79,8 +83,8 @@ def edges(nodes: DataFrame, strict: bool = True) -> DataFrame:
         bare = F.when((F.col("rn") != "") & F.col("rk").isin("FunctionDecl", "TypedefDecl", "VarDecl"), F.concat(F.lit("urn:c:"), F.create_map(*[F.lit(x) for p in DECLARATIONS.items() for x in p])[F.col("rk")], F.lit(":"), F.col("rn")))
     iri = F.coalesce(F.col("d.iri"), bare, F.concat(F.lit("urn:c:unknown#"), F.col("r.ref_id")))
     # An id that is declared again takes its last declaration, as a map would.
-    last = joined.groupBy(F.col("r.doc_id").alias("doc_id"), F.col("r.stmt").alias("stmt"), F.col("r.pred").alias("pred"), F.col("r.node_id").alias("at")).agg(F.max_by(iri, F.coalesce(F.col("d.node_id"), F.lit(-1))).alias("iri"))
-    return last.groupBy("doc_id", "stmt", "pred", "iri").agg(F.min("at").alias("at"))
+    last = joined.groupBy(F.col("r.doc_id").alias("doc_id"), F.col("r.stmt").alias("stmt"), F.col("r.stmt_place").alias("stmt_place"), F.col("r.pred").alias("pred"), F.col("r.node_id").alias("at")).agg(F.max_by(iri, F.coalesce(F.col("d.node_id"), F.lit(-1))).alias("iri"))
+    return last.groupBy("doc_id", "stmt", "stmt_place", "pred", "iri").agg(F.min("at").alias("at"))
 
 
 def across_units(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -90,26 +94,12 @@ def across_units(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.where(~F.col("iri").contains("#")).join(declared, "iri").where("doc_id <> to_doc").select("doc_id", "stmt", "pred", "iri", "to_doc", "to_iri")
 
 
-def statement_iri(statements: DataFrame) -> DataFrame:
-    """Adds iri: span, or a count of statements without one in pre-order."""
-    missing = F.col("start_line").isNull() | F.col("start_col").isNull()
-    number = F.row_number().over(Window.partitionBy("doc_id", missing).orderBy("node_id"))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    span = F.concat(F.lit("L"), text("start_line"), F.lit("C"), text("start_col"), F.lit("-L"), F.coalesce(F.col("end_line").cast("string"), text("start_line")), F.lit("C"), text("end_col"))
-    place = F.when(missing, F.concat(F.lit("node-"), number.cast("string"))).otherwise(span)
-    return statements.withColumn("iri", F.concat(F.lit("urn:c:stmt:"), "doc_id", F.lit("#"), place, F.lit(":"), "kind"))
-
-
 def triples(nodes: DataFrame, strict: bool = True) -> DataFrame:
     """Every emitter's triples (R5, R2, T5); o_kind is iri, class, string or integer. nodes is read several times: hand in
     a table that is written, not one that walks the documents each time."""
-    top = top_level(nodes)
-    functions = top.where("kind = 'FunctionDecl'")
-    params = parameters(nodes, functions)
-    owner = functions.select("doc_id", F.col("node_id").alias("top"), F.col("iri").alias("fn_iri"))
-    statements = statement_iri(nodes.where(F.col("kind").isin(*STATEMENTS)).join(owner, ["doc_id", "top"]))
-    parent = statements.select("doc_id", F.col("node_id").alias("stmt"), F.col("iri").alias("up_iri"))
-    placed = statements.join(parent, ["doc_id", "stmt"], "left").withColumn("parent_iri", F.coalesce("up_iri", "fn_iri"))
+    top, params = top_level(nodes), parameters(nodes)
+    above = F.coalesce(statement_iri("doc_id", "stmt_place"), function_iri())
+    placed = nodes.where("place IS NOT NULL").withColumn("iri", statement_iri("doc_id", "place")).withColumn("parent_iri", above)
 
     def make(rows: DataFrame, *facts: tuple[str, Column, str]) -> DataFrame:
         """One pass over rows: each of its facts (predicate, object, kind of object) and its place, as far as known."""
@@ -121,11 +111,10 @@ def triples(nodes: DataFrame, strict: bool = True) -> DataFrame:
     record = F.when(F.col("kind") == "RecordDecl", F.when(F.col("tag") == "union", F.lit("UnionDecl")).otherwise(F.lit("StructDecl"))).otherwise(F.col("kind"))
     out = [
         make(top, (iri, "a", record, "class"), (iri, "name", F.col("ident"), "string"), (iri, "qualType", type, "string")),
-        make(params, (iri, "a", F.lit("ParmVarDecl"), "class"), (F.col("fn_iri"), "hasParam", iri, "iri"), (iri, "paramIndex", F.col("index"), "integer"), (iri, "name", name, "string"), (iri, "qualType", type, "string")),
+        make(params, (iri, "a", F.lit("ParmVarDecl"), "class"), (F.col("fn_iri"), "hasParam", iri, "iri"), (iri, "paramIndex", F.col("param"), "integer"), (iri, "name", name, "string"), (iri, "qualType", type, "string")),
         make(placed, (iri, "a", F.col("kind"), "class"), (F.col("parent_iri"), "hasChild", iri, "iri")),
     ]
-    linked = edges(nodes, strict).join(statements.select("doc_id", F.col("node_id").alias("stmt"), F.col("iri").alias("s")), ["doc_id", "stmt"])
-    out.append(linked.select("doc_id", "s", F.col("pred").alias("p"), F.col("iri").alias("o"), F.lit("iri").alias("o_kind"), "at"))
+    out.append(edges(nodes, strict).select("doc_id", statement_iri("doc_id", "stmt_place").alias("s"), F.col("pred").alias("p"), F.col("iri").alias("o"), F.lit("iri").alias("o_kind"), "at"))
     return reduce(DataFrame.unionByName, out)
 
 

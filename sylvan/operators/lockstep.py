@@ -8,9 +8,10 @@ proper prefixes, so that test is an anti-join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..work import written
 from .tree import page_nodes, subtree, subtree_summary
 
 SIDE = ("node_id", "kind", "ident", "type", "n_children", "size")
@@ -25,13 +26,15 @@ def side(nodes: DataFrame, roots: DataFrame, prefix: str, doc: str = "doc_id") -
 
 
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair of nodes that the walk reaches: status is aligned, kind (kinds differ) or children (their counts do)."""
+    """Every pair of nodes that the walk reaches: status is aligned, kind (kinds differ) or children (their counts do).
+
+    A hole's subtree is a range of left ids, so a met pair is below a hole if the furthest end of the holes before it in
+    pre-order lies beyond it: one window over a pair's nodes."""
     status = F.when(F.col("l_kind") != F.col("r_kind"), "kind").when(F.col("l_n_children") != F.col("r_n_children"), "children").otherwise("aligned")
     met = left.join(right, ["pair", "path"]).withColumn("status", status)
-    holes = met.where("status <> 'aligned'").select("pair", F.col("path").alias("above"))
-    above = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
-    under = met.where(F.size("path") > 0).select("pair", "path", F.explode(above).alias("above")).join(holes, ["pair", "above"], "left_semi").select("pair", "path").distinct()
-    return met.join(under, ["pair", "path"], "left_anti")
+    ahead = Window.partitionBy("pair").orderBy("l_node_id").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.max(F.when(F.col("status") != "aligned", F.col("l_node_id") + F.col("l_size"))).over(ahead)
+    return met.withColumn("_end", end).where(F.col("_end").isNull() | (F.col("_end") <= F.col("l_node_id"))).drop("_end")
 
 
 def bindings(reached: DataFrame, field: str) -> DataFrame:
@@ -64,7 +67,7 @@ def loose_symbols(reached: DataFrame, nodes: DataFrame, prefix: str, field: str
 
 def page_pairs(spark: SparkSession, sf_dir: str, apart: int) -> DataFrame:
     """Every page against the page so many ids on."""
-    nodes = page_nodes(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    nodes = written(page_nodes(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")).select("page_id", "path", *SIDE), "pages")
     roots = nodes.where("node_id = 0").select("page_id", "node_id", F.lit(1 << 40).alias("size"), F.array().cast("array<int>").alias("path"))
     left, right = roots.withColumn("pair", F.col("page_id")), roots.withColumn("pair", F.col("page_id") - apart)
     return diff(side(nodes, left, "l", "page_id"), side(nodes, right, "r", "page_id"))

@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..work import written
 
 #: ref_id, ref_kind and ref_name: what a reference node refers to; id: the source's own node id. shape: 64 bits of the kinds and the
 #: order of all nodes from here down, equal for subtrees of one structure. Compiler trees also have the scopes around a
-#: node: stmt, the statement it is in (in_body: a block right in a declaration of the file), top, the file's declaration,
-#: and whether it is in the callee of a call; a call that is not has what it refers to first, down its first children, as to_*.
+#: node: the file's own function it is in (top_fn), the statement it is in (stmt, with its place; in_body: a block right in a
+#: declaration of the file), and whether it is in the callee of a call; a call that is not has what it refers to first,
+#: down its first children, as to_*. A statement of a function has its own place, a parameter its index.
 NODES = (
     "doc_id string, node_id long, parent long, ord long, depth long, size long, n_children long, path array<int>, kind string, ident string, type string, "
     "start_line long, start_col long, end_line long, end_col long, start_offset long, id string, ref_id string, ref_kind string, ref_name string, tag string, implicit boolean, "
-    "shape long, stmt long, top long, in_body boolean, in_callee boolean, to_id string, to_kind string, to_name string"
+    "shape long, stmt long, stmt_place string, place string, top_fn string, param long, in_body boolean, in_callee boolean, to_id string, to_kind string, to_name string"
 )
 _NAMES = [c.split()[0] for c in NODES.split(", ")]
 _ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
@@ -132,24 +134,51 @@ def _text(value) -> str | None:
     return None if value is None else value if isinstance(value, str) else json.dumps(value)
 
 
-def _scopes(rows: list[dict], row: dict, up: dict) -> None:
-    """The scopes of a node from those of the one above."""
-    statement = up["kind"] in STATEMENTS
-    row["stmt"] = up["node_id"] if statement else up["stmt"]
-    row["in_body"] = (up["depth"] == 2 and up["kind"] == "CompoundStmt") if statement else up["in_body"]
-    row["top"] = up["top"] if up["depth"] else row["node_id"]
-    row["in_callee"] = bool(up["in_callee"]) or (up["kind"] == "CallExpr" and row["ord"] == 0)
+class _Scopes:
+    """The scopes of a compiler tree's nodes, from those of the node above."""
+
+    def __init__(self):
+        self.calls: list[dict | None] = [None]  # for each open node the call whose target its first children lead to
+        self.params = [0]  # and its parameters so far
+        self.placeless = 0
+
+    def enter(self, row: dict, up: dict | None) -> None:
+        if up is not None:
+            statement = up["kind"] in STATEMENTS
+            row["stmt"], row["stmt_place"] = (up["node_id"], up["place"]) if statement else (up["stmt"], up["stmt_place"])
+            row["in_body"] = (up["depth"] == 2 and up["kind"] == "CompoundStmt") if statement else up["in_body"]
+            row["in_callee"] = bool(up["in_callee"]) or (up["kind"] == "CallExpr" and row["ord"] == 0)
+            row["top_fn"] = up["top_fn"] if up["depth"] else row["ident"] or None if row["kind"] == "FunctionDecl" and not row["implicit"] else None
+            if row["kind"] == "ParmVarDecl" and row["depth"] == 2 and row["top_fn"] is not None:
+                row["param"] = self.params[-1]
+                self.params[-1] += 1
+            if row["kind"] in STATEMENTS and row["top_fn"] is not None:
+                row["place"] = self.place(row)
+        self.calls.append(self.first_call(row, up))
+        self.params.append(0)
 
-
-def _first_call(row: dict, up: dict | None, call: dict | None) -> dict | None:
-    """The call whose target may be at or below a node: one whose first children alone lead there. The target is noted in its row."""
-    if up is None or row["ord"]:
-        call = None
-    elif up["kind"] == "CallExpr" and not up["in_callee"]:
-        call = up
-    if call is not None and call["to_id"] is None and row["kind"] == "DeclRefExpr" and row["ref_id"] is not None:
-        call.update(to_id=row["ref_id"], to_kind=row["ref_kind"], to_name=row["ref_name"])
-    return call
+    def leave(self) -> None:
+        self.calls.pop()
+        self.params.pop()
+
+    def place(self, row: dict) -> str:
+        """The span of a statement, or its number among those without one."""
+        if row["start_line"] is None or row["start_col"] is None:
+            self.placeless += 1
+            return f"node-{self.placeless}:{row['kind']}"
+        end = row["start_line"] if row["end_line"] is None else row["end_line"]
+        return f"L{row['start_line']}C{row['start_col']}-L{end}C{row['end_col']}:{row['kind']}"
+
+    def first_call(self, row: dict, up: dict | None) -> dict | None:
+        """The call whose target may be at or below a node: one whose first children alone lead there. The target is noted in its row."""
+        call = self.calls[-1]
+        if up is None or row["ord"]:
+            call = None
+        elif up["kind"] == "CallExpr" and not up["in_callee"]:
+            call = up
+        if call is not None and call["to_id"] is None and row["kind"] == "DeclRefExpr" and row["ref_id"] is not None:
+            call.update(to_id=row["ref_id"], to_kind=row["ref_kind"], to_name=row["ref_name"])
+        return call
 
 
 def ast_rows(doc_id: str, source: str | None, prune: bool = True) -> list[dict] | None:
@@ -162,13 +191,13 @@ def ast_rows(doc_id: str, source: str | None, prune: bool = True) -> list[dict]
     if not isinstance(root, dict):
         return None
     out = _Rows(doc_id)
-    calls: list[dict | None] = [None]  # for each open node the call whose target its first children lead to
+    scopes = _Scopes()
     steps: list[tuple[bool, dict | None]] = [(True, root)]
     while steps:  # an explicit stack: documents may be deeper than Python's own
         entering, node = steps.pop()
         if not entering:
             out.leave()
-            calls.pop()
+            scopes.leave()
             continue
         if prune and (included(node) or node.get("isImplicit")):
             continue
@@ -179,9 +208,7 @@ def ast_rows(doc_id: str, source: str | None, prune: bool = True) -> list[dict]
             start_line=begin.get("line"), start_col=begin.get("col"), end_line=end.get("line"), end_col=end.get("col"), start_offset=begin.get("offset"),
             id=_text(node.get("id")), ref_id=_text(ref.get("id")), ref_kind=_text(ref.get("kind")), ref_name=_text(ref.get("name")), tag=_text(node.get("tagUsed")), implicit=included(node) or bool(node.get("isImplicit")),
         )
-        if up:
-            _scopes(out.rows, row, up)
-        calls.append(_first_call(row, up, calls[-1]))
+        scopes.enter(row, up)
         steps.append((False, None))
         inner = node.get("inner")
         steps += [(True, child) for child in reversed(inner if isinstance(inner, list) else []) if isinstance(child, dict)]
@@ -271,6 +298,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
 
 
+def _page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What subtrees are told by, written: it is read on both sides of a join."""
+    return written(page_nodes(_pages(spark, sf_dir)).select("page_id", "node_id", "depth", "size", "kind", "ident"), "pages")
+
+
 def tag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How deep each page's elements are, and how many there are of each depth at most."""
     nodes = page_nodes(_pages(spark, sf_dir))
@@ -282,13 +314,13 @@ def tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaves_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = page_nodes(_pages(spark, sf_dir))
+    nodes = _page_table(spark, sf_dir)
     found = subtree_leaves(nodes, nodes.where("depth = 1"), "page_id", "kind")
     return found.select("page_id", "root", "kind", F.col("first").alias("first_node"))
 
 
 def summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = page_nodes(_pages(spark, sf_dir))
+    nodes = _page_table(spark, sf_dir)
     return subtree_summary(nodes, nodes.where("depth <= 1"), "page_id")
 
 
