@@ -34,12 +34,15 @@ def whole_text(column: str = "text"):
 
 
 @contextmanager
-def steady_memory():
+def steady_memory(arrays: bool = False):
     """For tasks with large caches and no pandas: the cycle collector, which would walk the caches again and again,
     rests until the task ends. What makes cycles there collects by itself. Then freed memory goes back to the
-    system, as the worker lives on and its neighbours need it."""
+    system, as the worker lives on and its neighbours need it. With arrays, that of large arrays goes back at once."""
     was = gc.isenabled()
     gc.disable()
+    if arrays:
+        with suppress(OSError, AttributeError):  # M_MMAP_THRESHOLD, which else grows with what is freed
+            ctypes.CDLL(None).mallopt(-3, 4 << 20)
     try:
         yield
     finally:

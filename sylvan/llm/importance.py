@@ -6,10 +6,10 @@ once, counts are summed by bucket, and each block is sent the buckets of its fea
 go through a dictionary of their own. Sums of both give the gain of every bucket, and the join of gains with a block's
 features and its documents' counts of them gives the weights.
 
-Features travel as sorted lines, packed; a run of two words goes as the start of the runs of three that begin with it,
-to one place, so these are dealt by their first two words. Pairs of words that stand very often (at most ``PAIRS``, found
-while the blocks are made) deal their runs of three by the third word as well. A dictionary task keeps the distinct
-strings of one share of the hash at a time and takes what the blocks send in turns. Scores are ranked within ranges of
+Features travel packed, and what begins alike is said once, so they are dealt by their first word. The runs of two that begin with
+a frequent word are dealt by both words, and the runs of three with a frequent pair by all three: words and pairs of
+1 / ``FREQUENT`` of all places or more, so at most as many each, are found from what blocks list. A dictionary task keeps the
+distinct strings of one share of the hash at a time and takes what the blocks send in turns. Scores are ranked within ranges of
 the score, and shifted by the counts of the ranges before.
 
 A null text has no features: weight 0. Rows of equal doc_id, or of none, count each by itself (no id: the
@@ -20,6 +20,7 @@ in a task. Without documents the result is empty; without target texts T and t a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -30,63 +31,105 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import steady_memory, written
-from .word_blocks import ALNUM, Block, block_of, blocks, forget, groups, joined, lines, listed, numbers, packed, raw, read, unnumbers, unpacked
+from .word_blocks import ALNUM, Block, block_of, blocks, forget, groups, joined, lines, numbers, packed, read, unnumbers, unpacked
 
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 42, 20, 5
 #: Words for each share of the hash, and features that a dictionary task takes at once.
-SHARE, AT_ONCE = 500_000, 2_000_000
-PAIRS = 4096
-_JOIN = pc.JoinOptions(null_handling="skip")
+SHARE, AT_ONCE = 1_000_000, 2_000_000
+FREQUENT = 4096
+#: Of compression: features are most of what is shuffled.
+LEVEL = 6
 
 
-def grams(b: Block) -> dict[str, np.ndarray]:
-    """Distinct features of a block, in order. Pairs are first * V + second, threes pair's number * V + third; pair_at, three_at:
-    which one stands at each of the places pairs_of and threes_of."""
+class Frequent(NamedTuple):
+    words: pa.Array
+    firsts: pa.Array
+    seconds: pa.Array
+
+
+class Grams(NamedTuple):
+    """Distinct features of a block, in order: v is the number of words; a pair is first * v + second, a three its pair's number * v +
+    third. Which of them stands at each of the places (of first words) in pairs_at and threes_at."""
+
+    v: int
+    pair: np.ndarray
+    n_pair: np.ndarray
+    pair_at: np.ndarray
+    pairs_at: np.ndarray
+    three: np.ndarray
+    n_three: np.ndarray
+    three_at: np.ndarray
+    threes_at: np.ndarray
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys.astype(np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    found, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return found, n.astype(np.int32), at.astype(np.int32)
+
+
+def _pairs_at(b: Block) -> np.ndarray:
+    """Places whose next word stands in the same text."""
+    follows = np.ones(len(b.ids), bool)
+    follows[np.cumsum(b.n)[b.n > 0] - 1] = False
+    return np.flatnonzero(follows).astype(np.int32)
+
+
+def grams(b: Block) -> Grams:
     v = max(len(b.words), 1)
-    doc = np.repeat(np.arange(len(b.n)), b.n)
-    two = np.flatnonzero(doc[1:] == doc[:-1])
-    pair, pair_at, n_pair = np.unique(b.ids[two] * v + b.ids[two + 1], return_inverse=True, return_counts=True) if len(two) else (np.zeros(0, np.int64),) * 3
-    last = np.flatnonzero(two[1:] == two[:-1] + 1)  # a pair that another follows in the same text
-    three, three_at, n_three = np.unique(pair_at[last] * v + b.ids[two[last] + 2], return_inverse=True, return_counts=True) if len(last) else (np.zeros(0, np.int64),) * 3
-    return {"v": v, "doc": doc, "pair": pair, "pair_at": pair_at, "n_pair": n_pair, "pairs_of": doc[two], "three": three, "three_at": three_at, "n_three": n_three, "threes_of": doc[two[last]]}
+    two = _pairs_at(b)
+    pair, n_pair, pair_at = _distinct(b.ids[two].astype(np.int64) * v + b.ids[two + 1])
+    last = np.flatnonzero(two[1:] == two[:-1] + 1).astype(np.int32)  # a pair that another follows in the same text
+    three, n_three, three_at = _distinct(pair_at[last].astype(np.int64) * v + b.ids[two[last] + 2])
+    return Grams(v, pair, n_pair, pair_at, two, three, n_three, three_at, two[last])
 
 
 def _text(*words: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()), options=_JOIN) if len(words[0]) else pa.array([], pa.large_string())
+    return pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if len(words[0]) else pa.array([], pa.large_string())
+
+
+def common(b: Block) -> dict[str, pa.Array]:
+    """Words, and pairs of these, that are 1 / (2 * FREQUENT) of a block's or more, with their counts."""
+    least, n_word = max(2, -(-len(b.ids) // (2 * FREQUENT))), np.bincount(b.ids, minlength=len(b.words))
+    two = _pairs_at(b)
+    two = two[(n_word >= least)[b.ids[two]]]
+    pair, n_pair = np.unique(b.ids[two].astype(np.int64) * len(b.words) + b.ids[two + 1], return_counts=True)
+    one, two = np.flatnonzero(n_word >= least), np.flatnonzero(n_pair >= least)
+    take = lambda at: b.words.take(pa.array(at))
+    text = pa.concat_arrays([take(one), _text(take(pair[two] // max(len(b.words), 1)), take(pair[two] % max(len(b.words), 1)))]).cast(pa.string())
+    rows = pa.StructArray.from_arrays([text, pa.array(np.concatenate([n_word[one], n_pair[two]]), pa.int64())], ["text", "times"])
+    return {"common": pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)}
 
 
-def common_pairs(b: Block) -> dict[str, pa.Array]:
-    """Pairs that are 1 / (2 * PAIRS) of a block's or more, with their counts."""
-    g = grams(b)
-    at = np.flatnonzero((g["n_pair"] * 2 * PAIRS >= len(b.ids)) & (g["n_pair"] > 1))
-    at = at[np.argsort(-g["n_pair"][at], kind="stable")][: 2 * PAIRS]
-    text = _text(b.words.take(pa.array(g["pair"][at] // g["v"])), b.words.take(pa.array(g["pair"][at] % g["v"]))).cast(pa.string())
-    rows = pa.StructArray.from_arrays([text, pa.array(g["n_pair"][at], pa.int64())], ["pair", "times"])
-    return {"pairs": pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), rows)}
+def _numbers_of(b: Block, words: pa.Array) -> np.ndarray:
+    """The number of each word in a block, or -1."""
+    return pc.index_in(words, value_set=b.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Layout:
     """Which share of the hash each feature of a block goes to, in the order [words, pairs, threes of other pairs, threes of
-    frequent pairs] and within these as sorted."""
+    frequent pairs] and within these as sorted. A pair goes where its first word goes, or, if that is frequent, by both."""
 
-    def __init__(self, b: Block, frequent: pa.Table, shares: int):
+    def __init__(self, b: Block, frequent: Frequent, shares: int):
         self.g = g = grams(b)
-        h, v = b.hashes, g["v"]
-        first, second = h[g["pair"] // v], h[g["pair"] % v]
+        h, v = b.hashes, g.v
+        often = np.zeros(v, bool)
+        often[[k for k in _numbers_of(b, frequent.words) if k >= 0]] = True
         mix = lambda *xs: self.mixed(xs, shares)
+        first, second = h[g.pair // v], h[g.pair % v]
+        second[~often[g.pair // v]] = 0
         pair_to = mix(first, second)
-        known = [pc.index_in(frequent.column(k), value_set=b.words).combine_chunks() for k in (0, 1)]
-        known = [x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in known]
-        keys = (known[0] * v + known[1])[(known[0] >= 0) & (known[1] >= 0)]
-        often = np.isin(g["pair"], keys)
-        up = g["three"] // v
-        self.grouped, self.loose = np.flatnonzero(~often[up]), np.flatnonzero(often[up])
-        x = up[self.loose]
-        to = [mix(h), pair_to, pair_to[up[self.grouped]], mix(first[x], second[x], h[g["three"][self.loose] % v])]
-        self.order = [np.argsort(t, kind="stable") for t in to]
-        self.to = [t[o] for t, o in zip(to, self.order)]
-        self.shares = np.unique(np.concatenate(self.to))
-        self.cuts = [(np.searchsorted(t, self.shares), np.searchsorted(t, self.shares, "right")) for t in self.to]
+        del first, second
+        x, y = _numbers_of(b, frequent.firsts), _numbers_of(b, frequent.seconds)
+        far = np.isin(g.pair, (x * v + y)[(x >= 0) & (y >= 0)])[g.three // v]
+        self.grouped, self.loose = np.flatnonzero(~far).astype(np.int32), np.flatnonzero(far).astype(np.int32)
+        k = g.three[self.loose] // v
+        to = [mix(h), pair_to, pair_to[g.three[self.grouped] // v], mix(h[g.pair[k] // v], h[g.pair[k] % v], h[g.three[self.loose] % v])]
+        self.order = [np.argsort(t, kind="stable").astype(np.int32) for t in to]
+        to = [t[o] for t, o in zip(to, self.order)]
+        self.shares = np.unique(np.concatenate([np.unique(t) for t in to]))
+        self.cuts = [(np.searchsorted(t, self.shares), np.searchsorted(t, self.shares, "right")) for t in to]
 
     @staticmethod
     def mixed(xs: tuple[np.ndarray, ...], shares: int) -> np.ndarray:
@@ -94,64 +137,62 @@ class Layout:
         for x in xs:
             out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
-        return (out % np.uint64(shares)).astype(np.int64)
+        return (out % np.uint64(shares)).astype(np.int32)
 
     def parts(self, k: int) -> list[slice]:
         return [slice(a, b) for a, b in zip(*(x.tolist() for x in self.cuts[k]))]
 
 
-def _send(b: Block, frequent: pa.Table, shares: int) -> Iterator[tuple[int, bytes]]:
-    """(share, body) of all features of a block; see _received."""
-    lay = Layout(b, frequent, shares)
-    g, v = lay.g, lay.g["v"]
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of equal neighbours."""
+    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[start, len(x)])
+
+
+def _send(b: Block, frequent: Frequent, shares: int) -> Iterator[tuple[int, bytes]]:
+    """(share, body) of all features of a block; see _received. What begins alike is said once: first words with the number of
+    their pairs, second words with the number of theirs, third words."""
     if not len(b.ids):
         return
-    n_word = np.bincount(b.ids, minlength=v)
+    lay = Layout(b, frequent, shares)
+    g, v = lay.g, lay.g.v
     words, pairs, grouped, loose = lay.order
+    grouped, loose = lay.grouped[grouped], lay.loose[loose]
     take = lambda at: b.words.take(pa.array(at))
-    two = _text(take(g["pair"] // v), take(g["pair"] % v))
-    # A line for every run of three, and one for a pair that none goes on with.
-    below = np.bincount(g["three"][lay.grouped] // v, minlength=len(g["pair"]))[pairs]
-    each = np.maximum(below, 1)
-    goes_on = np.repeat(below > 0, each)
-    third = np.zeros(len(goes_on), np.int64)
-    third[goes_on] = g["three"][lay.grouped][grouped] % v
-    entries = _text(two.take(pa.array(np.repeat(pairs, each))), b.words.take(pa.array(third, mask=~goes_on)))
-    line = np.r_[0, np.cumsum(each)]
-    at = lay.loose[loose]
-    single, far = take(words), _text(two.take(pa.array(g["three"][at] // v)), take(g["three"][at] % v))
-    for share, w, p, t, f in zip(lay.shares.tolist(), *(lay.parts(k) for k in range(4))):
+    n_word, below = np.bincount(b.ids, minlength=v), np.bincount(g.three[lay.grouped] // v, minlength=len(g.pair)).astype(np.int32)
+    for share, w, p, t, o in zip(lay.shares.tolist(), *(lay.parts(k) for k in range(4))):
+        w, p, t, o = words[w], pairs[p], grouped[t], loose[o]
+        first, above = g.pair[p] // v, g.three[o] // v
+        start, size = _runs(first)
+        far, far_size = _runs(above)
+        above = g.pair[above[far]]
         yield share, packed(
-            joined(single[w]), numbers(n_word[words[w]]), joined(entries[line[p.start] : line[p.stop]]), numbers(below[p]), numbers(g["n_pair"][pairs[p]]),
-            numbers(g["n_three"][lay.grouped[grouped[t]]]), joined(far[f]), numbers(g["n_three"][at[f]]),
+            joined(take(w)), numbers(n_word[w]),
+            joined(take(first[start])), numbers(size), joined(take(g.pair[p] % v)), numbers(below[p]), numbers(g.n_pair[p]),
+            joined(take(g.three[t] % v)), numbers(g.n_three[t]),
+            joined(_text(take(above // v), take(above % v))), numbers(far_size), joined(take(g.three[o] % v)), numbers(g.n_three[o]),
+            level=LEVEL,
         )
 
 
 def _received(body: bytes) -> tuple[pa.Array, np.ndarray]:
     """(features, counts) in the order of Layout."""
-    single, n_word, entries, below, n_pair, n_grouped, far, n_far = unpacked(body)
-    n_word, below, n_pair, n_grouped, n_far = (unnumbers(x) for x in (n_word, below, n_pair, n_grouped, n_far))
-    each = np.maximum(below, 1)
-    text = lines(entries, int(each.sum()))
-    at, data = raw(text)
-    head = np.cumsum(each) - each
-    # A pair ends at the second space of its first line, or with the line where that is the pair alone.
-    spaces = np.flatnonzero(data == 0x20)
-    ends = at[head + 1].copy()
-    goes_on = below > 0
-    ends[goes_on] = spaces[np.searchsorted(spaces, at[head[goes_on]]) + 1]
-    mark = np.zeros(len(data) + 1, np.int8)
-    mark[at[head]] += 1
-    np.add.at(mark, ends, -1)
-    pairs = listed(np.r_[0, np.cumsum(ends - at[head])], data[np.cumsum(mark[:-1], dtype=np.int8) > 0])
-    threes = text.filter(pa.array(np.repeat(goes_on, each)))
-    return pa.concat_arrays([lines(single, len(n_word)), pairs, threes, lines(far, len(n_far))]), np.concatenate([n_word, n_pair, n_grouped, n_far])
+    part = iter(unpacked(body))
+    text = lambda: (lambda t, n: (lines(t, len(n)), n))(next(part), unnumbers(next(part)))
+    each = lambda x, n: x.take(pa.array(np.repeat(np.arange(len(n)), n)))
+    single, n_word = text()
+    firsts, size = text()
+    seconds, below = text()
+    n_pair = unnumbers(next(part))
+    pairs = _text(each(firsts, size), seconds)
+    thirds, n_three = text()
+    above, far_size = text()
+    others, n_far = text()
+    return pa.concat_arrays([single, pairs, _text(each(pairs, below), thirds), _text(each(above, far_size), others)]), np.concatenate([n_word, n_pair, n_three, n_far])
 
 
 def _hashed(strings: pa.Array) -> np.ndarray:
-    at, data = raw(strings)
-    data, at = data.tobytes(), at.tolist()
-    return np.array([crc32(data[a:b]) % BUCKETS for a, b in zip(at, at[1:])], np.int64)
+    return np.fromiter(map(crc32, joined(strings).split(b"\n")), np.int64, len(strings)) % BUCKETS if len(strings) else np.zeros(0, np.int64)
 
 
 ANSWER = "share long, block long, body binary, buckets array<long>, times array<long>"
@@ -198,25 +239,25 @@ def _answers(rows: Iterator[tuple[int, int, bytes]], share: int, answer: bool) -
 _ANSWER = pa.schema([("share", pa.int64()), ("block", pa.int64()), ("body", pa.binary()), ("buckets", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
 
-def dictionary(docs: DataFrame, doc_id: str, text: str, answer: bool = True) -> tuple[DataFrame, DataFrame, pa.Table, int, np.ndarray]:
-    """(blocks, answers, frequent pairs, shares, count of all features by bucket) of documents. Sums of BUCKETS numbers and
-    at most PAIRS pairs come to the driver."""
+def dictionary(docs: DataFrame, doc_id: str, text: str, answer: bool = True) -> tuple[DataFrame, DataFrame, Frequent, int, np.ndarray]:
+    """(blocks, answers, what is frequent, shares, count of all features by bucket) of documents. Sums of BUCKETS numbers and
+    at most FREQUENT words and pairs each come to the driver."""
     spark = docs.sparkSession
-    table = blocks(docs, ALNUM, False, doc_id, text, ", pairs array<struct<pair:string,times:long>>", common_pairs)
+    table = blocks(docs, ALNUM, False, doc_id, text, ", common array<struct<text:string,times:long>>", common, size="12m")
     total = table.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).head()[0] or 0
-    often = table.select(F.inline("pairs")).groupBy("pair").agg(F.sum("times").alias("times")).where(F.col("times") * PAIRS >= total).orderBy(F.desc("times"), "pair").limit(PAIRS)
-    both = [r["pair"].split(" ") for r in often.collect()]
-    frequent = pa.table({k: pa.array([x[i] for x in both], pa.large_string()) for i, k in enumerate(("a", "b"))})
+    often = table.select(F.inline("common")).groupBy("text").agg(F.sum("times").alias("times")).where(F.col("times") * FREQUENT >= total).select(F.split("text", " ").alias("t")).collect()
+    column = lambda n, k: pa.array([r["t"][k] for r in often if len(r["t"]) == n], pa.large_string())
+    frequent = Frequent(column(1, 0), column(2, 0), column(2, 1))
     shares = max(1, total // SHARE)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with steady_memory():
+        with steady_memory(arrays=True):
             for b in read(batches):
                 for share, body in _send(b, frequent, shares):
                     yield pa.RecordBatch.from_arrays([pa.array([share]), pa.array([b.block]), pa.array([body], pa.binary())], ["share", "block", "body"])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with steady_memory():
+        with steady_memory(arrays=True):
             for share, rows in groups(batches):
                 for r in _answers(rows, share, answer):
                     yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(r, _ANSWER)], _ANSWER.names)
@@ -238,21 +279,21 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _weights(b: Block, lay: Layout, buckets: dict[int, np.ndarray], gain: np.ndarray) -> list[tuple]:
     """(doc_id, n_words, n_features, weight) of a block's documents."""
-    sizes = [len(b.words), len(lay.g["pair"]), len(lay.grouped), len(lay.loose)]
-    value = [np.zeros(n, np.int64) for n in sizes]
+    g = lay.g
+    value = [np.zeros(n, np.int32) for n in (len(b.words), len(g.pair), len(lay.grouped), len(lay.loose))]
     for share, *parts in zip(lay.shares.tolist(), *(lay.parts(k) for k in range(4))):
-        got, at = gain[buckets[share]], 0
+        got, at = gain[buckets.pop(share)], 0
         for k, part in enumerate(parts):
             n = part.stop - part.start
             value[k][lay.order[k][part]] = got[at : at + n]
             at += n
-    three = np.zeros(len(lay.g["three"]), np.int64)
+    three = np.zeros(len(g.three), np.int32)
     three[lay.grouped], three[lay.loose] = value[2], value[3]
-    docs = len(b.n)
-    total = np.zeros(docs, np.int64)
-    for of, values in ((lay.g["doc"], value[0][b.ids]), (lay.g["pairs_of"], value[1][lay.g["pair_at"]]), (lay.g["threes_of"], three[lay.g["three_at"]])):
-        ends = np.searchsorted(of, np.arange(docs + 1))
-        total += np.diff(np.r_[0, np.cumsum(values)][ends])
+    each = value[0][b.ids].astype(np.int64)  # by the place of a feature's first word
+    each[g.pairs_at] += value[1][g.pair_at]
+    each[g.threes_at] += three[g.three_at]
+    ends = np.r_[0, np.cumsum(b.n)]
+    total = np.diff(np.r_[0, np.cumsum(each)][ends])
     n_features = b.n + np.maximum(b.n - 1, 0) + np.maximum(b.n - 2, 0)
     return [b.ks, b.n.tolist(), n_features.tolist(), total.tolist()]
 
@@ -265,7 +306,7 @@ def weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: st
     gain = gains(source, wanted)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with steady_memory():
+        with steady_memory(arrays=True):
             for _, rows in groups(batches):
                 b, buckets = None, {}
                 for block, share, body, ks, n, words, ids in rows:

@@ -67,8 +67,8 @@ def numbers(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def unnumbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def unnumbers(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(kind)
 
 
 def packed(*parts: bytes, level: int = 3) -> bytes:
@@ -111,9 +111,7 @@ class Block:
         """64 bits of each distinct word."""
         import xxhash
 
-        at, data = raw(self.words)
-        data, at = data.tobytes(), at.tolist()
-        return np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(at, at[1:])], np.uint64)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, joined(self.words).split(b"\n")), np.uint64, len(self.words)) if len(self.words) else np.zeros(0, np.uint64)
 
 
 def numbered(block: int, ks: pa.Array, texts: pa.Array, kept: np.ndarray, end: bool) -> Block:
@@ -122,8 +120,8 @@ def numbered(block: int, ks: pa.Array, texts: pa.Array, kept: np.ndarray, end: b
     found = words.dictionary_encode()
     ids, distinct = found.indices.to_numpy(), found.dictionary
     order = pc.sort_indices(distinct).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     ids, distinct, n = place[ids], distinct.take(pa.array(order)), np.diff(at)
     if end:
         ids = np.insert(ids + 1, at[1:], 0)
@@ -137,7 +135,7 @@ def row(b: Block) -> dict:
 
 def block_of(block: int, ks: list, n: list, words: bytes, ids: bytes) -> Block:
     text, count = unpacked(words)
-    return Block(block, ks, np.array(n, np.int64), lines(text, int(unnumbers(count)[0])), unnumbers(unpacked(ids)[0]))
+    return Block(block, ks, np.array(n, np.int64), lines(text, int(unnumbers(count)[0])), unnumbers(unpacked(ids)[0], np.int32))
 
 
 def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -154,7 +152,7 @@ def blocks(docs: DataFrame, kept: np.ndarray, end: bool, doc_id: str, text: str,
     schema = BLOCK + more
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with steady_memory():
+        with steady_memory(arrays=True):
             part = TaskContext.get().partitionId()
             names = pa.schema([("block", pa.int64()), ("ks", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("words", pa.binary()), ("ids", pa.binary())])
             for i, batch in enumerate(batches):
