@@ -1,16 +1,10 @@
-"""Readers (S6, S7, S15, S16, S17, J12): AST documents of a run manifest, whole text files, raw node arrays."""
+"""Readers (S6, S15, S16, S17, J12): AST documents of a run manifest, whole text files, vocabularies. Raw arrays are in exchange."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-
 MANIFEST = "mode string, ok array<struct<source:string,ast_json:string,llvm_ir:string>>, failed array<struct<source:string,error:string>>, stats struct<total:int,succeeded:int,failed:int>"
 #: Array -> stored type.
 ARRAYS = {
@@ -55,33 +49,6 @@ def manifest_documents(spark: SparkSession, manifest: str, root: str) -> tuple[D
     return met.where(ok).select("doc_id", F.col("text").alias("source")), met.where(~F.coalesce(ok, F.lit(False))).select("doc_id", "file")
 
 
-def raw_array(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """(node_id, value) of one raw little-endian array, decoded where its file is read."""
-    kind = ARRAYS[name]
-    ship(spark)
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                a = np.frombuffer(raw, f"<{kind}").astype(np.int64)
-                for lo in range(0, len(a), 100_000):
-                    part = a[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part)], ["node_id", "value"])
-
-    return spark.read.format("binaryFile").load(f"{folder}/{name}.{kind}").select("content").mapInArrow(values, "node_id long, value long")
-
-
-def load_tensor(spark: SparkSession, folder: str, names: tuple[str, ...] = ("kind", "first_child", "next_sibling", "ident_idx", "type_idx")) -> DataFrame:
-    """The chosen arrays as columns (S7); arrays of different length are an error, as a row then lacks a value."""
-    out = None
-    for name in names:
-        one = raw_array(spark, folder, name).withColumnRenamed("value", name)
-        out = one if out is None else out.join(one, "node_id", "full")
-    lacking = F.greatest(*(F.col(n).isNull() for n in names))
-    checked = [F.when(lacking, F.raise_error(F.lit("arrays differ in length")).cast("long")).otherwise(F.col(n)).alias(n) for n in names]
-    return out.select("node_id", *checked)
-
-
 def load_vocabulary(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """(index, value) of a vocabulary file, a JSON array of strings."""
     rows = spark.read.text(f"{folder}/{name}.json", wholetext=True).select(F.from_json("value", "array<string>").alias("v"))

@@ -1,67 +1,16 @@
-"""Writers (K1, K2, K4, K6, K7): raw node arrays, triples, one artifact a document, bindings as TOML."""
+"""Writers (K2, K6, K7): node tables, triples, bindings as TOML. Raw arrays and files by row are in exchange."""
 
 from __future__ import annotations
 
-import json
-import os
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readers import ARRAYS
-
 
 def write_parquet(nodes: DataFrame, path: str) -> None:
     """The node table for use in Spark: document ranges in files of their own, sorted, so that scans can skip."""
     nodes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "node_id").write.mode("overwrite").parquet(path)
 
 
-def write_arrays(table: DataFrame, vocabularies: dict[str, list[str]], folder: str) -> dict:
-    """The raw export (K1): twelve arrays, vocabularies and manifest in a local folder.
-
-    The format is one file an array in node order, so this streams sorted partitions through the driver, one at a
-    time. It's for exchange with other tools; within Spark use write_parquet.
-    """
-    os.makedirs(folder, exist_ok=True)
-    files = {n: open(f"{folder}/{n}.{k}", "wb") for n, k in ARRAYS.items()}
-    count = 0
-    try:
-        rows = table.orderBy("node_id").select(*ARRAYS)
-        chunk: list = []
-        for row in rows.toLocalIterator(prefetchPartitions=False):
-            chunk.append(row)
-            if len(chunk) == 50_000:
-                count += _flush(chunk, files)
-                chunk = []
-        count += _flush(chunk, files)
-    finally:
-        for f in files.values():
-            f.close()
-    for name, values in vocabularies.items():
-        with open(f"{folder}/{name}.json", "w", encoding="utf-8") as f:
-            json.dump(values, f)
-    width = sum(int(k[1]) for k in ARRAYS.values())
-    manifest = {
-        "version": 1, "num_nodes": count, "total_node_bytes": count * width, "bytes_per_node": count * width // max(count, 1),
-        "arrays": {n: {"file": f"{n}.{k}", "dtype": k, "length": count, "bytes": count * int(k[1])} for n, k in ARRAYS.items()},
-        "vocab_files": {n: f"{n}.json" for n in vocabularies},
-    }
-    with open(f"{folder}/manifest.json", "w", encoding="utf-8") as f:
-        json.dump(manifest, f)
-    return manifest
-
-
-def _flush(rows: list, files: dict) -> int:
-    for i, (name, kind) in enumerate(ARRAYS.items()):
-        values = np.array([r[i] for r in rows], np.int64)
-        small = values.astype(f"<{kind}")
-        if len(values) and (small.astype(np.int64) != values).any():
-            raise OverflowError(f"{name} does not fit {kind}")
-        files[name].write(small.tobytes())
-    return len(rows)
-
-
 def write_turtle(lines: DataFrame, path: str, prefixes: dict[str, str]) -> None:
     """K2: triples as text, documents in ranges; the prefixes are a file of their own that sorts first."""
     head = lines.sparkSession.createDataFrame([(f"@prefix {p}: <{iri}> .",) for p, iri in prefixes.items()], "value string")
@@ -69,11 +18,6 @@ def write_turtle(lines: DataFrame, path: str, prefixes: dict[str, str]) -> None:
     lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "at").select("value").write.mode("append").text(path)
 
 
-def write_per_document(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """K4: one folder a document; rows of a document are brought together first, so each has one file."""
-    rows.repartition(key).write.mode("overwrite").partitionBy(key).text(path)
-
-
 def toml_string(value):
     out = value
     for a, b in (("\\", "\\\\"), ('"', '\\"')):
@@ -81,16 +25,26 @@ def toml_string(value):
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
-def bindings_toml(pairs: DataFrame, canonical_fn: str, sibling_fn: str) -> DataFrame:
-    """K7: one text row, keys sorted. Bindings of one function pair are few."""
-    line = F.concat(toml_string(F.col("k")), F.lit(" = "), toml_string(F.col("v")))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n")
-    return pairs.agg(F.concat(F.lit(f'canonical_fn = "{canonical_fn}"\nsibling_fn = "{sibling_fn}"\n\n[bindings]\n'), body, F.lit("\n")).alias("value"))
+def _head():
+    return F.concat(F.lit("canonical_fn = "), toml_string(F.col("canonical_fn")), F.lit("\nsibling_fn = "), toml_string(F.col("sibling_fn")), F.lit("\n\n"))
+
+
+def _ordered(rows: DataFrame, order: str, key: str, value: str, name: str) -> DataFrame:
+    """The lines of each function pair, in order: few, as a pair's bindings are."""
+    line = F.concat(toml_string(F.col(key)), F.lit(" = "), toml_string(F.col(value)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: F.concat(x["l"], F.lit("\n"))), "")
+    return rows.groupBy("canonical_fn", "sibling_fn").agg(text.alias(name))
+
+
+def bindings_toml(pairs: DataFrame) -> DataFrame:
+    """K7: canonical_fn, sibling_fn, value: a text for each function pair of pairs (canonical_fn, sibling_fn, k, v), keys sorted."""
+    return _ordered(pairs, "k", "k", "v", "body").select("canonical_fn", "sibling_fn", F.concat(_head(), F.lit("[bindings]\n"), "body").alias("value"))
 
 
-def report_toml(idents: DataFrame, types: DataFrame, canonical_fn: str, sibling_fn: str) -> DataFrame:
-    """K6: both pair tables in first-seen order. Rows are canonical, sibling, first; a repeated key stays visible."""
-    line = F.concat(toml_string(F.col("canonical")), F.lit(" = "), toml_string(F.col("sibling")))
-    body = lambda d, n: d.agg(F.concat(F.lit(f"[{n}]\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", line.alias("l")))), lambda x: x["l"]), "\n"), F.lit("\n")).alias(n))
-    both = body(idents, "c_idents").join(body(types, "c_types"), how="full", on=F.lit(True))
-    return both.select(F.concat(F.lit(f'canonical_fn = "{canonical_fn}"\nsibling_fn = "{sibling_fn}"\n\n'), "c_idents", F.lit("\n"), "c_types").alias("value"))
+def report_toml(idents: DataFrame, types: DataFrame) -> DataFrame:
+    """K6: a text for each function pair of either table (canonical_fn, sibling_fn, canonical, sibling, first), rows in first-seen
+    order; a repeated key stays visible."""
+    by = ["canonical_fn", "sibling_fn"]
+    both = _ordered(idents, "first", "canonical", "sibling", "i").join(_ordered(types, "first", "canonical", "sibling", "t"), by, "full")
+    part = lambda name, c: F.concat(F.lit(f"[{name}]\n"), F.coalesce(c, F.lit("")))
+    return both.select(*by, F.concat(_head(), part("c_idents", "i"), F.lit("\n"), part("c_types", "t")).alias("value"))

@@ -1,10 +1,12 @@
+import json
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sylvan.operators import bindings, closure, compdb, ddl, dictionary, jobs, text, textir
-from sylvan.sources import readers, writers
+from sylvan.sources import exchange, readers, writers
 from sylvan.streaming import events
 
 
@@ -174,15 +176,74 @@ def test_whole_words(spark):
 
 def test_raw_arrays_round_trip(spark, tmp_path):
     rows = spark.range(5).select(F.col("id").alias("node_id"), *(F.lit(-1 if k == "i4" else 3).alias(n) for n, k in readers.ARRAYS.items()))
-    made = writers.write_arrays(rows, {"kinds": ["", "x"]}, str(tmp_path))
+    exchange.write_arrays(rows, {"kinds": ["", "x"]}, str(tmp_path))
+    made = json.loads((tmp_path / "manifest.json").read_text())
     assert made["num_nodes"] == 5 and made["bytes_per_node"] == 37
-    assert readers.load_tensor(spark, f"file://{tmp_path}", ("kind", "parent")).orderBy("node_id").collect() == [(i, 3, -1) for i in range(5)]
+    assert exchange.load_tensor(spark, f"file://{tmp_path}", ("kind", "parent")).orderBy("node_id").collect() == [(i, 3, -1) for i in range(5)]
     assert readers.load_vocabulary(spark, f"file://{tmp_path}", "kinds").collect() == [(0, ""), (1, "x")]
     (tmp_path / "depth.u1").write_bytes(b"\x01")
     with pytest.raises((PySparkException, Py4JJavaError)):
-        readers.load_tensor(spark, f"file://{tmp_path}", ("kind", "depth")).collect()
-    with pytest.raises(OverflowError):
-        writers.write_arrays(rows.withColumn("depth", F.lit(256)), {}, str(tmp_path))
+        exchange.load_tensor(spark, f"file://{tmp_path}", ("kind", "depth")).collect()
+
+
+def test_raw_arrays_by_ranges(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 7).select(F.col("id").alias("node_id"), *((F.col("id") % 100).alias(n) for n in readers.ARRAYS)).orderBy(F.rand(1))
+    exchange.write_arrays(rows, {}, str(tmp_path / "a"))
+    read = exchange.load_tensor(spark, str(tmp_path / "a"), ("kind", "end_line", "parent"), rows=64)
+    assert read.rdd.getNumPartitions() == 16
+    assert sorted(map(tuple, read.collect())) == [(i, i % 100, i % 100, i % 100) for i in range(1000)]
+    part = exchange.load_tensor(spark, str(tmp_path / "a"), ("kind",), rows=64, first=130, end=190)
+    assert sorted(r["node_id"] for r in part.collect()) == list(range(130, 190)) and part.rdd.getNumPartitions() == 1
+    exchange.write_arrays(rows.limit(0), {}, str(tmp_path / "none"))
+    assert exchange.load_tensor(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("wrong", ["node_id + 1", "if(node_id = 7, 8, node_id)", "node_id - 3"])
+def test_raw_arrays_leave_nothing_behind(spark, tmp_path, wrong):
+    rows = spark.range(20).select(F.col("id").alias("node_id"), *(F.lit(3).alias(n) for n in readers.ARRAYS))
+    with pytest.raises(Exception):
+        exchange.write_arrays(rows.withColumn("node_id", F.expr(wrong)), {}, str(tmp_path))
+    with pytest.raises(Exception):
+        exchange.write_arrays(rows.withColumn("depth", F.lit(256)), {}, str(tmp_path))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_files_by_row(spark, tmp_path):
+    rows = [("a/b/c.txt", "one\n"), ("a/d.txt", ""), ("top.txt", "é"), ("top.txt", "a"), ("n.txt", None)]
+    exchange.write_files(spark.createDataFrame(rows, "path string, value string").repartition(3), f"file://{tmp_path}/out")
+    got = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert got == {"a/b/c.txt": "one\n", "a/d.txt": "", "top.txt": "é", "n.txt": "", "_SUCCESS": "4"}
+    for path in ("/x", "../x", "a/../../x", "a/", "", None):
+        with pytest.raises(Exception):
+            exchange.write_files(spark.createDataFrame([(path, "v")], "path string, value string"), f"{tmp_path}/bad")
+    assert not (tmp_path / "bad" / "_SUCCESS").exists() and not (tmp_path / "x").exists()
+
+
+def test_a_task_that_fails_leaves_no_trace(tmp_path):
+    """A task that wrote half its rows and fails, then runs again: as if it had run once."""
+    import pyarrow as pa
+
+    batch = lambda ids: pa.RecordBatch.from_pydict({"node_id": ids, **{n: [k % 50 for k in ids] for n in readers.ARRAYS}})
+
+    def broken():
+        yield batch([0, 1, 2])
+        raise RuntimeError("executor lost")
+
+    w = exchange.ArraysWriter(str(tmp_path / "x"), list(readers.ARRAYS), {})
+    with pytest.raises(RuntimeError):
+        w.write(broken())
+    done = [w.write(iter([batch([3]), batch([]), batch([4, 5])])), w.write(iter([batch([0, 1, 2])])), w.write(iter([batch([6, 7, 8, 9])])), None]
+    with pytest.raises(ValueError):
+        exchange.ArraysWriter(str(tmp_path / "y"), list(readers.ARRAYS), {}).commit(done[:1])
+    w.commit(done)
+    assert (tmp_path / "x" / "parent.i4").read_bytes() == b"".join(k.to_bytes(4, "little") for k in range(10))
+    assert sorted(p.name for p in (tmp_path / "x").iterdir()) == sorted([*(f"{n}.{k}" for n, k in readers.ARRAYS.items()), "manifest.json"])
+
+    f = exchange.FilesWriter(str(tmp_path / "f"))
+    rows = pa.RecordBatch.from_pydict({"path": ["a/1", "a/2"], "value": ["x", "y"]})
+    f.write(iter([rows]))
+    f.commit([f.write(iter([rows])), None])
+    assert sorted(str(p.relative_to(tmp_path / "f")) for p in (tmp_path / "f").rglob("*") if p.is_file()) == ["_SUCCESS", "a/1", "a/2"]
 
 
 def test_manifest_documents(spark, tmp_path):
@@ -197,7 +258,9 @@ def test_manifest_documents(spark, tmp_path):
 
 def test_toml_bindings(spark):
     pairs = spark.createDataFrame([("b", 'x"y'), ("a", "z")], "k string, v string")
-    assert writers.bindings_toml(pairs, "f", "g").head()[0].endswith('[bindings]\n"a" = "z"\n"b" = "x\\"y"\n')
+    pairs = pairs.select(F.lit('f"1').alias("canonical_fn"), F.lit("g").alias("sibling_fn"), "k", "v")
+    made = writers.bindings_toml(pairs).head()["value"]
+    assert made.startswith('canonical_fn = "f\\"1"\nsibling_fn = "g"\n\n') and made.endswith('[bindings]\n"a" = "z"\n"b" = "x\\"y"\n')
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
