@@ -13,8 +13,9 @@ or the last where that is itself or alike on neither side. Short chunks repeat b
 cut from the text, at whole characters. A digest that collides would have to do so for all chunks of a run.
 
 Chunks meet by digest in one shuffle, but for those of very frequent digests, see ``placed``. Null and empty
-texts have no chunks and stay as they are. Rows with equal doc_ids are told apart by a hash of their text;
-rows equal in both are one document with each row cut alike. Null doc_ids come first. A very long text
+texts have no chunks and stay as they are. Rows of a doc_id that stands more than once, or of none, are told apart by 64 bits
+of their text under a seed that is tried on them first, see ``keyed``; rows equal in both are one document with each row cut
+alike. Null doc_ids come first. A very long text
 is cut in one task, as is a text whose chunks all repeat. An empty table gives no rows.
 """
 
@@ -109,7 +110,7 @@ def _digests(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(k, loc, digest, size) of the chunks of each batch of (k, th, t), see chunks; of chosen digests only, if given."""
+    """(th, k, at, digest, size) of the chunks of each batch of (k, th, t), see chunks; of chosen digests only, if given."""
     for batch in batches:
         n, parts = [], []
         for text in batch.column(2).to_pylist():
@@ -127,27 +128,27 @@ def _cut(batches: Iterator[pa.RecordBatch], chosen: np.ndarray | None = None) ->
             parts.append((start[use], d[use, 0], size[use]))
         k, th = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
         at, digest, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*parts) if parts else ((), (), ())))
-        yield k, at << 24 | th, digest, size
+        yield th, k, at, digest, size
 
 
-CHUNK = "k long, loc long, digest long, size long"
+CHUNK = "th long, k long, at long, digest long, size long"
 
 
 def chunks(docs: DataFrame, without: list[int] = ()) -> DataFrame:
-    """(k, loc, digest, size) of every chunk but those of some digests; k: doc_id or the least long, loc: offset, then 24
-    bits of th, the text's hash; size: 8 bits of it, then 8 bits of the hash of the bytes before and of those after the
-    chunk (see SMALL), whether to compare far to the left and right, and 14 more of the digest. As every byte of these
-    rows is shuffled, the bits left over are zeros at the end."""
+    """(th, k, at, digest, size) of every chunk but those of some digests; k and th: see keyed; at: offset; size: 8 bits of it,
+    then 8 bits of the hash of the bytes before and of those after the chunk (see SMALL), whether to compare far to the
+    left and right, and 14 more of the digest. As every byte of these rows is shuffled, the bits left over are zeros at
+    the end, and th, which is nearly always 0, comes first."""
     hot = np.sort(np.array(without, np.int64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with steady_memory():
             for columns in _cut(batches):
                 if len(hot):
-                    stay = ~np.isin(columns[2], hot)
+                    stay = ~np.isin(columns[3], hot)
                     columns = [c[stay] for c in columns]
                 for lo in range(0, len(columns[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], ["k", "loc", "digest", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], ["th", "k", "at", "digest", "size"])
 
     return docs.select("k", "th", "t").mapInArrow(rows, CHUNK)
 
@@ -177,7 +178,8 @@ def hot_digests(docs: DataFrame, most: int = HOT) -> list[int]:
     return [r["digest"] for r in best.collect()]
 
 
-_ENDS = ["digest", "more", "fk", "floc", "fsize", "lk", "lloc", "lsize"]
+_PLACE = ("k", "at", "th", "size")
+_ENDS = ["digest", "more", *(f"{e}{c}" for e in "fl" for c in _PLACE)]
 
 
 def hot_marks(docs: DataFrame, hot: list[int]) -> DataFrame:
@@ -188,30 +190,30 @@ def hot_marks(docs: DataFrame, hot: list[int]) -> DataFrame:
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with steady_memory():
             best: dict[tuple[int, int], tuple] = {}
-            for k, loc, digest, size in _cut(batches, chosen):
-                for row in zip(digest.tolist(), (size >> 26).tolist(), k.tolist(), loc.tolist(), size.tolist()):
+            for th, k, at, digest, size in _cut(batches, chosen):
+                for row in zip(digest.tolist(), (size >> 26).tolist(), k.tolist(), at.tolist(), th.tolist(), size.tolist()):
                     key, place = row[:2], row[2:]
                     first, last = best.get(key, (place, place))
                     best[key] = min(first, place), max(last, place)
-            columns = list(zip(*((*key, *first, *last) for key, (first, last) in best.items()))) or [[]] * 8
+            columns = list(zip(*((*key, *first, *last) for key, (first, last) in best.items()))) or [[]] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _ENDS)
 
     texts = docs.select("k", "th", "t")
     each = texts.mapInArrow(ends, ", ".join(f"{c} long" for c in _ENDS))
-    over = each.groupBy("digest", "more").agg(F.min(F.struct("fk", "floc", "fsize")).alias("f"), F.max(F.struct("lk", "lloc", "lsize")).alias("l")).select("digest", "more", "f.*", "l.*")
+    over = each.groupBy("digest", "more").agg(F.min(F.struct(*(f"f{c}" for c in _PLACE))).alias("f"), F.max(F.struct(*(f"l{c}" for c in _PLACE))).alias("l")).select("digest", "more", "f.*", "l.*")
     # As many rows as hot digests but for collisions of 64 bits.
-    table = {tuple(r[:2]): tuple(r[2:]) for r in over.collect() if tuple(r[2:4]) != tuple(r[5:7])}
-    names = ["k", "loc", "size", *_ENDS[2:]]
+    table = {tuple(r[:2]): tuple(r[2:]) for r in over.collect() if tuple(r[2:5]) != tuple(r[6:9])}
+    names = [*_PLACE, *_ENDS[2:]]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with steady_memory():
-            for k, loc, digest, size in _cut(batches, chosen):
+            for th, k, at, digest, size in _cut(batches, chosen):
                 found = [table.get(key) for key in zip(digest.tolist(), (size >> 26).tolist())]
-                at = np.flatnonzero(np.array([x is not None for x in found], bool))
-                more = np.array([x for x in found if x is not None], np.int64).reshape(-1, 6)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[at], loc[at], size[at], *more.T)], names)
+                use = np.flatnonzero(np.array([x is not None for x in found], bool))
+                more = np.array([x for x in found if x is not None], np.int64).reshape(-1, 8)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[use], at[use], th[use], size[use], *more.T)], names)
 
-    return texts.mapInArrow(mark, ", ".join(f"{c} long" for c in names)).select("k", "loc", "size", *(F.struct(*(F.col(f"{e}{c}").alias(c) for c in ("k", "loc", "size"))).alias(name) for name, e in (("first", "f"), ("last", "l"))))
+    return texts.mapInArrow(mark, ", ".join(f"{c} long" for c in names)).select(*_PLACE, *(F.struct(*(F.col(f"{e}{c}").alias(c) for c in _PLACE)).alias(name) for name, e in (("first", "f"), ("last", "l"))))
 
 
 def joined_spans(spans) -> list[tuple[int, int]]:
@@ -259,15 +261,15 @@ def same_end(a: bytes, b: bytes) -> int:
 
 def unpacked(marks: pa.ListArray) -> dict[str, np.ndarray]:
     """The marks of all rows of a batch, by row and place: doc (row), at, size, near and first (bool), left and right (bytes
-    to compare), pk and ploc (another place)."""
+    to compare), pk, plo and pth (another place)."""
     flat = marks.flatten()
-    packed, *other = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    packed, *other = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
     doc = np.repeat(np.arange(len(marks)), pc.list_value_length(marks).fill_null(0).to_numpy(zero_copy_only=False))
     by = np.lexsort((packed, doc))
     packed = packed[by]
     bit = lambda n: packed >> n & 1 > 0
     found = {"doc": doc[by], "at": packed >> 32, "size": packed & 0xFF, "near": bit(8), "first": bit(9), "left": np.where(bit(10), REACH, LEFT), "right": np.where(bit(11), REACH, RIGHT)}
-    return found | {name: x[by] for name, x in zip(("pk", "ploc"), other)}
+    return found | {name: x[by] for name, x in zip(("pk", "plo", "pth"), other)}
 
 
 def places(per_doc: DataFrame, least: int) -> DataFrame:
@@ -291,7 +293,7 @@ def places(per_doc: DataFrame, least: int) -> DataFrame:
             total = end[last][run] - at[first][run]
             close = (total < least) & (total + 2 * np.where(m["size"] <= SMALL, WIDE, BESIDE) >= least)
             use = wanted & (close | m["near"])
-            x = np.stack([run, m["pk"], m["ploc"] & 0xFFFFFF, (m["ploc"] >> 24) - at, at, end, doc, m["left"], m["right"]])[:, use]
+            x = np.stack([run, m["pk"], m["pth"], m["plo"] - at, at, end, doc, m["left"], m["right"]])[:, use]
             x = x[:, np.lexsort(x[3::-1])]
             if not x.shape[1]:
                 continue
@@ -307,26 +309,51 @@ def places(per_doc: DataFrame, least: int) -> DataFrame:
 
 
 def placed(texts: DataFrame) -> DataFrame:
-    """(k, loc, size, first, last) of every chunk that occurs twice or more: its first and last place.
+    """(k, at, th, size, first, last) of every chunk that occurs twice or more: its first and last place.
 
     Chunks meet by digest, once; the window over a digest spills. Those of the few digests that a large share of all
     chunks may have don't meet, see hot_marks.
     """
     hot = hot_digests(texts)
     by = Window.partitionBy("digest", F.shiftright("size", 26))
-    place = F.struct("k", "loc", "size")
-    own = chunks(texts, hot).select("k", "loc", "size", F.min(place).over(by).alias("first"), F.max(place).over(by).alias("last")).where(F.struct("first.k", "first.loc") != F.struct("last.k", "last.loc"))
+    place = F.struct(*_PLACE)
+    other = F.struct("first.k", "first.at", "first.th") != F.struct("last.k", "last.at", "last.th")
+    own = chunks(texts, hot).select(*_PLACE, F.min(place).over(by).alias("first"), F.max(place).over(by).alias("last")).where(other)
     return own.unionByName(hot_marks(texts, hot)) if hot else own
 
 
+def text_hash(seed: int, value):
+    return F.xxhash64(F.lit(seed), value)
+
+
+def keyed(docs: DataFrame, text: str, doc_id: str, seeds: int = 8) -> DataFrame:
+    """k (doc_id, or the least long), th and row (all columns of docs). th is 0 where k stands once, else 64 bits of the text
+    under the first seed that gives no two texts of one k the same: texts are told apart by a second hash, so only two that agree
+    in 128 bits would be taken for one. Texts are read here only if some k stands twice."""
+    k = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID))
+    again = written(docs.select(k.alias("k")).groupBy("k").count().where("count > 1").select("k", F.lit(True).alias("again")), "again")
+    if again.isEmpty():
+        # th is 0, but no constant, which the optimizer would put into one use of a plan that is used twice. Both are expressions,
+        # so that rows under other names are the same rows, and exchanged once.
+        return docs.select(k.alias("k"), k.bitwiseXOR(k).alias("th"), F.struct("*").alias("row"))
+    rows = docs.select(k.alias("k"), F.struct("*").alias("row"))
+    rows = rows.join(again, "k", "left")
+    value = F.coalesce(F.col("row")[text], F.lit(""))
+    hashed = lambda seed: F.when(F.col("again"), text_hash(seed, value)).otherwise(0)
+    for seed in range(seeds):
+        same = rows.where("again").select("k", hashed(seed).alias("th"), text_hash(-1, value).alias("h")).groupBy("k", "th").agg((F.min("h") != F.max("h")).alias("two"))
+        if same.where("two").isEmpty():
+            return rows.select("k", hashed(seed).alias("th"), "row")
+    raise RuntimeError("no seed tells the texts of one doc_id apart")
+
+
 def _found(docs: DataFrame, least: int, text: str, doc_id: str) -> DataFrame:
     """row (all columns of docs) and c (kept, repeated_bytes, spans, n_repeated_chunks) of every row."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF)).alias("th"), F.struct("*").alias("row"))
+    rows = keyed(docs, text, doc_id)
     texts = rows.select("k", "th", F.coalesce(F.col("row")[text], F.lit("")).alias("t")).where("t <> ''")
     size = F.col("size").bitwiseAND(F.lit(0xFF))
-    own_first = (F.col("first.k") == F.col("k")) & (F.col("first.loc") == F.col("loc"))
-    own_last = (F.col("last.k") == F.col("k")) & (F.col("last.loc") == F.col("loc"))
+    own_first, own_last = ((F.col(f"{c}.k") == F.col("k")) & (F.col(f"{c}.at") == F.col("at")) & (F.col(f"{c}.th") == F.col("th")) for c in ("first", "last"))
     same = lambda c, bits: (F.col("size").bitwiseXOR(F.col(f"{c}.size")).bitwiseAND(F.lit(bits)) == 0).cast("int")
     sides = lambda c: same(c, 0xFF00) + same(c, 0xFF0000)
     # The first place, as it decides what is cut; the last one if the first is the chunk itself or alike on neither side.
@@ -336,10 +363,9 @@ def _found(docs: DataFrame, least: int, text: str, doc_id: str) -> DataFrame:
     # may be equal, is elsewhere by chance.
     found = placed(texts).select("*", near.alias("near"), own_first.alias("own_first"), F.when(other_last, F.col("last")).otherwise(F.col("first")).alias("other")).where(F.col("near") | (size + F.when(size <= SMALL, 2 * WIDE).otherwise(2 * BESIDE) >= least))
     bits = size + F.when(F.col("near"), 1 << 8).otherwise(0) + F.when(F.col("own_first"), 1 << 9).otherwise(0) + F.shiftleft(F.shiftright("size", 24).bitwiseAND(F.lit(3)), 10)
-    packed = F.shiftleft(F.shiftright("loc", 24), 32) + bits
-    mark, th = F.struct(packed.alias("packed"), F.col("other.k").alias("pk"), F.col("other.loc").alias("ploc")), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("th")
+    mark = F.struct((F.shiftleft("at", 32) + bits).alias("packed"), F.col("other.k").alias("pk"), F.col("other.at").alias("plo"), F.col("other.th").alias("pth"))
     # The filter is what the join below would infer: so both uses of the marks are one plan, made once.
-    marks = found.where(F.col("k").isNotNull() & F.col("loc").isNotNull() & F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).isNotNull()).select("k", th, mark.alias("m"))
+    marks = found.where("k IS NOT NULL AND th IS NOT NULL").select("k", "th", mark.alias("m"))
     # Bounded by a document's own chunks; rows equal in id and text repeat their marks, hence the set.
     per_doc = marks.groupBy("k", "th").agg(F.collect_set("m").alias("marks"))
 
