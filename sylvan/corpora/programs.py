@@ -157,24 +157,6 @@ _SQL_CATALOG = f"""{_SQL_ROWS}, c AS (SELECT * FROM st WHERE action IS NOT NULL
 
 # --- jobs: an event a job -----------------------------------------------------------------------------
 
-QUEUE = """
-[defaults]
-tensor = "t"
-engine = "/e"
-[[cluster]]
-name = "a"
-canonical_fn = "f"
-canonical_rs = "a.rs"
-out_dir = "out"
-member = [{fn = "g", sibling_rs = "g.rs", overrides_toml = "/o.toml"}, {fn = "h", sibling_rs = "h.rs", overrides_toml = "h.toml"}]
-[[cluster]]
-name = "b"
-canonical_fn = "f2"
-canonical_rs = "/b.rs"
-out_dir = "out"
-"""
-
-
 def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cluster, fn, status, reason of every event as a job: inputs that are missing skip it, codes and outputs decide."""
     events = _tables(spark, sf_dir, "events")[0].select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("cluster"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("fn"), "ts", "event_type", "value", "event_id", "user_id")
@@ -199,8 +181,24 @@ def job_one_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of a queue in order, with paths below a root and the queue's defaults."""
-    return jobs.load_queue(spark, QUEUE, "/repo").select("cluster", F.col("n").cast("long").alias("n"), "fn", "sibling_rs", "canonical_rs", "overrides_toml", "out_dir", F.col("defaults")["tensor"].alias("tensor"), F.col("defaults")["engine"].alias("engine"))
+    """A queue file a supplier, its clusters' members in order, with paths below a root and the queue's defaults; some
+    files can't be read."""
+    k = F.col("s_suppkey")
+    member = lambda i: _text('{fn = "g', k, f'_{i}", sibling_rs = "', "/abs/" if i == 1 else "", f'g{i}.rs", overrides_toml = "o', k, '.toml"}')
+    members = F.array_join(F.slice(F.array(*(member(i) for i in range(3))), F.lit(1), (k % 4).cast("int")), ", ")
+    defaults = F.when(k % 2 == 0, _text('[defaults]\ntensor = "t', k, '"\nengine = "/e"\n')).otherwise("")
+    cluster = lambda c: _text(f'[[cluster]]\nname = "{c}', k, '"\ncanonical_fn = "f"\ncanonical_rs = "a.rs"\nout_dir = "/out"\nmember = [', members, "]\n")
+    text = F.when(k % 10 == 7, "[[cluster]]\nname = ").when(k % 10 == 9, '[[cluster]]\nmember = [{fn = "x"}]').otherwise(F.concat(defaults, cluster("a"), cluster("b")))
+    rows = jobs.load_queues(_tables(spark, sf_dir, "supplier")[0].select(_text("q", k, ".toml").alias("path"), text.alias("text")), "/repo")
+    return rows.select("path", "cluster", F.col("seq").cast("long").alias("seq"), F.col("n").cast("long").alias("n"), "fn", "sibling_rs", "canonical_rs", "overrides_toml", "out_dir", F.col("defaults")["tensor"].alias("tensor"), F.col("defaults")["engine"].alias("engine"), F.split("error", ":")[0].alias("error"))
+
+
+def override_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String tables of many TOML files; numbers become text, absent tables and files that can't be read give nothing."""
+    k = F.col("s_suppkey")
+    text = F.when(k % 11 == 5, "[idents").otherwise(F.concat(_text('[idents]\nA', k, ' = "x', k, '"\n"b c" = ', k, "\n"), F.when(k % 3 == 0, _text('[types]\nt = "u', k, '"\n')).otherwise("")))
+    files = _tables(spark, sf_dir, "supplier")[0].select(_text("o", k, ".toml").alias("path"), text.alias("text"))
+    return jobs.load_tables_of(files, ("idents", "types", "other"))
 
 
 def job_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +252,7 @@ _JOBS = """j AS (SELECT 'u' || user_id AS cluster, 'e' || event_id AS fn, ts, ev
     'missing: ' || concat_ws(', ', CASE WHEN event_id % 7 = 3 THEN 'in/103' END, CASE WHEN event_id % 10 = 3 THEN 'in/' || event_id % 50 END) AS reason FROM events),
 r AS (SELECT * FROM (SELECT *, coalesce(sum(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) OVER (PARTITION BY cluster ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j) WHERE before = 0)"""
 
-QUERIES = {f.__name__: f for f in (ir_functions, ir_comparison, ir_report, build_commands, run_outcome, sql_statements, sql_catalog, schema_aspect, job_report, job_one_cluster, job_queue, job_tails, packed_manifests, main_programs, derived_bindings, checked_pairs)}
+QUERIES = {f.__name__: f for f in (ir_functions, ir_comparison, ir_report, build_commands, run_outcome, sql_statements, sql_catalog, schema_aspect, job_report, job_one_cluster, job_queue, override_tables, job_tails, packed_manifests, main_programs, derived_bindings, checked_pairs)}
 ORACLE_SQL = {
     "ir_functions": f"WITH {_IR} SELECT 'd' || u || '.ll' AS path, 'f' || k AS name, ret AS return_type, array_to_string(args, '|') AS arg_types, blocks AS n_basic_blocks, instrs AS n_instructions FROM s WHERE NOT thin",
     "ir_comparison": f"""WITH {_IR}, l AS (SELECT * FROM s WHERE NOT thin), r AS (SELECT * REPLACE (CASE WHEN k = 1 THEN 3 ELSE k END AS k) FROM s WHERE thin AND k <> 3),
@@ -276,8 +274,13 @@ ORACLE_SQL = {
     "job_report": f"""WITH {_JOBS} SELECT rpad(status, 5, ' ') || rpad(cluster, 24, ' ') || rpad(fn, 40, ' ') || CASE WHEN status = 'SKIP' THEN reason ELSE '' END AS line, count(*) AS n FROM r GROUP BY 1
         UNION ALL SELECT status, count(*) FROM r GROUP BY 1 UNION ALL SELECT 'passed: ' || bool_and(status = 'PASS'), count(*) FILTER (WHERE status = 'FAIL') FROM r""",
     "job_one_cluster": f"WITH {_JOBS} SELECT cluster, fn, 'DRY' AS status FROM j WHERE cluster = 'u1'",
-    "job_queue": """SELECT 'a' AS cluster, n::BIGINT AS n, fn, '/repo/' || fn || '.rs' AS sibling_rs, '/repo/a.rs' AS canonical_rs, o AS overrides_toml, '/repo/out' AS out_dir, '/repo/t' AS tensor, '/e' AS engine
-        FROM (VALUES (0, 'g', '/o.toml'), (1, 'h', '/repo/h.toml')) t(n, fn, o)""",
+    "job_queue": """WITH q AS (SELECT s_suppkey AS k, 'q' || s_suppkey || '.toml' AS path FROM supplier)
+        SELECT path, c || k AS cluster, CASE c WHEN 'a' THEN 0 ELSE 1 END::BIGINT AS seq, i::BIGINT AS n, 'g' || k || '_' || i AS fn, CASE WHEN i = 1 THEN '/abs/g1.rs' ELSE '/repo/g' || i || '.rs' END AS sibling_rs, '/repo/a.rs' AS canonical_rs,
+          '/repo/o' || k || '.toml' AS overrides_toml, '/out' AS out_dir, CASE WHEN k % 2 = 0 THEN '/repo/t' || k ELSE '/repo/' END AS tensor, CASE WHEN k % 2 = 0 THEN '/e' ELSE '/repo/' END AS engine, NULL::VARCHAR AS error
+        FROM q, (VALUES ('a'), ('b')) t(c), range(3) r(i) WHERE i < k % 4 AND k % 10 NOT IN (7, 9)
+        UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE k % 10 WHEN 7 THEN 'TOMLDecodeError' ELSE 'KeyError' END FROM q WHERE k % 10 IN (7, 9)""",
+    "override_tables": """WITH q AS (SELECT s_suppkey AS k, 'o' || s_suppkey || '.toml' AS path FROM supplier WHERE s_suppkey % 11 <> 5)
+        SELECT path, 'idents' AS "table", 'A' || k AS k, 'x' || k AS v FROM q UNION ALL SELECT path, 'idents', 'b c', k::VARCHAR FROM q UNION ALL SELECT path, 'types', 't', 'u' || k FROM q WHERE k % 3 = 0""",
     "job_tails": "SELECT doc_id, sha256(array_to_string(string_split(text, chr(10))[-8:], chr(10))) AS lines, sha256(right(text, 800)) AS chars FROM documents",
     "packed_manifests": f"""WITH t AS (SELECT conv_id, turn, '08' || CASE WHEN role = 'user' THEN '02' ELSE '04' END AS l, {_HEX("'o/' || turn")} AS o, {_HEX("role || coalesce(':' || length(text), '')")} AS s FROM conversations),
         a AS (SELECT conv_id, turn, l || {_FIELD("12", "o")} || {_FIELD("1a", "s")} AS r FROM t), b AS (SELECT conv_id, turn, {_FIELD("12", "r")} AS u FROM a), c AS (SELECT conv_id, string_agg({_FIELD("12", "u")}, '' ORDER BY turn) AS us FROM b GROUP BY 1),

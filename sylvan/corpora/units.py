@@ -114,6 +114,17 @@ def unit_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return below.groupBy("doc_id", "root").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("kind") == "ParmVarDecl").alias("n_params"))
 
 
+def unit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of one structure, across all units."""
+    return tree.function_classes(_nodes(spark, sf_dir, True)).select("doc_id", "ident", "size", "class_doc", "class_fn", "n")
+
+
+def unit_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference's identifier is the name of what it refers to."""
+    nodes = _nodes(spark, sf_dir, False).where("kind = 'DeclRefExpr'")
+    return nodes.groupBy("doc_id", "ref_kind", "ident").agg(F.count("*").alias("n"), F.count_if(F.col("in_callee")).alias("n_callees"))
+
+
 _BASE = f"""c AS (SELECT c_custkey AS k, c_custkey // {UNIT} AS u, c_custkey % 11 = 0 AS made, CASE WHEN c_custkey % 13 = 5 THEN 0 ELSE 1 + c_custkey % 3 END AS np FROM customer),
 o AS (SELECT o_orderkey AS o, c.*, CASE o_orderstatus WHEN 'F' THEN 'ReturnStmt' WHEN 'O' THEN 'IfStmt' ELSE 'DeclStmt' END AS kind,
         o_orderkey % 100 + 1 + CASE WHEN o_orderkey % 13 = 0 THEN 70000 ELSE 0 END AS col, k + o_orderkey % 5 - 2 AS target, o_orderkey % 25 + 1 AS var FROM orders JOIN c ON o_custkey = k),
@@ -159,7 +170,7 @@ _EDGES = """e AS (SELECT st.u, st.iri AS s, 'calls' AS pred, true AS strict, coa
 _TRIPLES = lambda strict: f"SELECT 'd' || u AS doc_id, s, t.p AS p, t.o AS o, t.k AS o_kind FROM x WHERE t.o IS NOT NULL UNION ALL SELECT 'd' || u, s, pred, iri, 'iri' FROM e WHERE {'strict' if strict else 'NOT strict'}"
 _ESCAPED = r"""replace(replace(replace(o, '\', '\\'), '"', '\"'), chr(10), '\n')"""
 
-QUERIES = {f.__name__: f for f in (unit_walk, unit_triples, unit_turtle, unit_edges, unit_links, unit_function)}
+QUERIES = {f.__name__: f for f in (unit_walk, unit_triples, unit_turtle, unit_edges, unit_links, unit_function, unit_classes, unit_references)}
 ORACLE_SQL = {
     "unit_walk": f"""WITH {_BASE}, {_DEPTHS},
         last AS (SELECT u, count(*) AS n FROM (SELECT u FROM c GROUP BY u
@@ -178,6 +189,11 @@ ORACLE_SQL = {
     "unit_edges": f"WITH {_BASE}, {_EDGES} SELECT 'd' || u AS doc_id, pred, strict, count(*) AS n, count(*) FILTER (WHERE iri LIKE 'urn:c:unknown#%') AS n_unknown, count(*) FILTER (WHERE NOT contains(iri, '#')) AS n_bare FROM e GROUP BY ALL",
     "unit_links": f"""WITH {_BASE}, {_EDGES}, d AS (SELECT u, 'urn:c:fn:f' || k AS bare FROM fn UNION ALL SELECT u, 'urn:c:var:v' || s FROM v)
         SELECT 'd' || e.u AS doc_id, 'd' || d.u AS to_doc, pred, count(*) AS n FROM e JOIN d ON e.iri = d.bare AND e.u <> d.u WHERE NOT strict GROUP BY ALL""",
+    "unit_classes": f"""WITH {_BASE}, g AS (SELECT fn.k, fn.u, any_value(fn.np) AS np, string_agg(st.kind, ',' ORDER BY o) AS kinds, count(o) AS n, count(*) FILTER (WHERE st.kind = 'IfStmt') AS ifs FROM fn LEFT JOIN st ON st.k = fn.k GROUP BY ALL),
+        s AS (SELECT *, 'd' || u AS doc_id, 2 + np + 6 * n + ifs + CASE WHEN k % 4 = 0 THEN 3 ELSE 0 END AS size FROM g)
+        SELECT doc_id, 'f' || k AS ident, size, first_value(doc_id) OVER w AS class_doc, 'f' || first_value(k) OVER w AS class_fn, count(*) OVER (PARTITION BY np, k % 4 = 0, kinds) AS n FROM s WINDOW w AS (PARTITION BY np, k % 4 = 0, kinds ORDER BY doc_id, k)""",
+    "unit_references": f"""WITH {_BASE}, r AS (SELECT u, 'FunctionDecl' AS ref_kind, 'f' || target AS ident, 1 AS callee FROM o UNION ALL SELECT u, 'VarDecl', 'v' || var, 0 FROM o UNION ALL SELECT u, 'ParmVarDecl', 'x', 0 FROM o UNION ALL SELECT u, 'FunctionDecl', 'f' || k, 1 FROM c WHERE k % 4 = 0)
+        SELECT 'd' || u AS doc_id, ref_kind, ident, count(*) AS n, sum(callee)::BIGINT AS n_callees FROM r GROUP BY ALL""",
     "unit_function": f"""WITH {_BASE}, {_DEPTHS} SELECT 'd1' AS doc_id, (1 + count(*) FILTER (WHERE t = 'v' OR (t <> 'r' AND k < 27)))::BIGINT AS root, count(*) FILTER (WHERE k = 27) AS n_nodes, count(*) FILTER (WHERE k = 27 AND t = 'p') AS n_params
         FROM n WHERE u = 1 HAVING count(*) FILTER (WHERE k = 27) > 0""",
 }

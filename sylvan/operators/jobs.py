@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Language -> number.
 LANGUAGES = {"UNSPECIFIED": 0, "TYPESCRIPT": 1, "PYTHON": 2, "RUST": 3, "LEAN": 4, "SQL": 5, "JAVA": 6}
 QUEUE = "cluster string, canonical_fn string, canonical_rs string, out_dir string, seq int, fn string, sibling_rs string, overrides_toml string, n int, defaults map<string,string>"
@@ -14,17 +18,42 @@ QUEUE = "cluster string, canonical_fn string, canonical_rs string, out_dir strin
 DEFAULT_TOOLS = {"c_cluster_diff": "translated/pipeline/target/release/c_cluster_diff", "c_to_rust_bindings": "translated/pipeline/target/release/c_to_rust_bindings"}
 
 
-def load_queue(spark: SparkSession, toml: str, root: str | None = None) -> DataFrame:
-    """A row per cluster and member, in order, with the queue's defaults (S9, J15). With a root, relative paths are below
-    it. The file is configuration, read on the driver."""
+def _queue_rows(toml: str, root: str | None) -> list[tuple]:
     found = tomllib.loads(toml)
     at = lambda p: p if root is None or p.startswith("/") else f"{root.rstrip('/')}/{p}"
     defaults = {k: at(v) for k, v in (DEFAULT_TOOLS | {"tensor": "", "engine": ""} | found.get("defaults", {})).items()}
-    rows = []
-    for seq, c in enumerate(found.get("cluster", [])):
-        for n, m in enumerate(c.get("member", [])):
-            rows.append((c["name"], c["canonical_fn"], at(c["canonical_rs"]), at(c["out_dir"]), seq, m["fn"], at(m["sibling_rs"]), at(m["overrides_toml"]), n, defaults))
-    return spark.createDataFrame(rows, QUEUE)
+    return [
+        (c["name"], c["canonical_fn"], at(c["canonical_rs"]), at(c["out_dir"]), seq, m["fn"], at(m["sibling_rs"]), at(m["overrides_toml"]), n, defaults)
+        for seq, c in enumerate(found.get("cluster", []))
+        for n, m in enumerate(c.get("member", []))
+    ]
+
+
+def load_queue(spark: SparkSession, toml: str, root: str | None = None) -> DataFrame:
+    """A row per cluster and member, in order, with the queue's defaults (S9, J15). With a root, relative paths are below
+    it. The file is configuration, read on the driver."""
+    return spark.createDataFrame(_queue_rows(toml, root), QUEUE)
+
+
+def load_queues(files: DataFrame, root: str | None = None) -> DataFrame:
+    """The rows of many queue files (path, text), read where they are, with path; error (with null members) where one can't be read."""
+    ship(files.sparkSession)
+    schema = f"path string, {QUEUE}, error string"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.string()] * 5 + [pa.int32()] + [pa.string()] * 3 + [pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
+        for batch in batches:
+            out = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    out += [(path, *r, None) for r in _queue_rows(text or "", root)]
+                except (tomllib.TOMLDecodeError, KeyError, AttributeError, TypeError) as e:
+                    out.append((path, *[None] * 10, f"{type(e).__name__}: {e}"))
+            columns = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], k) for c, k in zip(columns, kinds)], names)
+
+    return files.select("path", "text").mapInArrow(rows, schema)
 
 
 def load_tables(spark: SparkSession, toml: str, names: tuple[str, ...]) -> DataFrame:
@@ -33,6 +62,24 @@ def load_tables(spark: SparkSession, toml: str, names: tuple[str, ...]) -> DataF
     return spark.createDataFrame([(t, k, str(v)) for t in names for k, v in found.get(t, {}).items()], "`table` string, k string, v string")
 
 
+def load_tables_of(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """path, table, k, v of the string tables in many TOML files (path, text), read where they are; a file that can't be read gives none."""
+    ship(files.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found = tomllib.loads(text or "")
+                except tomllib.TOMLDecodeError:
+                    continue
+                out += [(path, t, k, str(v)) for t in names for k, v in found.get(t, {}).items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 4)], ["path", "table", "k", "v"])
+
+    return files.select("path", "text").mapInArrow(rows, "path string, `table` string, k string, v string")
+
+
 def only_cluster(queue: DataFrame, name: str) -> DataFrame:
     """One cluster's rows (F9); an unknown name is an error."""
     known = queue.agg(F.coalesce(F.max((F.col("cluster") == name).cast("int")), F.lit(0)).alias("known"))

@@ -258,6 +258,14 @@ def find_function(nodes: DataFrame, name: str) -> DataFrame:
     ).select("at.*")
 
 
+def function_classes(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, ident, size, class_doc, class_fn, n of every named function: the first function, by document and node, of
+    all with its structure, and how many there are (K13, J8). Structures meet by the walk's hash of all kinds below."""
+    own = nodes.where("kind = 'FunctionDecl' AND ident <> ''").select("doc_id", "node_id", "ident", "size", "shape")
+    found = own.groupBy("shape", "size").agg(F.min(F.struct("doc_id", "node_id", "ident")).alias("first"), F.count("*").alias("n"))
+    return own.join(found, ["shape", "size"]).select("doc_id", "node_id", "ident", "size", F.col("first.doc_id").alias("class_doc"), F.col("first.ident").alias("class_fn"), "n")
+
+
 def subtree(nodes: DataFrame, roots: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Every node below or at each root (R4): an equi-join on the document and an id range."""
     r = roots.select(F.col(doc).alias("d"), F.col("node_id").alias("root"), F.col("size").alias("root_size"))

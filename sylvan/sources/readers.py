@@ -15,10 +15,10 @@ ARRAYS = {
 
 def text_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, text) of whole files; missing ones give no rows."""
-    reader = spark.read.option("ignoreMissingFiles", True).option("wholetext", True)
+    reader = spark.read.option("ignoreMissingFiles", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return reader.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def manifest_sources(spark: SparkSession, manifest: str) -> DataFrame:

@@ -381,3 +381,29 @@ def test_a_long_chain_of_renames(spark):
     assert [(r["name"], r["definition"]) for r in got] == [("n100", "create table n0 (x int)")]
     back = ddl.catalog(ddl.statements(_sql(spark, ("p", "create table a (x int); alter table a rename to b; alter table b rename to a; alter table a rename to b; drop table b")))).count()
     assert back == 0
+
+
+def test_levels_and_cycles(spark):
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("x", "a"), ("a", "b")], "src string, dst string")
+    assert {tuple(r) for r in closure.levels(e).collect()} == {("d", 0), ("b", 1), ("c", 1), ("a", 2), ("x", 3)}
+    values = spark.createDataFrame([("d", "pg"), ("c", "lite"), ("c", "pg"), ("lone", "pg")], "node string, value string")
+    assert {r["node"]: r["values"] for r in closure.along(e, values).collect()} == {"d": ["pg"], "b": ["pg"], "c": ["lite", "pg"], "a": ["lite", "pg"], "x": ["lite", "pg"], "lone": ["pg"]}
+    assert closure.levels(e.limit(0)).count() == 0 and closure.along(e.limit(0), values).count() == 3
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "src long, dst long")
+    assert closure.levels(chain).where("node = 0").head()["level"] == 40
+    with pytest.raises(ValueError, match="b, d$"):
+        closure.levels(e.unionByName(spark.createDataFrame([("d", "b"), ("y", "x")], "src string, dst string")))
+
+
+def test_whole_files_are_whole(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    assert [r["text"] for r in readers.text_files(spark, f"file://{tmp_path}", "*.txt").collect()] == ["one\ntwo\n"]
+
+
+def test_functions_of_one_structure(spark):
+    from sylvan.operators import tree
+
+    fn = lambda name, *kinds: {"kind": "FunctionDecl", "name": name, "inner": [{"kind": k, "name": name, "inner": [{"kind": "Leaf"}]} for k in kinds]}
+    units = [("d1", {"kind": "U", "inner": [fn("f", "A", "B"), fn("g", "B", "A"), fn("h")]}), ("d0", {"kind": "U", "inner": [fn("k", "A", "B"), fn("", "A", "B")]})]
+    nodes = tree.ast_nodes(spark.createDataFrame([(d, json.dumps(u)) for d, u in units], "doc_id string, source string"))
+    assert {(r["ident"], r["class_doc"], r["class_fn"], r["n"]) for r in tree.function_classes(nodes).collect()} == {("f", "d0", "k", 2), ("k", "d0", "k", 2), ("g", "d1", "g", 1), ("h", "d1", "h", 1)}
