@@ -14,8 +14,9 @@ from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..session import ship
 from ..work import written
@@ -258,6 +259,39 @@ def find_function(nodes: DataFrame, name: str) -> DataFrame:
     ).select("at.*")
 
 
+def fold_up(nodes: DataFrame, value: Callable[[Column], Column], doc: str = "doc_id") -> DataFrame:
+    """doc, node_id, value of the nodes without a parent (U3, U4): a node's value is made of its own columns and of its children's values,
+    an array in their order, empty for a leaf. Levels are folded deepest first, each written; a round reads two levels."""
+    height = nodes.agg(F.max("depth")).head()[0]
+    below, kept = None, nodes.columns
+    for depth in range(-1 if height is None else height, -1, -1):
+        level = nodes.where(F.col("depth") == depth)
+        if below is None:
+            kind = level.select(value(F.array()).alias("v")).schema["v"].dataType
+            empty = F.array().cast(ArrayType(kind))
+            level = level.withColumn("_values", empty)
+        else:
+            met = below.groupBy(doc, F.col("parent").alias("node_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]).alias("_values"))
+            level = level.join(met, [doc, "node_id"], "left").select(*kept, F.coalesce("_values", empty).alias("_values"))
+        below = written(level.select(doc, "node_id", "parent", "ord", value(F.col("_values")).alias("value")), "fold")
+    return nodes.limit(0).select(doc, "node_id", value(F.array()).alias("value")) if below is None else below.select(doc, "node_id", "value")
+
+
+def render(nodes: DataFrame, templates: dict[str, tuple[str, str, str]], default: tuple[str, str, str], doc: str = "doc_id") -> DataFrame:
+    """doc, node_id, value: the text of each tree, by a table of what stands before, between and after the children of a kind; {} in the first is
+    the node's identifier, or its kind where it has none."""
+    table = nodes.sparkSession.createDataFrame([(k, *v) for k, v in templates.items()], "kind string, _before string, _between string, _after string")
+    found = nodes.join(table, "kind", "left")
+    part = lambda c, i: F.coalesce(F.col(c), F.lit(default[i]))
+    name = F.coalesce(F.nullif(F.col("ident"), F.lit("")), F.col("kind"))
+    between = lambda x, i: F.when(i == 0, x).otherwise(F.concat(part("_between", 1), x))
+
+    def text(values: Column) -> Column:
+        return F.concat(F.replace(part("_before", 0), F.lit("{}"), name), F.array_join(F.transform(values.cast("array<string>"), between), ""), part("_after", 2))
+
+    return fold_up(found, text, doc)
+
+
 def function_classes(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, ident, size, class_doc, class_fn, n of every named function: the first function, by document and node, of
     all with its structure, and how many there are (K13, J8). Structures meet by the walk's hash of all kinds below."""

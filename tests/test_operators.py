@@ -407,3 +407,56 @@ def test_functions_of_one_structure(spark):
     units = [("d1", {"kind": "U", "inner": [fn("f", "A", "B"), fn("g", "B", "A"), fn("h")]}), ("d0", {"kind": "U", "inner": [fn("k", "A", "B"), fn("", "A", "B")]})]
     nodes = tree.ast_nodes(spark.createDataFrame([(d, json.dumps(u)) for d, u in units], "doc_id string, source string"))
     assert {(r["ident"], r["class_doc"], r["class_fn"], r["n"]) for r in tree.function_classes(nodes).collect()} == {("f", "d0", "k", 2), ("k", "d0", "k", 2), ("g", "d1", "g", 1), ("h", "d1", "h", 1)}
+
+
+def test_messages_read_and_written(spark):
+    from sylvan.sources import messages
+
+    schema = {"A": {1: ("n", "int64"), 2: ("s", "string"), 3: ("b", "B"), 4: ("z", "sint32"), 5: ("f", "bool"), 6: ("raw", "bytes"), 7: ("d", "double")}, "B": {1: ("b", "B"), 2: ("e", "Kind")}}
+    cases = {
+        "plain": ("08960112026869 2801 3202c3ff", [("int64", "n", "150"), ("string", "s", "hi"), ("bool", "f", "1"), ("bytes", "raw", "c3ff")]),
+        "negative": ("08ffffffffffffffffff01", [("int64", "n", "-1")]),
+        "nested": ("1a060a0410021003", [("B", "b", ""), ("B", "b", ""), ("Kind", "e", "2"), ("Kind", "e", "3")]),
+        "zigzag": ("2003", [("sint32", "z", "-2")]),
+        "double": ("39000000000000f83f", [("double", "d", "1.5")]),
+        "unknown": ("1201ff 7a0161 0a0161", [("unknown", "2", "1201ff"), ("unknown", "15", "7a0161"), ("unknown", "1", "0a0161")]),
+        "cut": ("0801 1a0510ff", [("int64", "n", "1"), ("error", "a field is cut off", "1a0510ff")]),
+        "group": ("0801 0b", [("int64", "n", "1"), ("error", "wire type 3", "0b")]),
+        "empty": ("", []),
+    }
+    rows = [(k, bytes.fromhex(v.replace(" ", ""))) for k, (v, _) in cases.items()] + [("none", None)]
+    nodes = messages.message_nodes(spark.createDataFrame(rows, "doc_id string, source binary"), schema, "A").persist()
+    got = {}
+    for r in nodes.orderBy("doc_id", "node_id").collect():
+        got.setdefault(r["doc_id"], []).append((r["kind"], r["type"], r["ident"]))
+    assert got == {k: [("A", "", ""), *v] for k, (_, v) in cases.items()} | {"none": [("A", "", "")]}
+    assert {r["doc_id"]: r["ok"] for r in messages.diagnostics(nodes).collect()} == {k: k not in ("cut", "group") for k in got}
+    back = {r["doc_id"]: bytes(r["message"]) for r in messages.encoded(nodes.where("doc_id NOT IN ('zigzag', 'double', 'negative')"), schema).collect()}
+    assert back == {k: v or b"" for k, v in rows if k not in ("zigzag", "double", "negative")}
+    big = spark.createDataFrame([(k, 1 << k) for k in (0, 6, 7, 13, 14, 34, 35, 62)] + [(99, 0), (98, 127), (97, (1 << 63) - 1)], "k long, n long")
+    for r in big.select("k", "n", messages._number(F.col("n")).alias("b")).collect():
+        assert messages._varint(bytes(r["b"]), 0, len(r["b"])) == (r["n"], len(r["b"]))
+
+
+def test_deep_messages_end(spark):
+    from sylvan.sources import messages
+
+    data = b""
+    for _ in range(300):
+        n, size = len(data), b""
+        while n > 127:
+            size += bytes([n & 127 | 128])
+            n >>= 7
+        data = b"\x0a" + size + bytes([n]) + data
+    rows = messages.message_rows("d", data, {"B": {1: ("b", "B")}}, "B")
+    assert max(r["depth"] for r in rows) == messages.DEEPEST and rows[-1]["kind"] == "unknown"
+
+
+def test_trees_as_text(spark):
+    from sylvan.operators import tree
+
+    docs = [("d", json.dumps({"kind": "fn", "name": "f", "inner": [{"kind": "ret", "inner": [{"kind": "int", "name": "1"}]}, {"kind": "nop"}]})), ("e", json.dumps({"kind": "nop"}))]
+    nodes = tree.ast_nodes(spark.createDataFrame(docs, "doc_id string, source string"))
+    rust = {"fn": ("fn {}() { ", "; ", " }"), "ret": ("return ", "", ""), "nop": ("()", "", "")}
+    assert {tuple(r) for r in tree.render(nodes, rust, ("{}", "", "")).select("doc_id", "value").collect()} == {("d", "fn f() { return 1; () }"), ("e", "()")}
+    assert tree.render(nodes.limit(0), rust, ("{}", "", "")).count() == 0
