@@ -28,23 +28,27 @@ def argument_text(rest: Column) -> Column:
 
 def split_arguments(args: Column) -> Column:
     """Cuts at commas outside any brackets (P16); no arguments, no parts."""
-    step = lambda a, c: F.struct(
-        (a["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)).alias("depth"),
-        F.concat(a["out"], F.when((c == ",") & (a["depth"] == 0), F.lit("\u0001")).otherwise(c)).alias("out"),
+    chars = F.transform(F.split(args, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    none = F.array().cast("array<int>")
+    step = lambda a, x: F.struct(
+        (a["depth"] + F.when(x["c"].isin("(", "[", "{"), 1).when(x["c"].isin(")", "]", "}"), -1).otherwise(0)).alias("depth"),
+        F.concat(a["cuts"], F.when((x["c"] == ",") & (a["depth"] == 0), F.array(x["i"])).otherwise(none)).alias("cuts"),
     )
-    marked = F.aggregate(F.split(args, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step)["out"]
-    return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(marked, "\u0001"), lambda a: F.trim(a)))
+    cuts = F.aggregate(chars, F.struct(F.lit(0).alias("depth"), none.alias("cuts")), step)["cuts"]
+    ends = F.concat(cuts, F.array(F.length(args)))
+    part = lambda end, k: F.trim(F.substring(args, F.when(k == 0, 1).otherwise(F.get(cuts, k - 1) + 2), end - F.when(k == 0, 0).otherwise(F.get(cuts, k - 1) + 1)))
+    return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(ends, part))
 
 
 #: An innermost attribute with parentheses, a value name, an alignment.
 _ATTRIBUTE, _VALUE, _ALIGN = r"\b\w+\([^()]*\)", r"%[A-Za-z0-9_.]+", r"\balign\s+\d+\b"
 
 
-def normal_type(arg: Column, nesting: int = 64) -> Column:
+def normal_type(arg: Column) -> Column:
     """An argument's type without attributes and value name (P15). Innermost attributes go first, again and again until
-    none is left; more than so many nested in one another are an error."""
-    stripped = F.aggregate(F.sequence(F.lit(1), F.lit(nesting)), arg, lambda a, _: F.when(a.rlike(_ATTRIBUTE), F.regexp_replace(a, _ATTRIBUTE, "")).otherwise(a))
-    stripped = F.when(stripped.rlike(_ATTRIBUTE), F.raise_error(F.lit("attributes nested too deeply")).cast("string")).otherwise(stripped)
+    none is left: each time takes a bracket, so there are no more times than brackets."""
+    times = F.sequence(F.lit(0), F.regexp_count(arg, F.lit(r"\(")))
+    stripped = F.aggregate(times, arg, lambda a, _: F.when(a.rlike(_ATTRIBUTE), F.regexp_replace(a, _ATTRIBUTE, "")).otherwise(a))
     named = F.regexp_replace(F.regexp_replace(stripped, _VALUE, ""), _ALIGN, "")
     return F.array_join(F.filter(F.split(F.trim(named), r"\s+"), lambda w: (w != "") & ~w.isin(*BARE_ATTRIBUTES)), " ")
 
@@ -86,13 +90,23 @@ def within(a: Column, b: Column, tolerance: float) -> Column:
 
 
 def renamed(side: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Renames symbols in the order given; one that takes an existing name replaces it."""
-    out = side
-    for old, new in names.items():
-        there = out.where(F.col("name") == old)
-        # The target goes only if the source exists.
-        out = out.join(there.select(F.lit(new).alias("name")).distinct(), "name", "left_anti").withColumn("name", F.when(F.col("name") == old, F.lit(new)).otherwise(F.col("name")))
-    return out
+    """Renames symbols in the order given; one that takes an existing name replaces it, if what it renames is there.
+
+    The order matters only among the names that the list has. Which of them are there is one small row; the list, followed
+    over it, gives what each of them ends as, and one join applies that."""
+    if not names:
+        return side
+    listed = sorted({*names, *names.values()})
+    there = side.where(F.col("name").isin(listed)).agg(F.collect_set("name").alias("n"))
+    steps = F.array(*(F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")) for old, new in names.items()))
+
+    def follow(m: Column, r: Column) -> Column:
+        kept = F.map_filter(m, lambda k, _: (k != r["old"]) & (k != r["new"]))
+        return F.when(F.map_contains_key(m, r["old"]), F.map_concat(kept, F.map_from_arrays(F.array(r["new"]), F.array(F.element_at(m, r["old"]))))).otherwise(m)
+
+    ends = there.select(F.explode(F.aggregate(steps, F.map_from_arrays("n", "n"), follow)).alias("_new", "_was"))
+    met = side.join(ends, F.col("name") == F.col("_was"), "left")
+    return met.where(F.col("_was").isNotNull() | ~F.col("name").isin(listed)).withColumn("name", F.coalesce("_new", "name")).drop("_new", "_was")
 
 
 def compare(wanted: DataFrame, left: DataFrame, right: DataFrame, instructions: float = 8.0, blocks: float = 5.0) -> DataFrame:

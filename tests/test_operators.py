@@ -460,3 +460,26 @@ def test_trees_as_text(spark):
     rust = {"fn": ("fn {}() { ", "; ", " }"), "ret": ("return ", "", ""), "nop": ("()", "", "")}
     assert {tuple(r) for r in tree.render(nodes, rust, ("{}", "", "")).select("doc_id", "value").collect()} == {("d", "fn f() { return 1; () }"), ("e", "()")}
     assert tree.render(nodes.limit(0), rust, ("{}", "", "")).count() == 0
+
+
+def test_renames_in_order(spark):
+    def plain(there, names):
+        m = {k: k for k in there}
+        for old, new in names.items():
+            if old in m:
+                was = m.pop(old)
+                m.pop(new, None)
+                m[new] = was
+        return sorted((k, v) for k, v in m.items())
+
+    for names in ({"a": "b"}, {"a": "b", "b": "c"}, {"x": "a"}, {"a": "x", "b": "a", "x": "b"}, {"a": "a"}, {"c": "b", "b": "d", "q": "d"}, {}):
+        side = spark.createDataFrame([(k, k) for k in "abcde"], "name string, was string")
+        assert sorted(tuple(r) for r in textir.renamed(side, names).collect()) == plain("abcde", names), names
+    assert textir.renamed(spark.createDataFrame([("z", "z")], "name string, was string"), {"a": "b"}).collect() == [("z", "z")]
+
+
+def test_arguments_of_any_text(spark):
+    assert one(spark, textir.split_arguments(F.lit("i32 \u0001 %a, {i8, [2 x i8]} %b,ptr byval({i8, i8}) %c"))) == ["i32 \u0001 %a", "{i8, [2 x i8]} %b", "ptr byval({i8, i8}) %c"]
+    assert one(spark, textir.split_arguments(F.lit("a,,b"))) == ["a", "", "b"] and one(spark, textir.split_arguments(F.lit(" "))) == []
+    deep = "x(" * 100 + ")" * 100
+    assert one(spark, textir.normal_type(F.lit(f"ptr {deep} noundef %v"))) == "ptr"
