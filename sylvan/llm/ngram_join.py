@@ -282,6 +282,12 @@ def shared_entries(index: DataFrame) -> DataFrame:
     return index.repartition("entry").sortWithinPartitions("entry", "doc_id").mapInArrow(mark, "entry long, doc_id long, n long, place int, p0 long, p1 long, p2 long")
 
 
+def by_key(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: never sent whole to all tasks, also where it happens to be small, so a
+    run over few documents moves what one over many does."""
+    return rows.hint("merge")
+
+
 _UNKNOWN = -2
 _PAIRS = ("x", "y", "xn", "yn", "xp", "yp", "xe", "ye")
 
@@ -324,7 +330,7 @@ def cross_pairs(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
     bits = [f"b{i}" for i in range(8)]
     known = facts.groupBy("doc_id").agg(*(F.max(b).alias(b) for b in bits), F.count("*").alias("same")).where("same = 1").drop("same")
-    paired = rows.where("place < 0").join(known, "doc_id", "left")
+    paired = rows.where("place < 0").join(by_key(known), "doc_id", "left")
     # A doc_id of several rows has no bitmap of its own: its place says that nothing is known, its bits agree with none.
     rows = rows.where("place >= 0").select("*", *(F.lit(0).cast("long").alias(b) for b in bits)).unionByName(paired.withColumn("place", F.when(F.col("b0").isNull(), _UNKNOWN).otherwise(F.col("place")))).select("entry", "doc_id", "n", "place", "c", "w", *(F.coalesce(b, F.lit(0)).alias(b) for b in bits))
     made = rows.repartition("entry").sortWithinPartitions("entry", "n", "doc_id").mapInArrow(pairs, "x long, y long, xn int, yn int, xp int, yp int, xe int, ye int")
@@ -339,7 +345,7 @@ def cross_pairs(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
 def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs that sizes and parity bitmaps don't rule out: overlap <= (n + m - differing bits) / 2."""
-    one = lambda p: facts.select(F.col("doc_id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("n", *(f"b{i}" for i in range(8)))))
+    one = lambda p: by_key(facts.select(F.col("doc_id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("n", *(f"b{i}" for i in range(8))))))
     apart = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(1, 8)), F.bit_count(F.col("x_b0").bitwiseXOR(F.col("y_b0"))))
     total = (F.col("x_n") + F.col("y_n")).cast("long")
     return pairs.join(one("x"), "x").join(one("y"), "y").where((total - apart) * (100 + percent) >= 2 * percent * total).select("x", "y").distinct()
@@ -386,7 +392,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array([len(s) for s in raw], pa.int32()), pa.array([folded_parity(s) for s in raw], pa.binary()), pa.array([s.tobytes() for s in raw], pa.binary())], ["d", "n", "b", "s"])
 
     flagged = docs.select("doc_id", "text", *(bit("doc_id", s).alias(f"p{s}") for s in (1, 2, 3)))
-    made = written(flagged.mapInArrow(sets, "d long, n int, b binary, s binary").join(ids, "d", "left_semi"), "sets")
+    made = written(flagged.mapInArrow(sets, "d long, n int, b binary, s binary").join(by_key(ids), "d", "left_semi"), "sets")
 
     @F.arrow_udf("boolean")
     def may_link(n: pa.Array, m: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
@@ -402,7 +408,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
         return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
-    of = lambda p, *columns: made.select(F.col("d").alias(p), *(F.col(c).alias(f"{p}{c}") for c in columns))
+    of = lambda p, *columns: by_key(made.select(F.col("d").alias(p), *(F.col(c).alias(f"{p}{c}") for c in columns)))
     near = written(pairs.join(of("x", "n", "b"), "x").join(of("y", "n", "b"), "y").where(may_link("xn", "yn", "xb", "yb")).select("x", "y").distinct(), "near")
     return near.join(of("x", "s"), "x").join(of("y", "s"), "y").where(links("xs", "ys")).select("x", "y").distinct()
 
@@ -420,7 +426,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
 
     # Equal sets link at once: each copy with the smallest document of its set.
     first = named.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = named.join(first, "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    copies = named.join(by_key(first), "digest").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     # A document's best pivots, one of each rank: those it shares most entries with, if likely near copies; the rest
     # comes below. Three tries leave few near copies apart.
@@ -434,9 +440,9 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
     links = written(copies.unionByName(found.select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
     so_far = written(components(links), "components")
 
-    placed = shared.select("entry", "doc_id", "n", "place").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", size.cast("int").alias("n"), "place", F.coalesce("component", "doc_id").alias("c"), F.shiftright("n", 32).cast("int").alias("w"))
+    placed = shared.select("entry", "doc_id", "n", "place").join(by_key(so_far.withColumnRenamed("node", "doc_id")), "doc_id", "left").select("entry", "doc_id", size.cast("int").alias("n"), "place", F.coalesce("component", "doc_id").alias("c"), F.shiftright("n", 32).cast("int").alias("w"))
     mixed = placed.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("entry")
-    rest = cross_pairs(placed.join(mixed, "entry").select("entry", "doc_id", "n", "place", "c", "w"), named, percent)
+    rest = cross_pairs(placed.join(by_key(mixed), "entry").select("entry", "doc_id", "n", "place", "c", "w"), named, percent)
     more = verified(possible(rest, named, percent), entered, width, percent)
     every = links.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return own, components(every).select(F.col("node").alias("doc_id"), "component")
@@ -445,7 +451,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str
 def query(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     own, classes = join(docs, width, percent)
-    return own.join(classes, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return own.join(by_key(classes), "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
