@@ -8,9 +8,10 @@ share of exp(-loss) of the best language; a row is ambiguous if the second is wi
 unlike the languages learned if its least loss is over ``slack`` times the greatest of the training rows
 that are predicted right; one learned language alone has the same loss for all texts, so none is unlike it.
 
-Classifiers are fitted on the driver on a bounded sample (at most ``per_language`` rows a language, those of
-smallest hash of id and text, whole texts but no more than ``chars_per_language`` characters in all) of at most
-``languages`` languages; more are an error, none is left out. Prediction reads every whole text. A text that is null or without a letter is ``und`` with score 0.
+Classifiers are fitted on the driver on a bounded sample: at most ``per_language`` rows a language and ``rows`` in all, shared
+out evenly, those of smallest hash of id and text. Texts are whole; a language's first is taken however long it is, further
+ones while all its texts have at most ``chars_per_language`` characters. So the matrix has at most ``rows`` times ``DIMENSIONS``
+numbers of 4 bytes, 655 MB, read in slices. Over ``languages`` languages are an error, none is left out. Prediction reads every whole text. A text that is null or without a letter is ``und`` with score 0.
 Each row is judged by itself, repeated ones alike; of equal scores the language first in order wins. With no labelled
 row (an empty table, or none with a language) nothing is learned and every text is ``und``. A very long text is one
 vector of its n-gram counts.
@@ -102,19 +103,26 @@ def fit(texts: list[str], langs: list[str], dimensions: int = DIMENSIONS, rounds
     rows = [(f, lang) for f, lang in ((features(t, dimensions), lang) for t, lang in zip(texts, langs)) if f is not None]
     languages = sorted({lang for _, lang in rows})
     code = codewords(max(1, len(languages)))
-    x = np.array([f for f, _ in rows], np.float32).reshape(len(rows), dimensions)
+    x = np.zeros((len(rows), dimensions), np.float32)
+    for i, (f, _) in enumerate(rows):
+        x[i] = f
     of = np.array([languages.index(lang) for _, lang in rows], int)
     weights = np.zeros((dimensions + 1, code.shape[1]), np.float32)
     if len(languages) > 1:
         want = code[of].astype(np.float32)
         share = (1 / np.bincount(of)[of] / len(languages)).astype(np.float32)[:, None]  # every language weighs the same
         speed = np.zeros_like(weights)
+        slices = [slice(lo, lo + 2048) for lo in range(0, len(x), 2048)]
         for _ in range(rounds):  # Nesterov's gradient on the regularised logistic loss
             ahead = weights + 0.9 * speed
-            slope = -want * share / (1 + np.exp(np.clip(want * (x @ ahead[:-1] + ahead[-1]), -30, 30)))
-            speed = 0.9 * speed - 4.0 * np.vstack([x.T @ slope + 1e-5 * ahead[:-1], slope.sum(0, keepdims=True)])
+            change = np.vstack([1e-5 * ahead[:-1], np.zeros((1, code.shape[1]), np.float32)])
+            for at in slices:
+                slope = -want[at] * share[at] / (1 + np.exp(np.clip(want[at] * (x[at] @ ahead[:-1] + ahead[-1]), -30, 30)))
+                change[:-1] += x[at].T @ slope
+                change[-1] += slope.sum(0)
+            speed = 0.9 * speed - 4.0 * change
             weights = weights + speed
-        right = ((x @ weights[:-1] + weights[-1]) * want > 0).astype(float)
+        right = np.concatenate([((x[at] @ weights[:-1] + weights[-1]) * want[at] > 0).astype(float) for at in slices])
         trust = np.array([right[of == i].mean(0) for i in range(len(languages))]) + 1e-6
     else:
         trust = np.ones(code.shape)
@@ -125,31 +133,33 @@ def fit(texts: list[str], langs: list[str], dimensions: int = DIMENSIONS, rounds
     return model
 
 
-def training_rows(labelled: DataFrame, per_language: int, chars_per_language: int, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", languages: int = 1000):
+def training_rows(labelled: DataFrame, per_language: int, chars_per_language: int, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", languages: int = 1000, most: int = 20_000):
     """The bounded sample, brought to the driver: a hash threshold per language, then exact bounds.
     ValueError if the rows have more than so many languages."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: (r[1], r[2] or 0) for r in rows.groupBy(lang).agg(F.count("*"), F.sum(F.length(text))).orderBy(F.desc("count(1)"), lang).limit(languages + 1).collect()}
+    h = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30))
+    counts = {r[0]: r[1:] for r in rows.groupBy(lang).agg(F.count("*"), F.sum(F.length(text)), F.min(h)).orderBy(F.desc("count(1)"), lang).limit(languages + 1).collect()}
     if len(counts) > languages:
         raise ValueError(f"over {languages} languages in column {lang}; raise the parameter languages")
-    h = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30))
-    near = [(k, min(1.0, per_language / n, chars_per_language / max(1, c))) for k, (n, c) in counts.items()]
-    if not near:
+    if not counts:
         return []
-    share = F.element_at(F.create_map(*[F.lit(x) for pair in near for x in pair]), F.col(lang))
-    sample = rows.where(h < share * (1 << 30)).select(F.col(text), F.col(lang), h.alias("h"))
+    per_language = max(1, min(per_language, most // len(counts)))
+    # The hashes that are taken: so many that the bounds are met, and each language's least in any case.
+    below = {k: max(least + 1, int((1 << 30) * min(1.0, per_language / n, chars_per_language / max(1, c)))) for k, (n, c, least) in counts.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col(lang))
+    sample = rows.where(h < limit).select(F.col(text), F.col(lang), h.alias("h"))
     taken, size = {}, {}
     out = []
     for r in sorted(sample.collect(), key=lambda r: (r[1], r[2], r[0])):
-        if taken.get(r[1], 0) < per_language and (not taken.get(r[1]) or size[r[1]] + len(r[0]) <= 2 * chars_per_language):
+        if taken.get(r[1], 0) < per_language and (not taken.get(r[1]) or size[r[1]] + len(r[0]) <= chars_per_language):
             taken[r[1]] = taken.get(r[1], 0) + 1
             size[r[1]] = size.get(r[1], 0) + len(r[0])
             out.append((r[0], r[1]))
     return out
 
 
-def train(labelled: DataFrame, per_language: int = 500, chars_per_language: int = 3_000_000, languages: int = 1000) -> Model:
-    found = training_rows(labelled, per_language, chars_per_language, languages=languages)
+def train(labelled: DataFrame, per_language: int = 500, chars_per_language: int = 3_000_000, languages: int = 1000, rows: int = 20_000) -> Model:
+    found = training_rows(labelled, per_language, chars_per_language, languages=languages, most=rows)
     return fit([t for t, _ in found], [lang for _, lang in found])
 
 
