@@ -483,3 +483,24 @@ def test_arguments_of_any_text(spark):
     assert one(spark, textir.split_arguments(F.lit("a,,b"))) == ["a", "", "b"] and one(spark, textir.split_arguments(F.lit(" "))) == []
     deep = "x(" * 100 + ")" * 100
     assert one(spark, textir.normal_type(F.lit(f"ptr {deep} noundef %v"))) == "ptr"
+
+
+def test_a_stream_of_jobs_closes_what_is_idle(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    day = datetime(2024, 1, 1)
+    jobs = lambda *rows: spark.createDataFrame([(c, i, day + timedelta(hours=h), s) for c, i, h, s in rows], "cluster string, event_id long, at timestamp, status string").write.mode("append").parquet(f"{tmp_path}/in")
+    parts = (
+        [("a", 1, 0, "PASS"), ("a", 2, 1, "FAIL"), ("a", 3, 2, "PASS"), ("b", 4, 1, "PASS")],
+        [("b", 5, 0, "FAIL"), ("b", 6, 3, "PASS"), ("c", 7, 24 * 30, "PASS")],  # 5 comes after 4 was judged; c moves the watermark on
+        [("c", 8, 24 * 30 + 1, "PASS")],
+        [("a", 9, 24 * 30 + 2, "PASS"), ("a", 10, 5, "PASS")],  # a is new again; 10 is behind the watermark
+    )
+    for part in parts:
+        jobs(*part)
+        stream = spark.readStream.schema("cluster string, event_id long, at timestamp, status string").parquet(f"{tmp_path}/in")
+        events.run_once(events.until_first_failure(stream, late="1 day", idle="7 days"), f"{tmp_path}/out", f"{tmp_path}/state", by=("verdict",))
+    got = {(r["cluster"], r["event_id"]): (r["verdict"], r["n"]) for r in spark.read.schema(events.JUDGED).parquet(f"{tmp_path}/out").collect()}
+    want = {("a", 1): ("run", 1), ("a", 2): ("run", 2), ("a", 3): ("stopped", 2), ("b", 4): ("run", 1), ("b", 5): ("late", 1), ("b", 6): ("run", 2), ("c", 7): ("run", 1), ("c", 8): ("run", 2), ("a", None): ("closed", 2), ("b", None): ("closed", 2), ("a", 9): ("run", 1)}
+    assert {k: v for k, v in got.items() if k in want} == want and set(got) - set(want) <= {("a", 10)}
+    assert (tmp_path / "out" / "verdict=late").exists()
