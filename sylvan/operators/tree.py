@@ -300,6 +300,16 @@ def function_classes(nodes: DataFrame) -> DataFrame:
     return own.join(found, ["shape", "size"]).select("doc_id", "node_id", "ident", "size", F.col("first.doc_id").alias("class_doc"), F.col("first.ident").alias("class_fn"), "n")
 
 
+def structure_suite(left: DataFrame, right: DataFrame, wanted: DataFrame, same: Callable[[Column, Column], Column] = lambda a, b: (a["shape"] == b["shape"]) & (a["size"] == b["size"])) -> DataFrame:
+    """name, passed, reason for each name wanted (K13): whether the first function of that name, by document and node, has one structure
+    on both sides. same is the strategy (U6): of two structs (doc_id, node_id, shape, size) whether they pass."""
+    names = wanted.select("name").distinct()
+    first = lambda nodes, side: nodes.where("kind = 'FunctionDecl'").join(names, F.col("ident") == F.col("name")).groupBy("name").agg(F.min(F.struct("doc_id", "node_id", "shape", "size")).alias(side))
+    both = names.join(first(left, "l"), "name", "left").join(first(right, "r"), "name", "left")
+    reason = F.when(F.col("l").isNull(), "missing on the left").when(F.col("r").isNull(), "missing on the right").when(~same(F.col("l"), F.col("r")), "structures differ")
+    return both.select("name", reason.isNull().alias("passed"), reason.alias("reason"))
+
+
 def subtree(nodes: DataFrame, roots: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Every node below or at each root (R4): an equi-join on the document and an id range."""
     r = roots.select(F.col(doc).alias("d"), F.col("node_id").alias("root"), F.col("size").alias("root_size"))

@@ -128,3 +128,16 @@ def test_turtle_lines(spark):
         document_turtle(docs(spark, json.dumps(n("TranslationUnitDecl", n("VarDecl", name="a<b"))))).collect()
     with pytest.raises((PySparkException, Py4JJavaError)):
         document_turtle(docs(spark, json.dumps(n("Other", n("VarDecl", name="a"))))).collect()
+
+
+def test_plans_take_other_steps(spark):
+    unit = n("TranslationUnitDecl", function("f", n("A"), n("B")), function("g", n("A"), n("C")))
+    d = docs(spark, json.dumps(unit))
+    assert cluster_diff(d, "f", "g").where("status = 'kind'").count() == 1
+    loose = lambda left, right: lockstep.diff(left.withColumn("l_kind", F.lit("x")), right.withColumn("r_kind", F.lit("x")))
+    assert cluster_diff(d, "f", "g", diff=loose).where("status = 'kind'").count() == 0
+    assert cluster_diff(d, "f", "g", walk=lambda x: tree.ast_nodes(x, prune=False)).count() == cluster_diff(d, "f", "g").count()
+    names = spark.createDataFrame([("f",), ("g",), ("h",)], "name string")
+    left, right = tree.ast_nodes(d), tree.ast_nodes(docs(spark, json.dumps(n("TranslationUnitDecl", function("f", n("A"), n("B")), function("g", n("A")), function("h")))))
+    assert {tuple(r) for r in tree.structure_suite(left, right, names).collect()} == {("f", True, None), ("g", False, "structures differ"), ("h", False, "missing on the left")}
+    assert {r["name"] for r in tree.structure_suite(left, right, names, same=lambda a, b: F.lit(True)).where("passed").collect()} == {"f", "g"}
