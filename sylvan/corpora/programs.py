@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bindings, compdb, ddl, jobs, textir
+from ..work import work_path
 from .units import UNIT, _listed, _text
 
 
@@ -104,6 +105,16 @@ def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.select("f.stats.*", F.size("f.ok").cast("long").alias("n_ok"), F.col("f.failed")[0]["source"].alias("first_failed"), F.col("f.failed")[0]["error"].alias("error"), F.col("f.ok")[0]["ast_json"].alias("first_out")).join(counted, F.lit(True))
 
 
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's manifest written as lines and read back."""
+    k = F.col("p_partkey")
+    there = _tables(spark, sf_dir, "part")[0].where(k % 6 != 1).select(F.when(k % 5 == 0, _text("/abs/p", k, ".c")).when(k % 3 == 0, _text("/w/x/p", k, ".c")).otherwise(_text("rel/p", k, ".c")).alias("path"))
+    results = compdb.with_sources(compdb.commands(entries(spark, sf_dir), "ast"), there).select("source", "out", "error")
+    path = work_path(spark, "manifest")
+    compdb.write_manifest(compdb.manifest_lines(results, "ast", "db.json", "/"), path)
+    return compdb.read_manifest(spark, path)
+
+
 _ENTRIES = """e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN '/abs/p' || p_partkey || '.c' WHEN p_partkey % 3 = 0 THEN '/w/x/p' || p_partkey || '.c' ELSE 'rel/p' || p_partkey || '.c' END AS source FROM part)"""
 
 
@@ -252,7 +263,7 @@ _JOBS = """j AS (SELECT 'u' || user_id AS cluster, 'e' || event_id AS fn, ts, ev
     'missing: ' || concat_ws(', ', CASE WHEN event_id % 7 = 3 THEN 'in/103' END, CASE WHEN event_id % 10 = 3 THEN 'in/' || event_id % 50 END) AS reason FROM events),
 r AS (SELECT * FROM (SELECT *, coalesce(sum(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) OVER (PARTITION BY cluster ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j) WHERE before = 0)"""
 
-QUERIES = {f.__name__: f for f in (ir_functions, ir_comparison, ir_report, build_commands, run_outcome, sql_statements, sql_catalog, schema_aspect, job_report, job_one_cluster, job_queue, override_tables, job_tails, packed_manifests, main_programs, derived_bindings, checked_pairs)}
+QUERIES = {f.__name__: f for f in (ir_functions, ir_comparison, ir_report, build_commands, run_outcome, manifest_rows, sql_statements, sql_catalog, schema_aspect, job_report, job_one_cluster, job_queue, override_tables, job_tails, packed_manifests, main_programs, derived_bindings, checked_pairs)}
 ORACLE_SQL = {
     "ir_functions": f"WITH {_IR} SELECT 'd' || u || '.ll' AS path, 'f' || k AS name, ret AS return_type, array_to_string(args, '|') AS arg_types, blocks AS n_basic_blocks, instrs AS n_instructions FROM s WHERE NOT thin",
     "ir_comparison": f"""WITH {_IR}, l AS (SELECT * FROM s WHERE NOT thin), r AS (SELECT * REPLACE (CASE WHEN k = 1 THEN 3 ELSE k END AS k) FROM s WHERE thin AND k <> 3),
@@ -264,6 +275,7 @@ ORACLE_SQL = {
     "build_commands": f"WITH {_ENTRIES} SELECT mode, source, {_COMMAND} AS cmd, ltrim(source, '/') || CASE mode WHEN 'ast' THEN '.ast.json' ELSE '.ll' END AS out FROM e, (VALUES ('ast'), ('llvm')) t(mode) WHERE k % 10 = 1 OR k % 5 = 0",
     "run_outcome": f"""WITH {_ENTRIES} SELECT count(*) AS total, count(*) FILTER (WHERE k % 6 <> 1) AS succeeded, count(*) FILTER (WHERE k % 6 = 1) AS failed, count(*) FILTER (WHERE k % 6 <> 1) AS n_ok, min(source) FILTER (WHERE k % 6 = 1) AS first_failed,
         'source file not found: ' || min(source) FILTER (WHERE k % 6 = 1) AS error, ltrim(min(source) FILTER (WHERE k % 6 <> 1), '/') || '.ast.json' AS first_out, count(*) AS n_files, count(*) FILTER (WHERE k % 6 <> 1 AND k % 2 = 0) AS n_hits, count(*) FILTER (WHERE k % 6 = 1 OR k % 2 = 1) AS n_without FROM e""",
+    "manifest_rows": f"WITH {_ENTRIES} SELECT source, ltrim(source, '/') || '.ast.json' AS out, NULL::VARCHAR AS error FROM e WHERE k % 6 <> 1 UNION ALL SELECT source, NULL, 'source file not found: ' || source FROM e WHERE k % 6 = 1",
     "sql_statements": f"WITH {_SQL_ROWS} SELECT path, seq::BIGINT AS seq, action, kind, name, statement FROM st",
     "sql_catalog": f"""WITH {_SQL_CATALOG}, q AS (SELECT kind, name, replace(statement, '"', '\\"') AS d, replace(name, '"', '\\"') AS e FROM c WHERE action = 'create')
         SELECT 'json' AS format, kind, name, '{{"kind":"' || kind || '","name":"' || e || '","definition":"' || d || '"}}' AS value FROM q

@@ -120,6 +120,34 @@ def run_manifest(results: DataFrame, mode: str, database: str, root: str) -> Dat
     ).select(F.to_json(F.struct(F.lit(mode).alias("mode"), F.lit(database).alias("compileCommands"), F.lit(root).alias("sourceRoot"), "ok", "failed", "stats")).alias("manifest"))
 
 
+def manifest_lines(results: DataFrame, mode: str, database: str, root: str) -> DataFrame:
+    """section, source, value: the same manifest as lines, one for each source, whose texts in the order of (section, source) are the JSON
+    document (K3, A6). No row holds a run: only its counts, and each list's first source, which has no comma before it, are gathered."""
+    key = "ast_json" if mode == "ast" else "llvm_ir"
+    ok = F.col("error").isNull()
+    rows = results.select(F.when(ok, 1).otherwise(3).alias("section"), "source", F.when(ok, F.to_json(F.struct("source", F.col("out").alias(key)))).otherwise(F.to_json(F.struct("source", "error"))).alias("json"))
+    first = rows.groupBy("section").agg(F.min(F.struct("source", "json")).alias("first"))
+    lines = rows.join(F.broadcast(first), "section").select("section", "source", F.concat(F.when(F.struct("source", "json") == F.col("first"), "").otherwise(","), "json").alias("value"))
+    stats = results.agg(F.struct(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed")).alias("stats")).select(F.to_json(F.struct("stats")).alias("s"))
+    head = F.to_json(F.struct(F.lit(mode).alias("mode"), F.lit(database).alias("compileCommands"), F.lit(root).alias("sourceRoot")))
+    line = lambda section, value: F.struct(F.lit(section).alias("section"), F.lit("").alias("source"), value.alias("value"))
+    begin, end = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"ok":[')), F.concat(F.lit("],"), F.substring("s", 2, 1 << 30))
+    fixed = stats.select(F.inline(F.array(line(0, begin), line(2, F.lit('],"failed":[')), line(4, end))))
+    return lines.unionByName(fixed)
+
+
+def write_manifest(lines: DataFrame, path: str) -> None:
+    """The lines as text files whose names sort as their lines do."""
+    lines.repartitionByRange("section", "source").sortWithinPartitions("section", "source").select("value").write.text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """source, out, error of every line of a manifest that was written so, read in as many tasks as its files are split into."""
+    item = "source string, ast_json string, llvm_ir string, error string"
+    rows = spark.read.text(path).where(F.col("value").rlike(r'^,?\{"source":')).select(F.from_json(F.ltrim("value", F.lit(",")), item).alias("r"))
+    return rows.select("r.source", F.coalesce("r.ast_json", "r.llvm_ir").alias("out"), "r.error")
+
+
 def with_sources(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Adds error to commands (F11): null where files (path) has the source, else that it is not found."""
     there = files.select(F.col("path").alias("source")).distinct().withColumn("_there", F.lit(True))

@@ -504,3 +504,15 @@ def test_a_stream_of_jobs_closes_what_is_idle(spark, tmp_path):
     want = {("a", 1): ("run", 1), ("a", 2): ("run", 2), ("a", 3): ("stopped", 2), ("b", 4): ("run", 1), ("b", 5): ("late", 1), ("b", 6): ("run", 2), ("c", 7): ("run", 1), ("c", 8): ("run", 2), ("a", None): ("closed", 2), ("b", None): ("closed", 2), ("a", 9): ("run", 1)}
     assert {k: v for k, v in got.items() if k in want} == want and set(got) - set(want) <= {("a", 10)}
     assert (tmp_path / "out" / "verdict=late").exists()
+
+
+def test_a_manifest_in_lines_is_the_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{k:03}", f"o{k}", "gone" if k % 4 == 0 else None) for k in range(60)], "source string, out string, error string")
+    for some in (rows, rows.where("error IS NULL"), rows.where("error IS NOT NULL"), rows.limit(0)):
+        lines = compdb.manifest_lines(some, "llvm", "db", "/r")
+        whole = json.loads("\n".join(r["value"] for r in lines.orderBy("section", "source").collect()))
+        assert whole == json.loads(compdb.run_manifest(some, "llvm", "db", "/r").head()[0])
+    compdb.write_manifest(compdb.manifest_lines(rows, "llvm", "db", "/r"), f"file://{tmp_path}/m")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
+    assert json.loads(text) == json.loads(compdb.run_manifest(rows, "llvm", "db", "/r").head()[0])
+    assert sorted((r["source"], r["error"]) for r in compdb.read_manifest(spark, f"file://{tmp_path}/m").collect()) == sorted((r["source"], r["error"]) for r in rows.collect())
