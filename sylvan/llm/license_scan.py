@@ -10,7 +10,12 @@ these can't reach k (prefix filter), nor can one with fewer than k tokens (lengt
 first token in common stands at place i of n and j of m with 1 + min(n - i, m - j) < k (positional
 filter). What is left is verified by intersection, so every block at the threshold is found and no other.
 
-Templates and phrases are parameters; their number bounds all that is broadcast, and either may be empty. A
+Templates are met through an index: a table of their prefix words, joined with the words that a document has of any
+template. So a document's blocks are compared with the templates it met, however many there are, and the
+plan holds none of them. Documents are split into words twice: to count, and to scan.
+
+Templates and phrases are parameters; their number bounds all that is broadcast (a row for each prefix word of each
+template, and one row of all words), and either may be empty. A
 null text is empty: no words, null places, score 0. Repeated rows each keep their own row, ties and an
 empty table need no care. A very long text is an array of its words in one row. Only doc_id and text are
 read, so further columns of any name do no harm.
@@ -20,10 +25,10 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import whole_text, written
 
 #: Phrase -> label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -63,11 +68,17 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when((w == parts[0]) & (F.slice(words, i + 1, len(parts)) == want), i)), lambda i: i.isNotNull())
 
 
+def one_row(spark: SparkSession, **arrays: list[str]) -> DataFrame:
+    """A table of one row: arrays of the templates' words, which the plan refers to and doesn't hold."""
+    schema = ", ".join(f"{name} array<string>" for name in arrays)
+    return F.broadcast(spark.createDataFrame([tuple(arrays.values())], schema))
+
+
 def token_counts(docs: DataFrame, tokens: list[str], text: str = "t") -> dict[str, int]:
     """How many documents hold each token, over all documents; at most a row per token reaches the driver."""
     if not tokens:
         return {}
-    held = docs.select(F.explode(F.array_intersect(words_of(F.col(text)), F.array(*map(F.lit, sorted(tokens))))).alias("w"))
+    held = docs.crossJoin(one_row(docs.sparkSession, tokens=sorted(tokens))).select(F.explode(F.array_intersect("tokens", words_of(F.col(text)))).alias("w"))
     return {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
@@ -88,44 +99,50 @@ def block_words(templates: dict[str, str], block: int | None) -> int:
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks (label, first word, share)."""
-    block = block_words(templates, block)
+    spark, block = docs.sparkSession, block_words(templates, block)
     lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(whole_text()).alias("t"))
     counts = token_counts(lowered, sorted({w for t in templates.values() for w in t.split()}))
     plan = template_plan(templates, counts, threshold)
     order = sorted({w for _, words, _ in plan for w in words}, key=lambda w: (counts.get(w, 0), w))
-    prefix = sorted({w for _, words, need in plan for w in words[: len(words) - need + 1]})
     heads = sorted({p.split()[0] for p in phrases})
-    words = lowered.select("doc_id", words_of(F.col("t")).alias("ws"))
+    strings = "array<string>"
 
     w = F.col("ws")
-    strings = F.array().cast("array<string>")
-    held = F.array_intersect(w, F.array(*map(F.lit, sorted({*prefix, *heads})))) if prefix or heads else strings
-    filtered = words.select("doc_id", "ws", F.size("ws").alias("n"), held.alias("held"))
-    listed = [F.when(F.array_contains("held", p.split()[0]), F.struct(F.lit(label).alias("label"), phrase_starts(w, p).alias("at"), F.lit(len(p.split())).alias("len"))) for p, label in phrases.items()]
+    words = lowered.select("doc_id", words_of(F.col("t")).alias("ws")).crossJoin(one_row(spark, order=order, heads=heads))
+    # held: the document's words of any template, in the global order.
+    filtered = words.select("doc_id", "ws", F.size("ws").alias("n"), F.array_intersect("order", "ws").alias("held"), F.array_intersect("heads", "ws").alias("begun"))
+    listed = [F.when(F.array_contains("begun", p.split()[0]), F.struct(F.lit(label).alias("label"), phrase_starts(w, p).alias("at"), F.lit(len(p.split())).alias("len"))) for p, label in phrases.items()]
     hits = F.filter(F.array(*listed), lambda h: F.size(h["at"]) > 0) if listed else F.array().cast("array<struct<label:string,at:array<int>,len:int>>")
+    # Words go on only for documents long enough for some template; the row number is fixed as it is written.
+    least = min((need for *_, need in plan), default=1 << 30)
+    kept = F.when(F.size("held") >= least, w)
+    rows = written(filtered.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("n").cast("long").alias("n_words"), hits.alias("hits"), "held", kept.alias("ws")), "licenses")
+
+    # The index: each template under the words of its prefix. A document meets a template by its words there, once:
+    # by the first of them in order.
+    index = spark.createDataFrame([(word, label) for label, ws, need in plan for word in ws[: len(ws) - need + 1]], "word string, label string")
+    table = spark.createDataFrame([(label, ws, ws[: len(ws) - need + 1], need) for label, ws, need in plan], f"label string, want {strings}, prefix {strings}, need int")
+    asked = rows.where("ws IS NOT NULL").select("row", "held", "ws", F.explode("held").alias("word")).join(F.broadcast(index), "word").join(F.broadcast(table), "label")
+    met = asked.where((F.get(F.array_intersect("held", "prefix"), F.lit(0)) == F.col("word")) & (F.size("held") >= F.col("need")))
 
-    # Blocks only of documents with some template's prefix word; of a block, its tokens in the global order.
     half = max(1, block // 2)
-    starts = F.transform(F.sequence(F.lit(0), F.greatest((F.col("n") - 1 - half) / half, F.lit(0)).cast("int")), lambda i: i * half)
-    tokens = lambda s: F.array_intersect(F.array(*map(F.lit, order)), F.slice(w, s + 1, block))
-    blocks = F.when(F.arrays_overlap("held", F.array(*map(F.lit, prefix))), F.transform(starts, lambda s: F.struct(s.alias("at"), tokens(s).alias("ws")))) if prefix else F.lit(None)
-    two = filtered.select("doc_id", F.col("n").cast("long").alias("n_words"), hits.alias("hits"), F.coalesce(blocks, F.array().cast("array<struct<at:int,ws:array<string>>>")).alias("blocks"))
-
-    # The templates are one constant, so the plan doesn't grow with them.
-    words_in = lambda ws: F.array(*map(F.lit, ws)).cast("array<string>")
-    table = F.array(*(F.struct(F.lit(label).alias("label"), words_in(ws).alias("ws"), words_in(ws[: len(ws) - need + 1]).alias("prefix"), F.lit(need).alias("need")) for label, ws, need in plan))
-
-    def match(b: Column, t: Column) -> Column:
-        n, m = F.size(t["ws"]), F.size(b["ws"])
-        first = F.get(F.array_intersect(t["prefix"], b["ws"]), F.lit(0))  # null: prefix filter
-        behind = F.least(n - F.array_position(t["ws"], first), m - F.array_position(b["ws"], first))
-        inside = F.size(F.array_intersect(t["ws"], b["ws"]))
-        found = F.when(inside >= t["need"], F.struct(t["label"].alias("label"), b["at"].alias("at"), (inside / n.cast("double")).alias("share")))
+    starts = F.transform(F.sequence(F.lit(0), F.greatest((F.size("ws") - 1 - half) / half, F.lit(0)).cast("int")), lambda i: i * half)
+    blocks = F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_intersect("held", F.slice("ws", s + 1, block)).alias("ws")))
+
+    def share(b: Column) -> Column:
+        n, m = F.size("want"), F.size(b["ws"])
+        first = F.get(F.array_intersect("prefix", b["ws"]), F.lit(0))  # null: prefix filter
+        behind = F.least(n - F.array_position("want", first), m - F.array_position(b["ws"], first))
+        inside = F.size(F.array_intersect("want", b["ws"]))
+        found = F.when(inside >= F.col("need"), F.struct(b["at"].alias("at"), F.col("label").alias("label"), (inside / n.cast("double")).alias("share")))
         # Length and positional filter first; the intersection is read only behind them.
-        return F.when((m >= t["need"]) & (behind + 1 >= t["need"]), found)
+        return F.when((m >= F.col("need")) & (behind + 1 >= F.col("need")), found)
 
-    added = F.filter(F.flatten(F.transform("blocks", lambda b: F.transform(table, lambda t: match(b, t)))), lambda x: x.isNotNull()) if plan else F.array().cast("array<struct<label:string,at:int,share:double>>")
-    three = two.select("doc_id", "n_words", "hits", added.alias("blocks"))
+    added = met.select("row", F.explode(F.filter(F.transform(blocks, share), lambda x: x.isNotNull())).alias("b"))
+    # Bounded by a document's own blocks and templates.
+    by_row = added.groupBy("row").agg(F.transform(F.sort_array(F.collect_list("b")), lambda b: F.struct(b["label"].alias("label"), b["at"].alias("at"), b["share"].alias("share"))).alias("blocks"))
+    none = F.array().cast("array<struct<label:string,at:int,share:double>>")
+    three = rows.select("row", "doc_id", "n_words", "hits").join(by_row, "row", "left").withColumn("blocks", F.coalesce("blocks", none))
     starts = F.flatten(F.transform("hits", lambda h: h["at"]))
     base = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["label"])))
     every = F.array_sort(F.array_distinct(F.concat(F.transform("hits", lambda h: h["label"]), F.transform("blocks", lambda b: b["label"]))))

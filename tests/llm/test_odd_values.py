@@ -93,3 +93,20 @@ def test_license_scan_of_a_long_text(spark, words):
             assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) == (2 * words + 16, 1, words + 1, words + 1, "mit", "mit,proprietary")
         else:
             assert (r["n_words"], r["n_base"], r["first_word"], r["labels"], r["score"]) == (0, 0, None, "", 0.0)
+
+
+def test_license_scan_with_many_long_templates(spark, oracle, monkeypatch):
+    """Fifty templates of 100 to 1,500 words, by SQL; the plan is the one of a few."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    r = random.Random(4)
+    words = [w for row in docs.select("text").limit(60).collect() for w in (row["text"] or "").lower().split() if w.isascii() and w.isalnum()]
+    templates = {f"t{k}": " ".join(r.choice(words) for _ in range(r.randint(100, 1500))) for k in range(47)}
+    whole = [row["text"] for row in docs.where("length(text) between 700 and 4000").orderBy("doc_id").limit(3).collect()]
+    for k, t in enumerate(whole):  # and some that documents hold
+        kept = [w for w in t.lower().replace("'", " ").split() if w.isascii() and w.isalnum()]
+        templates[f"own{k}"] = " ".join(kept)
+    got = license_scan.scan(docs, templates=templates).drop("blocks")
+    out = oracle(got, license_scan.oracle_sql(templates=templates))
+    assert out["labels"].str.contains("own").sum() >= 2
+    size = lambda t: len(license_scan.scan(docs, templates=t)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(templates) < 1.2 * size(dict(list(templates.items())[:5]))
