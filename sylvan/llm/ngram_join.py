@@ -289,6 +289,8 @@ def by_key(rows: DataFrame) -> DataFrame:
 
 
 _UNKNOWN = -2
+#: Rows up to which an entry's pairs are made together with those of others.
+FEW = 8
 _PAIRS = ("x", "y", "xn", "yn", "xp", "yp", "xe", "ye")
 
 
@@ -307,8 +309,26 @@ def cross_pairs(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
             held = 0
             for e, d, n, p, c, w, *maps in _groups(batches, 14):
                 maps = np.stack(maps, 1).view(np.uint64)
+
+                def made(i: np.ndarray, j: np.ndarray, columns=(d, n, p, w)) -> None:
+                    nonlocal held
+                    swap = d[j] < d[i]
+                    out.append(tuple(np.where(swap, v[b], v[a]) for v in columns for a, b in ((i, j), (j, i))))
+                    held += len(i)
+
                 first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(e)]):
+                size = np.diff(np.r_[first, len(e)])
+                small = np.repeat(size <= FEW, size)
+                for apart in range(1, FEW):  # entries of few rows, all at once: each row and the one so many behind
+                    i = np.flatnonzero((e[apart:] == e[:-apart]) & small[:-apart])
+                    i = i[(c[i] != c[i + apart]) & (n[i + apart] <= n[i].astype(np.int64) * 100 // percent)]
+                    j = i + apart
+                    if len(i):
+                        total = n[i].astype(np.int64) + n[j]
+                        differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
+                        use = (p[i] != -1) | (p[j] != -1) | ((total - differ) * (100 + percent) >= 2 * percent * total)
+                        made(i[use], j[use])
+                for a, b in zip(first[size > FEW].tolist(), (first + size)[size > FEW].tolist()):
                     # Rows of an entry come by size: partners are those up to the largest size that may link.
                     ends = a + np.searchsorted(n[a:b], n[a:b].astype(np.int64) * 100 // percent, "right")
                     for i in range(a, b):
@@ -318,13 +338,13 @@ def cross_pairs(rows: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
                             total = n[at].astype(np.int64) + n[i]
                             at = at[(p[at] != -1) | ((total - apart) * (100 + percent) >= 2 * percent * total)]
                         if len(at):
-                            swap = d[at] < d[i]
-                            both = [(np.full(len(at), v[i], v.dtype), v[at]) for v in (d, n, p, w)]
-                            out.append(tuple(np.where(swap, u, v) for one, two in both for u, v in ((two, one), (one, two))))
-                            held += len(at)
+                            made(np.full(len(at), i), at)
                     if held > 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
                         out, held = [], 0
+                if held > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
+                    out, held = [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], list(_PAIRS))
 
