@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bindings, compdb, ddl, jobs, textir
-from ..work import work_path
+from ..work import work_path, written
 from .units import UNIT, _listed, _text
 
 
@@ -142,7 +142,7 @@ def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands at the end, in each output format."""
-    found = ddl.catalog(ddl.statements(sql_files(spark, sf_dir)))
+    found = written(ddl.catalog(ddl.statements(sql_files(spark, sf_dir))), "catalog")
     out = None
     for kind in ("json", "ttl", "lean"):
         rows = ddl.snapshot(found, kind).select(F.lit(kind).alias("format"), "kind", "name", "value")

@@ -46,8 +46,10 @@ def statements(sources: DataFrame) -> DataFrame:
     """path, dialect, seq, statement, head, refs: split at semicolons outside quotes, dollar quotes and comments (S13). Comments
     become a space, and only they: literals stay as they are. head: the tokens outside brackets, names in one form; refs: names
     after from, join, references and on. A path given more than once counts once (its least text)."""
-    once = sources.groupBy("path").agg(F.min(F.struct("sql", "dialect")).alias("s")).select("path", "s.*")
-    found = sql_nodes(once).where("kind = 'statement' AND ident <> ''")
+    # So many partitions at least: a small shuffle would be read by one task, and the walk is dear.
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = sources.repartition(parts, "path").groupBy("path").agg(F.min(F.struct("sql", "dialect")).alias("s")).select("path", "s.*")
+    found = sql_nodes(once, "statement").where("ident <> ''")
     return found.select(F.col("doc_id").alias("path"), "dialect", F.col("ord").alias("seq"), F.col("ident").alias("statement"), F.col("type").alias("head"), F.from_json("ref_name", "array<string>").alias("refs"))
 
 
@@ -108,6 +110,7 @@ def catalog(stmts: DataFrame, fold: Callable[[DataFrame], DataFrame] | None = No
     defined it. fold takes the place of this one (U2): it is given the statements and returns these columns."""
     if fold is not None:
         return fold(stmts)
+    stmts = written(stmts, "statements")  # files are walked once
     events = written(timeline(stmts), "events")
     roots = origins(events)
     last = events.where("op <> 'use'").groupBy("kind", "name").agg(F.max_by(F.struct("op", "at"), F.struct("at", "op")).alias("last"))

@@ -172,10 +172,11 @@ def sql_rows(doc_id: str, source: str | None, dialect: str = "postgres") -> list
     return f.out.rows
 
 
-def sql_nodes(sources: DataFrame) -> DataFrame:
+def sql_nodes(sources: DataFrame, kind: str | None = None) -> DataFrame:
     """NODES of sources (path, sql, dialect), doc_id being the path, with dialect: a walk for each dialect that is known.
-    Sources of another dialect give no rows."""
-    walked = [walk(sources.where(F.col("dialect") == d).select(F.col("path").alias("doc_id"), F.col("sql").alias("source")), lambda k, s, d=d: sql_rows(k, s, d)).withColumn("dialect", F.lit(d)) for d in DIALECTS]
+    Sources of another dialect give no rows. With a kind only nodes of that kind leave the walk."""
+    rows_of = lambda k, s, d: [r for r in sql_rows(k, s, d) if kind in (None, r["kind"])]
+    walked = [walk(sources.where(F.col("dialect") == d).select(F.col("path").alias("doc_id"), F.col("sql").alias("source")), lambda k, s, d=d: rows_of(k, s, d)).withColumn("dialect", F.lit(d)) for d in DIALECTS]
     return reduce(DataFrame.unionByName, walked)
 
 
