@@ -20,7 +20,7 @@ SIDE = ("node_id", "kind", "ident", "type", "n_children", "size")
 def side(nodes: DataFrame, roots: DataFrame, prefix: str, doc: str = "doc_id") -> DataFrame:
     """One side: every node under each pair's root with its path from there. roots: pair, doc, node_id, size."""
     r = roots.select(F.col("pair").alias("_pair"), F.col(doc).alias("d"), F.col("node_id").alias("root"), F.col("size").alias("reach"), F.col("path").alias("_top"))
-    below = nodes.join(r, (F.col(doc) == F.col("d")) & (F.col("node_id") >= F.col("root")) & (F.col("node_id") < F.col("root") + F.col("reach")))
+    below = nodes.join(r.hint("merge"), (F.col(doc) == F.col("d")) & (F.col("node_id") >= F.col("root")) & (F.col("node_id") < F.col("root") + F.col("reach")))
     rel = F.slice("path", F.size("_top") + 1, F.size("path"))
     return below.select(F.col("_pair").alias("pair"), rel.alias("path"), *(F.col(c).alias(f"{prefix}_{c}") for c in SIDE))
 
@@ -31,7 +31,7 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     A hole's subtree is a range of left ids, so a met pair is below a hole if the furthest end of the holes before it in
     pre-order lies beyond it: one window over a pair's nodes."""
     status = F.when(F.col("l_kind") != F.col("r_kind"), "kind").when(F.col("l_n_children") != F.col("r_n_children"), "children").otherwise("aligned")
-    met = left.join(right, ["pair", "path"]).withColumn("status", status)
+    met = left.join(right.hint("merge"), ["pair", "path"]).withColumn("status", status)
     ahead = Window.partitionBy("pair").orderBy("l_node_id").rowsBetween(Window.unboundedPreceding, -1)
     end = F.max(F.when(F.col("status") != "aligned", F.col("l_node_id") + F.col("l_size"))).over(ahead)
     return met.withColumn("_end", end).where(F.col("_end").isNull() | (F.col("_end") <= F.col("l_node_id"))).drop("_end")
@@ -50,7 +50,7 @@ def holes(reached: DataFrame, left_nodes: DataFrame, right_nodes: DataFrame, doc
     out = found.select("pair", "path", "status", "l_node_id", "r_node_id", "l_kind", "r_kind")
     for p, nodes in (("l", left_nodes), ("r", right_nodes)):
         roots = found.select("pair", F.col(f"{p}_node_id").alias("node_id"), F.col(f"{p}_size").alias("size")).distinct()
-        out = out.join(subtree_summary(nodes, roots, "pair").select("pair", F.col("root").alias(f"{p}_node_id"), F.col("summary").alias(f"{p}_subtree")), ["pair", f"{p}_node_id"])
+        out = out.join(subtree_summary(nodes, roots, "pair").select("pair", F.col("root").alias(f"{p}_node_id"), F.col("summary").alias(f"{p}_subtree")).hint("merge"), ["pair", f"{p}_node_id"])
     return out
 
 

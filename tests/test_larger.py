@@ -6,7 +6,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
 from sylvan import queries
+from sylvan.corpora import pages
+from sylvan.operators import lockstep
 
 DIR = "/root/testdata/sf0.001"
 
@@ -33,3 +37,19 @@ def test_a_statement_at_line_0_has_a_place(spark, oracle, tmp_path):
 
     sf = changed(tmp_path, orders=orders)
     oracle(queries.QUERIES["unit_walk"](spark, str(tmp_path)), queries.ORACLE_SQL["unit_walk"], sf)
+
+
+def by_key(df):
+    """The rows of a frame whose joins are all by key, though its tables are small enough to be broadcast."""
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+    return rows
+
+
+def test_pages_meet_by_key(spark):
+    reached, left, right = pages._walked(spark, DIR)
+    assert by_key(lockstep.holes(reached, left, right))
+    assert by_key(lockstep.loose_symbols(reached, left, "l"))
+    roots = left.where("node_id = 0").select("page_id", "pair", "node_id", F.lit(1 << 40).alias("size"), F.array().cast("array<int>").alias("path"))
+    assert by_key(lockstep.diff(lockstep.side(left, roots, "l", "page_id"), lockstep.side(left, roots, "r", "page_id")))
