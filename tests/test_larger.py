@@ -9,8 +9,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sylvan import queries
-from sylvan.corpora import pages
-from sylvan.operators import lockstep
+from sylvan.corpora import pages, units
+from sylvan.operators import lockstep, tree
 
 DIR = "/root/testdata/sf0.001"
 
@@ -53,3 +53,13 @@ def test_pages_meet_by_key(spark):
     assert by_key(lockstep.loose_symbols(reached, left, "l"))
     roots = left.where("node_id = 0").select("page_id", "pair", "node_id", F.lit(1 << 40).alias("size"), F.array().cast("array<int>").alias("path"))
     assert by_key(lockstep.diff(lockstep.side(left, roots, "l", "page_id"), lockstep.side(left, roots, "r", "page_id")))
+
+
+def test_units_meet_by_key(spark):
+    """Texts shrink in a shuffle and would be taken for small."""
+    docs = units.units(spark, DIR)
+    assert len(by_key(docs)) > 1
+    nodes = tree.ast_nodes(docs)
+    wanted = nodes.select(F.col("ident").alias("name"))
+    assert by_key(tree.structure_suite(nodes, nodes, wanted))
+    assert by_key(tree.function_classes(nodes))
