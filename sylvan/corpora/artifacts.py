@@ -24,12 +24,14 @@ def raw_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = dictionary.numbered(ends, "page_id").withColumnRenamed("n", "tu_idx")
     vocab = written(dictionary.vocabulary(nodes, "kind", "page_id", "node_id"), "kinds")
     through = lambda c: F.coalesce(F.col(c) + F.col("before"), F.lit(-1))
-    rows = dictionary.encode(nodes, "kind", vocab, "kind_idx").join(pages, "page_id")
+    rows = dictionary.encode(nodes, "kind", vocab, "kind_idx").join(pages.hint("merge"), "page_id")
     none = [F.lit(0).alias(c) for c in ("start_line", "start_col", "end_line", "end_col", "ident_idx", "type_idx")]
     table = rows.select((F.col("node_id") + F.col("before")).alias("node_id"), F.col("kind_idx").alias("kind"), *(through(c).alias(c) for c in ("parent", "first_child", "next_sibling")), F.least("depth", F.lit(255)).alias("depth"), *none, "tu_idx")
     folder = work_path(spark, "arrays")
     kinds = [r["value"] for r in vocab.orderBy("index").collect()]  # element names: as many as the vocabulary file has
-    exchange.write_arrays(table, {"kinds": ["", *kinds]}, folder)
+    n_pages, n_nodes = pages.count(), nodes.count()
+    types = exchange.wider(kind=len(kinds), tu_idx=n_pages - 1, parent=n_nodes, first_child=n_nodes, next_sibling=n_nodes)
+    exchange.write_arrays(table, {"kinds": ["", *kinds]}, folder, types)
     back = exchange.load_tensor(spark, folder, ("kind", "parent", "first_child", "next_sibling", "depth", "tu_idx"), rows=10_000)
     names = readers.load_vocabulary(spark, folder, "kinds").select(F.col("index").cast("long").alias("kind"), "value")
     sums = [F.sum(c).alias(f"{c}s") for c in ("parent", "first_child", "next_sibling", "depth")]

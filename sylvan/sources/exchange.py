@@ -47,13 +47,13 @@ class ArraysWriter(DataSourceArrowWriter):
     """Each value goes to its place: node_id times the width of its array. A task has a range of node ids, in order; the ranges together
     are 0, 1, 2 ... without a gap, or the job fails."""
 
-    def __init__(self, folder: str, names: list[str], vocabularies: dict[str, list[str]]):
-        self.folder, self.names, self.vocabularies = folder, names, vocabularies
+    def __init__(self, folder: str, names: list[str], vocabularies: dict[str, list[str]], types: dict[str, str]):
+        self.folder, self.names, self.vocabularies, self.types = folder, names, vocabularies, types
         self.mark = uuid.uuid4().hex[:8]
         os.makedirs(folder, exist_ok=True)
 
     def _file(self, name: str, done: bool) -> str:
-        return f"{self.folder}/{name}.{ARRAYS[name]}" if done else f"{self.folder}/.{name}.{self.mark}"
+        return f"{self.folder}/{name}.{self.types[name]}" if done else f"{self.folder}/.{name}.{self.mark}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files = {n: os.open(self._file(n, False), os.O_WRONLY | os.O_CREAT, 0o644) for n in self.names}
@@ -69,7 +69,7 @@ class ArraysWriter(DataSourceArrowWriter):
                 if first != out.first + out.count or (np.diff(ids) != 1).any() or first < 0:
                     raise ValueError(f"node ids have a gap or stand twice near {first}")
                 for name, file in files.items():
-                    values, kind = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64), ARRAYS[name]
+                    values, kind = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64), self.types[name]
                     small = values.astype(f"<{kind}")
                     if (small.astype(np.int64) != values).any():
                         raise OverflowError(f"{name} does not fit {kind}")
@@ -95,10 +95,10 @@ class ArraysWriter(DataSourceArrowWriter):
         for name, values in self.vocabularies.items():
             with open(f"{self.folder}/{name}.json", "w", encoding="utf-8") as f:
                 json.dump(values, f)
-        width = sum(int(ARRAYS[n][1]) for n in self.names)
+        width = sum(int(self.types[n][1]) for n in self.names)
         manifest = {
             "version": 1, "num_nodes": count, "total_node_bytes": count * width, "bytes_per_node": width if count else 0,
-            "arrays": {n: {"file": f"{n}.{ARRAYS[n]}", "dtype": ARRAYS[n], "length": count, "bytes": count * int(ARRAYS[n][1])} for n in self.names},
+            "arrays": {n: {"file": f"{n}.{self.types[n]}", "dtype": self.types[n], "length": count, "bytes": count * int(self.types[n][1])} for n in self.names},
             "vocab_files": {n: f"{n}.json" for n in self.vocabularies},
         }
         with open(f"{self.folder}/.manifest.{self.mark}", "w", encoding="utf-8") as f:
@@ -118,34 +118,43 @@ class Range(InputPartition):
 
 
 class ArraysReader(DataSourceReader):
-    """Ranges of the node ids from first up to end, all chosen arrays of a range in one task. Nothing outside is read."""
+    """Ranges of the node ids from first up to end, all chosen arrays of a range in one task. Nothing outside is read. Stored types
+    are the manifest's, where there is one."""
 
     def __init__(self, folder: str, names: list[str], each: int, first: int, end: int):
         self.folder, self.names, self.each, self.lo, self.hi = folder, names, each, first, end
+        self.types = ARRAYS | self._stored()
+
+    def _stored(self) -> dict[str, str]:
+        store, folder = _opened(self.folder)
+        if store.get_file_info(f"{folder}/manifest.json").type != fs.FileType.File:
+            return {}
+        with store.open_input_stream(f"{folder}/manifest.json") as f:
+            return {n: a["dtype"] for n, a in json.loads(f.read())["arrays"].items()}
 
     def partitions(self) -> list[Range]:
         store, folder = _opened(self.folder)
-        size = {n: store.get_file_info(f"{folder}/{n}.{ARRAYS[n]}").size for n in self.names}
-        lengths = {n: (s or 0) // int(ARRAYS[n][1]) for n, s in size.items()}
-        if len(set(lengths.values())) > 1 or any((s or 0) % int(ARRAYS[n][1]) for n, s in size.items()):
+        size = {n: store.get_file_info(f"{folder}/{n}.{self.types[n]}").size for n in self.names}
+        lengths = {n: (s or 0) // int(self.types[n][1]) for n, s in size.items()}
+        if len(set(lengths.values())) > 1 or any((s or 0) % int(self.types[n][1]) for n, s in size.items()):
             raise ValueError(f"arrays differ in length: {lengths}")
         hi = min(self.hi, next(iter(lengths.values())))
         return [Range(lo, min(lo + self.each, hi)) for lo in range(self.lo, hi, self.each)] or [Range(0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         store, folder = _opened(self.folder)
-        files = {n: store.open_input_file(f"{folder}/{n}.{ARRAYS[n]}") for n in self.names}
+        files = {n: store.open_input_file(f"{folder}/{n}.{self.types[n]}") for n in self.names}
         for lo in range(partition.lo, partition.hi, 100_000):
             n = min(100_000, partition.hi - lo)
             columns = [pa.array(np.arange(lo, lo + n))]
             for name, file in files.items():
-                kind = np.dtype(f"<{ARRAYS[name]}")
+                kind = np.dtype(f"<{self.types[name]}")
                 columns.append(pa.array(np.frombuffer(file.read_at(n * kind.itemsize, lo * kind.itemsize), kind).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(columns, ["node_id", *self.names])
 
 
 class Arrays(DataSource):
-    """format("node_arrays"), options path, arrays (comma-joined), vocabularies (JSON, for writing), rows (a task's),
+    """format("node_arrays"), options path, arrays (comma-joined), vocabularies and types (JSON, for writing), rows (a task's),
     first and end (node ids, for reading)."""
 
     @classmethod
@@ -166,17 +175,29 @@ class Arrays(DataSource):
         return ArraysReader(self.options["path"], self.names, int(self.options.get("rows", 4_000_000)), int(self.options.get("first", 0)), int(self.options.get("end", 1 << 62)))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArraysWriter:
-        return ArraysWriter(_local(self.options["path"]), self.names, json.loads(self.options.get("vocabularies", "{}")))
+        return ArraysWriter(_local(self.options["path"]), self.names, json.loads(self.options.get("vocabularies", "{}")), ARRAYS | json.loads(self.options.get("types", "{}")))
+
+
+def wider(**greatest: int) -> dict[str, str]:
+    """The types of arrays whose greatest value does not fit the stored one: of the same sort, as wide as needed."""
+    found = {}
+    for name, most in greatest.items():
+        kind, wide = ARRAYS[name][0], int(ARRAYS[name][1])
+        while most > np.iinfo(f"{kind}{wide}").max:
+            wide *= 2
+            found[name] = f"{kind}{wide}"
+    return found
 
 
-def write_arrays(table: DataFrame, vocabularies: dict[str, list[str]], folder: str) -> None:
+def write_arrays(table: DataFrame, vocabularies: dict[str, list[str]], folder: str, types: dict[str, str] | None = None) -> None:
     """The raw export (K1): an array a file in node order, vocabularies and manifest, in a folder that all executors see. Ranges of
-    nodes are written side by side; a hole or a double in the node ids is an error, and nothing is left then."""
+    nodes are written side by side; a hole or a double in the node ids is an error, and nothing is left then. types are stored types other than the format's own, as
+    wider gives them; the manifest names each array's."""
     spark = table.sparkSession
     ship(spark)
     spark.dataSource.register(Arrays)
     rows = table.select(F.col("node_id").cast("long"), *(F.col(n).cast("long") for n in ARRAYS))
-    rows.repartitionByRange("node_id").sortWithinPartitions("node_id").write.format("node_arrays").mode("append").option("vocabularies", json.dumps(vocabularies)).save(folder)
+    rows.repartitionByRange("node_id").sortWithinPartitions("node_id").write.format("node_arrays").mode("append").option("vocabularies", json.dumps(vocabularies)).option("types", json.dumps(types or {})).save(folder)
 
 
 def load_tensor(spark: SparkSession, folder: str, names: tuple[str, ...] = ("kind", "first_child", "next_sibling", "ident_idx", "type_idx"), rows: int = 4_000_000, first: int = 0, end: int = 1 << 62) -> DataFrame:

@@ -1,5 +1,6 @@
 """Tables with values that the generated ones lack, and plans that must not send growing tables through the driver."""
 
+import json
 import os
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from sylvan import queries
 from sylvan.corpora import pages, units
 from sylvan.operators import lockstep, tree
+from sylvan.sources import exchange, readers
 
 DIR = "/root/testdata/sf0.001"
 
@@ -63,3 +65,12 @@ def test_units_meet_by_key(spark):
     wanted = nodes.select(F.col("ident").alias("name"))
     assert by_key(tree.structure_suite(nodes, nodes, wanted))
     assert by_key(tree.function_classes(nodes))
+
+
+def test_arrays_of_more_documents_than_two_bytes_count(spark, tmp_path):
+    rows = spark.range(10).select(F.col("id").alias("node_id"), *((F.col("id") + 65530 if n == "tu_idx" else F.lit(3)).alias(n) for n in readers.ARRAYS))
+    assert exchange.wider(tu_idx=65535, kind=70000, parent=1 << 31, depth=3) == {"kind": "u4", "parent": "i8"}
+    exchange.write_arrays(rows, {}, str(tmp_path), exchange.wider(tu_idx=65539))
+    made = json.loads((tmp_path / "manifest.json").read_text())
+    assert made["arrays"]["tu_idx"] == {"file": "tu_idx.u4", "dtype": "u4", "length": 10, "bytes": 40} and made["bytes_per_node"] == 39
+    assert sorted(map(tuple, exchange.load_tensor(spark, str(tmp_path), ("kind", "tu_idx")).collect())) == [(i, 3, 65530 + i) for i in range(10)]
