@@ -74,3 +74,16 @@ def test_arrays_of_more_documents_than_two_bytes_count(spark, tmp_path):
     made = json.loads((tmp_path / "manifest.json").read_text())
     assert made["arrays"]["tu_idx"] == {"file": "tu_idx.u4", "dtype": "u4", "length": 10, "bytes": 40} and made["bytes_per_node"] == 39
     assert sorted(map(tuple, exchange.load_tensor(spark, str(tmp_path), ("kind", "tu_idx")).collect())) == [(i, 3, 65530 + i) for i in range(10)]
+
+
+def test_only_what_is_asked_leaves_the_walk(spark):
+    """And what is kept of children grows in place: it was copied for each child."""
+    docs = units.units(spark, DIR)
+    found = tree.ast_nodes(docs, False, ("kind", "doc_id", "shape"), ("FunctionDecl",))
+    assert found.columns == ["kind", "doc_id", "shape"]
+    assert sorted(found.collect()) == sorted(tree.ast_nodes(docs, False).where("kind = 'FunctionDecl'").select("kind", "doc_id", "shape").collect())
+    one = tree._Rows("d")
+    one.enter(kind="a", ident="", type="")
+    for _ in range(1000):
+        one.node(kind="b", ident="", type="")
+    assert isinstance(one.shapes[-1], bytearray) and len(one.shapes[-1]) == 8000
