@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sylvan import queries
 from sylvan.corpora import pages, units
-from sylvan.operators import lockstep, tree
+from sylvan.operators import graph, lockstep, tree
 from sylvan.sources import exchange, readers
 
 DIR = "/root/testdata/sf0.001"
@@ -87,3 +87,11 @@ def test_only_what_is_asked_leaves_the_walk(spark):
     for _ in range(1000):
         one.node(kind="b", ident="", type="")
     assert isinstance(one.shapes[-1], bytearray) and len(one.shapes[-1]) == 8000
+
+
+def test_links_are_counted_before_they_meet(spark):
+    nodes = tree.ast_nodes(units.units(spark, DIR), False)
+    found = graph.edges(nodes, False)
+    one = graph.across_units(found, nodes).groupBy("doc_id", "to_doc", "pred").agg(F.count("*").alias("n"))
+    two = graph.across_units(found.groupBy("doc_id", "pred", "iri").agg(F.count("*").alias("n")), nodes).groupBy("doc_id", "to_doc", "pred").agg(F.sum("n").alias("n"))
+    assert sorted(one.collect()) == sorted(two.collect()) != []
