@@ -24,7 +24,7 @@ def sql_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _text("create index i", k, " on u", k, " (x);\n")
     last = F.when(k % 7 == 0, _text("create table broken", k, " (a int;")).otherwise("select $q$ ; $q$;")
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("k"), F.concat(table, loose, view, index, last).alias("t"))
-    one = sqltext.sql_nodes(_by_ten(rows, "t")).where("depth > 0").groupBy(F.col("doc_id").alias("path"), F.get("path", F.lit(1)).cast("long").alias("seq"))
+    one = sqltext.sql_nodes(_by_ten(rows, "t"), columns=("doc_id", "path", "depth", "kind", "ident", "type", "ref_name", "start_line")).where("depth > 0").groupBy(F.col("doc_id").alias("path"), F.get("path", F.lit(1)).cast("long").alias("seq"))
     own = lambda c: F.max(F.when(F.col("depth") == 1, F.col(c)))
     return one.agg(own("start_line").alias("line"), F.count("*").alias("size"), F.max("depth").alias("depth"), F.count_if(F.col("kind") == "group").alias("n_groups"), F.count_if(F.col("kind") == "error").alias("n_errors"), own("ident").alias("statement"), own("type").alias("head"), own("ref_name").alias("refs"))
 
