@@ -49,7 +49,7 @@ def statements(sources: DataFrame) -> DataFrame:
     # So many partitions at least: a small shuffle would be read by one task, and the walk is dear.
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = sources.repartition(parts, "path").groupBy("path").agg(F.min(F.struct("sql", "dialect")).alias("s")).select("path", "s.*")
-    found = sql_nodes(once, "statement").where("ident <> ''")
+    found = sql_nodes(once, "statement", ("doc_id", "ord", "ident", "type", "ref_name")).where("ident <> ''")
     return found.select(F.col("doc_id").alias("path"), "dialect", F.col("ord").alias("seq"), F.col("ident").alias("statement"), F.col("type").alias("head"), F.from_json("ref_name", "array<string>").alias("refs"))
 
 
@@ -63,19 +63,27 @@ def parsed(stmts: DataFrame) -> DataFrame:
     """Adds action (create, drop, rename, move), kind, name (the first), names, new_name and cascade. What is none of these has
     a null action and keeps its text (U9), as does a statement with an error in it."""
     h = F.col("head")
-    forms = {"create": _CREATE, "drop": _DROP, "rename": _RENAME, "move": _MOVE}
-    is_ = {k: (F.regexp_extract(h, p, 1) != "") & ~h.contains("<error>") for k, p in forms.items()}
-    pick = lambda i: F.coalesce(*(F.when(is_[k], F.regexp_extract(h, p, i)) for k, p in forms.items()))
-    action = F.coalesce(*(F.when(c, F.lit(k)) for k, c in is_.items()))
-    names = F.when(action.isNotNull(), F.transform(F.regexp_extract_all(pick(2), F.lit(rf"({_PART}(?:\.{_PART})*)"), F.lit(1)), lambda x: x))
-    new = F.when(is_["rename"], _renamed(names[0], F.regexp_extract(h, _RENAME, 3), False)).when(is_["move"], _renamed(names[0], F.regexp_extract(h, _MOVE, 3), True))
-    return stmts.withColumn("action", action).withColumn("kind", pick(1)).withColumn("names", names).withColumn("name", F.get("names", F.lit(0))).withColumn("new_name", new).withColumn("cascade", is_["drop"] & (F.regexp_extract(h, _DROP, 3) == "cascade"))
+    forms = {"create": ("create", _CREATE), "drop": ("drop", _DROP), "rename": ("alter", _RENAME), "move": ("alter", _MOVE)}
+    group = lambda k, i: F.regexp_extract(h, forms[k][1], i)
+    # Each step reads what the one before found, so a pattern is tried once a statement, and only on its own word.
+    fits = lambda k: h.startswith(f"{forms[k][0]} ") & ~h.contains("<error>") & (group(k, 1) != "")
+    found = stmts.withColumn("action", F.coalesce(*(F.when(fits(k), F.lit(k)) for k in forms)))
+    pick = lambda i: F.coalesce(*(F.when(F.col("action") == k, group(k, i)) for k in forms))
+    found = found.withColumn("kind", pick(1)).withColumn("names", F.regexp_extract_all(pick(2), F.lit(rf"({_PART}(?:\.{_PART})*)"), F.lit(1)))
+    name, is_ = F.get("names", F.lit(0)), lambda k: F.col("action") == k
+    new = F.when(is_("rename"), _renamed(name, group("rename", 3), False)).when(is_("move"), _renamed(name, group("move", 3), True))
+    return found.withColumn("name", name).withColumn("new_name", new).withColumn("cascade", F.coalesce(is_("drop"), F.lit(False)) & (group("drop", 3) == "cascade"))
 
 
 def timeline(stmts: DataFrame) -> DataFrame:
     """kind, name, at (path, seq, n), op (open, close, use), action, cascade, by: the events on every name in its order, with
     last: the event before (use events aside), null for none. A name's events meet in one window, which spills."""
-    rows = parsed(stmts).where("action IS NOT NULL").select("*", F.posexplode("names").alias("n", "object"))
+    return _timeline(parsed(stmts))
+
+
+def _timeline(read: DataFrame) -> DataFrame:
+    """The timeline of statements that are parsed; they are read more than once."""
+    rows = read.where("action IS NOT NULL").select("*", F.posexplode("names").alias("n", "object"))
     at = F.struct("path", "seq", F.col("n").alias("n")).alias("at")
     event = lambda kind, name, op: F.struct(kind.alias("kind"), name.alias("name"), F.lit(op).alias("op"))
     kind, name = F.col("kind"), F.col("object")
@@ -110,8 +118,8 @@ def catalog(stmts: DataFrame, fold: Callable[[DataFrame], DataFrame] | None = No
     defined it. fold takes the place of this one (U2): it is given the statements and returns these columns."""
     if fold is not None:
         return fold(stmts)
-    stmts = written(stmts, "statements")  # files are walked once
-    events = written(timeline(stmts), "events")
+    stmts = written(parsed(stmts), "statements")  # files are walked and statements parsed once
+    events = written(_timeline(stmts), "events")
     roots = origins(events)
     last = events.where("op <> 'use'").groupBy("kind", "name").agg(F.max_by(F.struct("op", "at"), F.struct("at", "op")).alias("last"))
     standing = last.where("last.op = 'open'").select("kind", "name", F.col("last.at").alias("at")).join(roots, "at").select("kind", "name", "root")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sylvan import queries
 from sylvan.corpora import pages, units
-from sylvan.operators import graph, lockstep, tree
+from sylvan.operators import ddl, graph, lockstep, sqltext, tree
 from sylvan.sources import exchange, readers
 
 DIR = "/root/testdata/sf0.001"
@@ -95,3 +95,15 @@ def test_links_are_counted_before_they_meet(spark):
     one = graph.across_units(found, nodes).groupBy("doc_id", "to_doc", "pred").agg(F.count("*").alias("n"))
     two = graph.across_units(found.groupBy("doc_id", "pred", "iri").agg(F.count("*").alias("n")), nodes).groupBy("doc_id", "to_doc", "pred").agg(F.sum("n").alias("n"))
     assert sorted(one.collect()) == sorted(two.collect()) != []
+
+
+def test_sql_files_are_walked_once(spark):
+    """Whatever their dialect, and only what is asked for leaves the walk; a pattern is tried once a statement and use."""
+    src = spark.createDataFrame([("p", "create table a (x int); -- c\nselect 1", "postgres"), ("q", "drop table [a b]; select 'x", "sqlite"), ("r", "select 1", "other")], "path string, sql string, dialect string")
+    some = sqltext.sql_nodes(src, columns=("ord", "doc_id", "shape", "start_line"))
+    assert some.columns == ["ord", "doc_id", "shape", "start_line", "dialect"]
+    assert sorted(map(tuple, some.fillna(-1).collect())) == sorted(map(tuple, sqltext.sql_nodes(src).fillna(-1).select(some.columns).collect()))
+    stmts = ddl.statements(src)
+    assert stmts.groupBy("dialect").count().count() == 2
+    plan = ddl.parsed(stmts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("^create (?:or") <= 4
