@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from ..session import ship
-from .readers import ARRAYS
+from ..work import written
+
+
+#: Array -> stored type.
+ARRAYS = {
+    "kind": "u2", "parent": "i4", "first_child": "i4", "next_sibling": "i4", "depth": "u1", "start_line": "u4", "start_col": "u2",
+    "end_line": "u4", "end_col": "u2", "ident_idx": "u4", "type_idx": "u4", "tu_idx": "u2",
+}
 
 
 def _local(path: str) -> str:
@@ -260,10 +270,91 @@ class Files(DataSource):
         return FilesWriter(self.options["path"])
 
 
+def _parts(spark: SparkSession) -> int:
+    """So many tasks for rows that each stand for a file: they are small, and a small shuffle would be read by one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_files(rows: DataFrame, root: str) -> None:
     """K4: a file for each row (path, value) at its relative path below root, and a file _SUCCESS with their number. Of rows with one path
     the greatest value stays."""
     spark = rows.sparkSession
     ship(spark)
     spark.dataSource.register(Files)
-    rows.groupBy("path").agg(F.max("value").alias("value")).write.format("mirrored_files").mode("append").save(root)
+    rows.repartition(_parts(spark), "path").groupBy("path").agg(F.max("value").alias("value")).write.format("mirrored_files").mode("append").save(root)
+
+
+_ESCAPED = re.compile(r"""[\x00-\x20"#%<>?\[\\\]^`{|}\x7F]""")
+
+
+def _hidden(name: str) -> bool:
+    """As Spark's own readers see it."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def read_files(spark: SparkSession, root: str, glob: str, missing: bool = False) -> DataFrame:
+    """(path, text) of all files below root whose name fits the glob (* and ?), whole; path is a URI as in input_file_name. With missing, files that
+    have gone since they were listed give no rows, else they are an error. Folders are listed by tasks, a level a round, and
+    files dealt to tasks by path: the driver sees neither names nor one task for every few files. It needs a file system
+    that pyarrow knows; others are left to Spark's reader, which lists on the driver."""
+    own = "://" not in root or root.startswith("file:")
+    try:
+        store, top = (fs.LocalFileSystem(), os.path.abspath(_local(root))) if own else _opened(root)
+    except (pa.ArrowException, OSError):
+        store = None
+    if own and not root.startswith("file:") and not spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").startswith("file:"):
+        store = None
+    if store is None or re.search(r"[\[\]{}\\]", glob):
+        rows = spark.read.option("ignoreMissingFiles", missing).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+        return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    there = store.get_file_info(top).type
+    if there == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    ship(spark)
+    before = "file://" if own else root[: len(root.rstrip("/")) - len(top.rstrip("/"))]
+    opened = fs.LocalFileSystem if own else lambda: _opened(root)[0]
+    parts = _parts(spark)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                here = opened().get_file_info(fs.FileSelector(folder))
+                for lo in range(0, len(here), 10_000):
+                    some = [i for i in here[lo : lo + 10_000] if not _hidden(i.base_name) and (i.type == fs.FileType.Directory or fnmatchcase(i.base_name, glob))]
+                    yield pa.RecordBatch.from_arrays([pa.array([i.path for i in some], pa.string()), pa.array([i.type == fs.FileType.Directory for i in some], pa.bool_())], ["at", "folder"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = opened()
+        paths, values, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.binary())], ["path", "value"])
+
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                try:
+                    with store.open_input_stream(at) as f:
+                        values.append(f.read())
+                except FileNotFoundError:
+                    if missing:
+                        continue
+                    raise
+                paths.append(before + _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", at))
+                held += len(values[-1])
+                if len(paths) >= 2_000 or held >= 8_000_000:
+                    yield out()
+                    paths, values, held = [], [], 0
+        yield out()
+
+    if there == fs.FileType.File:
+        files = spark.createDataFrame([(top,)] if fnmatchcase(top.rsplit("/", 1)[-1], glob) else [], "at string")
+    else:
+        found, folders = [], spark.createDataFrame([(top,)], "at string")
+        while True:
+            level = written(folders.repartition(parts, "at").mapInArrow(listed, "at string, folder boolean"), "listing")
+            found.append(level.where("NOT folder").select("at"))
+            folders = level.where("folder").select("at")
+            if folders.isEmpty():
+                break
+        files = reduce(DataFrame.unionByName, found)
+    return files.repartition(parts, "at").mapInArrow(read, "path string, value binary").select("path", F.col("value").cast("string").alias("text"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exchange import ARRAYS, read_files
+
+__all__ = ["ARRAYS", "capabilities", "load_vocabulary", "manifest_documents", "manifest_sources", "plain_path", "spec", "text_files"]
+
 MANIFEST = "mode string, ok array<struct<source:string,ast_json:string,llvm_ir:string>>, failed array<struct<source:string,error:string>>, stats struct<total:int,succeeded:int,failed:int>"
-#: Array -> stored type.
-ARRAYS = {
-    "kind": "u2", "parent": "i4", "first_child": "i4", "next_sibling": "i4", "depth": "u1", "start_line": "u4", "start_col": "u2",
-    "end_line": "u4", "end_col": "u2", "ident_idx": "u4", "type_idx": "u4", "tu_idx": "u2",
-}
 
 
 def text_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, text) of whole files; missing ones give no rows."""
+    if glob and isinstance(path, str):
+        return read_files(spark, path, glob, missing=True)
     reader = spark.read.option("ignoreMissingFiles", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
