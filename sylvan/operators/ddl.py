@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.exchange import read_files
 from ..work import written
 from .closure import reachable
 from .sqltext import DIALECTS, sql_nodes
@@ -33,7 +34,7 @@ def sql_sources(spark: SparkSession, path: str, dialect: str = "postgres") -> Da
     """(path, sql, dialect) of every .sql file below path."""
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect}")
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("sql"), F.lit(dialect).alias("dialect"))
+    return read_files(spark, path, "*.sql").select("path", F.col("text").alias("sql"), F.lit(dialect).alias("dialect"))
 
 
 def one_dialect(sources: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -107,3 +108,25 @@ def test_sql_files_are_walked_once(spark):
     assert stmts.groupBy("dialect").count().count() == 2
     plan = ddl.parsed(stmts)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("^create (?:or") <= 4
+
+
+def test_many_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """As Spark's reader finds them, but not a task for every few files, nor all written by one."""
+    names = [f"d{i % 3}/e{i % 2}/f{i}.json" for i in range(400)]
+    odd = ["d0/a b%20#é?.json", "d0/.h.json", "d0/_h.json", "_d/x.json", "d0/_a=b.json", "d0/x.txt", "top.json"]
+    exchange.write_files(spark.createDataFrame([(n, f"{n}\n") for n in names + odd], "path string, value string").coalesce(1), f"{tmp_path}/out")
+    (tmp_path / "out" / "d1" / "bytes.json").write_bytes(b"\xff\x00")
+    for root in (f"file://{tmp_path}/out", f"{tmp_path}/out/", f"{tmp_path}/out/top.json"):
+        got = exchange.read_files(spark, root, "*.json")
+        want = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        rows = lambda d: sorted(map(tuple, d.select("path", F.hex("text")).collect()))
+        assert rows(got) == rows(want) and want.count() in (404, 1)
+        assert got.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with pytest.raises(FileNotFoundError):
+        exchange.read_files(spark, f"{tmp_path}/none", "*.json")
+
+
+def test_pages_leave_the_walk_as_asked(spark):
+    docs = spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "html")
+    assert tree.page_nodes(docs, ("size", "kind")).columns == ["size", "kind", "page_id"]
+    assert len(pages._walked(spark, DIR)[1].columns) == 9
