@@ -12,7 +12,7 @@ from ..work import written
 def _walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reached, left nodes, right nodes), the nodes with pair."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    nodes = written(tree.page_nodes(pages).withColumn("ident", F.col("kind")), "pages")
+    nodes = written(tree.page_nodes(pages, ("node_id", "path", "kind", "type", "n_children", "size")).withColumn("ident", F.col("kind")), "pages")
     roots = nodes.where("node_id = 0").select("page_id", "node_id", F.lit(1 << 40).alias("size"), F.array().cast("array<int>").alias("path"))
     left, right = (lambda d: d.withColumn("pair", F.col("page_id"))), (lambda d: d.withColumn("pair", F.col("page_id") - 1))
     reached = lockstep.diff(lockstep.side(nodes, left(roots), "l", "page_id"), lockstep.side(nodes, right(roots), "r", "page_id"))
