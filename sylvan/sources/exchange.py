@@ -57,7 +57,7 @@ class ArraysWriter(DataSourceArrowWriter):
     """Each value goes to its place: node_id times the width of its array. A task has a range of node ids, in order; the ranges together
     are 0, 1, 2 ... without a gap, or the job fails."""
 
-    def __init__(self, folder: str, names: list[str], vocabularies: dict[str, list[str]], types: dict[str, str]):
+    def __init__(self, folder: str, names: list[str], vocabularies: dict[str, list[str]], types: dict[str, str] = ARRAYS):
         self.folder, self.names, self.vocabularies, self.types = folder, names, vocabularies, types
         self.mark = uuid.uuid4().hex[:8]
         os.makedirs(folder, exist_ok=True)
